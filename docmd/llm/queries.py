@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docmd.llm.langid import op1_langid
 from docmd.llm.media import op6_media
+from docmd.llm.neardup import op9_near_duplicates
 from docmd.llm.tokencount import op5_token_counts
 from docmd.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_toxicity, op5_token_counts, op6_media)}
+    return {f.__name__: f for f in (op1_langid, op2_toxicity, op5_token_counts, op6_media, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
