@@ -24,8 +24,6 @@ task changes nothing. Null texts are empty: one end. Without training rows every
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm.common import scratch_path
+from docmd.llm.files import place, put
 from docmd.llm.sampling import remainder
 from docmd.llm.textvec import LOWER, NOT_SPACE, mix, slices, word_hashes, word_spans
 
@@ -46,19 +45,9 @@ UNKNOWN = np.int64(-1)
 _FOUR = 4
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
-
-
 def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
     """One file of arrays of equal length, one after another."""
-    store, at = _place(path)
-    store.create_dir(os.path.dirname(at), recursive=True)
-    own = f"{at}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as f:
-        for a in arrays:
-            f.write(np.ascontiguousarray(a).data)
-    store.move(own, at)
+    put(path, [np.ascontiguousarray(a).data for a in arrays])
 
 
 @lru_cache(4096)
@@ -66,7 +55,7 @@ def read_arrays(path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The arrays of a file, mapped into memory where its file system is a mounted one."""
     if not n:
         return [np.zeros(0, k) for k in kinds]
-    store, at = _place(path)
+    store, at = place(path)
     raw = np.memmap(at, np.uint8, "r") if isinstance(store, fs.LocalFileSystem) else np.frombuffer(store.open_input_file(at).read(), np.uint8)
     out, k = [], 0
     for kind in kinds:

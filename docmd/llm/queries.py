@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmd.llm import decontaminate, warc
+from docmd.llm.decontaminate import op8_decontaminate
 from docmd.llm.langid import op1_langid
 from docmd.llm.media import op6_media
 from docmd.llm.neardup import op9_near_duplicates
+from docmd.llm.ngramlm import op7_lm_score
+from docmd.llm.piecebpe import op10_sentencepiece
 from docmd.llm.tokencount import op5_token_counts
 from docmd.llm.toxicity import op2_toxicity
+from docmd.llm.warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_toxicity, op5_token_counts, op6_media, op9_near_duplicates)}
+    found = (op1_langid, op2_toxicity, op3_warc, op5_token_counts, op6_media, op7_lm_score, op8_decontaminate, op9_near_duplicates, op10_sentencepiece)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
