@@ -309,12 +309,14 @@ def decoded(rows: DataFrame, path: str, pieces: str = "pieces", keep: tuple[str,
     return slim.mapInArrow(run, schema)
 
 
+def round_trip(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, the pieces of `text`, their number, whether they decode to the text, and the decoded text's SHA-256."""
+    pieces = encoded(rows, path, keep=(*keep, "text")).withColumnRenamed("text", "source_text")
+    back = decoded(pieces, path, keep=(*keep, "source_text", "pieces"))
+    return back.select(*keep, "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("text").eqNullSafe(F.col("source_text")).alias("lossless"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the pieces, their number, whether they decode to the text, and the SHA-256 of the decoded text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pieces = encoded(documents, path, keep=("doc_id", "text")).withColumnRenamed("text", "source_text")
-    back = decoded(pieces, path, keep=("doc_id", "source_text", "pieces"))
-    return back.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("text").eqNullSafe(F.col("source_text")).alias("lossless"), F.sha2("text", 256).alias("decoded_sha256"))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docmd.llm import decontaminate, warc
 from docmd.llm.decontaminate import op8_decontaminate
 from docmd.llm.langid import op1_langid
+from docmd.llm.linedup import op4_line_dedup
 from docmd.llm.media import op6_media
 from docmd.llm.neardup import op9_near_duplicates
 from docmd.llm.ngramlm import op7_lm_score
@@ -19,7 +20,7 @@ from docmd.llm.warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_langid, op2_toxicity, op3_warc, op5_token_counts, op6_media, op7_lm_score, op8_decontaminate, op9_near_duplicates, op10_sentencepiece)
+    found = (op1_langid, op2_toxicity, op3_warc, op4_line_dedup, op5_token_counts, op6_media, op7_lm_score, op8_decontaminate, op9_near_duplicates, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 

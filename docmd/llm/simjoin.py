@@ -8,7 +8,7 @@ The items' sets are hashed (64 bits a member). The steps, shared by documents an
    item and band, never all pairs of a key. Components of these links are clusters of candidates.
 3. A cluster is cut into blocks of bounded items and bounded members; every pair of blocks is a tile, which is
    one task's work and bounded in memory whatever the size of the cluster. In a tile, packed b-bit signatures
-   are compared by counting bits; the pairs whose corrected estimate is within MARGIN of the threshold are
+   are compared by counting bits; the pairs whose corrected estimate is within a margin of the threshold are
    confirmed on the full sets; the tile returns a spanning forest of the confirmed links, fewer links than
    items.
 4. Components of the confirmed links.
@@ -103,7 +103,7 @@ def tiles(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     return at.select("id", tile.alias("tiles"))
 
 
-def similar(rows: pa.Table, percent: int, k: int) -> pa.Table:
+def similar(rows: pa.Table, percent: int, k: int, margin: float = MARGIN) -> pa.Table:
     """A spanning forest of the links of one tile: rows (i, j, block, id, members, packed)."""
     i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
     rows = rows.sort_by([("block", "ascending"), ("id", "ascending")])
@@ -114,7 +114,7 @@ def similar(rows: pa.Table, percent: int, k: int) -> pa.Table:
     n = len(ids)
     split = int(np.searchsorted(blocks, j)) if i != j else 0  # the rows before split are block i
     a, b = (np.arange(n), np.arange(n)) if i == j else (np.arange(split), np.arange(split, n))
-    close = estimate(packed[a], packed[b], k) >= percent / 100 - MARGIN
+    close = estimate(packed[a], packed[b], k) >= percent / 100 - margin
     # sets of similar items have similar sizes
     close &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
     if i == j:
@@ -169,7 +169,7 @@ def _common(sets: list[np.ndarray], used: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def links(tiled: DataFrame, percent: int, k: int) -> DataFrame:
+def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN) -> DataFrame:
     """(src, dst): spanning forests of the confirmed links of all tiles; tiled: (id, tiles, members, packed)."""
     rows = tiled.select("id", F.explode("tiles").alias("t"), "members", "packed").select("t.cluster", "t.i", "t.j", "t.block", "id", "members", "packed")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(lambda t: similar(t, percent, k), "src long, dst long")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(lambda t: similar(t, percent, k, margin), "src long, dst long")

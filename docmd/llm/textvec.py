@@ -114,3 +114,15 @@ def digest_rows(sizes: np.ndarray, blob: np.ndarray) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(sizes)]) * blob.itemsize
     data = np.ascontiguousarray(blob)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+class Spans:
+    """Hashes of any spans of a sequence of code points, from one running sum."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.powers, self.inverse = _powers(len(points) + 1)
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(0x51)) * self.powers[: len(points)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
