@@ -280,7 +280,7 @@ def encoded(rows: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     """The kept columns and the piece ids of each text in `pieces`, which replaces a kept column of that name."""
     keep = [c for c in keep if c != "pieces"]
     slim = rows.select(*keep, F.col(text).alias("_text"))
-    schema = rows.select(*keep).withColumn("pieces", F.array().cast("array<int>")).schema
+    schema = rows.select(*keep).withColumn("pieces", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +299,7 @@ def decoded(rows: DataFrame, path: str, pieces: str = "pieces", keep: tuple[str,
     """The kept columns and the text of each list of pieces in `text`, which replaces a kept column of that name."""
     keep = [c for c in keep if c != "text"]
     slim = rows.select(*keep, F.col(pieces).alias("_pieces"))
-    schema = rows.select(*keep).withColumn("text", F.lit("")).schema
+    schema = rows.select(*keep).withColumn("text", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
