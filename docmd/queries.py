@@ -1,15 +1,210 @@
-"""The registered queries of the reference's operators, and their SQL."""
+"""The registered queries of the document operators, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docmd.functions import markdown as M
+from docmd.operators import layout as L
+from docmd.plans.convert import csv_markdown, csv_records, to_markdown
+from docmd.sources import files
+
+# DuckDB forms of the column functions: RE2 has no lookahead and no back references
+_TAGS = r"regexp_replace({x}, '(\\*)<([A-Za-z/!?])', '\1\1\\<\2', 'g')"
+_RULE = r"^\s*(?:-(?:\s*-)*|=(?:\s*=)*|\*(?:\s*\*){2,}|_(?:\s*_){2,}|\*)\s*$"
+_ESCAPE = r"CASE WHEN regexp_matches({x}, '" + _RULE + r"') THEN regexp_replace({x}, '^(\s*)', '\1\\') ELSE regexp_replace({x}, '^(\s*)(#|>|```|~~~)', '\1\\\2') END"
+_WS = r"[\t\x0B\f\x1C-\x1F \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+
+
+def _normalize_sql(x: str) -> str:
+    one = rf"regexp_replace({x}, '\r\n?', chr(10), 'g')"
+    two = rf"regexp_replace({one}, '{_WS}+(\n|\z)', '\1', 'g')"
+    three = rf"regexp_replace({two}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({three}, '\A\n+|\n+\z', '', 'g')"
+
+
+def _finished_sql(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN '' ELSE {x} || chr(10) END"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def txt_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", M.render_txt(F.col("text")).alias("markdown"))
+
+
+_TXT = rf"""
+WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: {_TAGS.replace("{x}", "x")}) AS ls FROM documents),
+e AS (SELECT doc_id, array_to_string(list_transform(ls, lambda x: {_ESCAPE.replace("{x}", "x")}), chr(10)) AS t FROM l),
+n AS (SELECT doc_id, {_normalize_sql("t")} AS t FROM e)
+SELECT doc_id, {_finished_sql("t")} AS markdown FROM n
+"""
+
+
+def escaped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", M.escape_tags(F.col("html")).alias("escaped"))
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", M.table_cell(F.translate("text", "e", "|")).alias("cell"))
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", M.normalize(F.translate("text", "xyq", "\r\n\t")).alias("markdown"))
+
+
+def clean_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", M.clean(F.concat(F.lit(" \n"), F.col("text"))).alias("title"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(F.lit(" page ["), F.col("page_id").cast("string"), F.lit("] "))
+    return _table(spark, sf_dir, "pages").select("page_id", M.link(label, F.col("url")).alias("link"), M.link(F.col("url"), F.col("url")).alias("own"))
+
+
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    text = F.concat(F.lit('key;name;"the ""segment"""\r\n'), c("c_custkey").cast("string"), F.lit(';  "'), c("c_name"), F.lit('\n"x;'), c("c_mktsegment"), F.lit("|"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", csv_markdown(csv_records(text)).alias("markdown"))
+
+
+_CSV = """
+SELECT c_custkey, '| key | name | the "segment" |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ' x | ' || c_mktsegment || '\\| |' || chr(10) AS markdown FROM customer
+"""
+
+
+def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    docs = files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url"))
+    return to_markdown(docs).select("page_id", "title", "author", "language")
+
+
+_HTML = r"""
+WITH t AS (SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title,
+nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages)
+SELECT page_id, title, CAST(NULL AS VARCHAR) AS author, language FROM t
+"""
+
+
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as Markdown: the flagship query."""
+    pages = _table(spark, sf_dir, "pages")
+    return to_markdown(files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url"))).select("page_id", "markdown", "title", "language")
+
+
+def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of several extensions, a size limit, and the error of each document that is not read."""
+    name = F.concat(F.lit("a.b/"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".TXT", ".csv", ".htm", ".pages", ".", "", ".Xlsx"))), (F.col("doc_id") % 7 + 1).cast("int")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.octet_length("text").cast("long").alias("length"))
+    return docs.select("doc_id", files.extension(F.col("name")).alias("extension"), files.format_of(F.col("name")).alias("format"), files.refusal(F.col("name"), F.col("length"), 1500)["kind"].alias("error"))
+
+
+_DISPATCH = """
+WITH d AS (SELECT doc_id, octet_length(encode(text)) AS length, ['txt', 'csv', 'htm', 'pages', '', 'b/' || doc_id, 'xlsx'][doc_id % 7 + 1] AS extension FROM documents),
+f AS (SELECT *, CASE extension WHEN 'txt' THEN 'txt' WHEN 'csv' THEN 'csv' WHEN 'htm' THEN 'html' WHEN 'xlsx' THEN 'xlsx' END AS format FROM d)
+SELECT doc_id, extension, format, CASE WHEN format IS NULL THEN 'unsupported' WHEN length > 1500 THEN 'too_large' END AS error FROM f
+"""
+
+
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in several encodings, decoded again."""
+    t = F.col("text")
+    data = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(b"\xff\xfe"), F.encode(t, "UTF-16LE"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(b"\xfe\xff"), F.encode(t, "UTF-16BE")))
+    data = data.when(F.col("doc_id") % 4 == 2, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(t, "UTF-8"))).otherwise(F.encode(t, "UTF-8"))
+    return _table(spark, sf_dir, "documents").select("doc_id", files.decode(data).alias("text"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of lines: ten lines a page, with a running header and a page number."""
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    text = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    n, page = F.col("n"), (F.floor(F.col("n") / 10) + 1).cast("int")
+    size = F.when(n % 10 == 3, 14.0).otherwise(11.0)
+    body = text.select("doc_id", (n * 3 + 1).alias("seq"), page.alias("page"), F.lit(72.0).alias("x"), (F.lit(200.0) + n % 10 * 14 + F.when(n % 10 > 5, 10).otherwise(0)).alias("y"), size.alias("font_size"), "text")
+    of_page = text.where(n % 10 == 0).select("doc_id", n.alias("n"), page.alias("page"))
+    head = of_page.select("doc_id", F.col("n") * 3, "page", F.lit(72.0), F.lit(30.0), F.lit(9.0), F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+    foot = of_page.select("doc_id", F.col("n") * 3 + 2, "page", F.lit(300.0), F.lit(770.0), F.lit(9.0), F.col("page").cast("string"))
+    whole = body.union(head).union(foot).withColumns({"page_height": F.lit(792.0), "width": F.lit(0.0), "bold": F.lit(False), "rotated": F.lit(False), "table_id": F.lit(-1), "heading": F.lit(0)})
+    return whole.select("doc_id", F.col("seq").cast("int").alias("seq"), "page", "page_height", "x", "y", "width", "font_size", "bold", "rotated", "text", "table_id", "heading")
+
+
+_LINES = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(ls) AS text, unnest(range(0, len(ls))) AS n FROM t),
+lines AS (SELECT doc_id, n * 3 + 1 AS seq, n // 10 + 1 AS page, 200 + n % 10 * 14 + CASE WHEN n % 10 > 5 THEN 10 ELSE 0 END AS y, CASE WHEN n % 10 = 3 THEN 28 ELSE 22 END AS size_key, text FROM x
+UNION ALL SELECT doc_id, n * 3, n // 10 + 1, 30, 18, 'Document ' || doc_id FROM x WHERE n % 10 = 0
+UNION ALL SELECT doc_id, n * 3 + 2, n // 10 + 1, 770, 18, CAST(n // 10 + 1 AS VARCHAR) FROM x WHERE n % 10 = 0)
+"""
+
+
+def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.body_sizes(_lines(spark, sf_dir)).select("doc_id", "body")
+
+
+def line_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.pitches(_lines(spark, sf_dir))
+
+
+_PITCH = (
+    _LINES
+    + """, g AS (SELECT *, y - lag(y) OVER w AS gap, lag(page) OVER w AS lp, lag(size_key) OVER w AS ls FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
+SELECT doc_id, size_key, CAST(list_sort(list(gap))[len(list(gap)) // 2 + 1] AS DOUBLE) AS pitch FROM g WHERE page = lp AND gap > 0 AND size_key = ls GROUP BY 1, 2
+"""
+)
+
+
+def without_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.without_furniture(_lines(spark, sf_dir)).select("doc_id", "seq", "page", "text")
+
+
+_FURNITURE = (
+    _LINES
+    + """, p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM lines GROUP BY 1)
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(page AS INTEGER) AS page, text FROM lines JOIN p USING (doc_id) WHERE size_key > 18 OR pages < 3
+"""
+)
+
+
+def section_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    number = F.concat(c("p_size").cast("string"), F.when(c("p_partkey") % 3 > 0, F.concat(F.lit("."), (c("p_partkey") % 10).cast("string"))).otherwise(F.lit("")), F.when(c("p_partkey") % 5 == 0, ".").otherwise(""))
+    text = F.when(c("p_partkey") % 7 == 0, c("p_name")).otherwise(F.concat(number, F.lit(" "), c("p_name")))
+    return _table(spark, sf_dir, "part").select("p_partkey", L.section_depth(text).alias("depth"))
+
+
+def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of lines as Markdown: furniture out, paragraphs, headings, hyphens."""
+    return L.to_markdown(_lines(spark, sf_dir))
+
+
+_ALL = (
+    html_markdown, txt_markdown, escaped_tags, table_cells, normalized, clean_metadata, links, csv_tables, html_metadata, format_dispatch, decoded, body_sizes, line_pitches, without_furniture, section_depths, layout_markdown,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "txt_markdown": _TXT,
+        "escaped_tags": f"SELECT page_id, {_TAGS.replace('{x}', 'html')} AS escaped FROM pages",
+        "table_cells": r"SELECT doc_id, regexp_replace(translate(text, 'e', '|'), '(\\*)\|', '\1\1\\|', 'g') AS cell FROM documents",
+        "normalized": f"WITH n AS (SELECT doc_id, {_normalize_sql('translate(text, ' + chr(39) + 'xyq' + chr(39) + ', chr(13) || chr(10) || chr(9))')} AS t FROM documents) SELECT doc_id, {_finished_sql('t')} AS markdown FROM n",
+        "clean_metadata": r"SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS title FROM documents",
+        "links": "SELECT page_id, ' [page \\[' || page_id || '\\]](' || url || ') ' AS link, '<' || url || '>' AS own FROM pages",
+        "csv_tables": _CSV,
+        "html_metadata": _HTML,
+        "format_dispatch": _DISPATCH,
+        "decoded": "SELECT doc_id, text FROM documents",
+        "body_sizes": _LINES + ", s AS (SELECT doc_id, size_key, sum(length(trim(text))) AS n FROM lines GROUP BY 1, 2) SELECT doc_id, CAST(arg_max(size_key, n * 1000 + size_key) AS INTEGER) AS body FROM s GROUP BY 1",
+        "line_pitches": _PITCH,
+        "without_furniture": _FURNITURE,
+        "section_depths": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 3 > 0 THEN 2 ELSE 1 END AS INTEGER) AS depth FROM part",
+    }
