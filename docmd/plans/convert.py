@@ -1,7 +1,8 @@
 """Documents to Markdown, one row in and one row out.
 
-Rows are split by format in the plan: plain text stays in the JVM; the other formats are parsed by Arrow functions
-and, where they are tables, written as Markdown by column expressions again. Nothing is shuffled.
+Plain text stays in the JVM; the other formats are parsed by Arrow functions in one pass over the rows and, where
+they are tables, written as Markdown by column expressions again, without a shuffle. PDF files become lines, and the
+layout analysis of `operators.layout` makes Markdown of these.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmd.functions import markdown as M
+from docmd.operators import layout as L
 from docmd.sources import files
 
 _ERROR = "struct<kind:string,message:string>"
@@ -118,6 +121,43 @@ def sheets_markdown(sheets: Column) -> Column:
     return M.normalize(M.escape_tags_outside_links(F.array_join(F.transform(sheets, table), "\n")))
 
 
+_LINE = "struct<page:int,page_height:double,x:double,y:double,width:double,font_size:double,bold:boolean,rotated:boolean,text:string,table_id:int,heading:int,seq:int>"
+
+
+def _pdf():
+    kind = pa.struct([
+        ("lines", pa.list_(pa.struct([
+            ("page", pa.int32()), ("page_height", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("width", pa.float64()), ("font_size", pa.float64()), ("bold", pa.bool_()), ("rotated", pa.bool_()),
+            ("text", pa.string()), ("table_id", pa.int32()), ("heading", pa.int32()), ("seq", pa.int32()),
+        ]))), ("title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("error", _ERROR_ARROW),
+    ])
+
+    def run(contents: pa.Array) -> pa.Array:
+        from docmd.sources import pdftext
+        from docmd.sources.pdfobjects import Unreadable
+
+        out: list = []
+        for data in contents:
+            try:
+                found = pdftext.read(data.as_buffer().to_pybytes()) if data.is_valid else None
+                out.append(found and {"lines": found[0]} | found[1])
+            except Unreadable as e:
+                out.append(e)
+        return _result(out, kind)
+
+    run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, f"struct<lines:array<{_LINE}>,title:string,author:string,language:string,error:{_ERROR}>")
+
+
+def pdf_pages(documents: DataFrame) -> DataFrame:
+    """(doc_id, r) of every distinct content of PDF documents: doc_id is its hash, r its lines and metadata.
+
+    Kept on the executors' disks, because the layout analysis reads it several times; a lost part is parsed again.
+    """
+    keyed = documents.where(F.col("content").isNotNull()).select(F.xxhash64("content").alias("doc_id"), "content").dropDuplicates(["doc_id"])
+    return keyed.select("doc_id", _pdf()("content").alias("r")).persist(StorageLevel.DISK_ONLY)
+
+
 def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive") -> DataFrame:
     """documents (name, source_uri, length, content, ...) with markdown, title, author, language and error in place
     of the content. permissive: a document that can't be read has an error; failfast: it ends the query.
@@ -130,24 +170,22 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
     keep = [c for c in documents.columns if c not in (*results, "content")]
     name = F.coalesce("name", F.lit(""))
     marked = documents.withColumns({"_refusal": files.refusal(name, F.col("length"), limit), "_format": files.format_of(name)})
-    nothing = F.lit(None).cast("string")
-
-    def finished(rows: DataFrame, markdown: Column, title: Column, author: Column, language: Column, error: Column) -> DataFrame:
-        return rows.select(*keep, *(c.alias(n) for c, n in zip((markdown, title, author, language, error.cast(_ERROR)), results, strict=True)))
-
-    read = marked.where(F.col("_refusal").isNull())
-    of = lambda kind: read.where(F.col("_format") == kind)
-    refused = finished(marked.where(F.col("_refusal").isNotNull()), nothing, nothing, nothing, nothing, F.col("_refusal"))
-    txt = finished(of("txt"), M.render_txt(files.decode(F.col("content"))), nothing, nothing, nothing, F.lit(None))
-    rows = of("csv").withColumn("_rows", csv_records(files.decode(F.col("content")), files.extension(name) == "tsv"))
-    csv = finished(rows, csv_markdown(F.col("_rows")), nothing, nothing, nothing, F.lit(None))
-    books = of("xlsx").withColumn("_r", _sheets()("content"))
-    fields = lambda of_: (F.col(f"_r.{n}") for n in of_)
-    xlsx = finished(books, sheets_markdown(F.col("_r.sheets")), *fields(results[1:]))
-    parsed = [finished(of(k).withColumn("_r", _parsed(k)("content", "source_uri")), *fields(results)) for k in ("html", "docx")]
-    out = refused
-    for part in (txt, csv, xlsx, *parsed):
-        out = out.unionByName(part)
+    is_pdf = F.col("_refusal").isNull() & (F.coalesce("_format", F.lit("")) == "pdf")
+    # one pass over all other formats: each parser gets the contents of its own and nulls
+    own = lambda kind: F.when(F.col("_refusal").isNull() & (F.col("_format") == kind), F.col("content"))
+    read = marked.where(~is_pdf).withColumns({
+        "_csv": csv_records(files.decode(own("csv")), files.extension(name) == "tsv"), "_xlsx": _sheets()(own("xlsx")), "_html": _parsed("html")(own("html"), F.col("source_uri")), "_docx": _parsed("docx")(own("docx"), F.col("source_uri")),
+    })
+    field = lambda n: F.coalesce(*(F.col(f"_{k}.{n}") for k in ("xlsx", "html", "docx")))
+    markdown = F.coalesce("_html.markdown", "_docx.markdown", csv_markdown(F.col("_csv")), sheets_markdown(F.col("_xlsx.sheets")), M.render_txt(files.decode(own("txt"))))
+    out = read.select(*keep, markdown.alias("markdown"), *(field(n).alias(n) for n in results[1:4]), F.coalesce("_refusal", field("error")).cast(_ERROR).alias("error"))
+    pdfs = marked.where(is_pdf).withColumn("_id", F.xxhash64("content"))
+    pages = pdf_pages(marked.where(is_pdf))
+    lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(c.split(" ")[0] for c in L.LINES.split(", ")))
+    texts = pages.select(F.col("doc_id").alias("_id"), "r").join(L.to_markdown(lines).withColumnRenamed("doc_id", "_id"), "_id", "left")
+    joined = pdfs.join(texts, "_id", "left")
+    found = F.when(F.col("r.error").isNull() & F.col("r").isNotNull(), F.coalesce("markdown", F.lit("")))
+    out = out.unionByName(joined.select(*keep, found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), F.col("r.error").cast(_ERROR).alias("error")))
     if mode == "failfast":
         out = out.withColumn("markdown", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error.message")).cast("string")).otherwise(F.col("markdown")))
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DOCUMENT_SIZE = 100 << 20
-FORMATS = {"csv": "csv", "docx": "docx", "htm": "html", "html": "html", "tsv": "csv", "txt": "txt", "xlsx": "xlsx"}
+FORMATS = {"csv": "csv", "docx": "docx", "htm": "html", "html": "html", "pdf": "pdf", "tsv": "csv", "txt": "txt", "xlsx": "xlsx"}
 SCHEMA = "path string, name string, source_uri string, length long, content binary"
 
 

@@ -18,6 +18,13 @@ def read(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
 
 
 def convert(spark: SparkSession, source: str, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Converts the files that come into `source` to Parquet rows in `target`."""
-    writer = to_markdown(read(spark, source)).writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start(target)
+    """Converts the files that come into `source` to Parquet rows in `target`, partitioned by batch.
+
+    A batch that is run again after a failure replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        to_markdown(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    writer = read(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -183,4 +183,40 @@ def test_files_and_stream(spark, tmp_path):
     ingest.convert(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     (source / "c.html").write_text("<p>c</p>")
     ingest.convert(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert {r.name: r.markdown for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch | {"c.html": "c\n"}
+    assert {r.name: r.markdown for r in spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).collect()} == batch | {"c.html": "c\n"}
+
+
+def pdf(pages: list[bytes], extra: str = "", info: str = "<< /Title (A \\(PDF\\)) /Author <FEFF00C90076> >>", packed: bool = True) -> bytes:
+    """A file of pages with the given contents and two fonts."""
+    import zlib
+
+    objects = {1: f"<< /Type /Catalog /Pages 2 0 R /Lang (en) {extra} >>".encode(), 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", 4: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold >>", 5: info.encode()}
+    kids = []
+    for k, text in enumerate(pages):
+        data = zlib.compress(text) if packed else text
+        objects[10 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>".encode()
+        objects[11 + 2 * k] = f"<< /Length {len(data)} {'/Filter /FlateDecode' if packed else ''} >>\nstream\n".encode() + data + b"\nendstream"
+        kids.append(f"{10 + 2 * k} 0 R")
+    objects[2] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>".encode()
+    body = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in sorted(objects.items()))
+    return body + b"trailer\n<< /Root 1 0 R /Info 5 0 R >>\n%%EOF"
+
+
+def shown(*lines: tuple[float, float, str, int, str]) -> bytes:
+    return b"BT " + b"".join(f"/{font} {size} Tf 1 0 0 1 {x} {y} Tm ({text}) Tj ".encode("cp1252") for x, y, text, size, font in lines) + b"ET"
+
+
+def test_pdf(spark):
+    body = "This is the body of the document with enough words in it"
+    one = shown((72, 720, "The Title", 20, "F2"), (72, 680, body, 11, "F1"), (72, 666, "and a second line \\(caf\\351 \\200\\).", 11, "F1"), (72, 630, "1 Introduction", 14, "F2"), (72, 600, body + ".", 11, "F1"))
+    two = b"BT /F1 11 Tf 72 720 Td 14 TL [(Split)-600(wo) 10 (rds)] TJ T* (next <b> line.) Tj ET"
+    good = pdf([one, two])
+    image = pdf([b"/Im Do"]).replace(b"/F2 4 0 R >>", b"/F2 4 0 R >> /XObject << /Im 30 0 R >>").replace(b"trailer", b"30 0 obj\n<< /Subtype /Image /Length 0 >>\nstream\n\nendstream\nendobj\ntrailer")
+    encrypted = good.replace(b"/Info", b"/Encrypt 9 0 R /Info")
+    out = convert(spark, [("a.pdf", good, None), ("b.PDF", good, None), ("scan.pdf", image, None), ("locked.pdf", encrypted, None), ("bad.pdf", b"nothing", None), ("cut.pdf", good[:700], None), ("plain.pdf", pdf([one], packed=False), None), ("none.pdf", None, None), ("empty.pdf", pdf([b""]), None)])
+    text = f"# The Title\n\n{body}\nand a second line (café €).\n\n## 1 Introduction\n\n{body}.\n"
+    assert out[0].markdown == out[1].markdown == text + "\nSplit words\nnext \\<b> line.\n"
+    assert (out[0].title, out[0].author, out[0].language) == ("A (PDF)", "Év", "en") and out[6].markdown == text
+    assert [r.error.kind for r in out[2:5]] == ["conversion"] * 3 and "OCR" in out[2].error.message and "encrypted" in out[3].error.message
+    assert out[5].error is not None or out[5].markdown is not None
+    assert (out[7].markdown, out[7].error, out[8].markdown, out[8].error) == (None, None, "", None)
