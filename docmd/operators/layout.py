@@ -255,6 +255,17 @@ def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None)
     return F.aggregate(parts, F.lit(""), step)
 
 
+#: Lines of one link: 2 ** this many are joined.
+SPLIT_LINKS = 6
+
+
+def join_split_links(text: Column) -> Column:
+    """Links to one address that follow each other over a line end, as one link."""
+    for _ in range(SPLIT_LINKS):
+        text = F.regexp_replace(text, r"\[([^\[\]\n]*)\]\(([^()\s]+)\)\n\[([^\[\]\n]*)\]\(\2\)", r"[$1 $3]($2)")
+    return text
+
+
 def bullets(text: Column) -> Column:
     """A list item's bullet as a dash."""
     return F.regexp_replace(text, rf"^(\s*)[{BULLETS}]\s*", "$1- ")
@@ -271,7 +282,7 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     paras = with_headings(paragraphs(with_paragraphs(own)), body_sizes(own))
     known = paras.join(words(given), "doc_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     plain = F.transform("lines", lambda s: M.escape(bullets(s["text"])))
-    body = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), M.escape(F.col("text")))).otherwise(join_hyphens(plain, F.col("words")))
+    body = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), M.escape(F.col("text")))).otherwise(join_hyphens(F.split(join_split_links(F.array_join(plain, "\n")), "\n"), F.col("words")))
     if tables is not None:
         known = known.join(tables.select("doc_id", "table_id", F.col("markdown").alias("_table")), ["doc_id", "table_id"], "left")
         body = F.when(F.col("is_table"), F.coalesce("_table", F.lit(""))).otherwise(body)

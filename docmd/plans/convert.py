@@ -114,7 +114,7 @@ def sheets_markdown(sheets: Column) -> Column:
     def table(sheet: Column) -> Column:
         rows = sheet["rows"]
         used = F.array_sort(F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(r, lambda c: c["col"])))))
-        dense = F.transform(rows, lambda r: F.transform(used, lambda k: F.coalesce(F.filter(r, lambda c: c["col"] == k)[0]["text"], F.lit(""))))
+        dense = F.transform(rows, lambda r: F.transform(used, lambda k: F.coalesce(F.get(F.filter(r, lambda c: c["col"] == k), F.lit(0))["text"], F.lit(""))))
         body = M.render_table(F.transform(dense, lambda r: F.transform(r, lambda x: M.table_cell(M.strip(F.regexp_replace(x, r"\s*[\r\n]+\s*", " "))))))
         return F.when(F.size(sheets) > 1, F.concat(F.lit("# "), M.escape(sheet["name"]), F.lit("\n\n"), body)).otherwise(body)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from docmd.functions.text import clean
+from docmd.functions.text import clean, link
 from docmd.sources.pdfobjects import File, Name, Parser, Stream, Unreadable, Word
 
 # When glyphs make one line, when a gap is a space, what makes a font bold.
@@ -140,6 +140,7 @@ class _Page:
         self.glyphs: list[tuple] = []  # text, x, y, advance, size, bold, rotated, invisible
         self.images = False
         self.fonts: dict[int, Font] = {}
+        self.links = [] if self.turn else self._links(page)
         contents = file.get(page.get("Contents"))
         parts = [file.get(c) for c in contents] if isinstance(contents, list) else [contents]
         data = b"\n".join(file.decoded(s) for s in parts if isinstance(s, Stream))
@@ -155,6 +156,26 @@ class _Page:
         w, h = self.box[2] - self.box[0], self.box[3] - self.box[1]
         return {0: (x, h - y), 90: (y, x), 180: (w - x, y), 270: (h - y, w - x)}.get(self.turn, (x, h - y))
 
+    def _links(self, page: dict) -> list[tuple[float, float, float, float, str]]:
+        """left, top, right, bottom and address of the page's links to addresses."""
+        get, out = self.file.get, []
+        for a in get(page.get("Annots")) or []:
+            a = get(a)
+            action = get(a.get("A")) if isinstance(a, dict) and get(a.get("Subtype")) == "Link" else None
+            url = _string(get(action.get("URI"))) if isinstance(action, dict) else None
+            rect = [get(v) for v in get(a.get("Rect")) or []] if url else []
+            if len(rect) == 4 and all(isinstance(v, (int, float)) for v in rect):
+                (x1, y1), (x2, y2) = self.place(rect[0], rect[1]), self.place(rect[2], rect[3])
+                out.append((min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2), url))
+        return out
+
+    def url(self, g: tuple) -> str | None:
+        """The address of the link that a glyph's centre is in."""
+        if g[6] or not self.links:
+            return None
+        x, y = g[1] + g[3] / 2, g[2] - 0.3 * g[4]
+        return next((u for left, top, right, bottom, u in self.links if left <= x <= right and top <= y <= bottom), None)
+
     def run(self, data: bytes, resources: dict, ctm: tuple, depth: int) -> None:
         get = self.file.get
         fonts, objects = get(resources.get("Font")) or {}, get(resources.get("XObject")) or {}
@@ -252,12 +273,19 @@ class _Page:
                 out.append([g])
         found = []
         for glyphs in out:
-            text, before = "", None
+            parts: list[tuple[str | None, str]] = [(None, "")]
+            before = None
             for g in glyphs:
-                if before and text and not text[-1].isspace() and not g[0][:1].isspace() and not g[6] and g[1] - (before[1] + before[3]) > SPACE_GAP * g[4]:
-                    text += " "
-                text += g[0]
+                url, last = self.url(g), parts[-1][1]
+                gap = before and last and not last[-1].isspace() and not g[0][:1].isspace() and not g[6] and g[1] - (before[1] + before[3]) > SPACE_GAP * g[4]
+                if gap:
+                    parts[-1] = parts[-1][0], last + " "
+                if url == parts[-1][0]:
+                    parts[-1] = url, parts[-1][1] + g[0]
+                else:
+                    parts.append((url, g[0]))
                 before = g
+            text = "".join(link(t, u) if u else t for u, t in parts)
             if not text.strip():
                 continue
             sizes: dict[float, int] = {}
