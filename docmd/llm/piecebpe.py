@@ -30,6 +30,8 @@ from docmd.llm.textvec import mix, slices
 
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 20240229, 4
+#: Bytes of text, and places of units, that are handled at once.
+SLICE, PLACES = 1 << 19, 1 << 18
 _NONE = np.int32(1 << 30)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,7 +166,7 @@ def _merge(model: Pieces, ids: np.ndarray, hashes: np.ndarray, dropout: float) -
 def encode(path: str, texts: pa.Array, dropout: float = DROPOUT, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice: the piece ids of its texts and the offsets of the texts."""
     model = load(path)
-    for first, end, raw, offsets in slices(texts, 2 << 20):
+    for first, end, raw, offsets in slices(texts, SLICE):
         data = raw.tobytes().decode("utf-8", "replace") if (offsets[1:] > offsets[:-1]).any() else ""
         points = np.frombuffer(data.encode("utf-32-le"), np.uint32)
         heads = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -227,10 +229,10 @@ def _units(model: Pieces, points: np.ndarray, starts: np.ndarray, ends: np.ndarr
     owners: list[np.ndarray] = []
     a = 0
     while a < len(order):
-        # units of like length together, at most about a million places
+        # units of like length together, about PLACES places at most
         width = int(sizes[order[a]])
         upto = max(width + 2, int(width * 1.25))
-        b = min(int(np.searchsorted(sizes[order], upto, "right")), a + max(1, (1 << 20) // upto))
+        b = min(int(np.searchsorted(sizes[order], upto, "right")), a + max(1, PLACES // upto))
         rows = order[a:b]
         width = int(sizes[order[b - 1]])
         at = starts[rows][:, None] + np.arange(width)
@@ -309,11 +311,31 @@ def decoded(rows: DataFrame, path: str, pieces: str = "pieces", keep: tuple[str,
     return slim.mapInArrow(run, schema)
 
 
-def round_trip(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, the pieces of `text`, their number, whether they decode to the text, and the decoded text's SHA-256."""
-    pieces = encoded(rows, path, keep=(*keep, "text")).withColumnRenamed("text", "source_text")
-    back = decoded(pieces, path, keep=(*keep, "source_text", "pieces"))
-    return back.select(*keep, "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("text").eqNullSafe(F.col("source_text")).alias("lossless"), F.sha2("text", 256).alias("decoded_sha256"))
+def round_trip(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """The kept columns, the pieces of each text, their number, whether they decode to the text, and the decoded
+    text's SHA-256 (null for a null text). One pass encodes and decodes, a slice at a time."""
+    names = ["pieces", "n_pieces", "lossless", "decoded_sha256"]
+    keep = [c for c in keep if c not in names]
+    slim = rows.select(*keep, F.col(text).alias("_text"))
+    schema = rows.select(*keep).withColumns({"pieces": F.lit(None).cast("array<int>"), "n_pieces": F.lit(0), "lossless": F.lit(True), "decoded_sha256": F.lit(None).cast("string")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, texts = 0, batch.column("_text")
+            for ids, at in encode(path, texts, dropout, seed):
+                n = len(at) - 1
+                lossless, digests, nulls = [], [], []
+                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    given = texts[done + i]
+                    nulls.append(not given.is_valid)
+                    back = decode(path, ids[a:b]).encode() if given.is_valid else None
+                    lossless.append(back is None or back == given.as_buffer().to_pybytes())
+                    digests.append(None if back is None else hashlib.sha256(back).hexdigest())
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(nulls))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, n) for c in keep), lists, pa.array(np.diff(at), pa.int32()), pa.array(lossless), pa.array(digests, pa.string())], [*keep, *names])
+                done += n
+
+    return slim.mapInArrow(run, schema)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
