@@ -105,7 +105,8 @@ def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", pe
     sizes = reps.groupBy("id").agg(F.max("n").alias("n"))
     tiled = stored(simjoin.tiles(found, sizes, "neardup"), "neardup-tiles")
     texts = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    confirmed = simjoin.links(sets_of(texts.join(tiled, "id")), percent, BANDS * ROWS)
+    # a shuffle at every size: what clusters hold grows with the corpus
+    confirmed = simjoin.links(sets_of(texts.join(tiled.hint("merge"), "id")), percent, BANDS * ROWS)
     groups = connected_components(stored(confirmed, "neardup-confirmed"), "neardup-groups")
     labelled = own.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "class_size")
     joined = lookup(some.select("id", "n", "digest"), labelled, "digest", total, "class_size").select("id", "n", "component")
