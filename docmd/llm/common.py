@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,22 +49,56 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, total: int, count: str,
     Keys with more than total / HOT rows are fewer than HOT whatever the data, so they are broadcast;
     the others meet in a shuffle in which no key is large. rows must not hold null keys for `inner`.
     """
-    hot = values.where(F.col(count) > F.lit(max(1, total // HOT))).limit(HOT)
-    cold = values.where(F.col(count) <= F.lit(max(1, total // HOT)))
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
-    cold_rows = marked.where(F.col("_hot").isNull()).drop("_hot")
-    hot_rows = rows.join(F.broadcast(hot), key, "inner")
-    return cold_rows.join(cold, key, how).unionByName(hot_rows)
+    large = F.lit(max(1, total // HOT))
+    marked = rows.join(F.broadcast(values.where(F.col(count) > large).limit(HOT)), key, "left")
+    hot_rows = marked.where(F.col(count).isNotNull())
+    cold_rows = marked.where(F.col(count).isNull()).select(*rows.columns)
+    return cold_rows.join(values.where(F.col(count) <= large), key, how).unionByName(hot_rows)
+
+
+#: Links that a task contracts at once.
+CONTRACT = 1 << 18
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task (u, v), CONTRACT at a time, as stars: each id with the smallest one it reaches by them."""
+
+    def stars(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for u, v in pairs:
+            if (a := find(u)) != (b := find(v)):
+                root[max(a, b)] = min(a, b)
+        out = [(x, top) for x in root if (top := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+
+    held: list[tuple[int, int]] = []
+    for batch in batches:
+        held += zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
+        if len(held) >= CONTRACT:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in edges (src, dst): component is the smallest id that is reachable.
 
     Alternating large-star and small-star contraction: every round is a partial aggregate (the smallest
-    neighbour of each id) and a lookup join, so a hub's neighbours are never gathered. Rounds end when the
-    edges are stars; each round is a written table. No edges: no rows.
+    neighbour of each id) and a lookup join, so a hub's neighbours are never gathered; between them every task
+    contracts the links it has by union-find. Rounds end when the edges are stars; each round is a written
+    table. No edges: no rows.
     """
-    spark = edges.sparkSession
+    kind = "u long, v long"
 
     def minima(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
@@ -82,19 +118,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         )
 
     now = stored(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name
+        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().mapInArrow(_contracted, kind), name
     )
     shape = None
-    while True:
-        total = now.count()
-        if not total:
-            break
-        now = stored(small_star(stored(large_star(now, total), name), total), name)
-        # (rows, sum of the targets) falls strictly until every id points at the root of its star
-        after = now.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        if after == shape:
-            break
+    # the rows, and the sum of their targets, which falls until every id points at the root of its star
+    measure = (F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")))
+    after = now.agg(*measure).first()
+    while after[0] and after != shape:
         shape = after
+        now = stored(small_star(stored(large_star(now, after[0]), name), after[0]).mapInArrow(_contracted, kind).distinct(), name)
+        after = now.agg(*measure).first()
     leaves = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
