@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
 from docmd.llm.common import connected_components, lookup, stored
-from docmd.llm.textvec import Spans, digest_rows, mix, slices
+from docmd.llm.textvec import Spans, digest_rows, slices
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS, GROUPS = 12, 5, 2
@@ -70,23 +71,39 @@ def lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 
 
 def _members(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of the lines, one after another, and the number of each line's."""
+    """Shingle hashes of the lines, one after another, and the number of each line's; lines in order of their starts."""
     sizes = np.where(ends > starts, np.maximum(ends - starts - SHINGLE + 1, 1), 0)
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    begin = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return spans.hashes(begin, np.minimum(begin + SHINGLE, ends[owner])), sizes
+    every = spans.runs(SHINGLE)
+    # where a line's shingles begin: 1 from its start, and back to 0 after its last one
+    inside = np.zeros(len(every) + 2, np.int8)
+    long = ends - starts >= SHINGLE
+    inside[starts[long]] += 1
+    inside[ends[long] - SHINGLE + 1] -= 1
+    keep = np.cumsum(inside[: len(every)], dtype=np.int8).astype(bool)
+    if not (short := np.flatnonzero(~long & (ends > starts))).size:
+        return every[keep], sizes
+    cut = np.cumsum(sizes)
+    out = np.empty(cut[-1] if len(cut) else 0, np.uint64)
+    place = np.ones(len(out), bool)
+    place[cut[short] - 1] = False
+    out[place] = every[keep]
+    out[cut[short] - 1] = spans.hashes(starts[short], ends[short])
+    return out, sizes
 
 
 def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """K minima of each set: GROUPS functions, each with K / GROUPS bins."""
+    """K minima of each set: GROUPS (2) functions, the halves of the hash, each with K / GROUPS bins."""
     bins = K // GROUPS
     out = np.full((len(sizes), K), _EMPTY, np.uint32)
     flat = out.ravel()
     base = np.repeat(np.arange(len(sizes), dtype=np.int64) * K, sizes)
     for g in range(GROUPS):
-        h = mix(members + np.uint64((g + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-        place = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(flat, base + (place + g * bins), h.astype(np.uint32) >> np.uint32(1))
+        half = members >> np.uint64(32) if g else members & np.uint64(0xFFFFFFFF)
+        half *= np.uint64(bins)
+        place = (half >> np.uint64(32)).view(np.int64)
+        place += base
+        place += g * bins
+        np.minimum.at(flat, place, half.astype(np.uint32) >> np.uint32(1))
     grid = out.reshape(len(sizes), GROUPS, bins)
     known = grid != _EMPTY
     filled = grid.copy()
@@ -157,6 +174,8 @@ def candidates(rows: DataFrame, key: str, text: str) -> DataFrame:
                 some = ends > starts
                 spans = Spans(points)
                 node, one = np.unique(spans.hashes(starts[some], ends[some]).view(np.int64), return_index=True)
+                order = np.argsort(one)  # lines in the order of the text
+                node, one = node[order], one[order]
                 members, sizes = _members(spans, starts[some][one], ends[some][one])
                 keys.append(simjoin.band_keys(minima(members, sizes), ROWS).ravel())
                 owners.append(np.repeat(node, BANDS))
@@ -191,6 +210,8 @@ def sets_of(rows: DataFrame) -> DataFrame:
                 flat = mine.flatten()
                 owner = np.repeat(np.arange(end - first), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False))
                 at = begin[owner] + flat.field("line").to_numpy(zero_copy_only=False)
+                order = np.argsort(at, kind="stable")
+                flat, at = flat.take(pa.array(order)), at[order]
                 members, sizes = _members(spans, starts[at], ends[at])
                 cut = np.concatenate([[0], np.cumsum(sizes)])
                 sets = [np.unique(members[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -237,23 +258,23 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone_ = batch.column(text), batch.column("_gone")
-            out, n_lines, n_removed = texts.to_pylist(), [], []
-            for first, end, points, row, starts, ends in lines(texts):
+            n_lines = pa.compute.if_else(pa.compute.equal(pa.compute.binary_length(texts), 0), 0, pa.compute.add(pa.compute.count_substring(texts, "\n"), 1))
+            n_removed = np.zeros(len(texts), np.int64)
+            some = pa.compute.is_valid(gone_)
+            changed, rows_ = texts.filter(some).to_pylist(), np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            wanted = gone_.filter(some).to_pylist()
+            for first, end, points, row, starts, ends in lines(texts.filter(some)):
                 begin = np.searchsorted(row, np.arange(end - first + 1))
-                node = None
+                node = Spans(points).hashes(starts, ends).view(np.int64)
                 for i in range(end - first):
-                    t, g = out[first + i], gone_[first + i]
-                    n_lines.append(t.count("\n") + 1 if t else 0)
-                    drop = set()
-                    if g.is_valid:
-                        node = Spans(points).hashes(starts, ends).view(np.int64) if node is None else node
-                        size = begin[i + 1] - begin[i]
-                        drop = {x["line"] for x in g.as_py() if x["line"] < size and int(node[begin[i] + x["line"]]) == x["node"]}
-                    if drop:
-                        out[first + i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
-                    n_removed.append(len(drop))
-            columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_lines", "n_removed"])
+                    size = begin[i + 1] - begin[i]
+                    drop = {x["line"] for x in wanted[first + i] if x["line"] < size and int(node[begin[i] + x["line"]]) == x["node"]}
+                    if drop and changed[first + i] is not None:
+                        changed[first + i] = "\n".join(x for k, x in enumerate(changed[first + i].split("\n")) if k not in drop)
+                        n_removed[rows_[first + i]] = len(drop)
+            out = pa.compute.replace_with_mask(texts, some, pa.array(changed, pa.string()))
+            columns = [out if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.compute.fill_null(n_lines, 0).cast(pa.int64()), pa.array(n_removed)], [*names, "n_lines", "n_removed"])
 
     return joined.mapInArrow(run, schema)
 

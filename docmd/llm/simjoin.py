@@ -20,6 +20,8 @@ tiles that run anywhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,47 +105,44 @@ def tiles(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     return at.select("id", tile.alias("tiles"))
 
 
-def similar(rows: pa.Table, percent: int, k: int, margin: float = MARGIN) -> pa.Table:
-    """A spanning forest of the links of one tile: rows (i, j, block, id, members, packed)."""
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    rows = rows.sort_by([("block", "ascending"), ("id", "ascending")])
-    ids, blocks = rows["id"].to_numpy(), rows["block"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["members"].combine_chunks()]
-    packed = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in rows["packed"].combine_chunks()])
-    size = np.array([len(s) for s in sets])
+def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: list[np.ndarray], percent: int, k: int, margin: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one tile; its rows are sorted by block. whole: the tile is one block."""
     n = len(ids)
-    split = int(np.searchsorted(blocks, j)) if i != j else 0  # the rows before split are block i
-    a, b = (np.arange(n), np.arange(n)) if i == j else (np.arange(split), np.arange(split, n))
-    close = estimate(packed[a], packed[b], k) >= percent / 100 - margin
+    size = np.array([len(s) for s in sets])
+    if whole and n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if 100 * size.min() >= percent * size.max() else 0
+        return [(int(ids[0]), int(ids[1]))] if 100 * both >= percent * (size.sum() - both) else []
+    split = 0 if whole else int(np.searchsorted(blocks, blocks[-1]))  # the rows before split are the first block
+    a, b = (np.arange(n), np.arange(n)) if whole else (np.arange(split), np.arange(split, n))
+    bits = np.stack(packed)
+    close = estimate(bits[a], bits[b], k) >= percent / 100 - margin
     # sets of similar items have similar sizes
     close &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
-    if i == j:
+    if whole:
         close &= np.arange(n)[:, None] < np.arange(n)[None, :]
-    src, dst = [], []
-    used = np.flatnonzero(np.concatenate([close.any(1), close.any(0)])) if n else []
-    used = np.unique([a[u] if u < len(a) else b[u - len(a)] for u in used]).astype(int)
-    if len(used):
-        common = _common(sets, used)
-        place = np.full(n, -1)
-        place[used] = np.arange(len(used))
-        x, y = np.nonzero(close)
-        x, y = a[x], b[y]
-        both = common[place[x], place[y]]
-        linked = 100 * both >= percent * (size[x] + size[y] - both)
-        root = list(range(n))
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for u, v in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-            if (p := find(u)) != (q := find(v)):
-                root[max(p, q)] = min(p, q)
-                src.append(int(ids[u]))
-                dst.append(int(ids[v]))
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+    x, y = np.nonzero(close)
+    x, y = a[x], b[y]
+    if not len(x):
+        return []
+    if len(x) <= 4:
+        both = np.array([len(np.intersect1d(sets[u], sets[v], assume_unique=True)) for u, v in zip(x, y, strict=True)])
+    else:
+        used = np.unique(np.concatenate([x, y]))
+        both = _common(sets, used)[np.searchsorted(used, x), np.searchsorted(used, y)]
+    linked = 100 * both >= percent * (size[x] + size[y] - both)
+    root, out = list(range(n)), []
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for u, v in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+        if (p := find(u)) != (q := find(v)):
+            root[max(p, q)] = min(p, q)
+            out.append((int(ids[u]), int(ids[v])))
+    return out
 
 
 def _common(sets: list[np.ndarray], used: np.ndarray) -> np.ndarray:
@@ -170,6 +169,46 @@ def _common(sets: list[np.ndarray], used: np.ndarray) -> np.ndarray:
 
 
 def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN) -> DataFrame:
-    """(src, dst): spanning forests of the confirmed links of all tiles; tiled: (id, tiles, members, packed)."""
+    """(src, dst): spanning forests of the confirmed links of all tiles; tiled: (id, tiles, members, packed).
+
+    A task reads its tiles one after another, sorted, and holds one of them at a time.
+    """
     rows = tiled.select("id", F.explode("tiles").alias("t"), "members", "packed").select("t.cluster", "t.i", "t.j", "t.block", "id", "members", "packed")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(lambda t: similar(t, percent, k, margin), "src long, dst long")
+    ordered = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: tuple | None = None
+        ids: list[int] = []
+        blocks: list[int] = []
+        sets: list[np.ndarray] = []
+        packed: list[np.ndarray] = []
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("cluster", "i", "j")], 1)
+            own, block = batch.column("id").to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            members, bits = batch.column("members"), batch.column("packed")
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if a == b:
+                    continue
+                now = tuple(key[a].tolist())
+                if now != tile:
+                    if tile is not None and len(ids) > 1:
+                        out += similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin)
+                    tile, ids, blocks, sets, packed = now, [], [], [], []
+                ids += own[a:b].tolist()
+                blocks += block[a:b].tolist()
+                # copies: a batch's memory goes with it
+                sets += [np.frombuffer(members[r].as_buffer(), np.uint64).copy() for r in range(a, b)]
+                packed += [np.frombuffer(bits[r].as_buffer(), np.uint64).copy() for r in range(a, b)]
+            if out:
+                yield _edges(out)
+                out = []
+        if tile is not None and len(ids) > 1:
+            yield _edges(similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin))
+
+    return ordered.mapInArrow(run, "src long, dst long")
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["src", "dst"])

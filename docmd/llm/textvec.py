@@ -126,3 +126,8 @@ class Spans:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def runs(self, n: int) -> np.ndarray:
+        """The hash of the n code points from every place on."""
+        size = max(0, len(self.sums) - n)
+        return mix((self.sums[n:] - self.sums[:size]) * self.inverse[:size] + np.uint64(n)) if size else np.zeros(0, np.uint64)
