@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
 from docmd.llm.common import connected_components, lookup, stored
-from docmd.llm.textvec import Spans, digest_rows, slices
+from docmd.llm.textvec import LOWER, Spans, digest_rows, slices
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS, GROUPS = 12, 5, 2
@@ -39,16 +39,34 @@ _BLANK = np.zeros(0x3001, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
+def _trimmed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without white space at their ends; an empty one ends where it starts."""
+    is_blank = lambda at: _BLANK[np.minimum(points[at], 0x3000)] & (points[at] <= 0x3000)
+    starts, ends = starts.copy(), ends.copy()
+    for edge, step in ((starts, 1), (ends, -1)):
+        at = np.flatnonzero(starts < ends)
+        for _ in range(64):  # a place at a time, for the few spans that have blanks there
+            at = at[is_blank(edge[at] - (step < 0))] if len(at) else at
+            if not len(at):
+                break
+            edge[at] += step
+            at = at[starts[at] < ends[at]]
+        for i in at:  # long runs of blanks
+            inside = np.flatnonzero(~is_blank(np.arange(starts[i], ends[i])))
+            starts[i], ends[i] = (starts[i] + inside[0], starts[i] + inside[-1] + 1) if len(inside) else (starts[i], starts[i])
+    return starts, ends
+
+
 def lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice: first and end row, code points, and per line its row (from first), trimmed start and end."""
     for first, end, raw, offsets in slices(texts, 2 << 20):
+        raw = LOWER[raw]
         points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) == len(raw):
             at = offsets
         else:
             per_row = [len(raw[a:b].tobytes().decode("utf-8", "surrogateescape")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             at = np.concatenate([[0], np.cumsum(per_row)])
-        points = np.where((points >= 65) & (points < 91), points + 32, points)
         breaks = np.flatnonzero(points == 10)
         starts = np.sort(np.concatenate([at[:-1], breaks + 1]))
         row = np.searchsorted(at, np.concatenate([at[:-1], breaks]), "right") - 1
@@ -59,14 +77,7 @@ def lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
         ends = np.append(starts[1:], len(points))
         last = np.append(row[1:] != row[:-1], True)
         ends = np.where(last, at[row + 1], ends - 1)
-        full = np.flatnonzero(~_BLANK[np.minimum(points, 0x3000)] | (points > 0x3000))
-        a, b = np.searchsorted(full, starts), np.searchsorted(full, ends)
-        some = b > a
-        if len(full):
-            starts = np.where(some, full[np.minimum(a, len(full) - 1)], starts)
-            ends = np.where(some, full[np.maximum(b - 1, 0)] + 1, starts)
-        else:
-            ends = starts
+        starts, ends = _trimmed(points, starts, ends)
         yield first, end, points, row, starts, ends
 
 

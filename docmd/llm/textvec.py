@@ -116,13 +116,28 @@ def digest_rows(sizes: np.ndarray, blob: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
+#: Code points below this have their hash in a table.
+_TABLED = 0x3000
+_POINT = mix(np.arange(_TABLED, dtype=np.uint64) + np.uint64(0x51))
+
+
+def _point_hashes(points: np.ndarray) -> np.ndarray:
+    """A hash of each code point."""
+    out = _POINT[np.minimum(points, _TABLED - 1)]
+    if len(far := np.flatnonzero(points >= _TABLED)):
+        out[far] = mix(points[far].astype(np.uint64) + np.uint64(0x51))
+    return out
+
+
 class Spans:
     """Hashes of any spans of a sequence of code points, from one running sum."""
 
     def __init__(self, points: np.ndarray) -> None:
         self.powers, self.inverse = _powers(len(points) + 1)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mix(points.astype(np.uint64) + np.uint64(0x51)) * self.powers[: len(points)], out=self.sums[1:])
+        values = _point_hashes(points)
+        values *= self.powers[: len(points)]
+        np.cumsum(values, out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))

@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmd.llm.common import lookup, scratch_path, stored
+from docmd.llm.common import lookup, scratch_path, shuffle_partitions, stored
 from docmd.llm.files import place, put
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 8192
 BLOCK, DIRECTORY = 512, 100_000
+READ_BYTES = 64 << 20
 END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAME = "urn:capture:"
@@ -237,7 +238,11 @@ def parse(data: bytes) -> dict:
 
 def read_records(places: DataFrame) -> DataFrame:
     """The records at (file, offset, length)."""
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    known = stored(places, "warc-places")
+    # by the bytes that are read: the places themselves are small, and Spark would put them all in one task
+    size = known.agg(F.sum("length")).first()[0] or 0
+    tasks = max(shuffle_partitions(known.sparkSession), -(-size // READ_BYTES))
+    ordered = known.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     kind = pa.schema([("id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
