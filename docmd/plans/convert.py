@@ -158,10 +158,11 @@ def pdf_pages(documents: DataFrame) -> DataFrame:
     return keyed.select("doc_id", _pdf()("content").alias("r")).persist(StorageLevel.DISK_ONLY)
 
 
-def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive") -> DataFrame:
+def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive", pdf: bool = True) -> DataFrame:
     """documents (name, source_uri, length, content, ...) with markdown, title, author, language and error in place
     of the content. permissive: a document that can't be read has an error; failfast: it ends the query.
 
+    pdf=False leaves the layout analysis out of the plan: PDF files are unsupported then.
     A null content has a null result; a null name is unsupported. Columns of the results' names are replaced.
     """
     if mode not in ("permissive", "failfast"):
@@ -170,6 +171,9 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
     keep = [c for c in documents.columns if c not in (*results, "content")]
     name = F.coalesce("name", F.lit(""))
     marked = documents.withColumns({"_refusal": files.refusal(name, F.col("length"), limit), "_format": files.format_of(name)})
+    if not pdf:
+        refused = F.struct(F.lit("unsupported").alias("kind"), F.lit("PDF files are left out").alias("message"))
+        marked = marked.withColumn("_refusal", F.coalesce("_refusal", F.when(F.col("_format") == "pdf", refused)))
     is_pdf = F.col("_refusal").isNull() & (F.coalesce("_format", F.lit("")) == "pdf")
     # one pass over all other formats: each parser gets the contents of its own and nulls
     own = lambda kind: F.when(F.col("_refusal").isNull() & (F.col("_format") == kind), F.col("content"))
@@ -179,13 +183,14 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
     field = lambda n: F.coalesce(*(F.col(f"_{k}.{n}") for k in ("xlsx", "html", "docx")))
     markdown = F.coalesce("_html.markdown", "_docx.markdown", csv_markdown(F.col("_csv")), sheets_markdown(F.col("_xlsx.sheets")), M.render_txt(files.decode(own("txt"))))
     out = read.select(*keep, markdown.alias("markdown"), *(field(n).alias(n) for n in results[1:4]), F.coalesce("_refusal", field("error")).cast(_ERROR).alias("error"))
-    pdfs = marked.where(is_pdf).withColumn("_id", F.xxhash64("content"))
-    pages = pdf_pages(marked.where(is_pdf))
-    lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(c.split(" ")[0] for c in L.LINES.split(", ")))
-    texts = pages.select(F.col("doc_id").alias("_id"), "r").join(L.to_markdown(lines).withColumnRenamed("doc_id", "_id"), "_id", "left")
-    joined = pdfs.join(texts, "_id", "left")
-    found = F.when(F.col("r.error").isNull() & F.col("r").isNotNull(), F.coalesce("markdown", F.lit("")))
-    out = out.unionByName(joined.select(*keep, found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), F.col("r.error").cast(_ERROR).alias("error")))
+    if pdf:
+        pdfs = marked.where(is_pdf).withColumn("_id", F.xxhash64("content"))
+        pages = pdf_pages(marked.where(is_pdf))
+        lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(c.split(" ")[0] for c in L.LINES.split(", ")))
+        texts = pages.select(F.col("doc_id").alias("_id"), "r").join(L.to_markdown(lines).withColumnRenamed("doc_id", "_id"), "_id", "left")
+        joined = pdfs.join(texts, "_id", "left")
+        found = F.when(F.col("r.error").isNull() & F.col("r").isNotNull(), F.coalesce("markdown", F.lit("")))
+        out = out.unionByName(joined.select(*keep, found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), F.col("r.error").cast(_ERROR).alias("error")))
     if mode == "failfast":
         out = out.withColumn("markdown", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error.message")).cast("string")).otherwise(F.col("markdown")))
     return out

@@ -81,7 +81,7 @@ SELECT c_custkey, '| key | name | the "segment" |' || chr(10) || '| --- | --- |
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     docs = files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url"))
-    return to_markdown(docs).select("page_id", "title", "author", "language")
+    return to_markdown(docs, pdf=False).select("page_id", "title", "author", "language")
 
 
 _HTML = r"""
@@ -94,7 +94,7 @@ SELECT page_id, title, CAST(NULL AS VARCHAR) AS author, language FROM t
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as Markdown: the flagship query."""
     pages = _table(spark, sf_dir, "pages")
-    return to_markdown(files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url"))).select("page_id", "markdown", "title", "language")
+    return to_markdown(files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url")), pdf=False).select("page_id", "markdown", "title", "language")
 
 
 def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
