@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 from docmd.llm.sampling import per_label, remainder
 from docmd.llm.textvec import slices
 
-BITS = 12
+BITS = 14
 DIM = 1 << BITS
 UNDEFINED = "und"
+#: Bytes that training texts are cut to for the floors, and the quantile of their cosines.
+LENGTHS, QUANTILE = (16, 64, 256, 1024, 4096), 0.01
+#: Texts that are a dense matrix at once.
+BLOCK = 128
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[97:123] = _NORMAL[65:91] = np.arange(97, 123, dtype=np.uint8)
 _NORMAL[128:] = np.arange(128, 256, dtype=np.uint8)
@@ -38,7 +42,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each, of length 1
     owner: np.ndarray  # the language of each centroid
-    floor: np.ndarray  # the smallest cosine that each centroid accepts
+    floors: np.ndarray  # the smallest cosine that each language accepts, at each of LENGTHS
 
 
 def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,40 +70,76 @@ def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts with the text nearest to the mean and then the farthest ones."""
+    """Sums of the clusters of spherical k-means; starts with the text nearest to the mean and then far ones.
+
+    A start has a tenth of the texts farther away than itself, and clusters below a fiftieth of the texts are given
+    up, so that outliers are no centroids.
+    """
     chosen = [int(np.argmax(x @ x.mean(0)))]
     for _ in range(min(k, len(x)) - 1):
-        chosen.append(int(np.argmin((x @ x[chosen].T).max(1))))
-    centres = x[chosen]
+        chosen.append(int(np.argsort((x @ x[chosen].T).max(1), kind="stable")[len(x) // 10]))
+    sums = x[chosen]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
-        centres = unit(np.stack([x[own == j].mean(0) if (own == j).any() else centres[j] for j in range(len(centres))]))
-    return centres
+        own = (x @ unit(sums).T).argmax(1)
+        sizes = np.bincount(own, minlength=len(sums))
+        large = np.flatnonzero(sizes >= max(2, len(x) / 50))
+        sums = np.stack([x[own == j].sum(0) for j in (large if len(large) else [int(sizes.argmax())])])
+    return sums
+
+
+def _floors(texts: list[bytes], x: np.ndarray, sums: np.ndarray, idf: np.ndarray, factor: float) -> np.ndarray:
+    """The floor at each of LENGTHS; where fewer than a quarter of the texts are as long, that of the length before."""
+    centres, own = unit(sums), (x @ unit(sums).T).argmax(1)
+    rest = np.sqrt(np.maximum((sums[own] ** 2).sum(1) - 2 * (sums[own] * x).sum(1) + 1, 0))
+    out = np.zeros(len(LENGTHS))
+    for n, length in enumerate(LENGTHS):
+        found, long = [], [i for i, t in enumerate(texts) if len(t) >= length or not n]
+        if 4 * len(long) < len(texts):
+            out[n] = out[n - 1]
+            continue
+        for a in range(0, len(long), BLOCK):
+            rows = np.array(long[a : a + BLOCK])
+            cut = [texts[i][:length] for i in rows]
+            p = weighted(counts(np.frombuffer(b"".join(cut), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in cut])])), idf)
+            sims, at = p @ centres.T, np.arange(len(rows))
+            others = (p * (sums[own[rows]] - x[rows])).sum(1)
+            sims[at, own[rows]] = np.where(rest[rows] > 1e-3, others / np.maximum(rest[rows], 1e-3), 0)
+            found.append(sims.max(1))
+        out[n] = factor * np.quantile(np.concatenate(found), QUANTILE)
+    return out
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 400, centroids: int = 4, reject_factor: float = 0.25) -> Model:
+def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 400, centroids: int = 4, reject_factor: float = 0.8) -> Model:
     """A model of at most per_language texts of each non-null label."""
     labelled = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
     ids = per_label(labelled.select("k", "l"), "l", "k", per_language)
     # the chosen ids are at most per_language for each language
     sample = labelled.join(F.broadcast(ids.select("k").distinct()), "k", "left_semi").select("l", "t").toArrow()
     kinds = np.array(sample["l"].to_pylist(), dtype=object)
-    parts = [counts(raw, offsets) for _, _, raw, offsets in slices(sample["t"])]
-    x = np.concatenate(parts) if parts else np.zeros((0, DIM), np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = weighted(x, idf)
+    texts = [t.encode() for t in sample["t"].to_pylist()]
+    x = np.zeros((len(texts), DIM), np.float32)
+    for a in range(0, len(texts), BLOCK):
+        some = texts[a : a + BLOCK]
+        x[a : a + BLOCK] = counts(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(1)
+    for a in range(0, len(texts), BLOCK):
+        x[a : a + BLOCK] = weighted(x[a : a + BLOCK], idf)
     languages = sorted(set(kinds))
-    rows_, owner, floor = [], [], []
+    rows_, owner, floors = [], [], []
     for j, language in enumerate(languages):
-        mine = x[kinds == language]
-        centres = clusters(mine, centroids)
-        cos = mine @ centres.T
-        best = cos.argmax(1)
-        for c in range(len(centres)):
-            rows_.append(centres[c])
-            owner.append(j)
-            floor.append(reject_factor * float(cos[best == c, c].min()) if (best == c).any() else 0.0)
-    return Model(languages, idf, np.array(rows_, np.float32).reshape(-1, DIM), np.array(owner, int), np.array(floor, np.float32))
+        own = np.flatnonzero(kinds == language)
+        mine = x[own]
+        sums = clusters(mine, centroids)
+        rows_ += list(unit(sums))
+        owner += [j] * len(sums)
+        floors.append(_floors([texts[i] for i in own], mine, sums, idf, reject_factor))
+    return Model(languages, idf, np.array(rows_, np.float32).reshape(-1, DIM), np.array(owner, int), np.array(floors).reshape(-1, len(LENGTHS)))
+
+
+def floor(model: Model, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The smallest accepted cosine of texts of these languages and bytes."""
+    at = np.log2(np.clip(sizes, LENGTHS[0], LENGTHS[-1]))
+    return np.stack([np.interp(at, np.log2(LENGTHS), f) for f in model.floors])[owner, np.arange(len(at))]
 
 
 def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -114,19 +154,19 @@ def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.n
         letters = near[offsets[1:]] > near[offsets[:-1]]
         for i in np.flatnonzero(~letters & (offsets[1:] > offsets[:-1])):
             letters[i] = any(map(str.isalpha, texts[first + int(i)].as_py() or ""))
-        for a in range(0, end - first, 512):
-            n = min(512, end - first - a)
+        for a in range(0, end - first, BLOCK):
+            n = min(BLOCK, end - first - a)
+            sub = offsets[a : a + n + 1]
             if not model.languages:
                 best, cos = np.zeros(n, int), np.zeros(n)
             else:
-                sub = offsets[a : a + n + 1]
                 sims = weighted(counts(raw[sub[0] : sub[-1]], sub - sub[0]), model.idf) @ model.centroids.T
                 best = sims.argmax(1)
                 cos = np.clip(sims[np.arange(n), best], 0, 1).astype(float)
             ok = letters[a : a + n] & bool(model.languages)
             names += [model.languages[model.owner[b]] if y else UNDEFINED for b, y in zip(best, ok, strict=True)]
             scores.append(np.where(ok, cos, 0.0))
-            rejected.append(~ok | (cos < model.floor[best] if model.languages else True))
+            rejected.append(~ok | (cos < floor(model, model.owner[best], np.diff(sub)) if model.languages else True))
     join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     return names, join(scores, float), join(rejected, bool)
 
