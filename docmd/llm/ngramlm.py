@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays that workers
+"""Interpolated modified Kneser-Ney model of any order from 2, counted in Spark, stored as sorted hash arrays that workers
 map into memory.
 
 Tokens are words (runs of anything but space, tab, LF, VT, FF, CR; ASCII lower-cased) and then one end; the
@@ -6,16 +6,21 @@ first word's context is a begin mark, which is no token. The steps:
 
 1. Word counts: every task counts the hashes of its words, and sends them as sorted arrays by range of hash; a
    task for each range adds them up and writes one file: hashes, counts. A word's id is its place in all ranges.
-2. Pair counts: the same with (context id, word id), mixed so that a frequent word's pairs spread over all
-   ranges. The files hold the mixed pairs, sorted, and their counts.
-3. For every id: as a context the sum of its pairs' counts and how many of them count 1, 2, 3 or more; as a
-   word its distinct contexts. Sent as sums by range of id, one file for each range.
-4. Discounts of both orders from counts of counts (a few sums).
-5. Scoring: each slice's distinct words and pairs are looked up in the mapped files by binary search.
-
-P(w | h) = (max(c(hw) - D, 0) + g(h) Q(w)) / c(h), g(h) the discounts taken in h; Q(w) is the same with
-the numbers of distinct contexts as counts and 1 / (V + 1) for every word and the unknown one below it. A context
-without pairs leaves Q(w). The words' 64-bit hashes stand for the words; pairs of ids are exact.
+2. For k = 2 to the order, counts of k-grams: the same with (place of the context, place of the suffix), the
+   (k-1)-grams without the last and without the first word, mixed so that a frequent gram's longer ones spread
+   over all ranges. The files hold the mixed pairs of places, sorted, and their counts; a k-gram's place is its
+   place in all ranges. A place must fit 32 bits; more grams of one length raise an error.
+3. From the order down, for every place one below: as a context the sum of the counts of its longer grams and
+   how many of them count 1, 2, 3 or more; as a suffix its distinct contexts, which are its count from then on.
+   Grams that start with the begin mark have nothing before them and keep their own count. Sent as sums by range
+   of places, one file for each range.
+4. Discounts of all orders from counts of counts (a few sums).
+5. Scoring: each slice's distinct words and grams are looked up in the mapped files by binary search.
+
+P(w | h) = (max(c(hw) - D, 0) + g(h) P(w | h')) / c(h), g(h) the discounts taken in h, and h' being h without its
+first word; below the pairs is Q(w), the same with 1 / (V + 1) for every word and the unknown one below it. A context
+without longer grams leaves P(w | h'). A text's first words have as much context as there is from the begin mark on.
+The words' 64-bit hashes stand for the words; grams of places are exact.
 
 The files lie in the shared folder; where that is no mounted path, workers read them into memory instead of
 mapping them. Every range's task writes under a name of its own and moves the file into place, so a repeated
@@ -24,6 +29,7 @@ task changes nothing. Null texts are empty: one end. Without training rows every
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,6 +48,8 @@ from docmd.llm.textvec import LOWER, NOT_SPACE, mix, slices, word_hashes, word_s
 END = np.uint64(0x5D588B656C078965)
 FLUSH = 1 << 22
 UNKNOWN = np.int64(-1)
+#: The order of the query's model.
+ORDER = 3
 _FOUR = 4
 
 
@@ -175,11 +183,10 @@ def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class Model:
     words: Ranges  # hash, count
-    ids: Ranges  # by id: sum of the counts of its pairs, those of 1, 2, 3 and more; its distinct contexts
-    pairs: Ranges  # mixed (context, word), count
+    grams: list[Ranges]  # of 2 words and more: mixed (place of the context, place of the suffix), count
+    stats: list[Ranges]  # of 1 word and more, by place: sum of the counts of its longer grams, those of 1, 2, 3 and more; its own count
     total: int  # training tokens
-    pair_discounts: np.ndarray  # by count, 0 to 3
-    word_discounts: np.ndarray
+    discounts: list[np.ndarray]  # of 1 word and more, by count, 0 to 3
     contexts: int  # distinct pairs
     left: float  # the share of the words' distribution that is spread evenly
 
@@ -194,20 +201,45 @@ class Model:
         return found[where], self.words.take(1, found)[where] if len(one) else np.zeros(0, np.int64)
 
 
-def pair_keys(ids: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The mixed pair of each token and its context's id; -1 where the context is unknown. The begin mark's id is size."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[offsets[:-1]] = size
-    return mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) & np.uint64(0xFFFFFFFF)), before
-
-
-def discounts(n: list[int]) -> np.ndarray:
-    """Modified Kneser-Ney discounts from the numbers of entries that count 1, 2, 3, 4; 0.5 where one of them is missing."""
+def gram_keys(places: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The mixed key of the gram of each two places."""
+    return mix(before.astype(np.uint64) << np.uint64(32) | places.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+
+
+def preceding(places: np.ndarray, offsets: np.ndarray, first: int) -> np.ndarray:
+    """The place before each one in its text; first before a text's first one."""
+    before = np.empty_like(places)
+    before[1:] = places[:-1]
+    before[offsets[:-1]] = first
+    return before
+
+
+def climb(model: Model, ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For grams of 2 words and more up to one longer than the model's: the place of the context and of the suffix at each
+    token (-1: not in the model), and which tokens have that many words since the begin mark."""
+    places, inside = ids, np.ones(len(ids), bool)
+    for k in range(len(model.grams) + 1):
+        before = preceding(places, offsets, UNKNOWN if k else model.size)
+        if k:
+            at = offsets[:-1] + k - 1
+            inside = inside.copy()
+            inside[at[at < offsets[1:]]] = False
+        yield before, places, inside
+        if k < len(model.grams):
+            known = np.flatnonzero((before >= 0) & (places >= 0) & inside)
+            one, back = np.unique(gram_keys(places[known], before[known]), return_inverse=True)
+            places = np.full(len(ids), UNKNOWN)
+            places[known] = model.grams[k].find(one)[back]
+
+
+def discounts(n: list[int], positive: bool = False) -> np.ndarray:
+    """Modified Kneser-Ney discounts from the numbers of entries that count 1, 2, 3, 4; 0.5 where one of them is missing;
+    positive: also where a discount is not above 0, so that every context leaves something to unseen words."""
     if min(n) <= 0:
         return np.array([0, 0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0, *(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0, k) for k in (1, 2, 3))])
+    found = [min(k - (k + 1) * y * n[k] / n[k - 1], k) for k in (1, 2, 3)]
+    return np.array([0, *(d if d > 0 else 0.5 if positive else 0 for d in found)])
 
 
 def _unmixed(keys: np.ndarray) -> np.ndarray:
@@ -230,8 +262,58 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, _FOUR + 1), minlength=_FOUR + 2)[1 : _FOUR + 1].tolist()
 
 
-def fit(rows: DataFrame, text: str = "text") -> Model:
-    """A model of the texts of all rows."""
+def _planes(fields: list[np.ndarray]) -> bytes:
+    """Arrays of equal length, a byte of all entries after another, which compresses well."""
+    kind = np.uint32 if all(f.max(initial=0) < 1 << 32 for f in fields) else np.uint64
+    return b"".join(np.ascontiguousarray(f.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes() for f in fields)
+
+
+def _fields(blob: pa.Buffer, n: int, fields: int) -> list[np.ndarray]:
+    raw = np.frombuffer(blob, np.uint8)
+    width = len(raw) // (fields * n)
+    return [np.ascontiguousarray(x.T).view(f"u{width}").ravel().astype(np.int64) for x in raw.reshape(fields, width, n)]
+
+
+_SUMS = "part int, own int, n_contexts long, contexts binary, n_suffixes long, suffixes binary, n long, ns array<long>, more long"
+
+
+def _sums(part: int, context: np.ndarray, suffix: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> pa.Table:
+    """What grams of these places and counts add to the grams one shorter, by range (the starts); one row at least."""
+    values = np.stack([counts, counts == 1, counts == 2, counts >= 3], 1).astype(np.int64)
+    sides = [summed(context, values), summed(suffix, np.ones((len(suffix), 1), np.int64))]
+    cuts = [np.searchsorted(ids, starts) for ids, _ in sides]
+    some = [i for i in range(len(starts) - 1) if any(at[i + 1] > at[i] for at in cuts)] or [0]
+    blobs = [[_planes([np.diff(ids[at[i] : at[i + 1]], prepend=starts[i]), *sums[at[i] : at[i + 1]].T]) for i in some] for (ids, sums), at in zip(sides, cuts, strict=True)]
+    sizes = [[int(at[i + 1] - at[i]) for i in some] for at in cuts]
+    n = len(some)
+    return pa.table({
+        "part": pa.array([part] * n, pa.int32()), "own": pa.array(some, pa.int32()), "n_contexts": pa.array(sizes[0], pa.int64()), "contexts": pa.array(blobs[0], pa.binary()),
+        "n_suffixes": pa.array(sizes[1], pa.int64()), "suffixes": pa.array(blobs[1], pa.binary()), "n": pa.array([len(counts)] * n, pa.int64()),
+        "ns": pa.array([_of_counts(counts)] * n, pa.list_(pa.int64())), "more": pa.array([int((counts > 2).sum())] * n, pa.int64()),
+    })
+
+
+def _added(table: pa.Table, low: int, size: int) -> np.ndarray:
+    """(size, 5) of what the rows of _sums add to the places from low on."""
+    dense = np.zeros((size, 5), np.int64)
+    for r in range(len(table)):
+        for name, fields, columns in (("contexts", 5, slice(0, 4)), ("suffixes", 2, slice(4, 5))):
+            if n := table[f"n_{name}"][r].as_py():
+                at, *values = _fields(table[name][r].as_buffer(), n, fields)
+                dense[np.cumsum(at), columns] += np.stack(values, 1)
+    return dense
+
+
+def _released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fit(rows: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """A model of the texts of all rows, of grams of up to `order` words."""
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
     spark = rows.sparkSession
     texts = rows.select(F.col(text).alias("t"))
     ranges = 2 * max(4, texts.rdd.getNumPartitions())
@@ -240,78 +322,111 @@ def fit(rows: DataFrame, text: str = "text") -> Model:
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _counted((h for b in batches for h, _ in tokens(b.column("t"))), ranges)
 
-    def write_words(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        keys, counts = _collect(table)
-        write_arrays(f"{path}/words/{part:06d}", [keys, counts])
-        return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "ns": pa.array([_of_counts(counts)], pa.list_(pa.int64()))})
+    def writer(name: str, kind: str):
+        def write(table: pa.Table) -> pa.Table:
+            part = table["part"][0].as_py()
+            keys, counts = _collect(table)
+            write_arrays(f"{path}/{name}/{part:06d}", [keys, counts.astype(kind)])
+            return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
+
+        return write
 
-    sent, sizes = "part int, keys binary, counts binary", "part int, n long, total long, ns array<long>"
-    done = texts.mapInArrow(count_words, sent).groupBy("part").applyInArrow(write_words, sizes).collect()  # a row for each range
+    sent, sizes = "part int, keys binary, counts binary", "part int, n long, total long"
+    done = texts.mapInArrow(count_words, sent).groupBy("part").applyInArrow(writer("words", "int64"), sizes).collect()  # a row for each range
     words = Ranges(f"{path}/words", ("uint64", "int64"), [0] * ranges)
     for r in done:
         words.sizes[r.part] = r.n
     total = sum(r.total for r in done)
-    first = Model(words, words, words, total, np.zeros(4), np.zeros(4), 0, 1.0)
-    size, wide = first.size, 2 * ranges
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted((pair_keys(first.look_up(h)[0], at, size)[0] for b in batches for h, at in tokens(b.column("t"))), wide)
-
-    starts = words.starts
-
-    def write_pairs(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        keys, counts = _collect(table)
-        write_arrays(f"{path}/pairs/{part:06d}", [keys, counts])
-        both = _unmixed(keys)
-        context, word = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        values = np.zeros((2 * len(keys), 5), np.int64)
-        values[: len(keys), 0] = counts
-        for k in (1, 2, 3):
-            values[: len(keys), k] = counts == k if k < 3 else counts >= 3
-        values[len(keys) :, 4] = 1
-        ids, sums = summed(np.concatenate([context, word]), values)
-        at = np.searchsorted(ids, [*starts[:-1], size, size + 1])  # the begin mark has a range of its own
-        some = [i for i in range(len(at) - 1) if at[i + 1] > at[i]]
-        n = len(some)
-        return pa.table({
-            "part": pa.array([part] * n, pa.int32()), "own": pa.array(some, pa.int32()), "ids": pa.array([ids[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
-            "sums": pa.array([sums[at[i] : at[i + 1]].astype(np.int32 if sums.max(initial=0) < 1 << 31 else np.int64).tobytes() for i in some], pa.binary()),
-            "n": [len(keys)] * n, "ns": pa.array([_of_counts(counts)] * n, pa.list_(pa.int64())),
-        })
-
-    def write_ids(table: pa.Table) -> pa.Table:
+    wide, count = 2 * ranges, "uint32" if total < 1 << 32 else "int64"
+    model = Model(words, [], [], total, [], 0, 1.0)
+
+    def counter(known: Model):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def keys() -> Iterator[np.ndarray]:
+                for b in batches:
+                    for h, at in tokens(b.column("t")):
+                        *_, (before, places, inside) = climb(known, known.look_up(h)[0], at)
+                        yield gram_keys(places[inside], before[inside])
+
+            yield from _counted(keys(), wide)
+
+        return run
+
+    def bounds(level: Ranges, begin: int | None) -> np.ndarray:
+        # the begin mark has a range of its own
+        return np.append(level.starts, begin + 1) if begin is not None else level.starts
+
+    def top(starts: np.ndarray):
+        def write(table: pa.Table) -> pa.Table:
+            part = table["part"][0].as_py()
+            keys, counts = _collect(table)
+            write_arrays(f"{path}/{order}/{part:06d}", [keys, counts.astype(count)])
+            both = _unmixed(keys)
+            return _sums(part, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, starts)
+
+        return write
+
+    def middle(level: Ranges, k: int, starts: np.ndarray):
+        def write(table: pa.Table) -> pa.Table:
+            part = table["own"][0].as_py()
+            dense = _added(table, 0, level.sizes[part])
+            keys, counts = level.shard(part) if level.sizes[part] else (np.zeros(0, np.uint64), np.zeros(0, count))
+            dense[:, 4] = np.where(dense[:, 4] > 0, dense[:, 4], counts)
+            write_arrays(f"{path}/stats{k}/{part:06d}", [dense[:, j].astype(count) for j in range(5)])
+            both = _unmixed(keys)
+            return _sums(part, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), dense[:, 4], starts)
+
+        return write
+
+    def low(table: pa.Table) -> pa.Table:
         part = table["own"][0].as_py()
-        ids = [np.frombuffer(x.as_buffer(), np.int64) for c in table["ids"].chunks for x in c]
-        sums = [x.as_buffer() for c in table["sums"].chunks for x in c]
-        sums = [np.frombuffer(s, np.int32 if len(s) == 20 * len(i) else np.int64).reshape(-1, 5).astype(np.int64) for i, s in zip(ids, sums, strict=True)]
-        keys, total_ = summed(np.concatenate(ids), np.concatenate(sums))
-        low = int(starts[part])
-        dense = np.zeros((1 if part == ranges else words.sizes[part], 5), np.int64)
-        dense[keys - low] = total_
-        write_arrays(f"{path}/ids/{part:06d}", [dense[:, k] for k in range(5)])
-        return pa.table({"part": pa.array([part], pa.int32()), "n": [int(dense[:, 4].sum())], "total": [len(dense)], "ns": pa.array([_of_counts(dense[dense[:, 4] > 0, 4]) + [int((dense[:, 4] > 2).sum())]], pa.list_(pa.int64()))})
-
-    made = texts.mapInArrow(count_pairs, sent).groupBy("part").applyInArrow(write_pairs, "part int, own int, ids binary, sums binary, n long, ns array<long>")
-    held = scratch_path(spark, "ngram-sums")
-    made.write.parquet(held)
-    made = spark.read.parquet(held)
-    pairs, ns = Ranges(f"{path}/pairs", ("uint64", "int64"), [0] * wide), np.zeros(_FOUR, int)
-    for r in made.select("part", "n", "ns").distinct().collect():  # a row for each range
-        pairs.sizes[r.part] = r.n
-        ns += r.ns
-    ids, wns, many = Ranges(f"{path}/ids", ("int64",) * 5, [*words.sizes, 1]), np.zeros(_FOUR, int), 0
+        dense = _added(table, 0, 1 if part == ranges else words.sizes[part])
+        write_arrays(f"{path}/stats1/{part:06d}", [dense[:, j] for j in range(5)])
+        own = dense[dense[:, 4] > 0, 4]
+        return pa.table({"ns": pa.array([_of_counts(own)], pa.list_(pa.int64())), "more": [int((own > 2).sum())]})
+
+    for k in range(2, order + 1):
+        shuffled = texts.mapInArrow(counter(model), sent).groupBy("part")
+        level = Ranges(f"{path}/{k}", ("uint64", count), [0] * wide)
+        if k < order:
+            for r in shuffled.applyInArrow(writer(str(k), count), sizes).collect():
+                level.sizes[r.part] = r.n
+            _released(spark)
+            if sum(level.sizes) >= 1 << 32:
+                raise ValueError(f"more than 2^32 grams of {k} words")
+            model = Model(words, [*model.grams, level], [], total, [], 0, 1.0)
+    below = model.grams[-1] if model.grams else words
+    made = shuffled.applyInArrow(top(bounds(below, None if model.grams else model.size)), _SUMS)
+    cuts = [np.zeros(4)] * order
+    stats: list[Ranges] = []
+    for k in range(order, 1, -1):  # the grams of k words, and what they add to those of k - 1
+        held = scratch_path(spark, "ngram-sums")
+        made.write.parquet(held)
+        _released(spark)
+        made, ns = spark.read.parquet(held), np.zeros(_FOUR, int)
+        for r in made.select("part", "n", "ns").distinct().collect():  # a row for each range
+            if k == order:
+                level.sizes[r.part] = r.n
+            ns += r.ns
+        cuts[k - 1] = discounts(ns.tolist(), order > 2)
+        if k > 2:
+            own = model.grams[k - 3]
+            stats.insert(0, Ranges(f"{path}/stats{k - 1}", (count,) * 5, own.sizes))
+            lower = model.grams[k - 4] if k > 3 else words
+            # every range has a row, also one of which no gram has a longer one
+            each = [(-1, i, 0, b"", 0, b"", 0, [0] * _FOUR, 0) for i, n in enumerate(own.sizes) if n]
+            made = made.unionByName(spark.createDataFrame(each, _SUMS)).groupBy("own").applyInArrow(middle(own, k - 1, bounds(lower, None if k > 3 else model.size)), _SUMS)
+    wns, many = np.zeros(_FOUR, int), 0
     # an id without a pair does not exist: every word is a word or an end after some context
-    for r in made.groupBy("own").applyInArrow(write_ids, sizes).collect():
-        wns += r.ns[:_FOUR]
-        many += r.ns[_FOUR]
-    contexts = sum(pairs.sizes)
-    low = discounts(wns.tolist())
-    left = float(low[1] * wns[0] + low[2] * wns[1] + low[3] * many) / contexts if contexts else 1.0
-    if not contexts:
-        ids = Ranges(ids.path, ids.kinds, [0] * (ranges + 1))
-    return Model(words, ids, pairs, total, discounts(ns.tolist()), low, contexts, left)
+    for r in made.where("n > 0").groupBy("own").applyInArrow(low, "ns array<long>, more long").collect():
+        wns += r.ns
+        many += r.more
+    grams = [*model.grams, level]
+    contexts = sum(grams[0].sizes)
+    cuts[0] = discounts(wns.tolist(), order > 2)
+    left = float(cuts[0][1] * wns[0] + cuts[0][2] * wns[1] + cuts[0][3] * many) / contexts if contexts else 1.0
+    ids = Ranges(f"{path}/stats1", ("int64",) * 5, [*words.sizes, 1] if contexts else [0] * (ranges + 1))
+    return Model(words, grams, [ids, *stats], total, cuts, contexts, left)
 
 
 def score(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -321,22 +436,23 @@ def score(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarra
         ids, counts = model.look_up(hashes)
         base = np.log10((counts + 1) / (model.total + size + 1))
         one, where = np.unique(ids, return_inverse=True)
-        fields = [model.ids.take(k, one) for k in range(5)]
-        seen = fields[4]
-        lower = np.maximum(seen - model.word_discounts[np.minimum(seen, 3)], 0) / max(model.contexts, 1) + model.left * even
-        keys, before = pair_keys(ids, at, size)
-        unique, back = np.unique(keys, return_inverse=True)
-        places = model.pairs.find(unique)
-        c = model.pairs.take(1, places)[back]
-        c[(ids < 0) | (before < 0)] = 0
-        d = model.pair_discounts
-        contexts, which = np.unique(before, return_inverse=True)
-        there = np.where(contexts == size, int(model.ids.starts[-2]), contexts)
-        sums, *n = (model.ids.take(k, there)[which] for k in range(4))
-        q = lower[where]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) * q) / sums
-        p = np.where(sums > 0, p, q)
+        seen = model.stats[0].take(4, one)
+        p = (np.maximum(seen - model.discounts[0][np.minimum(seen, 3)], 0) / max(model.contexts, 1) + model.left * even)[where]
+        steps = climb(model, ids, at)
+        before, _, inside = next(steps)
+        for k in range(len(model.grams)):
+            following = next(steps)
+            # the grams' own counts: as they were counted for the longest ones
+            places, back = np.unique(following[1], return_inverse=True)
+            c = (model.stats[k + 1].take(4, places) if k + 1 < len(model.stats) else model.grams[k].take(1, places)).astype(np.int64)[back]
+            d = model.discounts[k + 1]
+            contexts, which = np.unique(before, return_inverse=True)
+            there = contexts if k else np.where(contexts == size, int(model.stats[0].starts[-2]), contexts)
+            sums, *n = (model.stats[k].take(j, there).astype(np.int64)[which] for j in range(4))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                longer = (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) * p) / sums
+            p = np.where(inside & (sums > 0), longer, p)
+            before, _, inside = following
         starts = at[:-1]
         yield np.diff(at), np.add.reduceat(counts > 0, starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
@@ -362,5 +478,5 @@ def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = fit(documents.where(~F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))))
+    model = fit(documents.where(~F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))), order=ORDER)
     return predict(documents, model).select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,9 +1,14 @@
 """What a review found the operators to do less than whole."""
 
 import base64
+import collections
+import math
 import random
 
-from docmd.llm import langid
+import pytest
+
+from docmd.llm import langid, ngramlm
+from tests.llm import brute
 
 
 def test_langid_rejects_long_texts_of_no_language(spark):
@@ -23,3 +28,54 @@ def test_langid_rejects_long_texts_of_no_language(spark):
     got = {x.doc_id: x.rejected for x in langid.predict(docs, model).collect()}
     assert all(got[5000 + i] for i in range(len(odd)))
     assert sum(got[i] for i in range(200, 300)) <= 2
+
+
+def kneser_ney(train, order):
+    """The probability of a word after a tuple of words, by the definition, for any order."""
+    grams = [collections.Counter() for _ in range(order + 1)]  # by length; a gram may start with the begin mark
+    for t in train:
+        t = ["<s>", *t]
+        for k in range(1, order + 1):
+            grams[k].update(tuple(t[i : i + k]) for i in range(len(t) - k + 1) if k > 1 or i)
+    for k in range(order - 1, 0, -1):
+        before = collections.Counter(g[1:] for g in grams[k + 1])
+        grams[k] = {g: before[g] or c for g, c in grams[k].items()}
+
+    def discounts(values):
+        n = [sum(v == j for v in values) for j in (1, 2, 3, 4)]
+        if min(n) == 0:
+            return [0, 0.5, 0.5, 0.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        found = [min(j - (j + 1) * y * n[j] / n[j - 1], j) for j in (1, 2, 3)]
+        return [0, *(x if x > 0 else 0.5 if order > 2 else 0 for x in found)]
+
+    d = [None, *(discounts(list(g.values())) for g in grams[1:])]
+    total, mass = collections.Counter(), collections.Counter()
+    for k in range(1, order + 1):
+        for g, c in grams[k].items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[k][min(c, 3)]
+
+    def p(h, w):
+        lower = p(h[1:], w) if h else 1 / (len(grams[1]) + 1)
+        c, k = grams[len(h) + 1].get((*h, w), 0), len(h) + 1
+        return (max(c - d[k][min(c, 3)], 0) + mass[h] * lower) / total[h] if total[h] else lower
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_counts_all_orders(spark, documents, rows, order):
+    train = [brute.words(x[1]) + ["</s>"] for x in rows]
+    p, model = kneser_ney(train, order), ngramlm.fit(documents, order=order)
+    other = spark.createDataFrame([(900 + i, t) for i, t in enumerate([*(f"{rows[i][1][:90]} unseen {rows[i][1][-60:]}" for i in range(5)), "", "never heard"])], "doc_id long, text string")
+    for x in ngramlm.predict(documents.select("doc_id", "text").unionByName(other), model, keep=("doc_id", "text")).collect():
+        t = ["<s>", *brute.words(x.text), "</s>"]
+        assert x.score == pytest.approx(sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t))), rel=1e-9)
+    blank = ngramlm.fit(documents.where("text = ''"), order=order)  # one end and nothing longer
+    assert all(math.isfinite(x.score) for x in ngramlm.predict(documents, blank).collect())
+    assert {x.score for x in ngramlm.predict(documents, ngramlm.fit(documents.where("false"), order=order)).collect()} == {0.0}
+
+
+def test_lm_query_uses_trigrams():
+    assert ngramlm.ORDER >= 3
