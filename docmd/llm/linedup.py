@@ -4,7 +4,8 @@ Lines are the parts of a text between line feeds, compared ASCII lower-cased and
 ends. A line's set holds its distinct runs of SHINGLE characters (a shorter line is its own only member). Minima
 of the set, by one hash in bins with the empty bins filled from the next, make BANDS bands of ROWS; lines that
 share a band are candidates; tiles of candidates confirm a Jaccard similarity of at least PERCENT / 100 on the
-full sets (`simjoin`); components of confirmed links, by repeated star contraction, are the groups. Of a group the
+full sets (`simjoin`; sets of at most SMALL members without an estimate before). A pair at the threshold shares a
+band with probability 1 - (1 - 0.8^5)^20 = 0.9996; components of confirmed links, by repeated star contraction, are the groups. Of a group the
 line with the smallest (doc_id, line number) stays, in documents as they are.
 
 Equal lines are one node, a 64-bit hash of the line, so copies are never compared. Every task first links the
@@ -30,9 +31,11 @@ from docmd.llm.common import connected_components, lookup, stored
 from docmd.llm.textvec import LOWER, Spans, digest_rows, slices
 
 SHINGLE, PERCENT = 8, 80
-BANDS, ROWS, GROUPS = 12, 5, 2
+BANDS, ROWS, GROUPS = 20, 5, 2
 K = BANDS * ROWS
 MARGIN = 0.3
+#: Few members make estimates too rough for the margin.
+SMALL = 64
 FLUSH = 1 << 22
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BLANK = np.zeros(0x3001, bool)
@@ -249,7 +252,7 @@ def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
     wanted = wanted.agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("id").alias("node"), "tiles")).alias("wanted"))
     # of rows that share a doc_id, the one with the smallest text stands for the line numbers
     texts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-    confirmed = simjoin.links(sets_of(texts.join(wanted.hint("merge"), "doc").select("t", "wanted")), PERCENT, K, MARGIN)
+    confirmed = simjoin.links(sets_of(texts.join(wanted.hint("merge"), "doc").select("t", "wanted")), PERCENT, K, MARGIN, SMALL)
     groups = connected_components(stored(confirmed, "line-links"), "line-groups")
     labelled = each.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     keepers = labelled.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1")

@@ -8,13 +8,13 @@ The items' sets are hashed (64 bits a member). The steps, shared by documents an
    item and band, never all pairs of a key. Components of these links are clusters of candidates.
 3. A cluster is cut into blocks of bounded items and bounded members; every pair of blocks is a tile, which is
    one task's work and bounded in memory whatever the size of the cluster. In a tile, packed b-bit signatures
-   are compared by counting bits; the pairs whose corrected estimate is within a margin of the threshold are
-   confirmed on the full sets; the tile returns a spanning forest of the confirmed links, fewer links than
+   are compared by counting bits; the pairs whose corrected estimate is within a margin of the threshold, and
+   those of two sets that are small, are confirmed on the full sets; the tile returns a spanning forest of the confirmed links, fewer links than
    items.
 4. Components of the confirmed links.
 
-The links found are those of all pairs that share a band key; with the bands used here a pair at the threshold
-shares one with a probability of over 0.999. A cluster of m items costs m * m / BLOCK copies of its sets, in
+The links found are those of all pairs that share a band key; the callers state with which
+probability a pair at the threshold shares one. A cluster of m items costs m * m / BLOCK copies of its sets, in
 tiles that run anywhere.
 """
 
@@ -105,7 +105,7 @@ def tiles(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     return at.select("id", tile.alias("tiles"))
 
 
-def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: list[np.ndarray], percent: int, k: int, margin: float) -> list[tuple[int, int]]:
+def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: list[np.ndarray], percent: int, k: int, margin: float, small: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the links of one tile; its rows are sorted by block. whole: the tile is one block."""
     n = len(ids)
     size = np.array([len(s) for s in sets])
@@ -116,6 +116,7 @@ def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndar
     a, b = (np.arange(n), np.arange(n)) if whole else (np.arange(split), np.arange(split, n))
     bits = np.stack(packed)
     close = estimate(bits[a], bits[b], k) >= percent / 100 - margin
+    close |= (size[a] <= small)[:, None] & (size[b] <= small)[None, :]
     # sets of similar items have similar sizes
     close &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
     if whole:
@@ -168,7 +169,7 @@ def _common(sets: list[np.ndarray], used: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN) -> DataFrame:
+def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN, small: int = 0) -> DataFrame:
     """(src, dst): spanning forests of the confirmed links of all tiles; tiled: (id, tiles, members, packed).
 
     A task reads its tiles one after another, sorted, and holds one of them at a time.
@@ -194,7 +195,7 @@ def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN) -> Dat
                 now = tuple(key[a].tolist())
                 if now != tile:
                     if tile is not None and len(ids) > 1:
-                        out += similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin)
+                        out += similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin, small)
                     tile, ids, blocks, sets, packed = now, [], [], [], []
                 ids += own[a:b].tolist()
                 blocks += block[a:b].tolist()
@@ -205,7 +206,7 @@ def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN) -> Dat
                 yield _edges(out)
                 out = []
         if tile is not None and len(ids) > 1:
-            yield _edges(similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin))
+            yield _edges(similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin, small))
 
     return ordered.mapInArrow(run, "src long, dst long")
 

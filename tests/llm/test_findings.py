@@ -5,9 +5,10 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
-from docmd.llm import langid, ngramlm
+from docmd.llm import langid, linedup, ngramlm, simjoin
 from tests.llm import brute
 
 
@@ -79,3 +80,24 @@ def test_lm_counts_all_orders(spark, documents, rows, order):
 
 def test_lm_query_uses_trigrams():
     assert ngramlm.ORDER >= 3
+
+
+def similar_sets(pairs, n, common):
+    """Members of both sides of pairs of sets of n random members, `common` of them shared."""
+    x = np.random.default_rng(3).integers(0, 1 << 64, (pairs, 2 * n - common), dtype=np.uint64)
+    return np.ascontiguousarray(x[:, :n]), np.ascontiguousarray(x[:, n - common :])
+
+
+def test_line_bands_find_pairs_at_the_threshold():
+    left, right = (simjoin.band_keys(linedup.minima(s.ravel(), np.full(4000, 225)), linedup.ROWS) for s in similar_sets(4000, 225, 200))
+    assert (~(left == right).any(1)).sum() <= 8
+
+
+def test_short_lines_are_not_lost_to_the_estimate():
+    lost = 0
+    for a, b in zip(*similar_sets(1000, 9, 8), strict=True):
+        third = np.arange(9, dtype=np.uint64)  # two sets alone are compared exactly
+        sets = [np.sort(a), np.sort(b), third]
+        packed = list(simjoin.pack(linedup.minima(np.concatenate(sets), np.full(3, 9))))
+        lost += not simjoin.similar(np.arange(3), np.zeros(3, int), True, sets, packed, linedup.PERCENT, linedup.K, linedup.MARGIN, linedup.SMALL)
+    assert lost == 0
