@@ -2,14 +2,14 @@
 
 A text becomes pieces of a `.model` file: spaces become U+2581, one is put in front, and characters are merged
 by score. No piece of such a file holds U+2581 after another character, so a text falls apart into units (a run
-of U+2581 and the characters up to the next one) that are encoded on their own. All distinct units of a slice
-advance together: the agenda of a unit holds its candidate merges; the best one (score, then place) comes off
-it, and a hash of the seed, the text's variant, the unit, the place and the two pieces says whether it is
-skipped. A skipped candidate is gone; a merge beside it can bring up new ones. At dropout 0 this is the library's
+of U+2581 and the characters up to the next one) that are encoded on their own. All units of a slice (distinct
+ones, at dropout 0) advance together: the agenda of a unit holds its candidate merges; the best one (score, then place) comes off
+it, and a hash of the seed, the text, the unit, the unit's place in the text, the place and the two pieces says
+whether it is skipped. A skipped candidate is gone; a merge beside it can bring up new ones. At dropout 0 this is the library's
 encoding.
 
-The variant of a text is a hash of the seed and its bytes modulo VARIANTS, so that one word is cut differently
-in different texts while equal texts stay equal and runs repeat. Characters without a piece, and any U+2581 of
+A text counts by a 64-bit hash of the seed and its bytes, so that one word is cut anew wherever it occurs, in one
+text as in different ones, while equal texts stay equal and runs repeat. Characters without a piece, and any U+2581 of
 the text itself, become byte pieces, so decoding gives the text back whatever was skipped. Null texts have null
 pieces, empty texts none.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docmd.llm.textvec import mix, slices
 
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 4
+DROPOUT, SEED = 0.1, 20240229
 #: Bytes of text, and places of units, that are handled at once.
 SLICE, PLACES = 1 << 19, 1 << 18
 _NONE = np.int32(1 << 30)
@@ -175,11 +175,11 @@ def encode(path: str, texts: pa.Array, dropout: float = DROPOUT, seed: int = SEE
             yield from encode(path, pa.array(fixed), dropout, seed)
             continue
         at = np.searchsorted(heads, offsets)
-        variant = np.zeros(end - first, np.uint64)
+        own = np.zeros(end - first, np.uint64)
         if dropout:
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 digest = hashlib.blake2b(raw[a:b].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
-                variant[i] = int.from_bytes(digest, "little") % VARIANTS
+                own[i] = int.from_bytes(digest, "little")
         # one mark in front of every text that is not empty; the text's own marks get a code of their own
         some = np.flatnonzero(at[1:] > at[:-1])
         space, own_mark = ord(SPACE), 0x110000
@@ -198,9 +198,14 @@ def encode(path: str, texts: pa.Array, dropout: float = DROPOUT, seed: int = SEE
             yield np.zeros(0, np.int32), np.zeros(end - first + 1, np.int64)
             continue
         text = np.searchsorted(starts, unit, "right") - 1
-        h = _unit_hashes(points, unit, ends) + variant[text] * _ODD
-        one_h, one, which = np.unique(h, return_index=True, return_inverse=True)
-        pieces, counts = _units(model, points, unit[one], ends[one], mix(one_h ^ np.uint64(seed)), dropout)
+        h = _unit_hashes(points, unit, ends)
+        if dropout:
+            place = np.arange(len(unit)) - np.searchsorted(text, text)
+            h = mix(h ^ mix(own[text] + (place.astype(np.uint64) + np.uint64(1)) * _ODD))
+            one = which = np.arange(len(unit))
+        else:
+            _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        pieces, counts = _units(model, points, unit[one], ends[one], mix(h[one] ^ np.uint64(seed)), dropout)
         where = np.concatenate([[0], np.cumsum(counts)])
         n = counts[which]
         total = np.concatenate([[0], np.cumsum(n)])

@@ -6,9 +6,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docmd.llm import langid, linedup, ngramlm, simjoin
+from docmd.llm import langid, linedup, ngramlm, piecebpe, simjoin
 from tests.llm import brute
 
 
@@ -101,3 +102,19 @@ def test_short_lines_are_not_lost_to_the_estimate():
         packed = list(simjoin.pack(linedup.minima(np.concatenate(sets), np.full(3, 9))))
         lost += not simjoin.similar(np.arange(3), np.zeros(3, int), True, sets, packed, linedup.PERCENT, linedup.K, linedup.MARGIN, linedup.SMALL)
     assert lost == 0
+
+
+def test_sentencepiece_cuts_a_word_anew_in_every_place():
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    cut = lambda xs: [tuple(ids[a:b].tolist()) for ids, at in piecebpe.encode(path, pa.array(xs, pa.string())) for a, b in zip(at[:-1], at[1:], strict=True)]
+    word, whole = "international", piecebpe.load(path).pieces
+    texts = [f"{word} {i}" for i in range(400)]
+    heads = {"".join(f"{whole[p]}|" for p in c).split("|▁")[0] for c in cut(texts)}
+    assert len(heads) > 8
+    (one,) = cut([" ".join([word] * 400)])
+    assert len(set("".join(f"{whole[p]}|" for p in one).strip("|").split("|▁"))) > 8
+    assert cut([texts[0], "x", texts[0]])[0] == cut([texts[0], "x", texts[0]])[2] == cut(["other " * 300, texts[0]])[1]
+    # words of one or two merges, too
+    few = [p for p in whole if len(p) == 3 and p[0] == "▁" and p[1:].isalpha()][:40]
+    for w in few:
+        assert len({c[:2] for c in cut([f"{w[1:]} {i}" for i in range(100)])}) > 1
