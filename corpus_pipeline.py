@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm import decontaminate, langid, linedup, neardup, piecebpe
-from docmd.llm.common import stored
+from docmd.llm.common import lookup, stored
 from docmd.session import ship
 
 
@@ -31,20 +31,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, which rows share that have equal doc_id and text: an id alone may have several texts."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, once."""
+    """One document of each group: the one with the smallest doc_id (of several texts, the smallest hash), once. Of rows
+    with equal doc_id and text the one with the smallest other columns stays."""
     ship(spark)
-    gone = stored(neardup.near_duplicates(docs).where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "pipeline-copies")
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    own = _with_row(docs.where("doc_id is not null"))
+    found = neardup.near_duplicates(own, key="_row").select("id", "component").distinct()
+    members = stored(found.join(own.select(F.col("_row").alias("id"), "doc_id").distinct(), "id"), "pipeline-groups")
+    keepers = members.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(lookup(members, keepers, "component", members.count(), "n").where(F.col("id") != F.col("keeper.id")).select(F.col("id").alias("_row")), "pipeline-copies")
+    kept = own.join(gone.hint("merge"), "_row", "left_anti")
+    once = kept.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*")
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark window."""
     ship(spark)
-    found, _ = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stored(found.select(F.col("id").alias("hit_id")).distinct(), "pipeline-hits")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["hit_id"]), "left_anti").select(*docs.columns)
+    own = _with_row(docs)
+    found, _ = decontaminate.hits(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    gone = stored(found.select(F.col("id").alias("_row")).distinct(), "pipeline-hits")
+    return own.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

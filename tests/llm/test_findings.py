@@ -118,3 +118,20 @@ def test_sentencepiece_cuts_a_word_anew_in_every_place():
     few = [p for p in whole if len(p) == 3 and p[0] == "▁" and p[1:].isalpha()][:40]
     for w in few:
         assert len({c[:2] for c in cut([f"{w[1:]} {i}" for i in range(100)])}) > 1
+
+
+def test_pipeline_keeps_all_texts_of_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    copied, unique, leaked, other = text(), text(), text(), text()
+    rows = [(1, copied, "a"), (2, copied, "a"), (2, unique, "a"), (3, other, "b"), (3, other, "a"), (4, leaked, "a"), (4, text(), "a"), (None, leaked, "a"), (None, copied, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([(1, leaked)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(x) for x in rows if x not in [(2, copied, "a"), (3, other, "b")])
+    clean = stages["decontamination"](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(str(x) for x in rows if x[1] != leaked)
