@@ -212,25 +212,31 @@ def candidates(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
-    """rows (t, wanted: (line, node, tiles)) as (id, tiles, members, packed), one for each wanted line."""
+    """rows (t, wanted: (line, node, tiles)) as (id, tiles, members, packed), one for each wanted line that the text has.
+
+    A doc_id may have several texts: a wanted line is taken from those where it is the wanted node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("wanted")
             for first, end, points, row, starts, ends in lines(batch.column("t")):
                 spans = Spans(points)
-                begin = np.searchsorted(row, np.arange(end - first))
+                begin = np.searchsorted(row, np.arange(end - first + 1))
                 mine = wanted.slice(first, end - first)
                 flat = mine.flatten()
                 owner = np.repeat(np.arange(end - first), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False))
                 at = begin[owner] + flat.field("line").to_numpy(zero_copy_only=False)
+                there = np.flatnonzero(at < begin[owner + 1])
+                there = there[spans.hashes(starts[at[there]], ends[at[there]]).view(np.int64) == flat.field("node").to_numpy(zero_copy_only=False)[there]]
+                if not len(there):
+                    continue
+                flat, at = flat.take(pa.array(there)), at[there]
                 order = np.argsort(at, kind="stable")
                 flat, at = flat.take(pa.array(order)), at[order]
                 members, sizes = _members(spans, starts[at], ends[at])
                 cut = np.concatenate([[0], np.cumsum(sizes)])
                 sets = [np.unique(members[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                if not sets:
-                    continue
                 packed = simjoin.pack(minima(np.concatenate(sets), np.array([len(s) for s in sets])))
                 yield pa.RecordBatch.from_arrays(
                     [flat.field("node"), flat.field("tiles"), digest_rows(np.array([len(s) for s in sets]), np.concatenate(sets)), digest_rows(np.full(len(sets), packed.shape[1]), packed.ravel())],
@@ -250,7 +256,6 @@ def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
     tiled = stored(simjoin.tiles(found, found.select("id", F.lit(400).cast("long").alias("n")), "line"), "line-tiles")
     wanted = each.select(F.col("node").alias("id"), "first").join(tiled, "id").groupBy(F.col("first.doc").alias("doc"))
     wanted = wanted.agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("id").alias("node"), "tiles")).alias("wanted"))
-    # of rows that share a doc_id, the one with the smallest text stands for the line numbers
     texts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
     confirmed = simjoin.links(sets_of(texts.join(wanted.hint("merge"), "doc").select("t", "wanted")), PERCENT, K, MARGIN, SMALL)
     groups = connected_components(stored(confirmed, "line-links"), "line-groups")

@@ -135,3 +135,14 @@ def test_pipeline_keeps_all_texts_of_an_id(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(x) for x in rows if x not in [(2, copied, "a"), (3, other, "b")])
     clean = stages["decontamination"](spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, clean))) == sorted(str(x) for x in rows if x[1] != leaked)
+
+
+def test_line_sets_come_from_the_text_that_has_the_line(spark):
+    r = random.Random(7)
+    line = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+    near = line()
+    long = [line(), line(), line(), line(), near, near[:-3] + "xyz"]
+    texts = [(9, line()), (9, "\n".join(long)), (9, line()), (9, None), (9, line())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = sorted((x.text or "", x.n_removed) for x in linedup.without_repeats(docs).collect())
+    assert got == sorted([*((t or "", 0) for _, t in texts if t != texts[1][1]), ("\n".join(long[:5]), 1)])
