@@ -3,20 +3,25 @@ hot keys, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of this process where none is set (tests)."""
+    """The shared folder of the cluster. In local mode a folder of this machine where none is set; elsewhere an error,
+    as executors would not find what others wrote."""
     sc = spark.sparkContext
     own = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not own:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="docmd-checkpoint-")
         sc.setCheckpointDir(own)
     return own.rstrip("/")
@@ -29,16 +34,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that no later step reads, and lets Spark drop the shuffle files that led to them."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or with underscores after it a name that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key is hot when it holds more than 1/HOT of all rows, so there are fewer than HOT hot keys.
 HOT = 1000
 
@@ -47,10 +76,13 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, total: int, count: str,
     """rows joined with values on key. values has one row per key and, in `count`, the rows of that key.
 
     Keys with more than total / HOT rows are fewer than HOT whatever the data, so they are broadcast;
-    the others meet in a shuffle in which no key is large. rows must not hold null keys for `inner`.
+    the others meet in a shuffle in which no key is large. rows must not hold null keys for `inner`. Both are
+    read more than once: they should be tables.
     """
     large = F.lit(max(1, total // HOT))
-    marked = rows.join(F.broadcast(values.where(F.col(count) > large).limit(HOT)), key, "left")
+    if values.where(F.col(count) > large).isEmpty():
+        return rows.join(values, key, how)
+    marked = rows.join(F.broadcast(values.where(F.col(count) > large)), key, "left")
     hot_rows = marked.where(F.col(count).isNotNull())
     cold_rows = marked.where(F.col(count).isNull()).select(*rows.columns)
     return cold_rows.join(values.where(F.col(count) <= large), key, how).unionByName(hot_rows)
@@ -60,43 +92,48 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, total: int, count: str,
 CONTRACT = 1 << 18
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task (u, v), CONTRACT at a time, as stars: each id with the smallest one it reaches by them."""
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links u - v as stars: each id that has a smaller one in reach, and the smallest one it reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+    leaf = root != np.arange(len(ids))
+    return ids[leaf], ids[root[leaf]]
 
-    def stars(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        root: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            top = x
-            while (up := root.setdefault(top, top)) != top:
-                top = up
-            while root[x] != top:
-                root[x], x = top, root[x]
-            return top
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task (u, v), CONTRACT at a time, as stars."""
+    held, size = [], 0
 
-        for u, v in pairs:
-            if (a := find(u)) != (b := find(v)):
-                root[max(a, b)] = min(a, b)
-        out = [(x, top) for x in root if (top := find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+    def stars() -> pa.RecordBatch:
+        u, v = contracted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    held: list[tuple[int, int]] = []
     for batch in batches:
-        held += zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
-        if len(held) >= CONTRACT:
-            yield stars(held)
-            held = []
-    if held:
-        yield stars(held)
+        if size + len(batch) > CONTRACT and size:
+            yield stars()
+            held, size = [], 0
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        size += len(batch)
+    if size:
+        yield stars()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in edges (src, dst): component is the smallest id that is reachable.
 
-    Alternating large-star and small-star contraction: every round is a partial aggregate (the smallest
-    neighbour of each id) and a lookup join, so a hub's neighbours are never gathered; between them every task
-    contracts the links it has by union-find. Rounds end when the edges are stars; each round is a written
-    table. No edges: no rows.
+    Every task contracts the links it has by union-find. While more than CONTRACT links are left, alternating
+    large-star and small-star contraction follows: every round is a partial aggregate (the smallest neighbour of
+    each id) and a lookup join, so a hub's neighbours are never gathered, and tasks contract what they have in
+    between. The last CONTRACT links at most, a bound of a few MB, are one task's. Each round is a written table,
+    and the one before it is deleted. No edges: no rows.
     """
     kind = "u long, v long"
 
@@ -117,17 +154,20 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
 
-    now = stored(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().mapInArrow(_contracted, kind), name
-    )
+    ends = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    now = stored(ends.mapInArrow(_stars, kind), name)
     shape = None
     # the rows, and the sum of their targets, which falls until every id points at the root of its star
     measure = (F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")))
     after = now.agg(*measure).first()
-    while after[0] and after != shape:
+    while after[0] > CONTRACT and after != shape:
         shape = after
-        now = stored(small_star(stored(large_star(now, after[0]), name), after[0]).mapInArrow(_contracted, kind).distinct(), name)
+        large = stored(large_star(now, after[0]), name)
+        last, now = now, stored(small_star(large, after[0]).mapInArrow(_stars, kind).distinct(), name)
+        discard(large, last)
         after = now.agg(*measure).first()
+    if after[0] <= CONTRACT:
+        now = stored(now.coalesce(1).mapInArrow(_stars, kind), name)
     leaves = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

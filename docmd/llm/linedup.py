@@ -3,22 +3,25 @@
 Lines are the parts of a text between line feeds, compared ASCII lower-cased and without white space at their
 ends. A line's set holds its distinct runs of SHINGLE characters (a shorter line is its own only member). Minima
 of the set, by one hash in bins with the empty bins filled from the next, make BANDS bands of ROWS; lines that
-share a band are candidates; tiles of candidates confirm a Jaccard similarity of at least PERCENT / 100 on the
-full sets (`simjoin`; sets of at most SMALL members without an estimate before). A pair at the threshold shares a
-band with probability 1 - (1 - 0.8^5)^20 = 0.9996; components of confirmed links, by repeated star contraction, are the groups. Of a group the
+share a band are candidates, which a Jaccard similarity of at least PERCENT / 100 on the full sets confirms
+(`simjoin`; sets of at most SMALL members without an estimate before). A pair at the threshold shares a
+band with probability 1 - (1 - 0.8^5)^20 = 0.9996 if its minima were independent; as bins are filled from others they
+aren't quite, so the tests measure it. Components of confirmed links are the groups. Of a group the
 line with the smallest (doc_id, line number) stays, in documents as they are.
 
-Equal lines are one node, a 64-bit hash of the line, so copies are never compared. Every task first links the
-lines of its own that share a band key and sends each key once, so a key that a third of all lines have reaches
-its range at most once a task.
+Equal lines are one node, a 64-bit hash of the line, so copies are never compared; among n different lines two share
+a hash with probability n * n / 2^65. One pass over the texts hashes and signs the lines. Every task groups the
+lines of its own by band key and sends each key once, so a key that a third of all lines have reaches
+its range at most once a task. Of the lines that share a key with another one the bytes go on, not the sets.
 
 Blank lines always stay. Null and empty texts stay as they are, and so do rows without a doc_id. Rows that share
-a doc_id are the same document: the line that stays does so in all of them. Texts of any length are handled whole.
+a doc_id are the same document: the line that stays does so in all of them, and a line number with another line in it
+is that line. Texts of any length are handled whole. No rows: no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
-from docmd.llm.common import connected_components, lookup, stored
-from docmd.llm.textvec import LOWER, Spans, digest_rows, slices
+from docmd.llm.common import discard, lookup, released, stored, unused
+from docmd.llm.textvec import LOWER, Spans, slices
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS, GROUPS = 20, 5, 2
@@ -36,7 +39,8 @@ K = BANDS * ROWS
 MARGIN = 0.3
 #: Few members make estimates too rough for the margin.
 SMALL = 64
-FLUSH = 1 << 22
+#: Keys that a task holds before it sends them.
+FLUSH = 1 << 20
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BLANK = np.zeros(0x3001, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -62,7 +66,7 @@ def _trimmed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 def lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice: first and end row, code points, and per line its row (from first), trimmed start and end."""
-    for first, end, raw, offsets in slices(texts, 2 << 20):
+    for first, end, raw, offsets in slices(texts, 1 << 18):
         raw = LOWER[raw]
         points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) == len(raw):
@@ -87,7 +91,7 @@ def lines(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 def _members(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of the lines, one after another, and the number of each line's; lines in order of their starts."""
     sizes = np.where(ends > starts, np.maximum(ends - starts - SHINGLE + 1, 1), 0)
-    every = spans.runs(SHINGLE)
+    every = spans.runs
     # where a line's shingles begin: 1 from its start, and back to 0 after its last one
     inside = np.zeros(len(every) + 2, np.int8)
     long = ends - starts >= SHINGLE
@@ -118,101 +122,110 @@ def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         place += base
         place += g * bins
         np.minimum.at(flat, place, half.astype(np.uint32) >> np.uint32(1))
-    grid = out.reshape(len(sizes), GROUPS, bins)
+    grid = out.reshape(-1, bins)
     known = grid != _EMPTY
-    filled = grid.copy()
-    missing = ~known & known.any(2, keepdims=True)
-    for t in range(1, bins):
-        if not missing.any():
-            break
-        from_ = np.roll(known, -t, axis=2) & missing
-        filled[from_] = (np.roll(grid, -t, axis=2)[from_] ^ np.uint32(t * 0x9E3779B1 & 0x7FFFFFFF)) & np.uint32(0x7FFFFFFF)
-        missing &= ~from_
-    return filled.reshape(len(sizes), K)
-
-
-def nodes(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, node) of every line that is not blank."""
+    rows = np.flatnonzero(known.any(1) & ~known.all(1))
+    if len(rows):
+        # the next bin that is filled, around the end; how far it is makes the value another one
+        at = np.where(np.tile(known[rows], 2), np.arange(2 * bins, dtype=np.int16), np.int16(2 * bins))
+        at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        far = (at - np.arange(bins, dtype=np.int16)).astype(np.uint32)
+        found = np.take_along_axis(grid[rows], at.astype(np.int64) % bins, 1)
+        grid[rows] = np.where(far > 0, (found ^ (far * np.uint32(0x9E3779B1))) & np.uint32(0x7FFFFFFF), found)
+    return out
+
+
+def signed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, nodes, key, id) from one pass: rows (doc, nodes) with the node of every line of a text, null for blank ones; and
+    rows (key, id) with the nodes of every band key that several have, some more than once.
+
+    Tasks send the band keys of their lines as sorted arrays by range, part -1 being those that several of their lines share.
+    """
     slim = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, points, row, starts, ends in lines(batch.column("t")):
-                node = Spans(points).hashes(starts, ends).view(np.int64)
-                sizes = np.bincount(row, minlength=end - first)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(node, mask=ends <= starts))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, end - first), lists], ["doc", "nodes"])
-
-    kind = slim.schema["doc"].dataType.simpleString()
-    per_doc = stored(slim.mapInArrow(run, f"doc {kind}, nodes array<long>"), "lines")
-    return per_doc.select("doc", F.posexplode("nodes").alias("line", "node")).where("node is not null")
-
-
-def _linked(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their smallest owners; and the links (owner, smallest owner) of those that share a key."""
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    leader = owners[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else owners
-    other = owners != leader
-    both = np.unique(np.stack([owners[other], leader[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[first], owners[first], both[:, 0], both[:, 1]
-
-
-_SENT = "part int, keys binary, owners binary"
-
-
-def _blobs(part: list[int], keys: list[bytes], owners: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(owners, pa.binary())], ["part", "keys", "owners"])
-
-
-def candidates(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(src, dst): every line node linked with the smallest one of each of its band keys."""
-    slim = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"))
     parts = 4 * max(4, slim.rdd.getNumPartitions())
-
-    def send(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        k, o, src, dst = _linked(np.concatenate(keys), np.concatenate(owners))
-        at = np.append(np.searchsorted(k, [((i << 64) // parts) - (1 << 63) for i in range(parts)]), len(k))
+    kind = slim.schema["doc"].dataType
+    schema = f"doc {kind.simpleString()}, nodes array<long>, part int, keys binary, owners binary"
+
+    def send(keys: np.ndarray, owners: np.ndarray, types: list[pa.DataType]) -> pa.RecordBatch:
+        k, o, first, alone = _buckets(keys, owners)
+        here = ~alone
+        at = np.append(np.searchsorted(k[first], [((i << 64) // parts) - (1 << 63) for i in range(parts)]), int(first.sum()))
+        ks, os_ = k[first], o[first]
         some = [i for i in range(parts) if at[i + 1] > at[i]]
-        # part -1: links found here
-        return _blobs([*some, -1], [*(k[at[i] : at[i + 1]].tobytes() for i in some), src.tobytes()], [*(o[at[i] : at[i + 1]].tobytes() for i in some), dst.tobytes()])
+        blobs = [[*(x[at[i] : at[i + 1]].tobytes() for i in some), y[here].tobytes()] for x, y in ((ks, k), (os_, o))]
+        n = len(some) + 1
+        return pa.RecordBatch.from_arrays([pa.nulls(n, types[0]), pa.nulls(n, types[1]), pa.array([*some, -1], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        size = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, types = 0, [pa.null(), pa.list_(pa.int64())]
         for batch in batches:
-            for _, _, points, _, starts, ends in lines(batch.column("t")):
+            types[0] = batch.schema.field("doc").type
+            for first, end, points, row, starts, ends in lines(batch.column("t")):
                 some = ends > starts
-                spans = Spans(points)
-                node, one = np.unique(spans.hashes(starts[some], ends[some]).view(np.int64), return_index=True)
+                spans = Spans(points, SHINGLE)
+                node = spans.hashes(starts, ends).view(np.int64)
+                cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))]), pa.int32())
+                n = end - first
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(first, n), pa.ListArray.from_arrays(cut, pa.array(node, mask=~some)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    _NAMES,
+                )
+                own, one = np.unique(node[some], return_index=True)
                 order = np.argsort(one)  # lines in the order of the text
-                node, one = node[order], one[order]
+                own, one = own[order], one[order]
                 members, sizes = _members(spans, starts[some][one], ends[some][one])
-                keys.append(simjoin.band_keys(minima(members, sizes), ROWS).ravel())
-                owners.append(np.repeat(node, BANDS))
-                size += len(keys[-1])
+                held.append((simjoin.band_keys(minima(members, sizes), ROWS).ravel(), np.repeat(own, BANDS)))
+                size += len(held[-1][0])
                 if size > FLUSH:
-                    yield send(keys, owners)
-                    keys, owners, size = [], [], 0
+                    yield send(*map(np.concatenate, zip(*held, strict=True)), types)
+                    held, size = [], 0
         if size:
-            yield send(keys, owners)
+            yield send(*map(np.concatenate, zip(*held, strict=True)), types)
 
-    def meet(table: pa.Table) -> pa.Table:
-        both = [np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in table[n].chunks for x in c]) for n in ("keys", "owners")]
-        _, _, src, dst = _linked(*both) if table["part"][0].as_py() >= 0 else (None, None, *both)
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+    out = f"doc {kind.simpleString()}, nodes array<long>, key long, id long"
 
-    sent = slim.mapInArrow(run, _SENT)
-    # links found in the tasks come in as many groups as there are tasks
-    spread = sent.withColumn("group", F.when(F.col("part") < 0, -1 - F.spark_partition_id()).otherwise(F.col("part")))
-    return spread.groupBy("group").applyInArrow(meet, "src long, dst long").distinct()
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        texts = table.filter(pa.compute.is_valid(table["doc"]))
+        sent = table.filter(pa.compute.is_null(table["doc"]))
+        keys, owners = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for c in sent[n].chunks for x in c)]) for n in ("keys", "owners"))
+        if not len(texts):
+            if sent["part"][0].as_py() >= 0:
+                keys, owners, _, alone = _buckets(keys, owners)
+                keys, owners = keys[~alone], owners[~alone]
+        n, m = len(texts), len(keys)
+        first = texts.select(["doc", "nodes"]).append_column("key", pa.nulls(n, pa.int64())).append_column("id", pa.nulls(n, pa.int64()))
+        second = pa.table([pa.nulls(m, first.schema.field("doc").type), pa.nulls(m, first.schema.field("nodes").type), pa.array(keys), pa.array(owners)], schema=first.schema)
+        return pa.concat_tables([first, second])
+
+    # texts, and keys that met in the tasks, come in as many groups as there are tasks
+    group = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.spark_partition_id())
+    return slim.mapInArrow(run, schema).withColumn("group", group).groupBy("group").applyInArrow(meet, out)
+
+
+_NAMES = ["doc", "nodes", "part", "keys", "owners"]
+
+
+def _buckets(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, owner), sorted; where a key begins; and whether its owner is the only one."""
+    order = np.argsort(keys)
+    keys, owners = keys[order], owners[order]
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    same[:-1] |= same[1:]
+    some = np.flatnonzero(same)  # few: only there does the order of the owners matter
+    owners[some] = owners[some[np.lexsort((owners[some], keys[some]))]]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    keys, owners = keys[new], owners[new]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys, owners, first, first & np.append(first[1:], True)
 
 
-def sets_of(rows: DataFrame) -> DataFrame:
-    """rows (t, wanted: (line, node, tiles)) as (id, tiles, members, packed), one for each wanted line that the text has.
+def payloads(rows: DataFrame) -> DataFrame:
+    """rows (t, wanted: (line, node)) as (id, n, payload): the bytes of each wanted line that the text has, n its shingles.
 
     A doc_id may have several texts: a wanted line is taken from those where it is the wanted node.
     """
@@ -221,62 +234,79 @@ def sets_of(rows: DataFrame) -> DataFrame:
         for batch in batches:
             wanted = batch.column("wanted")
             for first, end, points, row, starts, ends in lines(batch.column("t")):
-                spans = Spans(points)
+                spans = Spans(points, SHINGLE)
                 begin = np.searchsorted(row, np.arange(end - first + 1))
                 mine = wanted.slice(first, end - first)
                 flat = mine.flatten()
                 owner = np.repeat(np.arange(end - first), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False))
                 at = begin[owner] + flat.field("line").to_numpy(zero_copy_only=False)
+                node = flat.field("node").to_numpy(zero_copy_only=False)
                 there = np.flatnonzero(at < begin[owner + 1])
-                there = there[spans.hashes(starts[at[there]], ends[at[there]]).view(np.int64) == flat.field("node").to_numpy(zero_copy_only=False)[there]]
-                if not len(there):
-                    continue
-                flat, at = flat.take(pa.array(there)), at[there]
-                order = np.argsort(at, kind="stable")
-                flat, at = flat.take(pa.array(order)), at[order]
-                members, sizes = _members(spans, starts[at], ends[at])
-                cut = np.concatenate([[0], np.cumsum(sizes)])
-                sets = [np.unique(members[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                packed = simjoin.pack(minima(np.concatenate(sets), np.array([len(s) for s in sets])))
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field("node"), flat.field("tiles"), digest_rows(np.array([len(s) for s in sets]), np.concatenate(sets)), digest_rows(np.full(len(sets), packed.shape[1]), packed.ravel())],
-                    ["id", "tiles", "members", "packed"],
-                )
-
-    kind = rows.schema["wanted"].dataType.elementType["tiles"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id long, tiles {kind}, members binary, packed binary")
+                at, node = at[there], node[there]
+                same = spans.hashes(starts[at], ends[at]).view(np.int64) == node
+                at, node = at[same], node[same]
+                blobs = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(starts[at], ends[at], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.maximum(ends[at] - starts[at] - SHINGLE + 1, 1)), pa.array(blobs, pa.binary())], ["id", "n", "payload"])
+
+    return rows.mapInArrow(run, "id long, n long, payload binary")
+
+
+def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
+    """The shingle sets of some lines, and what packs their minima."""
+    cut = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
+    raw = np.frombuffer(blobs.buffers()[2], np.uint8)[cut[0] : cut[-1]] if cut[-1] > cut[0] else np.zeros(0, np.uint8)
+    cut = cut.astype(np.int64) - cut[0]
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < len(raw):
+        cut = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[cut]
+    members, sizes = _members(Spans(points, SHINGLE), cut[:-1], cut[1:])
+    ends = np.cumsum(sizes)
+    sets = []
+    for b, n in zip(ends.tolist(), sizes.tolist(), strict=True):
+        own = np.sort(members[b - n : b])
+        new = np.ones(n, bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        sets.append(own[new])
+    return sets, lambda a, b: simjoin.pack(minima(np.concatenate(sets[a:b]), np.array([len(x) for x in sets[a:b]])))
 
 
 def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, line, node) of every line that goes because another one of its group stays."""
-    known = nodes(rows, key, text)
+    passed = stored(signed(rows, key, text), "lines")
+    released(rows.sparkSession)
+    known = passed.where("doc is not null").select("doc", F.posexplode("nodes").alias("line", "node")).where("node is not null")
     each = stored(known.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    found = connected_components(stored(candidates(rows, key, text), "line-candidates"), "line-clusters")
-    # a line's set is no larger than its document; blocks are bounded by the number of lines
-    tiled = stored(simjoin.tiles(found, found.select("id", F.lit(400).cast("long").alias("n")), "line"), "line-tiles")
-    wanted = each.select(F.col("node").alias("id"), "first").join(tiled, "id").groupBy(F.col("first.doc").alias("doc"))
-    wanted = wanted.agg(F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("id").alias("node"), "tiles")).alias("wanted"))
-    texts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-    confirmed = simjoin.links(sets_of(texts.join(wanted.hint("merge"), "doc").select("t", "wanted")), PERCENT, K, MARGIN, SMALL)
-    groups = connected_components(stored(confirmed, "line-links"), "line-groups")
-    labelled = each.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keepers = labelled.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1")
-    total = each.agg(F.sum("n"), F.count(F.lit(1))).first()
-    marked = stored(lookup(labelled, keepers, "component", total[1] or 0, "members").select("node", "keeper", "n"), "line-keepers")
+    shared = stored(passed.where("key is not null").select("key", "id").distinct(), "line-buckets")
+    ids = shared.select(F.col("id").alias("node")).distinct()
+    wanted = each.join(ids, "node").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted"))  # no more than a text's lines
+    texts = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    items = simjoin.distinct_items(stored(payloads(texts.join(wanted.hint("merge"), "doc").select("t", "wanted")), "line-items"), "line")
+    groups = simjoin.components(shared, items, _decode, PERCENT, K, "line", MARGIN, SMALL)
+    groups = stored(groups.select(F.col("id").alias("node"), "component"), "line-groups")
+    discard(shared, items)
+    # a line that is neither repeated nor in a group stays
+    labelled = each.join(groups, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    labelled = stored(labelled, "line-labels")
+    keepers = stored(labelled.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1"), "line-groups")
+    total = each.agg(F.sum("n")).first()
+    marked = stored(lookup(labelled.select("node", "n", "component"), keepers, "component", labelled.count(), "members").select("node", "keeper", "n"), "line-keepers")
+    discard(labelled, keepers, each, groups)
     return lookup(known, marked, "node", total[0] or 0, "n").where(F.struct("doc", "line") != F.col("keeper")).select("doc", "line", "node")
 
 
 def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """rows with the repeated lines taken out of their texts, n_lines and n_removed; these replace columns of their names."""
-    gone = stored(repeated_lines(rows, text, key).groupBy("doc").agg(F.collect_set(F.struct("line", "node")).alias("_gone")), "line-gone")
     names = [c for c in rows.columns if c not in ("n_lines", "n_removed")]
+    doc, mark = unused(names, "_doc"), unused(names, "_gone")
+    gone = stored(repeated_lines(rows, text, key).groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("line", "node")).alias(mark)), "line-gone")
+    released(rows.sparkSession)
     own = rows.select(*names)
-    joined = own.join(gone.hint("merge"), own[key] == gone["doc"], "left").select(*(own[c] for c in names), gone["_gone"])
+    joined = own.join(gone.hint("merge"), F.col(key) == F.col(doc), "left").drop(doc)
     schema = own.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone_ = batch.column(text), batch.column("_gone")
+            texts, gone_ = batch.column(text), batch.column(mark)
             n_lines = pa.compute.if_else(pa.compute.equal(pa.compute.binary_length(texts), 0), 0, pa.compute.add(pa.compute.count_substring(texts, "\n"), 1))
             n_removed = np.zeros(len(texts), np.int64)
             some = pa.compute.is_valid(gone_)
@@ -284,7 +314,7 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
             wanted = gone_.filter(some).to_pylist()
             for first, end, points, row, starts, ends in lines(texts.filter(some)):
                 begin = np.searchsorted(row, np.arange(end - first + 1))
-                node = Spans(points).hashes(starts, ends).view(np.int64)
+                node = Spans(points, SHINGLE).hashes(starts, ends).view(np.int64)
                 for i in range(end - first):
                     size = begin[i + 1] - begin[i]
                     drop = {x["line"] for x in wanted[first + i] if x["line"] < size and int(node[begin[i] + x["line"]]) == x["node"]}

@@ -6,14 +6,16 @@ BANDS * ROWS minima are taken of the set; bands of minima find candidates, and t
 packed, estimate the similarity before the full sets decide (`simjoin`). Documents with a Jaccard similarity of
 at least `percent` / 100 are linked, and a component of links is a group.
 
+At the threshold a pair shares one of the 40 bands of 6 minima with probability 0.9996.
+
 Null and empty texts and texts without words have no set, link with nothing and stay. Equal texts are one class
-and never compared. Rows that share a doc_id are one node. A null doc_id has no component and stays. No rows:
-no result.
+and never compared. Rows that share a doc_id are one node: what any of their texts links with. A null doc_id has no
+component and stays. No rows: no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
-from docmd.llm.common import connected_components, lookup, stored
-from docmd.llm.textvec import LOWER, NOT_SPACE, digest_rows, grams, slices, word_hashes, word_spans
+from docmd.llm.common import connected_components, discard, lookup, stored
+from docmd.llm.textvec import LOWER, NOT_SPACE, grams, slices, word_hashes, word_spans
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
@@ -74,22 +76,23 @@ def signatures(rows: DataFrame, text: str, key: str) -> DataFrame:
     return slim.mapInArrow(run, "id long, n long, digest binary, bands array<long>")
 
 
-def sets_of(rows: DataFrame) -> DataFrame:
-    """rows (id, t, tiles) with the set and the packed signature in place of the text."""
+def payloads(rows: DataFrame) -> DataFrame:
+    """(id, n, payload) of rows (id, t): the packed signature and the set, in one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column("t")):
-                own = batch.slice(first, len(sets))
                 packed = simjoin.pack(np.stack([minima(s) for s in sets]))
-                sizes = np.array([len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("id"), own.column("tiles"), digest_rows(sizes, np.concatenate(sets)), digest_rows(np.full(len(sets), packed.shape[1]), packed.ravel())],
-                    ["id", "tiles", "members", "packed"],
-                )
+                blobs = pa.array([bits.tobytes() + s.tobytes() for bits, s in zip(packed, sets, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), blobs], ["id", "n", "payload"])
+
+    return rows.mapInArrow(run, "id long, n long, payload binary")
+
 
-    kind = rows.schema["tiles"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id long, tiles {kind}, members binary, packed binary")
+def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
+    words = -(-BANDS * ROWS // 32)
+    both = [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs]
+    return [x[words:] for x in both], lambda a, b: np.stack([x[:words] for x in both[a:b]])
 
 
 def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -98,20 +101,32 @@ def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", pe
     some = signed.where("digest is not null and id is not null")
     total = some.count()
     own = stored(simjoin.classes(some), "neardup-classes")
-    heads = own.select("digest", F.col("rep").alias("id"))
-    reps = some.select("digest", "id", "n", "bands").join(heads, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    reps = stored(reps, "neardup-reps")
-    found = simjoin.clusters(reps, "neardup")
-    sizes = reps.groupBy("id").agg(F.max("n").alias("n"))
-    tiled = stored(simjoin.tiles(found, sizes, "neardup"), "neardup-tiles")
+    # the band keys of each class, from the rows of its representative (equal rows give equal keys)
+    reps = some.select("digest", F.col("id").alias("rep"), "bands").join(own, ["digest", "rep"], "left_semi")
+    keyed = stored(reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key")), "neardup-keys")
+    groups = stored(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high"), "neardup-groups")
+    buckets = stored(lookup(keyed, groups, "key", keyed.count(), "n").select("key", "id").distinct(), "neardup-buckets")
+    discard(keyed, groups)
     texts = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    # a shuffle at every size: what clusters hold grows with the corpus
-    confirmed = simjoin.links(sets_of(texts.join(tiled.hint("merge"), "id")), percent, BANDS * ROWS)
-    groups = connected_components(stored(confirmed, "neardup-confirmed"), "neardup-groups")
+    # a shuffle at every size: what buckets hold grows with the corpus
+    items = payloads(texts.join(buckets.select("id").distinct().hint("merge"), "id"))
+    items = simjoin.distinct_items(stored(items.where("n > 0"), "neardup-items"), "neardup")
+    groups = stored(simjoin.components(buckets, items, _decode, percent, BANDS * ROWS, "neardup"), "neardup-components")
+    discard(items, buckets)
+    # an id of several texts connects their classes
+    shared = stored(some.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id"), "neardup-shared")
+    if not shared.isEmpty():
+        tied = some.select("id", "digest").join(shared, "id", "left_semi").join(own, "digest").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+        groups = connected_components(groups.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(tied), "neardup-tied")
     labelled = own.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "class_size")
-    joined = lookup(some.select("id", "n", "digest"), labelled, "digest", total, "class_size").select("id", "n", "component")
-    rest = signed.where("digest is null or id is null").select("id", "n", F.col("id").alias("component"))
-    return joined.unionByName(rest)
+    joined = lookup(some.select("id", "n", "digest"), stored(labelled, "neardup-labels"), "digest", total, "class_size").select("id", "n", "component")
+    rest = signed.where("digest is null or id is null").select("id", "n")
+    others = stored(rest.where("id is not null").select("id").distinct(), "neardup-rest")
+    if others.isEmpty():
+        return joined.unionByName(rest.withColumn("component", F.col("id")))
+    # a text without a set, of an id that has another one
+    other = joined.join(others, "id", "left_semi").groupBy("id").agg(F.min("component").alias("component"))
+    return joined.unionByName(rest.join(other, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

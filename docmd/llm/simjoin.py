@@ -1,39 +1,51 @@
-"""Set similarity at scale: from signatures of items to components of items whose sets are similar.
+"""Set similarity at scale: from band keys of items to components of items whose sets are similar.
 
 The items' sets are hashed (64 bits a member). The steps, shared by documents and lines:
 
 1. Items with equal sets are one class (a partial aggregate over a 128-bit digest); only the class's smallest
    id goes on.
-2. Banded minima give keys; every item is linked with the smallest id of each of its keys: a link for each
-   item and band, never all pairs of a key. Components of these links are clusters of candidates.
-3. A cluster is cut into blocks of bounded items and bounded members; every pair of blocks is a tile, which is
-   one task's work and bounded in memory whatever the size of the cluster. In a tile, packed b-bit signatures
-   are compared by counting bits; the pairs whose corrected estimate is within a margin of the threshold, and
-   those of two sets that are small, are confirmed on the full sets; the tile returns a spanning forest of the confirmed links, fewer links than
-   items.
-4. Components of the confirmed links.
-
-The links found are those of all pairs that share a band key; the callers state with which
-probability a pair at the threshold shares one. A cluster of m items costs m * m / BLOCK copies of its sets, in
-tiles that run anywhere.
+2. Banded minima give keys; the items of a key are a bucket. The sets of items in a bucket with others are written
+   once.
+3. A few rounds: every bucket names a leader, and every item is verified against a few leaders of its buckets that
+   it is not connected with yet. The confirmed links are contracted; buckets of one component are done. A group of
+   m near copies costs about m comparisons, not m * m.
+4. In the buckets that still hold several components, all pairs of different components are verified, in tiles: a
+   bucket is cut into blocks of bounded items and members, and every two blocks are a tile, which is one task's work and
+   bounded in memory. A component that fills a block has blocks of its own, which never meet each other.
+
+So every pair that shares a band key is verified or already connected by confirmed links; the callers state with which
+probability a pair at the threshold shares one. Where sets are verified, packed b-bit signatures are compared by
+counting bits; the pairs whose corrected estimate is within a margin of the threshold, and those of two sets that are
+small, are confirmed on the full sets; every task returns a spanning forest of its confirmed links.
+
+What stays quadratic is a bucket of many items that are similar to none of its other items, as the definition wants
+each of those pairs verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmd.llm.common import connected_components, lookup, stored
+from docmd.llm.common import connected_components, discard, lookup, stored
 
-BLOCK = 256
+BLOCK = 512
 BLOCK_MEMBERS = 1 << 20
+#: Rounds of leaders; leaders that an item is verified against in one after the first.
+ROUNDS, LEADERS = 3, 4
 BITS = 2
 MARGIN = 0.18
 _EVEN = np.uint64(0x5555555555555555)
+#: Bytes of payloads that are decoded at once, unless one tile has more; tiles of so few items are compared without an estimate.
+DECODED, FEW = 1 << 19, 8
+#: The sorted sets of a column of payloads, and what gives the packed signatures of those in a range.
+Decode = Callable[[pa.Array], tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]]
 
 
 def set_digest(members: np.ndarray) -> bytes:
@@ -79,70 +91,72 @@ def classes(signatures: DataFrame) -> DataFrame:
     return signatures.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
 
 
-def clusters(reps: DataFrame, name: str) -> DataFrame:
-    """(id, component) of the items of reps (id, bands) that share a band key with another one, directly or by others."""
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    groups = stored(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("leader <> last"), f"{name}-groups")
-    total = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
-    links = lookup(keyed, groups.select("key", "leader", "n"), "key", total, "n").where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
-    return connected_components(stored(links, f"{name}-links"), name)
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = b.searchsorted(a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def tiles(members: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
-    """(id, tiles) of members (id, component): the tiles that an item belongs to, each (cluster, i, j, block).
+def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: Callable[[], np.ndarray], percent: int, k: int, margin: float, small: int = 0, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one tile; its rows are sorted by block. whole: the tile is one block.
 
-    sizes: (id, n), the members of each item's set; ids without a row count as 1.
+    packed gives the packed signatures. parts: the component that each item is known to be in; only pairs of different
+    ones are compared.
     """
-    known = stored(members.join(sizes, "id", "left").select("id", F.col("component").alias("cluster"), F.coalesce("n", F.lit(1)).alias("n")), f"{name}-members")
-    shape = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("total"))
-    shape = shape.where("items > 1").withColumn("blocks", F.greatest(F.ceil(F.col("items") / BLOCK), F.least(F.ceil(F.col("total") / BLOCK_MEMBERS), "items")))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    at = known.transform(lambda d: lookup(d, shape, "cluster", known.count(), "items")).withColumn("block", block)
-    tile = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda j: F.struct(F.col("cluster"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.col("block").alias("block")),
-    )
-    return at.select("id", tile.alias("tiles"))
-
-
-def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: list[np.ndarray], percent: int, k: int, margin: float, small: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one tile; its rows are sorted by block. whole: the tile is one block."""
     n = len(ids)
     size = np.array([len(s) for s in sets])
-    if whole and n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if 100 * size.min() >= percent * size.max() else 0
-        return [(int(ids[0]), int(ids[1]))] if 100 * both >= percent * (size.sum() - both) else []
     split = 0 if whole else int(np.searchsorted(blocks, blocks[-1]))  # the rows before split are the first block
+    root: dict = {}
+    out = []
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            v = up
+        return v
+
+    def join(u: int, v: int) -> None:
+        if (p := find(u)) != (q := find(v)):
+            root[max(p, q)] = min(p, q)
+            out.append((int(ids[u]), int(ids[v])))
+
+    if parts is not None:  # items of one component are connected
+        heads: dict = {}
+        for v, part in enumerate(parts.tolist()):
+            if (u := heads.setdefault(part, v)) != v:
+                root[v] = u
+    if n <= FEW or split == 1:
+        sizes = size.tolist()
+        for u in range(n if whole else split):
+            for v in range(u + 1 if whole else split, n):
+                if 100 * min(sizes[u], sizes[v]) >= percent * max(sizes[u], sizes[v]) and find(u) != find(v):
+                    both = _shared(sets[u], sets[v])
+                    if 100 * both >= percent * (sizes[u] + sizes[v] - both):
+                        join(u, v)
+        return out
     a, b = (np.arange(n), np.arange(n)) if whole else (np.arange(split), np.arange(split, n))
-    bits = np.stack(packed)
-    close = estimate(bits[a], bits[b], k) >= percent / 100 - margin
-    close |= (size[a] <= small)[:, None] & (size[b] <= small)[None, :]
     # sets of similar items have similar sizes
-    close &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
+    close = 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
     if whole:
         close &= np.arange(n)[:, None] < np.arange(n)[None, :]
-    x, y = np.nonzero(close)
+    if parts is not None:
+        close &= parts[a][:, None] != parts[b][None, :]
+    if not close.any():
+        return []
+    bits = packed()
+    near = estimate(bits[a], bits[b], k) >= percent / 100 - margin
+    near |= (size[a] <= small)[:, None] & (size[b] <= small)[None, :]
+    x, y = np.nonzero(close & near)
     x, y = a[x], b[y]
     if not len(x):
         return []
-    if len(x) <= 4:
-        both = np.array([len(np.intersect1d(sets[u], sets[v], assume_unique=True)) for u, v in zip(x, y, strict=True)])
-    else:
-        used = np.unique(np.concatenate([x, y]))
-        both = _common(sets, used)[np.searchsorted(used, x), np.searchsorted(used, y)]
+    used = np.unique(np.concatenate([x, y]))
+    both = _common(sets, used)[np.searchsorted(used, x), np.searchsorted(used, y)]
     linked = 100 * both >= percent * (size[x] + size[y] - both)
-    root, out = list(range(n)), []
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
     for u, v in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-        if (p := find(u)) != (q := find(v)):
-            root[max(p, q)] = min(p, q)
-            out.append((int(ids[u]), int(ids[v])))
+        join(u, v)
     return out
 
 
@@ -169,47 +183,155 @@ def _common(sets: list[np.ndarray], used: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def links(tiled: DataFrame, percent: int, k: int, margin: float = MARGIN, small: int = 0) -> DataFrame:
-    """(src, dst): spanning forests of the confirmed links of all tiles; tiled: (id, tiles, members, packed).
+def links(rows: DataFrame, decode: Decode, percent: int, k: int, margin: float = MARGIN, small: int = 0) -> DataFrame:
+    """(src, dst): spanning forests of the confirmed links of all tiles; rows: (group, i, j, side, id, part, payload).
 
-    A task reads its tiles one after another, sorted, and holds one of them at a time.
+    A tile is (group, i, j). With i = j its items are compared with each other, else those of side 0 with those of
+    side 1; items of one part are not. A task reads its tiles one after another, sorted, and holds one of them at a time.
     """
-    rows = tiled.select("id", F.explode("tiles").alias("t"), "members", "packed").select("t.cluster", "t.i", "t.j", "t.block", "id", "members", "packed")
-    ordered = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "id")
+    ordered = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "id")
+
+    def found(table: pa.RecordBatch) -> list[tuple[int, int]]:
+        """The links of some whole tiles."""
+        key = np.stack([table.column(c).to_numpy() for c in ("group", "i", "j")], 1)
+        ids, side, parts = (table.column(c).to_numpy() for c in ("id", "side", "part"))
+        payloads = table.column("payload")
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        weight = np.concatenate([[0], np.cumsum(pa.compute.binary_length(payloads).to_numpy(zero_copy_only=False))])
+        out: list[tuple[int, int]] = []
+        t = 0
+        while t < len(cuts) - 1:
+            u = max(t + 1, int(np.searchsorted(weight[cuts], weight[cuts[t]] + DECODED, "right")) - 1)
+            first = cuts[t]
+            sets, packed = decode(payloads.slice(first, cuts[u] - first))
+            for a, b in zip(cuts[t:u], cuts[t + 1 : u + 1], strict=True):
+                whole = key[a, 1] == key[a, 2]
+                if b - a > 1 and (whole or side[a] != side[b - 1]):
+                    lo, hi = a - first, b - first
+                    out += similar(ids[a:b], side[a:b], whole, sets[lo:hi], lambda lo=lo, hi=hi: packed(lo, hi), percent, k, margin, small, parts[a:b])
+            t = u
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile: tuple | None = None
-        ids: list[int] = []
-        blocks: list[int] = []
-        sets: list[np.ndarray] = []
-        packed: list[np.ndarray] = []
-        out: list[tuple[int, int]] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("cluster", "i", "j")], 1)
-            own, block = batch.column("id").to_numpy(), batch.column("block").to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            members, bits = batch.column("members"), batch.column("packed")
-            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if a == b:
-                    continue
-                now = tuple(key[a].tolist())
-                if now != tile:
-                    if tile is not None and len(ids) > 1:
-                        out += similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin, small)
-                    tile, ids, blocks, sets, packed = now, [], [], [], []
-                ids += own[a:b].tolist()
-                blocks += block[a:b].tolist()
-                # copies: a batch's memory goes with it
-                sets += [np.frombuffer(members[r].as_buffer(), np.uint64).copy() for r in range(a, b)]
-                packed += [np.frombuffer(bits[r].as_buffer(), np.uint64).copy() for r in range(a, b)]
-            if out:
-                yield _edges(out)
-                out = []
-        if tile is not None and len(ids) > 1:
-            yield _edges(similar(np.array(ids), np.array(blocks), tile[1] == tile[2], sets, packed, percent, k, margin, small))
+            if not len(batch):
+                continue
+            last = [batch.column(c)[-1].as_py() for c in ("group", "i", "j")]
+            of_last = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(("group", "i", "j"), last, strict=True)])
+            at = int(np.argmax(of_last))
+            if at or (held and [held[-1].column(c)[-1].as_py() for c in ("group", "i", "j")] != last):
+                done = pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks()
+                held = []
+                yield _edges([p for part in done.to_batches() for p in found(part)])
+            held.append(batch.slice(at) if at else batch)
+        if held:
+            done = pa.Table.from_batches(held).combine_chunks()
+            yield _edges([p for part in done.to_batches() for p in found(part)])
 
     return ordered.mapInArrow(run, "src long, dst long")
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["src", "dst"])
+
+
+def _weight() -> Column:
+    """The share of a block that an item takes, at least one place of it."""
+    return F.greatest(F.lit(1.0 / BLOCK), F.least(F.col("n") / BLOCK_MEMBERS, F.lit(1.0)))
+
+
+def _against_leaders(pairs: DataFrame, items: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The tiles in which each item of pairs (id, leader, part) meets its leader: a leader's items in chunks, and the leader
+    in each of them. Also the tables that they read."""
+    weighed = stored(pairs.join(items.select("id", "n"), "id").withColumn("w", _weight()).drop("n"), f"{name}-pairs")
+    chunks = stored(weighed.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("w")).alias("chunks")), f"{name}-chunks")
+    members = lookup(weighed, chunks, "leader", weighed.count(), "members")
+    one = F.lit(1).cast("long")
+    asked = members.select(F.col("leader").alias("group"), (F.pmod(F.xxhash64("id"), F.col("chunks")) + 1).alias("j"), one.cast("int").alias("side"), "id", F.lit(1).cast("long").alias("part"))
+    heads = chunks.select(F.col("leader").alias("group"), F.explode(F.sequence(one, F.col("chunks"))).alias("j"), F.lit(0).alias("side"), F.col("leader").alias("id"), F.lit(0).cast("long").alias("part"))
+    both = asked.unionByName(heads).withColumn("i", F.lit(0).cast("long"))
+    return both.join(items.select("id", "payload"), "id"), [weighed, chunks]
+
+
+def distinct_items(items: DataFrame, name: str) -> DataFrame:
+    """items (id, n, payload), a table, without repeated rows."""
+    n = items.count()
+    if n == items.select("id").distinct().count():
+        return items
+    once = stored(items.dropDuplicates(["id", "payload"]), f"{name}-once")
+    discard(items)
+    return once
+
+
+def _open(rows: DataFrame, r: int, name: str) -> DataFrame:
+    """rows (key, id, part) of the buckets that are of several components, with the bucket's number of items in `members`, a
+    leader, and the leader's component in `of`. Of buckets with the same items one is enough. Round 0 takes the smallest
+    item as the leader, a later one an item by hash."""
+    order = F.struct(*([F.xxhash64("id", F.lit(r)).alias("h")] if r else []), F.col("id").alias("leader"), F.col("part").alias("of"))
+    each = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(order).alias("o"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    kept = each.where("low <> high").groupBy("sum", "members", "o").agg(F.min("key").alias("key"))
+    kept = stored(kept.select("key", "members", "o.leader", "o.of"), f"{name}-open")
+    out = stored(lookup(rows, kept, "key", rows.count(), "members").select("key", "id", "part", "members", "leader", "of"), f"{name}-buckets")
+    discard(kept)
+    return out
+
+
+def components(buckets: DataFrame, items: DataFrame, decode: Decode, percent: int, k: int, name: str, margin: float = MARGIN, small: int = 0) -> DataFrame:
+    """(id, component) of the items that are linked with another one.
+
+    buckets: (key, id), a table, of keys that several items have; items: (id, n, payload), a table, with n the size of the
+    item's set.
+    """
+    active = _open(buckets.select("key", "id", F.col("id").alias("part")), 0, name)
+    found: list[DataFrame] = []
+    parts = active.select("id", F.col("id").alias("component")).where("false")
+    for r in range(ROUNDS):
+        # buckets of two items are settled in round 0, those of one block by a tile
+        pair = F.col("members") == 2
+        mine = active.where("part <> of") if not r else active.where((F.col("part") != F.col("of")) & (F.col("members") > BLOCK))
+        asked = mine.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("leader").alias("h"), "leader", pair.alias("pair")))).alias("all"))  # one for each band at most
+        most = LEADERS if r else 1
+        asked = asked.select("id", F.explode(F.array_distinct(F.transform(F.filter("all", lambda x, i: x["pair"] | (i < most)), lambda x: x["leader"]))).alias("leader"))
+        tiles, read = _against_leaders(asked, items, name)
+        found.append(stored(links(tiles, decode, percent, k, margin, small), f"{name}-links"))
+        parts = stored(connected_components(reduce(DataFrame.unionByName, found), f"{name}-parts"), f"{name}-known")
+        labelled = stored(active.where("members > 2").select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), f"{name}-labelled")
+        discard(active, *read)
+        active = _open(labelled, r + 1, name)
+        discard(labelled)
+        if active.where(F.col("members") > BLOCK).isEmpty():
+            break
+    if active.isEmpty():
+        return parts
+    found.append(stored(links(_tiles(active, items, name), decode, percent, k, margin, small), f"{name}-links"))
+    return connected_components(reduce(DataFrame.unionByName, found), name)
+
+
+def _tiles(active: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    """The tiles of all pairs of different components in the buckets active (key, id, part, members)."""
+    rows = stored(active.select("key", "id", "part").join(items.select("id", "n"), "id").withColumn("w", _weight()).drop("n"), f"{name}-rest")
+    total = rows.count()
+    per = rows.groupBy("key", "part").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    # a component that fills a block has its own ones, numbered after those of the others together
+    own = F.struct(F.col("part"), F.when(F.col("w") > 1, F.ceil("w")).otherwise(0).alias("blocks"), "w", "n")
+    per = stored(per.withColumn("own", own), f"{name}-rest-parts")
+    shape = per.groupBy("key").agg(
+        F.sum("n").alias("members"), F.ceil(F.sum(F.when(F.col("own.blocks") == 0, F.col("w")).otherwise(0.0))).alias("mixed"),
+        F.array_sort(F.collect_list(F.when(F.col("own.blocks") > 0, F.struct("part", "own.blocks")))).alias("large"),
+    )
+    start = F.aggregate("large", F.col("mixed"), lambda a, x: a + x["blocks"])
+    shape = stored(shape.withColumn("blocks", start), f"{name}-rest-shape")
+    at = lookup(rows, shape, "key", total, "members")
+    before = F.aggregate(F.filter("large", lambda x: x["part"] < F.col("part")), F.col("mixed"), lambda a, x: a + x["blocks"])
+    at = at.withColumn("mine", F.coalesce(F.try_element_at(F.transform(F.filter("large", lambda x: x["part"] == F.col("part")), lambda x: x["blocks"]), F.lit(1)), F.lit(0).cast("long")))
+    at = at.withColumn("low", F.when(F.col("mine") > 0, before).otherwise(F.lit(0).cast("long")))
+    spread = F.pmod(F.xxhash64("id"), F.when(F.col("mine") > 0, F.col("mine")).otherwise(F.greatest("mixed", F.lit(1))))
+    at = at.withColumn("block", F.col("low") + spread)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (F.col("mine") == 0) | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
+    tiled = at.select("key", "id", "part", "block", F.explode(others).alias("other"))
+    tiled = tiled.select(
+        F.col("key").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "id", "part",
+    )
+    return tiled.join(items.select("id", "payload"), "id")

@@ -81,23 +81,58 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"], _pow["i"]
 
 
+#: A random value for each byte at each of the first places of a word.
+_NEAR = 64
+_AT = mix(_BYTE[None, :] + np.arange(_NEAR, dtype=np.uint64)[:, None] * _P).ravel()
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word: a polynomial in an odd base, summed over the word and moved to its start."""
+    """A 64-bit hash of every word: the sum of a random value for each byte and place, mixed with the length."""
     out = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + _BLOCK, "right")))
-        lo, hi = starts[a], ends[b - 1]
-        p, inv = _powers(int(hi - lo))
-        values = _BYTE[raw[lo:hi]] * p[: hi - lo]
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        first, last = starts[a:b] - lo, ends[a:b] - lo
+        # the place in its word of each byte; those between words count on, and belong to none
+        place = np.arange(hi - lo, dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(first, append=hi - lo))
+        part = raw[lo:hi]
+        values = _AT[np.minimum(place, _NEAR - 1) << 8 | part]
+        if len(far := np.flatnonzero(place >= _NEAR)):
+            values[far] = mix(_BYTE[part[far]] + place[far].astype(np.uint64) * _P)
         edges = np.empty(2 * (b - a), np.int64)
-        edges[0::2], edges[1::2] = starts[a:b] - lo, ends[a:b] - lo
+        edges[0::2], edges[1::2] = first, last
         sums = np.add.reduceat(np.append(values, np.uint64(0)), edges)[0::2]
-        out[a:b] = mix(sums * inv[edges[0::2]] + (ends[a:b] - starts[a:b]).astype(np.uint64))
+        out[a:b] = mix(sums + (last - first).astype(np.uint64) * _P)
         a = b
     return out
 
 
+def same_spans(items: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices of the distinct spans of items, and for each span which of them it is.
+
+    Spans with equal hashes are compared item by item with the one that stands for them; those that differ from it
+    stand for themselves.
+    """
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    other = size != size[one][which]
+    copies = np.flatnonzero(~other & (one[which] != np.arange(len(starts))))
+    for k in range(0, len(copies), 1 << 16):
+        own = copies[k : k + (1 << 16)]
+        n = size[own]
+        cut = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(cut, n)
+        differ = items[np.repeat(starts[own], n) + inside] != items[np.repeat(starts[one[which[own]]], n) + inside]
+        if differ.any():
+            other[own[np.unique(np.repeat(np.arange(len(own)), n)[differ])]] = True
+    if len(alone := np.flatnonzero(other)):
+        which = which.copy()
+        which[alone] = len(one) + np.arange(len(alone))
+        one = np.concatenate([one, alone])
+    return one, which
+
+
 def grams(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hashes of the n consecutive word hashes from each position on (len(words) - n + 1 of them)."""
     size = len(words) - n + 1
@@ -123,6 +158,8 @@ _POINT = mix(np.arange(_TABLED, dtype=np.uint64) + np.uint64(0x51))
 
 def _point_hashes(points: np.ndarray) -> np.ndarray:
     """A hash of each code point."""
+    if not len(points) or points.max() < _TABLED:
+        return _POINT[points]
     out = _POINT[np.minimum(points, _TABLED - 1)]
     if len(far := np.flatnonzero(points >= _TABLED)):
         out[far] = mix(points[far].astype(np.uint64) + np.uint64(0x51))
@@ -130,19 +167,37 @@ def _point_hashes(points: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any spans of a sequence of code points, from one running sum."""
+    """Hashes of spans of a sequence of code points."""
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.powers, self.inverse = _powers(len(points) + 1)
+    def __init__(self, points: np.ndarray, n: int) -> None:
+        """n: the length of the runs that hashes are made of."""
+        self.n, values = n, _point_hashes(points)
+        powers, inverse = _powers(len(points) + 1)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        values = _point_hashes(points)
-        values *= self.powers[: len(points)]
-        np.cumsum(values, out=self.sums[1:])
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        np.cumsum(values * powers[: len(points)], out=self.sums[1:])
+        self.inverse = inverse
+        size = max(0, len(points) - n + 1)
+        #: The hash of the n code points from every place on.
+        self.runs = mix((self.sums[n:] - self.sums[:size]) * inverse[:size] + np.uint64(n)) if size else np.zeros(0, np.uint64)
+
+    def _polynomial(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Only for spans of a few code points: long ones can be made to collide."""
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
-    def runs(self, n: int) -> np.ndarray:
-        """The hash of the n code points from every place on."""
-        size = max(0, len(self.sums) - n)
-        return mix((self.sums[n:] - self.sums[:size]) * self.inverse[:size] + np.uint64(n)) if size else np.zeros(0, np.uint64)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each span: of one shorter than n from its code points, else the sum of a random value for each run of
+        n, one after another and the last one at the end, and its number."""
+        out = np.empty(len(starts), np.uint64)
+        size = ends - starts
+        short = size < self.n
+        out[short] = self._polynomial(starts[short], ends[short])
+        long = np.flatnonzero(~short)
+        if len(long):
+            runs = -(-size[long] // self.n)
+            cut = np.cumsum(runs) - runs
+            k = np.arange(int(runs.sum())) - np.repeat(cut, runs)
+            at = np.repeat(starts[long], runs) + self.n * k
+            at[cut + runs - 1] = ends[long] - self.n
+            sums = np.add.reduceat(mix(self.runs[at] + k.astype(np.uint64) * _P), cut)
+            out[long] = mix(sums + size[long].astype(np.uint64) * _P)
+        return out
