@@ -7,13 +7,14 @@ first word's context is a begin mark, which is no token. The steps:
 1. Word counts: every task counts the hashes of its words, and sends them as sorted arrays by range of hash; a
    task for each range adds them up and writes one file: hashes, counts. A word's id is its place in all ranges.
 2. For k = 2 to the order, counts of k-grams: the same with (place of the context, place of the suffix), the
-   (k-1)-grams without the last and without the first word, mixed so that a frequent gram's longer ones spread
-   over all ranges. The files hold the mixed pairs of places, sorted, and their counts; a k-gram's place is its
-   place in all ranges. A place must fit 32 bits; more grams of one length raise an error.
-3. From the order down, for every place one below: as a context the sum of the counts of its longer grams and
-   how many of them count 1, 2, 3 or more; as a suffix its distinct contexts, which are its count from then on.
-   Grams that start with the begin mark have nothing before them and keep their own count. Sent as sums by range
-   of places, one file for each range.
+   (k-1)-grams without the last and without the first word, in as few bits as they need and mixed within these, so that
+   a frequent gram's longer ones spread over all ranges. The files hold the mixed pairs of places, sorted, as a directory
+   of their high bits and 32 low bits each, and their counts, a byte each and the few larger ones aside; a k-gram's place
+   is its place in all ranges. The two places must fit 64 bits; more grams of one length raise an error.
+3. From the order down, for every place one below: how many of its longer grams count 1, 2, 3 or more, and the sum of their
+   counts (for the longest grams that is its own count, as every word but an end has one after it); as a suffix its distinct contexts, which are its
+   count from then on. Grams that start with the begin mark have nothing before them and keep their own count. For a gram
+   that occurs once all of this is known, and not sent; the others' come as sums by range of places, one file for each range.
 4. Discounts of all orders from counts of counts (a few sums).
 5. Scoring: each slice's distinct words and grams are looked up in the mapped files by binary search.
 
@@ -29,9 +30,8 @@ task changes nothing. Null texts are empty: one end. Without training rows every
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -40,10 +40,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmd.llm.common import scratch_path
+from docmd.llm.common import discard, released, scratch_path, stored, unused
 from docmd.llm.files import place, put
 from docmd.llm.sampling import remainder
-from docmd.llm.textvec import LOWER, NOT_SPACE, mix, slices, word_hashes, word_spans
+from docmd.llm.textvec import LOWER, NOT_SPACE, slices, word_hashes, word_spans
 
 END = np.uint64(0x5D588B656C078965)
 FLUSH = 1 << 22
@@ -54,69 +54,145 @@ _FOUR = 4
 
 
 def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
-    """One file of arrays of equal length, one after another."""
-    put(path, [np.ascontiguousarray(a).data for a in arrays])
+    """One file of arrays, one after another, each from a multiple of 8 bytes on, with their lengths before them."""
+    parts = [np.array([len(a) for a in arrays], np.int64).data]
+    for a in arrays:
+        parts += [np.ascontiguousarray(a).data, b"\0" * (-a.nbytes % 8)]
+    put(path, parts)
 
 
-@lru_cache(4096)
-def read_arrays(path: str, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory where its file system is a mounted one."""
-    if not n:
-        return [np.zeros(0, k) for k in kinds]
-    store, at = place(path)
-    raw = np.memmap(at, np.uint8, "r") if isinstance(store, fs.LocalFileSystem) else np.frombuffer(store.open_input_file(at).read(), np.uint8)
-    out, k = [], 0
-    for kind in kinds:
+def _views(raw: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    k, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, raw[:k].view(np.int64).tolist(), strict=True):
         size = n * np.dtype(kind).itemsize
         out.append(raw[k : k + size].view(kind))
-        k += size
+        k += size + -size % 8
     return out
 
 
+@lru_cache(4096)
+def _mapped(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    return _views(np.memmap(path, np.uint8, "r"), kinds)
+
+
+@lru_cache(16)
+def _loaded(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    store, at = place(path)
+    return _views(np.frombuffer(store.open_input_file(at).read(), np.uint8), kinds)
+
+
+def read_arrays(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of a file, mapped into memory where its file system is a mounted one; else a few files are held."""
+    store, at = place(path)
+    return _mapped(at, kinds) if isinstance(store, fs.LocalFileSystem) else _loaded(path, kinds)
+
+
+#: A count is a byte; of those from LARGE on the places and values follow.
+COUNT = ("uint8", "uint32", "int64")
+LARGE = 255
+#: Low bits of a key that are stored for each one.
+LOW = 32
+PLAIN = -1
+
+
+def packed_counts(counts: np.ndarray) -> list[np.ndarray]:
+    large = np.flatnonzero(counts >= LARGE)
+    return [np.minimum(counts, LARGE).astype(np.uint8), large.astype(np.uint32), counts[large].astype(np.int64)]
+
+
+def packed_keys(keys: np.ndarray, first: int, end: int) -> list[np.ndarray]:
+    """The sorted keys of a range, from first to before end: where each value of the high bits begins, and the low bits."""
+    high = np.arange((first >> LOW), ((end - 1) >> LOW) + 2, dtype=np.uint64)
+    return [np.searchsorted(keys >> np.uint64(LOW), high).astype(np.uint32), keys.astype(np.uint32)]
+
+
 @dataclass
 class Ranges:
-    """Files over equal ranges of 64-bit keys; sizes has the keys of each."""
+    """Files over equal ranges of keys of so many bits; sizes has the keys of each."""
 
     path: str
     kinds: tuple[str, ...]
     sizes: list[int]
+    bits: int = 64
+    counts: int = PLAIN  # the first array of packed counts
 
     @property
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
     def shard(self, i: int) -> list[np.ndarray]:
-        return read_arrays(f"{self.path}/{i:06d}", self.sizes[i], self.kinds)
+        return read_arrays(f"{self.path}/{i:06d}", self.kinds) if self.sizes[i] else [np.zeros(0, k) for k in self.kinds]
+
+    def count(self, i: int, field: int) -> np.ndarray:
+        """All counts of a range."""
+        if self.counts == PLAIN:
+            return self.shard(i)[field]
+        few, at, value = self.shard(i)[self.counts + 3 * field : self.counts + 3 * field + 3]
+        out = few.astype(np.int64)
+        out[at] = value
+        return out
+
+    def keys(self, i: int) -> np.ndarray:
+        """All keys of a range."""
+        found = self.shard(i)
+        if self.counts == PLAIN:
+            return found[0]
+        if not self.sizes[i]:
+            return np.zeros(0, np.uint64)
+        high = np.repeat(np.arange(len(found[0]) - 1, dtype=np.uint64), np.diff(found[0].astype(np.int64)))
+        return (high + (edges(len(self.sizes), self.bits)[i] >> np.uint64(LOW)) << np.uint64(LOW)) | found[1].astype(np.uint64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each of the sorted keys, -1 where it isn't."""
         out = np.full(len(keys), UNKNOWN)
-        starts, own = self.starts, np.searchsorted(keys, edges(len(self.sizes)))
-        own = np.append(own, len(keys))
+        first = edges(len(self.sizes), self.bits)
+        starts, own = self.starts, np.append(np.searchsorted(keys, first), len(keys))
         for i, n in enumerate(self.sizes):
             a, b = own[i], own[i + 1]
-            if n and b > a:
-                there = self.shard(i)[0]
-                at = np.minimum(np.searchsorted(there, keys[a:b]), n - 1)
-                out[a:b] = np.where(there[at] == keys[a:b], starts[i] + at, UNKNOWN)
+            if not n or b <= a:
+                continue
+            wanted, found = keys[a:b], self.shard(i)
+            if self.counts == PLAIN:
+                at = np.minimum(np.searchsorted(found[0], wanted), n - 1)
+                same = found[0][at] == wanted
+            else:
+                high = ((wanted >> np.uint64(LOW)) - (first[i] >> np.uint64(LOW))).astype(np.int64)
+                low, values = wanted.astype(np.uint32), found[1]
+                at, end = found[0][high].astype(np.int64), found[0][high + 1].astype(np.int64)
+                last = end.copy()
+                while (open_ := np.flatnonzero(at < end)).size:
+                    mid = (at[open_] + end[open_]) >> 1
+                    less = values[mid] < low[open_]
+                    at[open_[less]], end[open_[~less]] = mid[less] + 1, mid[~less]
+                same = (at < last) & (values[np.minimum(at, n - 1)] == low)
+            out[a:b] = np.where(same, starts[i] + at, UNKNOWN)
         return out
 
     def take(self, field: int, places: np.ndarray) -> np.ndarray:
-        """A field at each of the places, which are sorted but for -1 anywhere among them; 0 at -1."""
-        out = np.zeros(len(places), self.kinds[field])
+        """A count at each of the places, which are sorted but for -1 anywhere among them; 0 at -1."""
+        out = np.zeros(len(places), np.int64)
         some = np.flatnonzero(places >= 0)
         known, starts = places[some], self.starts
         own = np.searchsorted(known, starts)
         for i in range(len(self.sizes)):
             a, b = own[i], own[i + 1]
-            if b > a:
-                out[some[a:b]] = self.shard(i)[field][known[a:b] - starts[i]]
+            if b <= a:
+                continue
+            at = known[a:b] - starts[i]
+            if self.counts == PLAIN:
+                out[some[a:b]] = self.shard(i)[field][at]
+                continue
+            few, large, value = self.shard(i)[self.counts + 3 * field : self.counts + 3 * field + 3]
+            got = few[at].astype(np.int64)
+            if len(more := np.flatnonzero(got == LARGE)):
+                got[more] = value[np.searchsorted(large, at[more])]
+            out[some[a:b]] = got
         return out
 
 
-def edges(n: int) -> np.ndarray:
+def edges(n: int, bits: int = 64) -> np.ndarray:
     """The first key of each of n equal ranges."""
-    return np.array([(i << 64) // n for i in range(n)], np.uint64)
+    return np.array([(i << bits) // n for i in range(n)], np.uint64)
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +205,22 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(values, at, axis=0) if len(at) else values
 
 
-def _parts(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch | None:
+def _steps(sorted_: np.ndarray, first: int) -> bytes:
+    """Sorted numbers from first on as steps: a byte for their width, then a byte of all steps after another, which compresses well."""
+    steps = np.diff(sorted_, prepend=np.uint64(first))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_steps(blob: pa.Buffer, first: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    width = int(raw[0])
+    steps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    steps[:, :width] = raw[1:].reshape(width, -1).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(first)
+
+
+def _parts(keys: np.ndarray, counts: np.ndarray, ranges: int, bits: int) -> pa.RecordBatch | None:
     """Sorted keys and their counts as rows (part, keys, counts); a count is a byte, a larger one several entries."""
     if not len(keys):
         return None
@@ -139,15 +230,16 @@ def _parts(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch
         last = np.cumsum(times) - 1
         small[last] = counts - (times - 1) * 255
         keys, counts = np.repeat(keys, times), small
-    at = np.append(np.searchsorted(keys, edges(ranges)), len(keys))
+    first = edges(ranges, bits)
+    at = np.append(np.searchsorted(keys, first), len(keys))
     some = [i for i in range(ranges) if at[i + 1] > at[i]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), pa.array([keys[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.array([counts[at[i] : at[i + 1]].astype(np.uint8).tobytes() for i in some], pa.binary())],
+        [pa.array(some, pa.int32()), pa.array([_steps(keys[at[i] : at[i + 1]], int(first[i])) for i in some], pa.binary()), pa.array([counts[at[i] : at[i + 1]].astype(np.uint8).tobytes() for i in some], pa.binary())],
         ["part", "keys", "counts"],
     )
 
 
-def _counted(streams: Iterator[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
+def _counted(streams: Iterator[np.ndarray], ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
     """The counts of all keys of the streams, flushed whenever more than FLUSH distinct ones are held."""
     held, size = [], 0
     keys, counts = np.zeros(0, np.uint64), np.zeros((0, 1), np.int64)
@@ -159,11 +251,11 @@ def _counted(streams: Iterator[np.ndarray], ranges: int) -> Iterator[pa.RecordBa
             keys, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
             held, size = [], 0
             if len(keys) > FLUSH:
-                yield _parts(keys, counts[:, 0], ranges)
+                yield _parts(keys, counts[:, 0], ranges, bits)
                 keys, counts = keys[:0], counts[:0]
     keys, counts = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
     if len(keys):
-        yield _parts(keys, counts[:, 0], ranges)
+        yield _parts(keys, counts[:, 0], ranges, bits)
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,8 +276,9 @@ def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Model:
     words: Ranges  # hash, count
     grams: list[Ranges]  # of 2 words and more: mixed (place of the context, place of the suffix), count
-    stats: list[Ranges]  # of 1 word and more, by place: sum of the counts of its longer grams, those of 1, 2, 3 and more; its own count
+    stats: list[Ranges]  # of 1 word and more, by place: how many of its longer grams count 1, 2, 3 and more; its own count; but for the last, the sum of their counts
     total: int  # training tokens
+    texts: int  # training texts
     discounts: list[np.ndarray]  # of 1 word and more, by count, 0 to 3
     contexts: int  # distinct pairs
     left: float  # the share of the words' distribution that is spread evenly
@@ -201,9 +294,36 @@ class Model:
         return found[where], self.words.take(1, found)[where] if len(one) else np.zeros(0, np.int64)
 
 
-def gram_keys(places: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """The mixed key of the gram of each two places."""
-    return mix(before.astype(np.uint64) << np.uint64(32) | places.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+def _width(model: Model, k: int) -> int:
+    """The bits that a place of a gram of k words takes, or the begin mark's, one after the words' last."""
+    return max(1, (model.size if k == 1 else sum(model.grams[k - 2].sizes)).bit_length())
+
+
+_FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+
+
+def scrambled(x: np.ndarray, bits: int, back: bool = False) -> np.ndarray:
+    """A one-to-one mixture of numbers of so many bits, or back."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for f in reversed(_FACTORS) if back else _FACTORS:
+        if back:
+            x = x ^ (x >> half)
+            x = x * np.uint64(pow(f, -1, 1 << 64)) & mask
+        else:
+            x = x * np.uint64(f) & mask
+            x = x ^ (x >> half)
+    return x
+
+
+def gram_keys(places: np.ndarray, before: np.ndarray, width: int) -> np.ndarray:
+    """The key of the gram of each two places of so many bits."""
+    return scrambled(before.astype(np.uint64) << np.uint64(width) | places.astype(np.uint64), 2 * width)
+
+
+def gram_places(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the context and of the suffix of each key."""
+    both = scrambled(keys, 2 * width, True)
+    return (both >> np.uint64(width)).astype(np.int64), (both & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 def preceding(places: np.ndarray, offsets: np.ndarray, first: int) -> np.ndarray:
@@ -227,7 +347,7 @@ def climb(model: Model, ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[
         yield before, places, inside
         if k < len(model.grams):
             known = np.flatnonzero((before >= 0) & (places >= 0) & inside)
-            one, back = np.unique(gram_keys(places[known], before[known]), return_inverse=True)
+            one, back = np.unique(gram_keys(places[known], before[known], _width(model, k + 1)), return_inverse=True)
             places = np.full(len(ids), UNKNOWN)
             places[known] = model.grams[k].find(one)[back]
 
@@ -242,17 +362,9 @@ def discounts(n: list[int], positive: bool = False) -> np.ndarray:
     return np.array([0, *(d if d > 0 else 0.5 if positive else 0 for d in found)])
 
 
-def _unmixed(keys: np.ndarray) -> np.ndarray:
-    """The inverse of mix."""
-    x = keys ^ (keys >> np.uint64(31)) ^ (keys >> np.uint64(62))
-    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
-def _collect(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for c in table["keys"].chunks for x in c])
+def _collect(table: pa.Table, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    first = int(edges(ranges, bits)[table["part"][0].as_py()])
+    keys = np.concatenate([_from_steps(x.as_buffer(), first) for c in table["keys"].chunks for x in c])
     counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for c in table["counts"].chunks for x in c])
     keys, sums = summed(keys, counts.astype(np.int64)[:, None])
     return keys, sums[:, 0]
@@ -277,10 +389,14 @@ def _fields(blob: pa.Buffer, n: int, fields: int) -> list[np.ndarray]:
 _SUMS = "part int, own int, n_contexts long, contexts binary, n_suffixes long, suffixes binary, n long, ns array<long>, more long"
 
 
-def _sums(part: int, context: np.ndarray, suffix: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> pa.Table:
-    """What grams of these places and counts add to the grams one shorter, by range (the starts); one row at least."""
-    values = np.stack([counts, counts == 1, counts == 2, counts >= 3], 1).astype(np.int64)
-    sides = [summed(context, values), summed(suffix, np.ones((len(suffix), 1), np.int64))]
+def _sums(part: int, context: np.ndarray, suffix: np.ndarray, counts: np.ndarray, level: Ranges, begin: int | None, longest: bool) -> pa.Table:
+    """What grams of these places and counts add to those of level, one word shorter, by range; one row at least. begin: the place
+    of the begin mark, which has a range of its own; where there is none, grams that occur once are left out. Those of the longest
+    grams have no sum of counts."""
+    starts = level.starts if begin is None else np.append(level.starts, begin + 1)
+    sides = [summed(context, np.stack([counts == 1, counts == 2, counts >= 3, *([] if longest else [counts])], 1).astype(np.int64)), summed(suffix, np.ones((len(suffix), 1), np.int64))]
+    if begin is None:
+        sides = [(ids[again], sums[again]) for ids, sums in sides for again in [level.take(0, ids) > 1]]
     cuts = [np.searchsorted(ids, starts) for ids, _ in sides]
     some = [i for i in range(len(starts) - 1) if any(at[i + 1] > at[i] for at in cuts)] or [0]
     blobs = [[_planes([np.diff(ids[at[i] : at[i + 1]], prepend=starts[i]), *sums[at[i] : at[i + 1]].T]) for i in some] for (ids, sums), at in zip(sides, cuts, strict=True)]
@@ -293,23 +409,18 @@ def _sums(part: int, context: np.ndarray, suffix: np.ndarray, counts: np.ndarray
     })
 
 
-def _added(table: pa.Table, low: int, size: int) -> np.ndarray:
-    """(size, 5) of what the rows of _sums add to the places from low on."""
-    dense = np.zeros((size, 5), np.int64)
+def _added(table: pa.Table, size: int, longest: bool) -> np.ndarray:
+    """(size, 4) or (size, 5) of what the rows of _sums add to the places of their range."""
+    columns = {"contexts": [0, 1, 2] if longest else [0, 1, 2, 4], "suffixes": [3]}
+    dense = np.zeros((size, 4 if longest else 5), np.int64)
     for r in range(len(table)):
-        for name, fields, columns in (("contexts", 5, slice(0, 4)), ("suffixes", 2, slice(4, 5))):
+        for name, fields in columns.items():
             if n := table[f"n_{name}"][r].as_py():
-                at, *values = _fields(table[name][r].as_buffer(), n, fields)
-                dense[np.cumsum(at), columns] += np.stack(values, 1)
+                at, *values = _fields(table[name][r].as_buffer(), n, len(fields) + 1)
+                dense[np.cumsum(at)[:, None], fields] += np.stack(values, 1)
     return dense
 
 
-def _released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fit(rows: DataFrame, text: str = "text", order: int = 2) -> Model:
     """A model of the texts of all rows, of grams of up to `order` words."""
     if order < 2:
@@ -320,90 +431,89 @@ def fit(rows: DataFrame, text: str = "text", order: int = 2) -> Model:
     path = scratch_path(spark, "ngram")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted((h for b in batches for h, _ in tokens(b.column("t"))), ranges)
+        yield from _counted((h for b in batches for h, _ in tokens(b.column("t"))), ranges, 64)
 
-    def writer(name: str, kind: str):
+    def writer(name: str, n: int, bits: int, packed: bool):
         def write(table: pa.Table) -> pa.Table:
             part = table["part"][0].as_py()
-            keys, counts = _collect(table)
-            write_arrays(f"{path}/{name}/{part:06d}", [keys, counts.astype(kind)])
-            return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
+            keys, counts = _collect(table, n, bits)
+            write_arrays(f"{path}/{name}/{part:06d}", [*packed_keys(keys, *_ends(part, n, bits)), *packed_counts(counts)] if packed else [keys, counts])
+            ends = int(counts[keys == END].sum()) if not packed else 0
+            return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "ends": [ends]})
 
         return write
 
-    sent, sizes = "part int, keys binary, counts binary", "part int, n long, total long"
-    done = texts.mapInArrow(count_words, sent).groupBy("part").applyInArrow(writer("words", "int64"), sizes).collect()  # a row for each range
+    sent, sizes = "part int, keys binary, counts binary", "part int, n long, total long, ends long"
+    done = texts.mapInArrow(count_words, sent).groupBy("part").applyInArrow(writer("words", ranges, 64, False), sizes).collect()  # a row for each range
     words = Ranges(f"{path}/words", ("uint64", "int64"), [0] * ranges)
     for r in done:
         words.sizes[r.part] = r.n
-    total = sum(r.total for r in done)
-    wide, count = 2 * ranges, "uint32" if total < 1 << 32 else "int64"
-    model = Model(words, [], [], total, [], 0, 1.0)
+    model = Model(words, [], [], sum(r.total for r in done), sum(r.ends for r in done), [], 0, 1.0)
+    wide = 2 * ranges
 
-    def counter(known: Model):
+    def counter(known: Model, bits: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def keys() -> Iterator[np.ndarray]:
                 for b in batches:
                     for h, at in tokens(b.column("t")):
                         *_, (before, places, inside) = climb(known, known.look_up(h)[0], at)
-                        yield gram_keys(places[inside], before[inside])
+                        yield gram_keys(places[inside], before[inside], bits // 2)
 
-            yield from _counted(keys(), wide)
+            yield from _counted(keys(), wide, bits)
 
         return run
 
-    def bounds(level: Ranges, begin: int | None) -> np.ndarray:
-        # the begin mark has a range of its own
-        return np.append(level.starts, begin + 1) if begin is not None else level.starts
+    def top(known: Model, bits: int):
+        below, begin = (known.grams[-1], None) if known.grams else (known.words, known.size)
 
-    def top(starts: np.ndarray):
         def write(table: pa.Table) -> pa.Table:
             part = table["part"][0].as_py()
-            keys, counts = _collect(table)
-            write_arrays(f"{path}/{order}/{part:06d}", [keys, counts.astype(count)])
-            both = _unmixed(keys)
-            return _sums(part, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, starts)
+            keys, counts = _collect(table, wide, bits)
+            write_arrays(f"{path}/{order}/{part:06d}", [*packed_keys(keys, *_ends(part, wide, bits)), *packed_counts(counts)])
+            return _sums(part, *gram_places(keys, bits // 2), counts, below, begin, True)
 
         return write
 
-    def middle(level: Ranges, k: int, starts: np.ndarray):
+    def middle(known: Model, k: int):
+        level = known.grams[k - 2]
+        below, begin = (known.grams[k - 3], None) if k > 2 else (known.words, known.size)
+
         def write(table: pa.Table) -> pa.Table:
             part = table["own"][0].as_py()
-            dense = _added(table, 0, level.sizes[part])
-            keys, counts = level.shard(part) if level.sizes[part] else (np.zeros(0, np.uint64), np.zeros(0, count))
-            dense[:, 4] = np.where(dense[:, 4] > 0, dense[:, 4], counts)
-            write_arrays(f"{path}/stats{k}/{part:06d}", [dense[:, j].astype(count) for j in range(5)])
-            both = _unmixed(keys)
-            return _sums(part, (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), dense[:, 4], starts)
+            dense, keys, counts = _added(table, level.sizes[part], k + 1 == order), level.keys(part), level.count(part, 0)
+            dense[counts == 1] = (1, 0, 0, 1, 1)[: dense.shape[1]]
+            dense[:, 3] = np.where(dense[:, 3] > 0, dense[:, 3], counts)
+            write_arrays(f"{path}/stats{k}/{part:06d}", [x for j in range(dense.shape[1]) for x in packed_counts(dense[:, j])])
+            return _sums(part, *gram_places(keys, level.bits // 2), dense[:, 3], below, begin, False)
 
         return write
 
     def low(table: pa.Table) -> pa.Table:
         part = table["own"][0].as_py()
-        dense = _added(table, 0, 1 if part == ranges else words.sizes[part])
-        write_arrays(f"{path}/stats1/{part:06d}", [dense[:, j] for j in range(5)])
-        own = dense[dense[:, 4] > 0, 4]
+        dense = _added(table, 1 if part == ranges else words.sizes[part], order == 2)
+        write_arrays(f"{path}/stats1/{part:06d}", list(dense.T))
+        own = dense[dense[:, 3] > 0, 3]
         return pa.table({"ns": pa.array([_of_counts(own)], pa.list_(pa.int64())), "more": [int((own > 2).sum())]})
 
     for k in range(2, order + 1):
-        shuffled = texts.mapInArrow(counter(model), sent).groupBy("part")
-        level = Ranges(f"{path}/{k}", ("uint64", count), [0] * wide)
+        bits = 2 * _width(model, k - 1)
+        if bits > 64:
+            raise ValueError(f"more than 2^32 grams of {k - 1} words")
+        shuffled = texts.mapInArrow(counter(model, bits), sent).groupBy("part")
+        level = Ranges(f"{path}/{k}", ("uint32", "uint32", *COUNT), [0] * wide, bits, 2)
         if k < order:
-            for r in shuffled.applyInArrow(writer(str(k), count), sizes).collect():
+            for r in shuffled.applyInArrow(writer(str(k), wide, bits, True), sizes).collect():
                 level.sizes[r.part] = r.n
-            _released(spark)
-            if sum(level.sizes) >= 1 << 32:
-                raise ValueError(f"more than 2^32 grams of {k} words")
-            model = Model(words, [*model.grams, level], [], total, [], 0, 1.0)
-    below = model.grams[-1] if model.grams else words
-    made = shuffled.applyInArrow(top(bounds(below, None if model.grams else model.size)), _SUMS)
+            released(spark)
+            model = replace(model, grams=[*model.grams, level])
+    made = shuffled.applyInArrow(top(model, bits), _SUMS)
     cuts = [np.zeros(4)] * order
     stats: list[Ranges] = []
+    held = None
     for k in range(order, 1, -1):  # the grams of k words, and what they add to those of k - 1
-        held = scratch_path(spark, "ngram-sums")
-        made.write.parquet(held)
-        _released(spark)
-        made, ns = spark.read.parquet(held), np.zeros(_FOUR, int)
+        last, held = held, stored(made, "ngram-sums")
+        released(spark) if last is None else discard(last)
+        made, ns = held, np.zeros(_FOUR, int)
         for r in made.select("part", "n", "ns").distinct().collect():  # a row for each range
             if k == order:
                 level.sizes[r.part] = r.n
@@ -411,22 +521,27 @@ def fit(rows: DataFrame, text: str = "text", order: int = 2) -> Model:
         cuts[k - 1] = discounts(ns.tolist(), order > 2)
         if k > 2:
             own = model.grams[k - 3]
-            stats.insert(0, Ranges(f"{path}/stats{k - 1}", (count,) * 5, own.sizes))
-            lower = model.grams[k - 4] if k > 3 else words
+            stats.insert(0, Ranges(f"{path}/stats{k - 1}", COUNT * (4 if k == order else 5), own.sizes, own.bits, 0))
             # every range has a row, also one of which no gram has a longer one
             each = [(-1, i, 0, b"", 0, b"", 0, [0] * _FOUR, 0) for i, n in enumerate(own.sizes) if n]
-            made = made.unionByName(spark.createDataFrame(each, _SUMS)).groupBy("own").applyInArrow(middle(own, k - 1, bounds(lower, None if k > 3 else model.size)), _SUMS)
+            made = made.unionByName(spark.createDataFrame(each, _SUMS)).groupBy("own").applyInArrow(middle(model, k - 1), _SUMS)
     wns, many = np.zeros(_FOUR, int), 0
     # an id without a pair does not exist: every word is a word or an end after some context
     for r in made.where("n > 0").groupBy("own").applyInArrow(low, "ns array<long>, more long").collect():
         wns += r.ns
         many += r.more
+    discard(held)
     grams = [*model.grams, level]
     contexts = sum(grams[0].sizes)
     cuts[0] = discounts(wns.tolist(), order > 2)
     left = float(cuts[0][1] * wns[0] + cuts[0][2] * wns[1] + cuts[0][3] * many) / contexts if contexts else 1.0
-    ids = Ranges(f"{path}/stats1", ("int64",) * 5, [*words.sizes, 1] if contexts else [0] * (ranges + 1))
-    return Model(words, grams, [ids, *stats], total, cuts, contexts, left)
+    ids = Ranges(f"{path}/stats1", ("int64",) * (4 if order == 2 else 5), [*words.sizes, 1] if contexts else [0] * (ranges + 1))
+    return replace(model, grams=grams, stats=[ids, *stats], discounts=cuts, contexts=contexts, left=left)
+
+
+def _ends(part: int, n: int, bits: int) -> tuple[int, int]:
+    """The first key of a range, and that of the next."""
+    return (part << bits) // n, (part + 1 << bits) // n
 
 
 def score(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -436,7 +551,7 @@ def score(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarra
         ids, counts = model.look_up(hashes)
         base = np.log10((counts + 1) / (model.total + size + 1))
         one, where = np.unique(ids, return_inverse=True)
-        seen = model.stats[0].take(4, one)
+        seen = model.stats[0].take(3, one)
         p = (np.maximum(seen - model.discounts[0][np.minimum(seen, 3)], 0) / max(model.contexts, 1) + model.left * even)[where]
         steps = climb(model, ids, at)
         before, _, inside = next(steps)
@@ -444,11 +559,15 @@ def score(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarra
             following = next(steps)
             # the grams' own counts: as they were counted for the longest ones
             places, back = np.unique(following[1], return_inverse=True)
-            c = (model.stats[k + 1].take(4, places) if k + 1 < len(model.stats) else model.grams[k].take(1, places)).astype(np.int64)[back]
+            c = (model.stats[k + 1].take(3, places) if k + 1 < len(model.stats) else model.grams[k].take(0, places))[back]
             d = model.discounts[k + 1]
             contexts, which = np.unique(before, return_inverse=True)
             there = contexts if k else np.where(contexts == size, int(model.stats[0].starts[-2]), contexts)
-            sums, *n = (model.stats[k].take(j, there).astype(np.int64)[which] for j in range(4))
+            n = [model.stats[k].take(j, there)[which] for j in range(3)]
+            if k + 1 < len(model.grams):
+                sums = model.stats[k].take(4, there)[which]
+            else:
+                sums = (model.grams[k - 1].take(0, contexts) if k else np.where(contexts == size, model.texts, model.words.take(1, np.where(contexts == size, UNKNOWN, contexts))))[which]
             with np.errstate(divide="ignore", invalid="ignore"):
                 longer = (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) * p) / sums
             p = np.where(inside & (sums > 0), longer, p)
@@ -461,13 +580,14 @@ def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """The kept columns, n_tokens, n_known, base_score, score and perplexity, which replace kept columns of their names."""
     names = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
     keep = [c for c in keep if c not in names]
-    slim = rows.select(*keep, F.col(text).alias("_text"))
+    own_text = unused(keep, "_text")
+    slim = rows.select(*keep, F.col(text).alias(own_text))
     whole, real = F.lit(0).cast("long"), F.lit(0.0)
     schema = rows.select(*keep).withColumns(dict(zip(names, (whole, whole, real, real, real), strict=True))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(score(model, batch.column("_text")))
+            got = list(score(model, batch.column(own_text)))
             if got:
                 n, known, base, own = (np.concatenate(x) for x in zip(*got, strict=True))
                 found = [n, known, base, own, 10 ** np.minimum(-own / n, 300)]
