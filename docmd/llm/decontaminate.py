@@ -11,7 +11,9 @@ window. Every match is then extended: the windows that contain the matched words
 word by word. Items of fewer than WINDOW words are found by the hash of their whole sequence at every place of
 a document, and compared as well.
 
-The benchmark's fingerprints are broadcast when they are at most `broadcast_rows`, else joined by a shuffle.
+A fingerprint goes with the words around it that its windows can hold, not with the whole item. The fingerprints are
+broadcast when they are at most `broadcast_rows` and `broadcast_bytes`, both counted, else joined by a shuffle, in which
+the adaptive skew join splits a fingerprint that many documents hold.
 Items with equal words are one class. Null and empty texts have no words. Rows that share a doc_id (null
 included) share their hits. Without items, or without documents, nothing is hit.
 """
@@ -58,19 +60,25 @@ def _with_words(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return split.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
 
-def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(id, start, length, class) of every occurrence of a window, and (class, items) with the items of each class."""
     split = _with_words(items, item_key, item_text, "item").withColumn("class", F.sha2(F.concat_ws(" ", "w"), 256))
     kinds = stored(split.groupBy("class").agg(F.first("w").alias("iw"), F.first("h").alias("h"), F.collect_set(F.col("item").cast("string")).alias("items")), "decontaminate-items")
-    marks = stored(winnowed(kinds.select("class", F.col("iw").alias("w"), "h")).select("class", F.col("w").alias("iw"), F.col("place").alias("iplace"), "fp"), "decontaminate-marks")
-    docs = _with_words(documents, key, text, "id")
     spread = WINDOW - GRAM
+    before = F.greatest(F.col("place") - spread, F.lit(0))
+    marks = winnowed(kinds.select("class", F.col("iw").alias("w"), "h")).select(
+        "class", F.slice("w", before + 1, F.col("place") - before + WINDOW).alias("iw"), (F.col("place") - before).alias("iplace"), "fp"
+    )
+    marks = stored(marks, "decontaminate-marks")
+    docs = _with_words(documents, key, text, "id")
 
-    def matched(rows: DataFrame, start: Column, size: Column, known: DataFrame) -> DataFrame:
+    def matched(rows: DataFrame, start: Column, length: Column, known: DataFrame) -> DataFrame:
         """rows with the words from start on, joined with the marks of the benchmark."""
-        part = F.slice("w", start + 1, size).alias("part")
+        part = F.slice("w", start + 1, length).alias("part")
         own = [c for c in rows.columns if c != "w"]
-        if known.count() <= broadcast_rows:
+        size = F.sum(F.aggregate("iw", F.lit(160).cast("long"), lambda a, x: a + F.octet_length(x) + 24))
+        n, held = known.agg(F.count(F.lit(1)), size).first()
+        if n <= broadcast_rows and (held or 0) <= broadcast_bytes:
             joined = rows.join(F.broadcast(known), "fp")
             return joined.select(*own, part, *(c for c in known.columns if c != "fp"))
         return rows.select(*own, part).join(known, "fp")
