@@ -6,8 +6,9 @@ centroids found by spherical k-means; a text gets the language of the centroid w
 A text that is farther from that centroid than `reject_factor` times the farthest of its training texts'
 cosines is rejected.
 
-The model is fitted on at most `per_language` texts of each language (a documented bound; whole texts);
-everything else reads all rows. Null and empty texts and texts without a letter are `und`, score 0, rejected.
+The model is fitted on at most `per_language` texts of each language, and fewer where there are many languages, so that
+they are SAMPLE at most (documented bounds; whole texts, of an id with several the smallest label's); the LANGUAGES most
+frequent labels are learnt. Everything else reads all rows. Null and empty texts and texts without a letter are `und`, score 0, rejected.
 Without any labelled row there is no language: every text is `und`. Repeated rows get equal results.
 """
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmd.llm.common import unused
 from docmd.llm.sampling import per_label, remainder
 from docmd.llm.textvec import slices
 
@@ -29,6 +31,8 @@ DIM = 1 << BITS
 UNDEFINED = "und"
 #: Bytes that training texts are cut to for the floors, and the quantile of their cosines.
 LENGTHS, QUANTILE = (16, 64, 256, 1024, 4096), 0.01
+#: Bounds of the sample: texts in all, and labels.
+SAMPLE, LANGUAGES = 3200, 400
 #: Texts that are a dense matrix at once.
 BLOCK = 128
 _NORMAL = np.full(256, 32, np.uint8)
@@ -112,9 +116,11 @@ def _floors(texts: list[bytes], x: np.ndarray, sums: np.ndarray, idf: np.ndarray
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = 400, centroids: int = 4, reject_factor: float = 0.8) -> Model:
     """A model of at most per_language texts of each non-null label."""
     labelled = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    ids = per_label(labelled.select("k", "l"), "l", "k", per_language)
-    # the chosen ids are at most per_language for each language
-    sample = labelled.join(F.broadcast(ids.select("k").distinct()), "k", "left_semi").select("l", "t").toArrow()
+    known = [r.l for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    labelled = labelled.where(F.col("l").isin(known)) if len(known) == LANGUAGES else labelled
+    ids = per_label(labelled.select("k", "l"), "l", "k", max(1, min(per_language, SAMPLE // max(len(known), 1))))
+    # the chosen ids are at most that many for each language
+    sample = labelled.join(F.broadcast(ids.select("k").distinct()), "k", "left_semi").groupBy("k").agg(F.min(F.struct("l", "t")).alias("x")).select("x.l", "x.t").toArrow()
     kinds = np.array(sample["l"].to_pylist(), dtype=object)
     texts = [t.encode() for t in sample["t"].to_pylist()]
     x = np.zeros((len(texts), DIM), np.float32)
@@ -174,12 +180,13 @@ def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.n
 def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, then lang_pred, score (the cosine) and rejected; these replace kept columns of their names."""
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
-    slim = rows.select(*keep, F.col(text).alias("_text"))
+    own_text = unused(keep, "_text")
+    slim = rows.select(*keep, F.col(text).alias(own_text))
     schema = rows.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, rejected = classify(model, batch.column("_text"))
+            names, scores, rejected = classify(model, batch.column(own_text))
             own = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 

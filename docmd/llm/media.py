@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmd.llm.common import unused
 from docmd.llm.textvec import slices
 
 #: Fixed values of the format.
@@ -227,12 +228,13 @@ def feature(s: Stream) -> str:
 def stored(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_bytes of the text and its stream in `media`; these replace kept columns of their names."""
     keep = [c for c in keep if c not in ("n_bytes", "media")]
-    slim = rows.select(*keep, F.col(text).alias("_text"))
+    own = unused(keep, "_text")
+    slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumns({"n_bytes": F.lit(0).cast("long"), "media": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in slices(batch.column("_text")):
+            for i, j, raw, offsets in slices(batch.column(own)):
                 media = [mux(padded(raw[a:b].tobytes())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], [*keep, "n_bytes", "media"])
 
@@ -244,13 +246,14 @@ _READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 
 def read(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and what the streams of `media` hold: digests, features, timestamps, random-access points."""
-    slim = rows.select(*keep, F.col(media).alias("_media"))
+    stream = unused(keep, "_media")
+    slim = rows.select(*keep, F.col(media).alias(stream))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for cell in batch.column("_media"):
+            for cell in batch.column(stream):
                 data = cell.as_buffer().to_pybytes() if cell.is_valid else b""
                 s = demux(data)
                 found = (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), s.timestamps, [{"place": p, "timestamp": t} for p, t in s.access_points])

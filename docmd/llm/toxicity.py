@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmd.llm.common import unused
 from docmd.llm.sampling import per_label, remainder
 from docmd.llm.textvec import ALNUM, LOWER, digest_rows, grams, slices, word_hashes, word_spans
 
@@ -75,11 +76,12 @@ def ftrl(x: list[np.ndarray], y: np.ndarray, alpha: float, beta: float, l1: floa
 
 
 def fit(rows: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", bound: int = 4000, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 4) -> Model:
-    """A model of at most `bound` rows of each class (0 and 1)."""
+    """A model of at most `bound` ids of each class (0 and 1); of an id with several texts, the smallest."""
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").groupBy("k").agg((F.max("y") > 0).cast("int").alias("y"))
     share = known.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     chosen = per_label(known, "y", "k", bound)
-    sample = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("y", "t")
+    sample = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    sample = sample.groupBy("k").agg(F.first("y").alias("y"), F.min("t").alias("t")).select("y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +120,13 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and score, which replaces a kept column of that name."""
     keep = [c for c in keep if c != "score"]
-    slim = rows.select(*keep, F.col(text).alias("_text"))
+    own = unused(keep, "_text")
+    slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores(model, batch.column("_text")))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores(model, batch.column(own)))], [*keep, "score"])
 
     return slim.mapInArrow(run, schema)
 
