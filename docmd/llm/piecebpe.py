@@ -20,18 +20,22 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmd.llm.textvec import mix, slices
+from docmd.llm.common import unused
+from docmd.llm.textvec import mix, same_spans, slices
 
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 20240229
 #: Bytes of text, and places of units, that are handled at once.
 SLICE, PLACES = 1 << 19, 1 << 18
+#: Characters of a unit from which its merges are not found by scanning it.
+LONG = 2048
 _NONE = np.int32(1 << 30)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,6 +112,25 @@ class Pieces:
         return self.ranks[at], self.merged[at]
 
 
+    def pair(self, left: int, right: int) -> tuple[int, int]:
+        """The same for two pieces."""
+        if left < 0 or right < 0:
+            return int(_NONE), -1
+        key = left << 32 | right
+        at = _mixed(key) & self.mask
+        while (there := int(self.keys[at])) != key and there >= 0:
+            at = at + 1 & self.mask
+        return int(self.ranks[at]), int(self.merged[at])
+
+
+def _mixed(x: int) -> int:
+    """`mix` of one number."""
+    full = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+    return x ^ x >> 31
+
+
 @cache
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -163,6 +186,43 @@ def _merge(model: Pieces, ids: np.ndarray, hashes: np.ndarray, dropout: float) -
     return ids
 
 
+def _merge_long(model: Pieces, ids: np.ndarray, seed: int, dropout: float) -> np.ndarray:
+    """`_merge` of one unit of many places: the best candidate comes off a heap."""
+    n, full = len(ids), (1 << 64) - 1
+    limit = min(int(dropout * 2.0**64), full)
+    ranks, merged = (x.tolist() for x in model.pairs(ids[:-1], ids[1:]))
+    out, none = ids.tolist(), int(_NONE)
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i, r in enumerate(ranks) if r < none]
+    heapify(heap)
+    while heap:
+        rank, at = heappop(heap)
+        if ranks[at] != rank:  # another candidate by now
+            continue
+        nxt = right[at]
+        if dropout:
+            key = _mixed(seed + (at + 1) * int(_ODD) & full)
+            if _mixed(key ^ (out[at] << 32 | out[nxt])) < limit:
+                ranks[at] = none
+                continue
+        out[at], out[nxt] = merged[at], -1
+        if nxt < n - 1:
+            ranks[nxt] = none
+        after = right[at] = right[nxt]
+        if at < n - 1:
+            ranks[at] = none
+        if after < n:
+            left[after] = at
+            ranks[at], merged[at] = model.pair(out[at], out[after])
+            if ranks[at] < none:
+                heappush(heap, (ranks[at], at))
+        if (before := left[at]) >= 0:
+            ranks[before], merged[before] = model.pair(out[before], out[at])
+            if ranks[before] < none:
+                heappush(heap, (ranks[before], before))
+    return np.array(out, np.int32)
+
+
 def encode(path: str, texts: pa.Array, dropout: float = DROPOUT, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice: the piece ids of its texts and the offsets of the texts."""
     model = load(path)
@@ -204,7 +264,7 @@ def encode(path: str, texts: pa.Array, dropout: float = DROPOUT, seed: int = SEE
             h = mix(h ^ mix(own[text] + (place.astype(np.uint64) + np.uint64(1)) * _ODD))
             one = which = np.arange(len(unit))
         else:
-            _, one, which = np.unique(h, return_index=True, return_inverse=True)
+            one, which = same_spans(points, h, unit, ends)
         pieces, counts = _units(model, points, unit[one], ends[one], mix(h[one] ^ np.uint64(seed)), dropout)
         where = np.concatenate([[0], np.cumsum(counts)])
         n = counts[which]
@@ -214,14 +274,11 @@ def encode(path: str, texts: pa.Array, dropout: float = DROPOUT, seed: int = SEE
 
 
 def _unit_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers = np.full(len(points), _ODD, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    inverse = np.full(len(points), np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    sums = np.add.reduceat(mix(points.astype(np.uint64)) * powers, starts)
-    return mix(sums * inverse[starts] + (ends - starts).astype(np.uint64))
+    """The hash of each unit; units follow one another."""
+    place = np.arange(len(points), dtype=np.uint64)
+    place -= np.repeat(starts.astype(np.uint64), np.diff(starts, append=len(points)))
+    sums = np.add.reduceat(mix(points.astype(np.uint64) * _ODD + mix(place)), starts)
+    return mix(sums + (ends - starts).astype(np.uint64) * _ODD)
 
 
 def _units(model: Pieces, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +302,7 @@ def _units(model: Pieces, points: np.ndarray, starts: np.ndarray, ends: np.ndarr
         codes = np.where(inside, points[np.minimum(at, len(points) - 1)], -1)
         ids = np.where(codes == 0x110000, -1, model.points[np.where((codes < 0) | (codes > 0x10FFFF), 0, codes)])
         ids = np.where(inside, np.where(ids < 0, -2 - codes, ids), -1).astype(np.int32)
-        ids = _merge(model, ids, hashes[rows], dropout)
+        ids = np.stack([_merge_long(model, x, int(h), dropout) for x, h in zip(ids, hashes[rows], strict=True)]) if width > LONG else _merge(model, ids, hashes[rows], dropout)
         left = ids != -1
         left &= inside
         row, _ = np.nonzero(left)
@@ -286,13 +343,14 @@ def _spellings(path: str) -> list[bytes]:
 def encoded(rows: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """The kept columns and the piece ids of each text in `pieces`, which replaces a kept column of that name."""
     keep = [c for c in keep if c != "pieces"]
-    slim = rows.select(*keep, F.col(text).alias("_text"))
+    own = unused(keep, "_text")
+    slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumn("pieces", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, nulls = 0, batch.column("_text").is_null()
-            for ids, at in encode(path, batch.column("_text"), dropout, seed):
+            done, nulls = 0, batch.column(own).is_null()
+            for ids, at in encode(path, batch.column(own), dropout, seed):
                 n = len(at) - 1
                 none = nulls.slice(done, n).combine_chunks() if isinstance(nulls, pa.ChunkedArray) else pa.concat_arrays([nulls.slice(done, n)])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()), mask=none)
@@ -305,12 +363,13 @@ def encoded(rows: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 def decoded(rows: DataFrame, path: str, pieces: str = "pieces", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the text of each list of pieces in `text`, which replaces a kept column of that name."""
     keep = [c for c in keep if c != "text"]
-    slim = rows.select(*keep, F.col(pieces).alias("_pieces"))
+    own = unused(keep, "_pieces")
+    slim = rows.select(*keep, F.col(pieces).alias(own))
     schema = rows.select(*keep).withColumn("text", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [decode(path, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column("_pieces")]
+            texts = [decode(path, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(own)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return slim.mapInArrow(run, schema)
@@ -321,12 +380,13 @@ def round_trip(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
     text's SHA-256 (null for a null text). One pass encodes and decodes, a slice at a time."""
     names = ["pieces", "n_pieces", "lossless", "decoded_sha256"]
     keep = [c for c in keep if c not in names]
-    slim = rows.select(*keep, F.col(text).alias("_text"))
+    own = unused(keep, "_text")
+    slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumns({"pieces": F.lit(None).cast("array<int>"), "n_pieces": F.lit(0), "lossless": F.lit(True), "decoded_sha256": F.lit(None).cast("string")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, texts = 0, batch.column("_text")
+            done, texts = 0, batch.column(own)
             for ids, at in encode(path, texts, dropout, seed):
                 n = len(at) - 1
                 lossless, digests, nulls = [], [], []
