@@ -9,10 +9,11 @@ Two deterministic transducers run one after the other.
   that begins a token, and for every place in it the last token of the encoding up to there and how many
   tokens fewer that encoding has. A transition's emission is the change of the token count, so the sum over a
   pretoken is its number of tokens. That is well defined because the encoding of a prefix ends in the only
-  token whose neighbour before it survives next to it. Equal pretokens of a slice (by a 64-bit hash) run once;
-  all distinct ones advance side by side. Transitions are compiled when first met and kept in a hash table,
-  which starts anew between slices once it has more than MAX_STATES states: that changes memory and speed,
-  never a count.
+  token whose neighbour before it survives next to it. Equal pretokens of a slice (found by hash, compared by
+  their bytes) run once; distinct ones advance side by side, RUN bytes of them at a time. Transitions are compiled when
+  first met and kept in a hash table, which starts anew between runs once it has more than MAX_STATES states. A run adds a
+  state for each of its bytes at most, so a worker holds MAX_STATES + RUN states, or as many more as the longest pretoken
+  has bytes: that changes memory and speed, never a count.
 
 Null and empty texts have no token. The file's special strings inside a text are one token each, as the
 library handles them by default. Bytes that are not UTF-8 count as the replacement character.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -31,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmd.llm.textvec import mix, slices, word_hashes
+from docmd.llm.common import unused
+from docmd.llm.textvec import mix, same_spans, slices, word_hashes
 
 CHUNK = 256
-MAX_STATES = 250_000
+MAX_STATES, RUN = 200_000, 1 << 16
 
 START, LETTER, NUMBER, MARK, SPACE, BLANKS, ONE_MORE, TWO_MORE = range(8)
 #: Symbols: letter, number, other, apostrophe before one or two letters of a contraction, a last space before
@@ -124,20 +127,37 @@ def split(sym: np.ndarray) -> np.ndarray:
     return begins.T.ravel()[:n]
 
 
+def _code(token: int, fewer: int) -> int:
+    """A token's number and a difference of counts; 0 is no place where a token ends."""
+    return token + 1 << 12 | fewer + 2048
+
+
+def _state(suffix: bytes, places: list[int]) -> bytes:
+    return len(suffix).to_bytes(2, "little") + suffix + array("I", places).tobytes()
+
+
+def _parts(state: bytes) -> tuple[bytes, array]:
+    n = 2 + int.from_bytes(state[:2], "little")
+    return state[2:n], array("I", state[n:])
+
+
 class Counter:
     """The counting transducer: state << 8 | byte leads to next state << 8 | change of the count + 128."""
 
     def __init__(self, ranks: dict[tuple[bytes, bytes], int], vocabulary: set[bytes]) -> None:
-        self.ranks, self.vocabulary = ranks, vocabulary
+        self.ranks, self.tokens = ranks, [b"", *sorted(vocabulary)]
+        self.numbers = {t: i for i, t in enumerate(self.tokens)}  # 0: no token
+        if len(self.tokens) >= 1 << 19 or max(map(len, self.tokens)) >= 1 << 11:
+            raise ValueError("too many tokens, or too long ones, for the states' format")
         #: What a longer token begins with: a later token can begin that many bytes back.
         self.prefixes = {t[:k] for t in vocabulary for k in range(len(t))}
-        self.alone = lru_cache(200_000)(self._alone)
+        self.alone = lru_cache(50_000)(self._alone)
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [(b"", ((None, 0),))]
+        #: Each state as bytes: the length of its suffix, the suffix, and a code for each place in it from the end on.
+        self.states = [_state(b"", [_code(0, 0)])]
         self.ids = {self.states[0]: 0}
-        self.pairs: dict[tuple, tuple] = {}
         self.keys, self.entries, self.filled = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
@@ -178,34 +198,46 @@ class Counter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _alone(self, before: bytes | None, token: bytes) -> bool:
-        return self.encode((before or b"") + token) == ([before, token] if before else [token])
+    def _alone(self, before: int, token: int) -> bool:
+        a, b = self.tokens[before], self.tokens[token]
+        return self.encode(a + b) == ([a, b] if before else [b])
 
     def compile(self, state: int, byte: int) -> int:
-        suffix, places = self.states[state]
+        suffix, places = _parts(self.states[state])
         new = suffix + bytes([byte])
         for size in range(len(new), 0, -1):
-            token = new[-size:]
-            if token in self.vocabulary and places[size - 1] and self.alone(places[size - 1][0], token):
+            if places[size - 1] and (token := self.numbers.get(new[-size:])) and self.alone((places[size - 1] >> 12) - 1, token):
                 break
         else:
             raise ValueError(f"no token ends in {new!r}")
-        change = places[size - 1][1] + 1
+        change = (places[size - 1] & 0xFFF) - 2048 + 1
         tail = new
         while tail not in self.prefixes:
             tail = tail[1:]
-        old = (p and (new[len(new) - k :] in self.prefixes or None) and (p[0], p[1] - change) for k, p in enumerate(places[: len(tail)], 1))
-        target = (tail, tuple(p and self.pairs.setdefault(p, p) for p in ((token, 0), *old)))
+        old = [p - change if p and new[len(new) - k :] in self.prefixes else 0 for k, p in enumerate(places[: len(tail)], 1)]
+        target = _state(tail, [_code(token, 0), *old])
         if (i := self.ids.get(target)) is None:
             i = self.ids[target] = len(self.states)
             self.states.append(target)
         return i << 8 | (change + 128)
 
     def run(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each pretoken raw[starts[i]:ends[i]]: all pretokens advance by one byte at a time."""
+        """Tokens of each pretoken raw[starts[i]:ends[i]]."""
         order = np.argsort(starts - ends, kind="stable")
-        at, sizes = starts[order], (ends - starts)[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        sizes = (ends - starts)[order]
+        cut, done = np.cumsum(sizes), 0
+        out = np.empty(len(order), np.int64)
+        while done < len(order):
+            upto = max(done + 1, int(np.searchsorted(cut, (cut[done - 1] if done else 0) + RUN, "right")))
+            out[order[done:upto]] = self._advance(raw, starts[order[done:upto]], sizes[done:upto])
+            done = upto
+            if len(self.states) > MAX_STATES:
+                self.clear()
+        return out
+
+    def _advance(self, raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of pretokens, the longest first: all advance by one byte at a time."""
+        state, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for k in range(int(sizes[0]) if len(sizes) else 0):
             n = int(np.searchsorted(-sizes, -k, "left"))  # those longer than k
             keys = state[:n] << 8 | raw[at[:n] + k]
@@ -216,11 +248,7 @@ class Counter:
             got = self.entries[slots]
             state[:n] = got >> 8
             total[:n] += (got & 255) - 128
-        if len(self.states) > MAX_STATES:
-            self.clear()
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        return total
 
 
 @cache
@@ -245,7 +273,7 @@ def count(path: str, texts: pa.Array) -> np.ndarray:
     counter, special = load(path)
     found = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(special, key=len, reverse=True)) or rb"(?!)")
     out = []
-    for first, end, raw, offsets in slices(texts):
+    for first, end, raw, offsets in slices(texts, 2 << 20):
         total = np.zeros(end - first, np.int64)
         data = raw.tobytes()
         try:
@@ -278,7 +306,7 @@ def count(path: str, texts: pa.Array) -> np.ndarray:
                 begins[chars[split(symbols(points, np.searchsorted(chars, starts[:-1])))]] = True
             at = np.flatnonzero(begins)
             ends = np.append(at[1:], len(raw))
-            _, one, which = np.unique(word_hashes(raw, at, ends), return_index=True, return_inverse=True)
+            one, which = same_spans(raw, word_hashes(raw, at, ends), at, ends)
             tokens = counter.run(raw, at[one], ends[one])[which]
             total += np.bincount(owners[np.searchsorted(starts, at, "right") - 1], weights=tokens, minlength=end - first).astype(np.int64)
         out.append(total)
@@ -288,12 +316,13 @@ def count(path: str, texts: pa.Array) -> np.ndarray:
 def token_counts(rows: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_bytes and n_tokens, which replace kept columns of their names."""
     keep = [c for c in keep if c not in ("n_bytes", "n_tokens")]
-    slim = rows.select(*keep, F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0).cast("long")).alias("n_bytes"), F.col(text).alias("_text"))
-    schema = slim.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
+    own = unused(keep, "_text")
+    slim = rows.select(*keep, F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0).cast("long")).alias("n_bytes"), F.col(text).alias(own))
+    schema = slim.drop(own).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "n_bytes"]), pa.array(count(path, batch.column("_text")))], [*keep, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "n_bytes"]), pa.array(count(path, batch.column(own)))], [*keep, "n_bytes", "n_tokens"])
 
     return slim.mapInArrow(run, schema)
 

@@ -147,3 +147,183 @@ def test_line_sets_come_from_the_text_that_has_the_line(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     got = sorted((x.text or "", x.n_removed) for x in linedup.without_repeats(docs).collect())
     assert got == sorted([*((t or "", 0) for _, t in texts if t != texts[1][1]), ("\n".join(long[:5]), 1)])
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate({97: "b", 98: "a"})
+    return x[:n], x[:n].translate({97: "b", 98: "a"})
+
+
+def test_hashes_tell_words_apart_whatever_they_repeat():
+    from docmd.llm.textvec import Spans, same_spans, word_hashes
+
+    for n in (512, 1024, 2048, 4096):
+        a, b = thue_morse(n)
+        raw = np.frombuffer((a + b).encode(), np.uint8)
+        at = np.array([0, n]), np.array([n, 2 * n])
+        assert len(set(word_hashes(raw, *at).tolist())) == 2
+        assert len(set(Spans(raw.astype(np.uint32), 8).hashes(*at).tolist())) == 2
+        assert len(set(piecebpe._unit_hashes(raw.astype(np.int64), *at).tolist())) == 2
+    # equal hashes of different spans
+    raw = np.frombuffer(b"abcdabcxabcdab", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12]), np.array([4, 8, 12, 14])
+    one, which = same_spans(raw, np.zeros(4, np.uint64), starts, ends)
+    assert [raw[starts[k] : ends[k]].tobytes() for k in one[which]] == [b"abcd", b"abcx", b"abcd", b"ab"]
+
+
+def test_thue_morse_words_keep_their_tokens_and_pieces():
+    from docmd.llm import tokencount
+    from tokenizers import Tokenizer
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    texts = ["x {} {}".format(*thue_morse(n)) for n in (1024, 2048)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokencount.count(path, pa.array(texts)).tolist() == [len(Tokenizer.from_file(path).encode(t).ids) for t in texts]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for dropout in (0.0, 0.1):
+        got = [piecebpe.decode(path, ids[a:b]) for ids, at in piecebpe.encode(path, pa.array(texts), dropout) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == texts
+
+
+def test_transducer_states_are_bounded(monkeypatch):
+    from docmd.llm import tokencount
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokencount, "MAX_STATES", 500)
+    monkeypatch.setattr(tokencount, "RUN", 300)
+    counter, most = tokencount.load(path)[0], 0
+    counter.clear()
+    advance = counter._advance
+
+    def watched(*a):
+        nonlocal most
+        out = advance(*a)
+        most = max(most, len(counter.states))
+        return out
+
+    monkeypatch.setattr(counter, "_advance", watched)
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 12))) for _ in range(400)) for _ in range(5)]
+    assert tokencount.count(path, pa.array(texts)).tolist() == [len(Tokenizer.from_file(path).encode(t).ids) for t in texts]
+    assert 500 < most <= 800
+    counter.clear()
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.7])
+def test_sentencepiece_agenda(monkeypatch, dropout):
+    """The pieces of every unit, by taking the best candidate off a list; long units by a heap, too."""
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    model = piecebpe.load(path)
+    r = random.Random(2)
+    texts = ["the international " * 3, "a" * 90, "".join(r.choice("abetr ") for _ in range(400)), "x" + "".join(r.choice("thein") for _ in range(300))]
+    seen = []
+    real = piecebpe._merge
+
+    def watched(model, ids, hashes, dropout):
+        before = ids.copy()
+        out = real(model, ids, hashes, dropout)
+        seen.extend(zip(before, hashes, out.copy(), strict=True))
+        return out
+
+    monkeypatch.setattr(piecebpe, "_merge", watched)
+    list(piecebpe.encode(path, pa.array(texts), dropout))
+    limit = int(dropout * 2.0**64)
+    for ids, seed, out in seen:
+        places = {i: int(x) for i, x in enumerate(ids) if x != -1}
+        gone = set()
+        while True:
+            order = sorted(places)
+            pairs = [(*model.pair(places[a], places[b]), a, b) for a, b in zip(order, order[1:], strict=False)]
+            pairs = [(rank, a, b, m) for rank, m, a, b in pairs if m >= 0 and (a, b, places[a], places[b]) not in gone]
+            if not pairs:
+                break
+            _, a, b, m = min(pairs)
+            key = piecebpe._mixed(int(seed) + (a + 1) * int(piecebpe._ODD) & (1 << 64) - 1)
+            if dropout and piecebpe._mixed(key ^ (places[a] << 32 | places[b])) < limit:
+                gone.add((a, b, places[a], places[b]))
+            else:
+                places[a] = m
+                del places[b]
+        assert [int(x) for x in out if x != -1] == [places[i] for i in sorted(places)]
+        assert piecebpe._merge_long(model, ids, int(seed), dropout).tolist() == out.tolist() or len(ids) < 2
+
+
+def test_marks_of_a_long_item_are_small(spark, monkeypatch):
+    from docmd.llm import decontaminate
+
+    r = random.Random(3)
+    item = " ".join(f"w{r.randrange(3000)}" for _ in range(20_000))
+    w = item.split(" ")
+    docs = spark.createDataFrame([(1, "x " * 30 + " ".join(w[777:790]) + " y" * 5), (2, " ".join(w[5:13])), (3, " ".join(w[-10:])), (4, " ".join(w[:10]))], "doc_id long, text string")
+    kept = {}
+    real = decontaminate.stored
+
+    def watched(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(decontaminate, "stored", watched)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {x.id: x.n_hit for x in decontaminate.summary(docs, items).collect()} == {1: 13, 2: 0, 3: 10, 4: 10}
+    assert kept["decontaminate-marks"].selectExpr("max(size(iw))").first()[0] <= 15
+    found, _ = decontaminate.hits(docs, items, broadcast_bytes=10_000)
+    assert {x.id for x in found.collect()} == {1, 3, 4}
+
+
+@pytest.mark.parametrize("name", ["langid", "toxicity", "tokencount", "ngramlm", "piecebpe", "media", "linedup"])
+def test_columns_of_any_name_are_kept(spark, documents, name):
+    from docmd.llm import media, tokencount, toxicity
+
+    df = spark.createDataFrame([(1, "one two three\none two three", "a", "b", "c", "d", "en")], "doc_id long, text string, _text string, _gone string, _doc string, _media string, lang string")
+    keep = ("doc_id", "_text", "_gone", "_doc", "_media")
+    path = pytest.importorskip("public_tokenizers").path
+    out = {
+        "langid": lambda: langid.predict(df, langid.fit(df), keep=keep), "toxicity": lambda: toxicity.predict(df, toxicity.fit(df, df.selectExpr("doc_id", "1 as toxic")), keep=keep),
+        "tokencount": lambda: tokencount.token_counts(df, path("byte_bpe_50k.json"), keep=keep), "ngramlm": lambda: ngramlm.predict(df, ngramlm.fit(df), keep=keep),
+        "piecebpe": lambda: piecebpe.decoded(piecebpe.encoded(df, path("piece_bpe_32k.model"), keep=keep), path("piece_bpe_32k.model"), keep=keep),
+        "media": lambda: media.read(media.stored(df, keep=keep), keep=keep), "linedup": lambda: linedup.without_repeats(df),
+    }[name]()
+    assert [out.first()[c] for c in keep] == [1, "a", "b", "c", "d"]
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    from docmd.llm import neardup
+
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (7, a), (3, b), (5, b), (7, None), (9, None), (None, a)]
+    got = sorted((x.id or -1, x.component or -1) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, -1), (3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (9, 9)]
+
+
+@pytest.mark.parametrize("shared", [0.75, 0.77, 0.8])
+def test_near_duplicate_bands_find_pairs_at_the_threshold(shared):
+    from docmd.llm import neardup
+
+    r, lost, n = np.random.default_rng(6), 0, 300
+    for _ in range(400):
+        both = round(2 * n * shared / (1 + shared))
+        x = r.integers(0, 1 << 64, 2 * n - both, dtype=np.uint64)
+        keys = [simjoin.band_keys(neardup.minima(s)[None, :], neardup.ROWS) for s in (x[:n], x[n - both :])]
+        lost += not (keys[0] == keys[1]).any()
+    assert lost <= 2
+
+
+def test_rounds_and_blocks_lose_no_link(spark, monkeypatch):
+    """Buckets with several large components, items that only reach their component by others, and ones that reach none."""
+    from docmd.llm import neardup
+
+    monkeypatch.setattr(simjoin, "BLOCK", 4)
+    r = random.Random(11)
+    texts = []
+    for g in range(3):
+        chain = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(25):  # a walk: neighbours are similar, far ones are not
+            chain = list(chain)
+            chain[r.randrange(60)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(chain))
+    rows = list(enumerate(texts, 1))
+    got = {x.id: x.component for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components({i: brute.shingles(t) for i, t in rows}, 75)
