@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 BOXES = "doc_id long, page int, seq int, left double, top double, right double, bottom double"
 # Limits of pages and clusters.
 MAX_BOXES, NEAR, THIN, MAX_RULES = 10_000, 3.0, 1.5, 1000
-FIGURE_CAPTION = r"^\s*(Figure \d+[.:]|Fig\. \d+)"
-TABLE_CAPTION = r"^\s*Table \d+[.:]"
+FIGURE_CAPTION = r"^\s*(Figure|Fig\.)\s*\d+[.:]"
+TABLE_CAPTION = r"^\s*Table\s+\d+[.:]"
 
 
 def clipped(boxes: DataFrame, clips: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Layout analysis of text lines: from the `lines` of page-oriented documents to Markdown blocks.
 
 lines: doc_id, seq, page, page_height, x, y, width, font_size, bold, rotated, text, table_id (-1: none), heading
-(0: none). Every operator is window functions and aggregates over doc_id, so that one shuffle on doc_id serves the
-whole chain; a task holds the lines of one document at a time.
+(0: none). Every operator is window functions and aggregates over doc_id and what else, without a self-join, so that the
+one shuffle on doc_id in `to_markdown` serves the whole chain; the words that hyphens are joined by are a second one. A
+task holds a page, or the paragraphs of a document, at a time.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ DATE = r"(?i)^(?:(?:\d{1,2}(?:st|nd|rd|th)?\s+)?(?:jan|feb|mar|apr|may|jun|jul|a
 EMAIL = r"[\w.}-]@[\w-]+\.[\w.]+"
 CONTENTS_ENTRY = r"^(.*\S)\s+\d{1,4}$"
 CAPTION = r"^(Figure|Fig\.|Table)\s*\d+"
+SECOND_BODY_LINES, SECOND_BODY_LENGTH, SECOND_BODY_SHARE, SECOND_BODY_ABOVE = 10, 40, 0.5, 2
 #: Word endings that are never words of their own: a hyphen before one is a line break's.
-ENDINGS = r"^(ing|tion|tions|ity|ment|ments|ness|sion|sions|ally|ated|ation|ations)\b"
+ENDINGS = r"^(?:ing|ings|tions?|sions?|ity|ities|ments?|ness|able|ible|ics)(?!\p{L})"
+#: A part of a compound counts as a word from so many letters.
+MIN_PART = 4
 
 
 def _doc() -> Window:
@@ -56,6 +60,9 @@ def with_keys(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"size_key": size, "style_key": size * 2 + F.col("bold").cast("int"), "is_table": F.col("table_id") >= 0})
 
 
+KEYS = ("size_key", "style_key", "is_table")
+
+
 def without_furniture(lines: DataFrame) -> DataFrame:
     """lines without running headers and footers.
 
@@ -83,23 +90,43 @@ def without_furniture(lines: DataFrame) -> DataFrame:
 
 def attach_markers(lines: DataFrame) -> DataFrame:
     """lines in which a bullet that stands alone is put before the nearest line to its right on its height."""
-    alone = F.col("text").rlike(rf"^\s*[{BULLETS}]\s*$") & ~F.col("rotated") & (F.col("table_id") < 0)
-    marks = lines.where(alone).select("doc_id", "page", F.col("seq").alias("mark"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("font_size").alias("ms"), M.strip(F.col("text")).alias("bullet"))
-    targets = lines.where(~alone & ~F.col("rotated") & (F.col("table_id") < 0)).select("doc_id", "page", "seq", "x", "y")
-    near = targets.join(marks, ["doc_id", "page"]).where((F.col("x") > F.col("mx")) & (F.abs(F.col("y") - F.col("my")) < 0.3 * F.col("ms")))
-    chosen = near.groupBy("doc_id", "mark").agg(F.min_by(F.struct("seq", "bullet", "mx"), F.struct("x", "seq")).alias("t"))
-    owner = chosen.select("doc_id", F.col("t.seq").alias("seq"), F.col("t.bullet").alias("_bullet"), F.col("t.mx").alias("_mx")).groupBy("doc_id", "seq").agg(F.min_by("_bullet", "_mx").alias("_bullet"), F.min("_mx").alias("_mx"))
-    rest = lines.join(chosen.select("doc_id", F.col("mark").alias("seq")), ["doc_id", "seq"], "left_anti")
-    joined = rest.join(owner, ["doc_id", "seq"], "left")
-    return joined.withColumns({"text": F.when(F.col("_bullet").isNotNull(), F.concat("_bullet", F.lit(" "), "text")).otherwise(F.col("text")), "x": F.coalesce("_mx", "x")}).select(*lines.columns)
+    own = [c for c in lines.columns if c not in ("doc_id", "page")]
+    pages = lines.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*own)).alias("l"))
+    alone = lambda s: s["text"].rlike(rf"^\s*[{BULLETS}]\s*$") & ~s["rotated"] & (s["table_id"] < 0)
+    marks, others = F.filter("l", alone), F.filter("l", lambda s: ~alone(s))
+    right = lambda m: F.filter("others", lambda s: ~s["rotated"] & (s["table_id"] < 0) & (s["x"] > m["x"]) & (F.abs(s["y"] - m["y"]) < 0.3 * m["font_size"]))
+    target = lambda m: F.array_min(F.transform(right(m), lambda s: F.struct(s["x"].alias("x"), s["seq"].alias("seq"))))["seq"]
+    placed = F.filter(F.transform("marks", lambda m: F.struct(target(m).alias("seq"), m["x"].alias("x"), M.strip(m["text"]).alias("bullet"), m["seq"].alias("mark"))), lambda m: m["seq"].isNotNull())
+    split = pages.withColumns({"marks": marks, "others": others}).withColumn("placed", F.array_sort(placed))
+    taken = F.transform("placed", lambda p: p["mark"])
+    left = F.filter("marks", lambda m: ~F.array_contains("taken", m["seq"]))
+    shown = split.withColumn("taken", taken).select("doc_id", "page", "placed", F.explode(F.concat("others", left)).alias("s"))
+    # of several bullets the leftmost one stays
+    bullet = F.get(F.filter("placed", lambda p: p["seq"] == F.col("s.seq")), F.lit(0))
+    joined = shown.withColumn("b", F.when(F.size("placed") > 0, bullet))
+    text = F.when(F.col("b").isNotNull(), F.concat("b.bullet", F.lit(" "), "s.text")).otherwise(F.col("s.text")).alias("text")
+    fields = {c: F.col(f"s.{c}").alias(c) for c in own} | {"text": text, "x": F.coalesce("b.x", "s.x").alias("x")}
+    return joined.select(*(fields.get(c, F.col(c)) for c in lines.columns))
+
+
+def _gaps(lines: DataFrame) -> DataFrame:
+    """lines with keys and gap: the distance from the line before, of the same size and page; null elsewhere."""
+    before = {f"_{c}": F.lag(c).over(_order()) for c in ("page", "y", "size_key", "is_table")}
+    same = ~F.col("is_table") & ~F.col("_is_table") & (F.col("page") == F.col("_page")) & (F.col("y") > F.col("_y")) & (F.col("size_key") == F.col("_size_key"))
+    return with_keys(lines).withColumns(before).withColumn("gap", F.when(same, F.col("y") - F.col("_y"))).drop(*before)
+
+
+def with_pitch(lines: DataFrame) -> DataFrame:
+    """lines with keys and pitch: the upper median distance of consecutive lines of their size."""
+    of_size = Window.partitionBy("doc_id", "size_key")
+    ranked = _gaps(lines).withColumns({"_rank": F.row_number().over(of_size.orderBy(F.col("gap").asc_nulls_last())), "_n": F.count("gap").over(of_size)})
+    middle = F.when(F.col("_rank") == F.floor(F.col("_n") / 2) + 1, F.col("gap"))
+    return ranked.withColumn("pitch", F.max(middle).over(of_size)).drop("gap", "_rank", "_n")
 
 
 def pitches(lines: DataFrame) -> DataFrame:
-    """(doc_id, size_key, pitch): the upper median distance of consecutive lines of one size."""
-    before = {f"_{c}": F.lag(c).over(_order()) for c in ("page", "y", "size_key", "is_table")}
-    gaps = with_keys(lines).withColumns(before).where("not is_table and not _is_table and page = _page and y > _y and size_key = _size_key")
-    sorted_ = F.sort_array(F.collect_list(F.col("y") - F.col("_y")))
-    return gaps.groupBy("doc_id", "size_key").agg(sorted_.alias("g")).select("doc_id", "size_key", F.get("g", F.floor(F.size("g") / 2).cast("int")).alias("pitch"))
+    """(doc_id, size_key, pitch) of the sizes that have one."""
+    return with_pitch(lines).where("pitch is not null").groupBy("doc_id", "size_key").agg(F.max("pitch").alias("pitch"))
 
 
 def with_paragraphs(lines: DataFrame) -> DataFrame:
@@ -108,7 +135,7 @@ def with_paragraphs(lines: DataFrame) -> DataFrame:
     A line begins a paragraph at a table, a page or column that doesn't go on with a sentence, another font size, the
     end of a bold numbered line or of a tagged heading, a gap wider than usual, or a first-line indent.
     """
-    keyed = with_keys(lines).join(pitches(lines), ["doc_id", "size_key"], "left")
+    keyed = with_pitch(lines)
     cols = ("page", "x", "y", "size_key", "bold", "rotated", "is_table", "heading", "text")
     seen = keyed.withColumns({f"p_{c}": F.lag(c).over(_order()) for c in cols} | {f"n_{c}": F.lead(c).over(_order()) for c in ("page", "x", "y", "size_key")})
     c, text, last, size = F.col, M.strip(F.col("text")), M.strip(F.col("p_text")), F.col("font_size")
@@ -134,7 +161,7 @@ def with_paragraphs(lines: DataFrame) -> DataFrame:
         .otherwise((c("y") - c("p_y") > PARAGRAPH_GAP * pitch) | F.coalesce(indented, F.lit(False)))
     )
     flagged = seen.withColumn("_starts", starts.cast("int"))
-    return flagged.withColumn("para", F.sum("_starts").over(_order()).cast("int")).select(*lines.columns, "size_key", "style_key", "is_table", "para")
+    return flagged.withColumn("para", F.sum("_starts").over(_order()).cast("int")).select(*(c for c in lines.columns if c not in KEYS), *KEYS, "para")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -143,7 +170,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     own = F.sort_array(F.collect_list(line))
     first = lambda name: F.min_by(name, "seq").alias(name)
     grouped = lines.groupBy("doc_id", "para").agg(
-        own.alias("lines"), first("page"), first("size_key"), first("style_key"), first("font_size"), first("is_table"), first("table_id"), F.bool_and("bold").alias("all_bold"), F.min("heading").alias("least_heading"), F.max("heading").alias("most_heading")
+        own.alias("lines"), *([F.first("bodies").alias("bodies")] if "bodies" in lines.columns else []), first("page"), first("size_key"), first("style_key"), first("font_size"), first("is_table"), first("table_id"), F.bool_and("bold").alias("all_bold"), F.min("heading").alias("least_heading"), F.max("heading").alias("most_heading")
     )
     tolerance = CENTRED * F.col("font_size")
     middle = lambda s: s["x"] + s["width"] / 2
@@ -155,10 +182,37 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return grouped.withColumns({"text": F.array_join(F.transform("lines", lambda s: s["text"]), " "), "centred": centred})
 
 
+def with_bodies(lines: DataFrame) -> DataFrame:
+    """lines with bodies: the size keys of the body text, the one with the most characters (the larger of equal ones) first.
+
+    A second one, at most a point larger, needs lines of its own: plain ones of some length, half the first one's
+    characters in such lines, and as many changes between both from line to line of one column.
+    """
+    length = F.length(M.strip(F.col("text")))
+    of_size = Window.partitionBy("doc_id", "size_key")
+    keyed = with_keys(lines).withColumn("_n", F.sum(length).over(of_size))
+    keyed = keyed.withColumn("_body", F.max(F.struct("_n", "size_key")).over(_doc())["size_key"])
+    plain = (F.col("table_id") < 0) & ~F.col("rotated") & ~F.col("bold") & (length >= SECOND_BODY_LENGTH)
+    seen = keyed.withColumn("_plain", plain)
+    before = {f"_p_{c}": F.lag(c).over(_order()) for c in ("_plain", "size_key", "page", "x", "y", "font_size")}
+    seen = seen.withColumns(before | {"_lines": F.count_if("_plain").over(of_size), "_weight": F.sum(F.when(F.col("_plain"), length).otherwise(0)).over(of_size)})
+    c = F.col
+    size = F.greatest("font_size", "_p_font_size")
+    changes = c("_plain") & c("_p__plain") & (c("page") == c("_p_page")) & (c("y") > c("_p_y")) & (c("y") - c("_p_y") <= 1.5 * size) & (F.abs(c("x") - c("_p_x")) <= 0.5 * size) & (c("size_key") != c("_p_size_key"))
+    other = F.when(changes & (c("_p_size_key") == c("_body")), c("size_key")).when(changes & (c("size_key") == c("_body")), c("_p_size_key"))
+    first = {f"_first{n}": F.max(F.when(c("size_key") == c("_body"), c(n))).over(_doc()) for n in ("_lines", "_weight")}
+    counted = seen.withColumns(first | {"_other": other})
+    near = (c("size_key") > c("_body")) & (c("size_key") <= c("_body") + SECOND_BODY_ABOVE) & (c("_first_lines") >= SECOND_BODY_LINES) & (c("_lines") >= SECOND_BODY_LINES) & (c("_weight") >= SECOND_BODY_SHARE * c("_first_weight"))
+    # two sizes can be that near; the changes of each are counted over the document
+    seconds = [F.count_if((c("_other") == c("_body") + k)).over(_doc()) >= SECOND_BODY_LINES for k in range(1, SECOND_BODY_ABOVE + 1)]
+    fits = [F.max(near & (c("size_key") == c("_body") + k)).over(_doc()) & enough for k, enough in enumerate(seconds, 1)]
+    more = F.array_compact(F.array(*(F.when(ok, c("_body") + k) for k, ok in enumerate(fits, 1))))
+    return counted.withColumn("bodies", F.concat(F.array("_body"), F.coalesce(more, F.array().cast("array<int>")))).select(*(x for x in lines.columns if x != "bodies"), "bodies")
+
+
 def body_sizes(lines: DataFrame) -> DataFrame:
-    """(doc_id, body): the size key with the most characters, the larger of equal ones."""
-    chars = with_keys(lines).groupBy("doc_id", "size_key").agg(F.sum(F.length(M.strip(F.col("text")))).alias("n"))
-    return chars.groupBy("doc_id").agg(F.max_by("size_key", F.struct("n", "size_key")).alias("body"))
+    """(doc_id, body, bodies): the first size key of the body text, and all."""
+    return with_bodies(lines).groupBy("doc_id").agg(F.first("bodies").alias("bodies")).select("doc_id", F.col("bodies")[0].alias("body"), "bodies")
 
 
 def section_depth(text: Column) -> Column:
@@ -168,30 +222,36 @@ def section_depth(text: Column) -> Column:
     return F.when(number == "", 0).otherwise(1 + F.length(dots) - F.length(F.replace(dots, F.lit("."), F.lit(""))))
 
 
-def with_headings(paras: DataFrame, bodies: DataFrame) -> DataFrame:
+def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """paragraphs with level: 0, or the level of a heading.
 
     Short paragraphs in a larger font, or bold and numbered, that body text or another heading follows; without
-    entries of a table of contents, numbers out of sequence, dates, and authors.
+    entries of a table of contents, numbers out of sequence, dates, and authors. bodies: (doc_id, bodies), where the
+    paragraphs don't have them.
     """
     order = _doc().orderBy("para")
     c, text = F.col, F.col("text")
     numbered = text.rlike(SECTION_NUMBER)
-    base = paras.join(bodies, "doc_id", "left").withColumns({"numbered": numbered, "n_size": F.lead("size_key").over(order), "n_text": F.lead("text").over(order), "index": F.row_number().over(order)})
+    known = paras if bodies is None else paras.join(bodies.select("doc_id", "bodies"), "doc_id", "left")
+    base = known.withColumn("body", F.array_max("bodies")).withColumns({"numbered": numbered, "n_size": F.lead("size_key").over(order), "n_text": F.lead("text").over(order), "index": F.row_number().over(order)})
     titled = (c("page") == 1) & ((c("size_key") >= TITLE_RATIO * c("body")) | ((c("index") == 1) & (c("size_key") >= FIRST_TITLE_RATIO * c("body"))))
     candidate = (
         ~c("is_table") & ((c("size_key") > c("body")) | (c("numbered") & c("all_bold") & (c("size_key") >= c("body") - BELOW_BODY)))
         & (F.size("lines") <= F.when((c("size_key") >= TITLE_RATIO * c("body")) | c("centred"), MAX_TITLE_LINES).otherwise(MAX_LINES))
         & (F.length(text) <= MAX_LENGTH) & (c("numbered") | text.rlike(WORD)) & ~text.rlike(DOT_LEADER)
     )
-    followed = c("n_size").isNull() | titled | (c("n_size") == c("body"))
+    followed = c("n_size").isNull() | titled | F.array_contains("bodies", c("n_size"))
     # a candidate is a heading when the run of candidates from it on ends in a followed one
     decided = base.withColumns({"candidate": candidate, "followed": followed}).withColumn(
         "heading", F.col("candidate") & F.coalesce(F.first(F.when(c("followed") | ~c("candidate"), c("candidate")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(False))
     )
     entry = F.regexp_extract(text, CONTENTS_ENTRY, 1)
-    later = F.collect_set("text").over(order.rowsBetween(1, Window.unboundedFollowing))
-    decided = decided.withColumn("heading", c("heading") & ~((entry != "") & F.array_contains(later, entry)))
+    # a later paragraph with the text of an entry: paragraphs and entries meet by text
+    is_entry = c("heading") & (entry != "")
+    both = F.when(is_entry, F.array(F.struct(F.lit(False).alias("asks"), text.alias("key")), F.struct(F.lit(True).alias("asks"), entry.alias("key")))).otherwise(F.array(F.struct(F.lit(False).alias("asks"), text.alias("key"))))
+    met = decided.withColumn("_k", F.explode(both)).withColumn("_last", F.max(F.when(~c("_k.asks"), c("para"))).over(Window.partitionBy("doc_id", "_k.key")))
+    met = met.withColumn("_entry", F.max(c("_k.asks") & (F.coalesce("_last", F.lit(0)) > c("para"))).over(Window.partitionBy("doc_id", "para")))
+    decided = met.where(~c("_k.asks")).withColumn("heading", c("heading") & ~c("_entry"))
     # numbers out of sequence: a fold over the document's headings
     number = F.regexp_extract(text, TOP_NUMBER, 1)
     item = F.struct("para", F.when(number != "", number.cast("int")).alias("top"), c("numbered"))
@@ -230,40 +290,51 @@ def with_headings(paras: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def words(lines: DataFrame) -> DataFrame:
-    """(doc_id, words): the document's words in lower case, and its compounds with a hyphen inside."""
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+(?:-\p{L}+)*(?!\p{L}|-$|-\s))"), F.lit(1)))
-    return lines.select("doc_id", found.alias("w")).groupBy("doc_id").agg(F.collect_set("w").alias("words"))
+    """(doc_id, words): the document's words in lower case, its compounds, their longer parts, and words that are broken
+    before an ending."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+(?:-\p{L}+)*)"), F.lit(1))
+    parts = F.flatten(F.transform(F.filter("f", lambda w: F.contains(w, F.lit("-"))), lambda w: F.filter(F.split(w, "-"), lambda x: F.length(x) >= MIN_PART)))
+    following = F.lead(F.ltrim(M.strip(F.col("text")))).over(_order())
+    head, tail = F.regexp_extract("text", r"(\p{L}+)-\s*$", 1), F.regexp_extract("_next", r"^(\p{Ll}\p{L}*)", 1)
+    broken = F.when((head != "") & F.col("_next").rlike(ENDINGS), F.array(F.lower(F.concat(head, tail)))).otherwise(F.array().cast("array<string>"))
+    every = lines.withColumn("_next", following).withColumn("f", found).select("doc_id", F.explode(F.concat("f", parts, broken)).alias("w"))
+    return every.groupBy("doc_id").agg(F.collect_set("w").alias("words"))
 
 
 def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None) -> Column:
-    """The lines of a paragraph as one text: a word broken at a line end is joined, with its hyphen where the
-    compound is known (to the document), without where the whole is known or the tail is a mere ending."""
+    """The lines of a paragraph as one text: a word broken at a line end moves up to its head, with its hyphen where the
+    compound is known (to the document) or nothing is, without where the whole is known or the tail is a mere ending."""
 
     def step(done: Column, line: Column) -> Column:
-        head = F.regexp_extract(done, r"(\p{L}+)-$", 1)
-        tail = F.regexp_extract(line, r"^(\p{Ll}+)", 1)
+        here = F.ltrim(line)
+        head = F.regexp_extract(done, r"(\p{L}+)-\s*$", 1)
+        tail = F.regexp_extract(here, r"^(\p{Ll}\p{L}*)", 1)
         compound, whole = F.lower(F.concat(head, F.lit("-"), tail)), F.lower(F.concat(head, tail))
-        broken = (head != "") & (tail != "")
-        joined = F.array_contains(known, whole) | line.rlike(ENDINGS)
+        joined = F.array_contains(known, whole) | here.rlike(ENDINGS)
         if dictionary is not None:
-            joined = joined | (F.array_contains(dictionary, whole) & ~F.array_contains(dictionary, tail))
+            joined = joined | (F.array_contains(dictionary, whole) & ~F.array_contains(dictionary, F.lower(tail)))
+        joined = joined & ~F.array_contains(known, compound)
+        up = F.concat(F.regexp_replace(done, r"\s+$", ""), F.regexp_extract(here, r"^(\S*)", 1))
+        up = F.when(joined, F.concat(F.regexp_replace(done, r"-\s*$", ""), F.regexp_extract(here, r"^(\S*)", 1))).otherwise(up)
+        rest = M.strip(F.regexp_replace(here, r"^\S*", ""))
         return (
-            F.when(done == "", line).when(line == "", done).when(broken & F.array_contains(known, compound), F.concat(done, line))
-            .when(broken & joined, F.concat(F.regexp_replace(done, "-$", ""), line)).otherwise(F.concat(done, F.lit("\n"), line))
+            F.when(done == "", line).when(line == "", done).when((head != "") & (tail != ""), F.when(rest == "", up).otherwise(F.concat(up, F.lit("\n"), M.escape(rest))))
+            .otherwise(F.concat(done, F.lit("\n"), line))
         )
 
     return F.aggregate(parts, F.lit(""), step)
 
 
-#: Lines of one link: 2 ** this many are joined.
-SPLIT_LINKS = 6
+def join_split_links(lines: Column) -> Column:
+    """Lines as one text, in which links to one address that follow each other over a line end are one link."""
 
+    def step(done: Column, line: Column) -> Column:
+        before = F.regexp_extract(done, r"\[[^\[\]\n]*\]\(([^()\s]+)\)$", 1)
+        same = (before != "") & (before == F.regexp_extract(line, r"^\[[^\[\]\n]*\]\(([^()\s]+)\)", 1))
+        longer = F.concat(F.regexp_replace(done, r"\]\([^()\s]+\)$", ""), F.lit(" "), F.substr(line, F.lit(2)))
+        return F.when(done.isNull(), line).when(same, longer).otherwise(F.concat(done, F.lit("\n"), line))
 
-def join_split_links(text: Column) -> Column:
-    """Links to one address that follow each other over a line end, as one link."""
-    for _ in range(SPLIT_LINKS):
-        text = F.regexp_replace(text, r"\[([^\[\]\n]*)\]\(([^()\s]+)\)\n\[([^\[\]\n]*)\]\(\2\)", r"[$1 $3]($2)")
-    return text
+    return F.coalesce(F.aggregate(lines, F.lit(None).cast("string"), step), F.lit(""))
 
 
 def bullets(text: Column) -> Column:
@@ -271,18 +342,19 @@ def bullets(text: Column) -> Column:
     return F.regexp_replace(text, rf"^(\s*)[{BULLETS}]\s*", "$1- ")
 
 
-def to_markdown(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """(doc_id, markdown) of lines; tables: (doc_id, table_id, markdown) for lines that stand for a table.
+def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: Column | None = None) -> DataFrame:
+    """(doc_id, markdown) of lines; tables: (doc_id, table_id, markdown) for lines that stand for a table; dictionary: an
+    array of lower-case words of the language, for hyphens at line ends.
 
     A document without lines has no row. Null texts count as empty lines and are dropped; equal documents give
     equal results whatever their doc_id.
     """
     given = lines.where("text is not null and doc_id is not null")
-    own = without_furniture(attach_markers(given))
-    paras = with_headings(paragraphs(with_paragraphs(own)), body_sizes(own))
+    own = without_furniture(attach_markers(given.repartition("doc_id")))
+    paras = with_headings(paragraphs(with_paragraphs(with_bodies(own))))
     known = paras.join(words(given), "doc_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     plain = F.transform("lines", lambda s: M.escape(bullets(s["text"])))
-    body = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), M.escape(F.col("text")))).otherwise(join_hyphens(F.split(join_split_links(F.array_join(plain, "\n")), "\n"), F.col("words")))
+    body = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), M.escape(F.col("text")))).otherwise(join_hyphens(F.split(join_split_links(plain), "\n"), F.col("words"), dictionary))
     if tables is not None:
         known = known.join(tables.select("doc_id", "table_id", F.col("markdown").alias("_table")), ["doc_id", "table_id"], "left")
         body = F.when(F.col("is_table"), F.coalesce("_table", F.lit(""))).otherwise(body)

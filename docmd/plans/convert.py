@@ -1,8 +1,9 @@
 """Documents to Markdown, one row in and one row out.
 
 Plain text stays in the JVM; the other formats are parsed by Arrow functions in one pass over the rows and, where
-they are tables, written as Markdown by column expressions again, without a shuffle. PDF files become lines, and the
-layout analysis of `operators.layout` makes Markdown of these.
+they are tables, written as Markdown by column expressions again, without a shuffle. PDF files become lines, which are
+written once to the shared folder, and the layout analysis of `operators.layout` makes Markdown of these. Whatever a
+parser trips over is that document's error.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmd.functions import markdown as M
 from docmd.operators import layout as L
+from docmd.session import written
 from docmd.sources import files
 
 _ERROR = "struct<kind:string,message:string>"
@@ -28,9 +29,11 @@ def _result(cells: list[tuple | Exception | None], kind: pa.DataType) -> pa.Arra
 
 
 def _error(e: Exception) -> dict[str, str]:
+    from docmd.sources.pdftext import Scanned
     from docmd.sources.xlsx import TooSparse
 
-    return {"kind": "too_large" if isinstance(e, TooSparse) else "conversion", "message": str(e) or type(e).__name__}
+    kind = "too_large" if isinstance(e, TooSparse) else "unsupported" if isinstance(e, Scanned) else "conversion"
+    return {"kind": kind, "message": str(e) or type(e).__name__}
 
 
 def _parsed(reader: str):
@@ -39,7 +42,6 @@ def _parsed(reader: str):
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from docmd.sources import docx, html
-        from docmd.sources.opc import Unreadable
 
         for contents, addresses in batches:
             out: list = []
@@ -51,7 +53,7 @@ def _parsed(reader: str):
                     raw = data.as_buffer().to_pybytes()
                     found = html.to_markdown(raw, address.as_py()) if reader == "html" else docx.to_markdown(raw)
                     out.append(dict(zip(("markdown", "title", "author", "language"), found, strict=True)))
-                except (Unreadable, ValueError, KeyError, RecursionError) as e:
+                except Exception as e:  # noqa: BLE001 - the border of one document
                     out.append(e)
             yield _result(out, kind)
 
@@ -69,7 +71,6 @@ def _sheets():
 
     def run(contents: pa.Array) -> pa.Array:
         from docmd.sources import xlsx
-        from docmd.sources.opc import Unreadable
 
         out: list = []
         for data in contents:
@@ -80,7 +81,7 @@ def _sheets():
                 sheets, own = xlsx.read(data.as_buffer().to_pybytes())
                 shown = [{"name": n, "rows": [[{"col": c, "text": t} for c, t in r] for r in rows]} for n, rows in sheets]
                 out.append({"sheets": shown, "title": own["title"], "author": own["creator"], "language": own["language"]})
-            except (Unreadable, xlsx.TooSparse, ValueError, KeyError) as e:
+            except Exception as e:  # noqa: BLE001 - the border of one document
                 out.append(e)
         return _result(out, kind)
 
@@ -134,14 +135,13 @@ def _pdf():
 
     def run(contents: pa.Array) -> pa.Array:
         from docmd.sources import pdftext
-        from docmd.sources.pdfobjects import Unreadable
 
         out: list = []
         for data in contents:
             try:
                 found = pdftext.read(data.as_buffer().to_pybytes()) if data.is_valid else None
                 out.append(found and {"lines": found[0]} | found[1])
-            except Unreadable as e:
+            except Exception as e:  # noqa: BLE001 - the border of one document
                 out.append(e)
         return _result(out, kind)
 
@@ -150,47 +150,50 @@ def _pdf():
 
 
 def pdf_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, r) of every distinct content of PDF documents: doc_id is its hash, r its lines and metadata.
+    """documents with doc_id, one for each row, and r, its lines and metadata, in place of the content.
 
-    Kept on the executors' disks, because the layout analysis reads it several times; a lost part is parsed again.
+    Written once, because the layout analysis reads it more than once; nothing is shuffled. A null content has a null r.
     """
-    keyed = documents.where(F.col("content").isNotNull()).select(F.xxhash64("content").alias("doc_id"), "content").dropDuplicates(["doc_id"])
-    return keyed.select("doc_id", _pdf()("content").alias("r")).persist(StorageLevel.DISK_ONLY)
+    parsed = documents.withColumn("r", _pdf()("content")).drop("content").withColumn("doc_id", F.expr("uuid()"))
+    return written(parsed, "pdf-pages")
 
 
 def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive", pdf: bool = True) -> DataFrame:
     """documents (name, source_uri, length, content, ...) with markdown, title, author, language and error in place
     of the content. permissive: a document that can't be read has an error; failfast: it ends the query.
 
-    pdf=False leaves the layout analysis out of the plan: PDF files are unsupported then.
-    A null content has a null result; a null name is unsupported. Columns of the results' names are replaced.
+    PDF files are parsed and written when this is called; pdf=False leaves them out of the plan: they are unsupported then.
+    A null content has a null result; a null name is unsupported. Columns of the results' names are replaced, and any
+    other name is kept as it is.
     """
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"mode is permissive or failfast, not {mode}")
     results = ("markdown", "title", "author", "language", "error")
-    keep = [c for c in documents.columns if c not in (*results, "content")]
-    name = F.coalesce("name", F.lit(""))
-    marked = documents.withColumns({"_refusal": files.refusal(name, F.col("length"), limit), "_format": files.format_of(name)})
+    keep = [c for c in documents.columns if c.lower() not in (*results, "content")]
+    name, c = F.coalesce("name", F.lit("")), F.col
+    # the kept columns travel in one, so that none can clash
+    marked = documents.select(
+        F.struct(*(F.col(f"`{x}`") for x in keep)).alias("kept"), "content", c("source_uri").alias("address"), files.refusal(name, c("length"), limit).alias("refusal"),
+        files.format_of(name).alias("format"), (files.extension(name) == "tsv").alias("tabs"),
+    )
     if not pdf:
         refused = F.struct(F.lit("unsupported").alias("kind"), F.lit("PDF files are left out").alias("message"))
-        marked = marked.withColumn("_refusal", F.coalesce("_refusal", F.when(F.col("_format") == "pdf", refused)))
-    is_pdf = F.col("_refusal").isNull() & (F.coalesce("_format", F.lit("")) == "pdf")
+        marked = marked.withColumn("refusal", F.coalesce("refusal", F.when(c("format") == "pdf", refused)))
+    is_pdf = c("refusal").isNull() & (F.coalesce("format", F.lit("")) == "pdf")
     # one pass over all other formats: each parser gets the contents of its own and nulls
-    own = lambda kind: F.when(F.col("_refusal").isNull() & (F.col("_format") == kind), F.col("content"))
+    own = lambda kind: F.when(c("refusal").isNull() & (c("format") == kind), c("content"))
     read = marked.where(~is_pdf).withColumns({
-        "_csv": csv_records(files.decode(own("csv")), files.extension(name) == "tsv"), "_xlsx": _sheets()(own("xlsx")), "_html": _parsed("html")(own("html"), F.col("source_uri")), "_docx": _parsed("docx")(own("docx"), F.col("source_uri")),
+        "csv": csv_records(files.decode(own("csv")), c("tabs")), "xlsx": _sheets()(own("xlsx")), "html": _parsed("html")(own("html"), c("address")), "docx": _parsed("docx")(own("docx"), c("address")),
     })
-    field = lambda n: F.coalesce(*(F.col(f"_{k}.{n}") for k in ("xlsx", "html", "docx")))
-    markdown = F.coalesce("_html.markdown", "_docx.markdown", csv_markdown(F.col("_csv")), sheets_markdown(F.col("_xlsx.sheets")), M.render_txt(files.decode(own("txt"))))
-    out = read.select(*keep, markdown.alias("markdown"), *(field(n).alias(n) for n in results[1:4]), F.coalesce("_refusal", field("error")).cast(_ERROR).alias("error"))
+    field = lambda n: F.coalesce(*(F.col(f"{k}.{n}") for k in ("xlsx", "html", "docx")))
+    markdown = F.coalesce("html.markdown", "docx.markdown", csv_markdown(c("csv")), sheets_markdown(c("xlsx.sheets")), M.render_txt(files.decode(own("txt"))))
+    out = read.select("kept", markdown.alias("markdown"), *(field(n).alias(n) for n in results[1:4]), F.coalesce("refusal", field("error")).cast(_ERROR).alias("error"))
     if pdf:
-        pdfs = marked.where(is_pdf).withColumn("_id", F.xxhash64("content"))
-        pages = pdf_pages(marked.where(is_pdf))
-        lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(c.split(" ")[0] for c in L.LINES.split(", ")))
-        texts = pages.select(F.col("doc_id").alias("_id"), "r").join(L.to_markdown(lines).withColumnRenamed("doc_id", "_id"), "_id", "left")
-        joined = pdfs.join(texts, "_id", "left")
-        found = F.when(F.col("r.error").isNull() & F.col("r").isNotNull(), F.coalesce("markdown", F.lit("")))
-        out = out.unionByName(joined.select(*keep, found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), F.col("r.error").cast(_ERROR).alias("error")))
+        pages = pdf_pages(marked.where(is_pdf).select("kept", "content"))
+        lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
+        joined = pages.join(L.to_markdown(lines).withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
+        found = F.when(c("r.error").isNull() & c("r").isNotNull(), F.coalesce("markdown", F.lit("")))
+        out = out.unionByName(joined.select("kept", found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), c("r.error").cast(_ERROR).alias("error")))
     if mode == "failfast":
-        out = out.withColumn("markdown", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error.message")).cast("string")).otherwise(F.col("markdown")))
-    return out
+        out = out.withColumn("markdown", F.when(c("error").isNotNull(), F.raise_error(c("error.message")).cast("string")).otherwise(c("markdown")))
+    return out.select(*(c("kept")[x].alias(x) for x in keep), *results)

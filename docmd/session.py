@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +29,19 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own in the folder that `spark.checkpoint.dir` names, which all executors share; in local mode one
+    of this machine where none is named."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="docmd-")
+        sc.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/docmd/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -58,6 +58,10 @@ def _prune(body: Element) -> None:
         stack += [(c, False) for c in e.children if isinstance(c, Element)]
 
 
+#: Characters that make a relative address a syntax error.
+_SYNTAX = re.compile(r'[\s<>"{}|\\^`]')
+
+
 def _is_language_list(e: Element) -> bool:
     if e.name not in ("ul", "ol"):
         return False
@@ -101,15 +105,21 @@ def _without_user(url: str | None) -> str | None:
         return None
 
 
-def base_address(head: Element, source: str | None) -> str | None:
-    """The first absolute address of: <base>, the page's own, canonical, og:url."""
+def base_address(root: Element, source: str | None) -> str | None:
+    """The first absolute address of: every <base>, the page's own, every canonical link, every og:url."""
     source = _absolute(_without_user(source))
-    own = next((e.attrs["href"] for e in head.children if isinstance(e, Element) and e.name == "base" and "href" in e.attrs), None)
-    if own is not None and (found := _absolute((_join(source, own.strip()) if source else own.strip()))):
-        return found
-    canonical = next((e.attrs.get("href") for e in head.children if isinstance(e, Element) and e.name == "link" and "canonical" in e.attrs.get("rel", "").lower().split()), None)
-    og = next((e.attrs.get("content") for e in head.children if isinstance(e, Element) and e.name == "meta" and e.attrs.get("property", "").lower() == "og:url"), None)
-    return source or _absolute(canonical) or _absolute(og)
+    given: dict[str, list[str]] = {"base": [], "link": [], "meta": []}
+    for e in root.walk():
+        own = e.attrs
+        if e.name == "base" and "href" in own:
+            href = own["href"].strip()
+            given["base"].append(_join(source, href) or href if source and not _SYNTAX.search(href) else href)
+        elif e.name == "link" and own.get("rel", "").strip().lower() == "canonical" and "href" in own:
+            given["link"].append(own["href"])
+        elif e.name == "meta" and own.get("property", "").lower() == "og:url" and "content" in own:
+            given["meta"].append(own["content"])
+    every = [*given["base"], *([source] if source else []), *given["link"], *given["meta"]]
+    return next((x.strip() for x in every if _absolute(x.strip()) and not _SYNTAX.search(x.strip())), None)
 
 
 class Page:
@@ -121,7 +131,7 @@ class Page:
         self.title = T.clean(next((e.text() for e in elements if e.name == "title"), None))
         self.author = T.clean(next((e.attrs.get("content") for e in elements if e.name == "meta" and e.attrs.get("name", "").lower() == "author"), None))
         self.language = T.clean(root.attrs.get("lang"))
-        self.base = base_address(head, source)
+        self.base = base_address(root, source)
         _prune(body)
         mains = [e for e in body.walk() if e.name == "main" or e.attrs.get("role", "").lower() == "main"]
         self.content = mains[0] if len(mains) == 1 else body
@@ -193,22 +203,25 @@ class Page:
         return ["\n".join(items)] if items else []
 
     def table(self, e: Element, depth: int) -> list[str]:
-        parts = [c for c in e.children if isinstance(c, Element)]
-        rows = [r for p in parts for r in ([p] if p.name == "tr" else [c for c in p.children if isinstance(c, Element) and c.name == "tr"] if p.name in ("thead", "tbody", "tfoot") else [])]
-        cells = [[c for c in r.children if isinstance(c, Element) and c.name in ("td", "th")] for r in rows]
-        flat = [c for row in cells for c in row]
-        captions = [b for p in parts if p.name == "caption" for b in _paragraphs(self.inline(p.children, depth))]
-        if not flat:
-            return captions + [b for p in parts if p.name != "caption" for b in self.blocks(p, depth + 1)]
-        empty = sum(not c.text() for c in flat)
-        spans = [[self._span(c) for c in row] for row in cells]
-        width = max(map(sum, spans))
-        if 2 * empty > len(flat) or any(map(_is_layout, flat)) or width * len(rows) > MAX_TABLE_CELLS:
-            return captions + [b for c in flat for b in self.blocks(c, depth + 1)]
-        grid = [[x for c, n in zip(row, own, strict=True) for x in [T.table_cell(_one_line(self.inline(c.children, depth, flat=True))), *[""] * (n - 1)]] for row, own in zip(cells, spans, strict=True)]
-        grid = [row + [""] * (width - len(row)) for row in grid]
-        lines = [f"| {' | '.join(row)} |" for row in grid]
-        return [*captions, "\n".join([lines[0], f"| {' | '.join(['---'] * width)} |", *lines[1:]])]
+        sections = [c for c in e.children if isinstance(c, Element)]
+        own_rows = [r for s in sections for r in ([s] if s.name == "tr" else s.children if s.name in ("thead", "tbody", "tfoot") else []) if isinstance(r, Element) and r.name == "tr"]
+        grid = [[(c, self._span(c)) for c in r.children if isinstance(c, Element) and c.name in ("td", "th")] for r in own_rows]
+        grid = [row for row in grid if row]
+        if not grid:
+            return [b for s in sections for b in (_paragraphs(self.inline(s.children, depth)) if s.name == "caption" else self.blocks(s, depth + 1))]
+        cells = [c for row in grid for c, _ in row]
+        width = max(sum(n for _, n in row) for row in grid)
+        is_layout = 2 * sum(not c.text() for c in cells) > len(cells) or any(map(_is_layout, cells)) or width * len(grid) > MAX_TABLE_CELLS
+        if is_layout:
+            return [b for c in cells for b in self.blocks(c, depth + 1)]
+
+        def line(row: list) -> str:
+            shown = [x for c, n in row for x in (T.table_cell(_one_line(self.inline(c.children, depth, flat=True))), *[""] * (n - 1))]
+            return f"| {' | '.join(shown + [''] * (width - len(shown)))} |"
+
+        head, *rest = map(line, grid)
+        captions = [b for s in sections if s.name == "caption" for b in _paragraphs(self.inline(s.children, depth))]
+        return [*captions, "\n".join([head, f"| {' | '.join(['---'] * width)} |", *rest])]
 
     @staticmethod
     def _span(cell: Element) -> int:
@@ -264,7 +277,7 @@ class Page:
                 return href
         except ValueError:
             return None
-        return _join(self.base, href) if self.base else None
+        return _join(self.base, href) if self.base and not _SYNTAX.search(href) else None
 
 
 def _is_layout(cell: Element) -> bool:
@@ -308,14 +321,13 @@ def code_block(e: Element) -> list[str]:
     """A fenced block, with the language that a highlighter's class names."""
     text = e.whole_text()
     text = (text[1:] if text.startswith("\n") else text[2:] if text.startswith("\r\n") else text).rstrip()
-    if not text.strip():
-        return []
     code = next((x for x in e.walk() if x.name == "code"), None)
     language = ""
     for owner in (e, code, e.parent, e.parent and e.parent.parent):
         if owner is not None and (m := _LANGUAGE.search(owner.attrs.get("class", ""))):
-            scope = _SCOPE.match(m[1])
-            language = scope[1] if scope else m[1]
+            name = m[1].lower()
+            scope = _SCOPE.match(name)
+            language = scope[1] if scope else name
             break
     fence = _fence(text, 3)
     return [f"{fence}{language}\n{text}\n{fence}"]

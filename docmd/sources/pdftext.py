@@ -309,6 +309,10 @@ def _string(value) -> str | None:
     return value[3:].decode("utf-8", "replace") if value[:3] == b"\xef\xbb\xbf" else value.decode("latin-1")
 
 
+class Scanned(Unreadable):
+    """A file of images without text."""
+
+
 def read(data: bytes) -> tuple[list[dict], dict[str, str | None]]:
     """The lines of all pages, and title, author and language. A file of images without text is refused."""
     try:
@@ -323,5 +327,5 @@ def read(data: bytes) -> tuple[list[dict], dict[str, str | None]]:
     except (ValueError, TypeError, KeyError, IndexError, AttributeError, OverflowError, RecursionError) as e:
         raise Unreadable("Cannot read PDF") from e
     if not lines and any(p.images for p in pages):
-        raise Unreadable("The PDF has only images: run OCR on it")
+        raise Scanned("The PDF has only images: run OCR on it")
     return [x | {"seq": k} for k, x in enumerate(lines)], own

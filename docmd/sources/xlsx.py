@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import re
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
@@ -10,6 +11,8 @@ from docmd.sources.opc import REL, Package, Unreadable
 
 M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 MAX_SPARSE, SPARSE_TIMES = 1_000_000, 10
+#: The first serial number after 9999-12-31, and how much earlier it is in the calendar from 1904.
+MAX_SERIAL, LATER = 2_958_466, 1462
 #: The built-in number formats.
 BUILT_IN = {
     0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM",
@@ -24,6 +27,8 @@ class TooSparse(Exception):
 
 def general(v: float) -> str:
     """A number without a format."""
+    if not math.isfinite(v):
+        return str(v)
     if v == int(v) and abs(v) < 1e15:
         return str(int(v))
     if abs(v) >= 1e11 or abs(v) < 1e-9:
@@ -38,7 +43,9 @@ def is_date(code: str) -> bool:
 
 
 def date_text(v: float, code: str, from_1904: bool) -> str:
-    """A serial number as the date or time that the format shows."""
+    """A serial number as the date or time that the format shows; one beyond the year 9999 as a number."""
+    if not v < MAX_SERIAL - LATER * from_1904 - 1e-4:
+        return general(v)
     days = int(v)
     start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 31) if days < 60 else datetime.datetime(1899, 12, 30)
     t = start + datetime.timedelta(days=days, milliseconds=round((v - days) * 86_400_000))
@@ -69,7 +76,7 @@ def date_text(v: float, code: str, from_1904: bool) -> str:
 
 def number_text(v: float, code: str) -> str:
     """A number as the format shows it."""
-    if code.lower() in ("general", "@", ""):
+    if not math.isfinite(v) or code.lower() in ("general", "@", ""):
         return general(v)
     parts = code.split(";")
     part = parts[1] if v < 0 and len(parts) > 1 else parts[2] if v == 0 and len(parts) > 2 else parts[0]

@@ -217,7 +217,7 @@ def test_pdf(spark):
     text = f"# The Title\n\n{body}\nand a second line (café €).\n\n## 1 Introduction\n\n{body}.\n"
     assert out[0].markdown == out[1].markdown == text + "\nSplit words\nnext \\<b> line.\n"
     assert (out[0].title, out[0].author, out[0].language) == ("A (PDF)", "Év", "en") and out[6].markdown == text
-    assert [r.error.kind for r in out[2:5]] == ["conversion"] * 3 and "OCR" in out[2].error.message and "encrypted" in out[3].error.message
+    assert [r.error.kind for r in out[2:5]] == ["unsupported", "conversion", "conversion"] and "OCR" in out[2].error.message and "encrypted" in out[3].error.message
     assert out[5].error is not None or out[5].markdown is not None
     assert (out[7].markdown, out[7].error, out[8].markdown, out[8].error) == (None, None, "", None)
 
@@ -228,3 +228,21 @@ def test_pdf_links(spark):
     data = pdf([page]).replace(b"/Type /Page /Parent", f"/Annots [{link}] /Type /Page /Parent".encode())
     # every glyph is half its size wide: "See " is 20 points, "the guide" the next 45
     assert convert(spark, [("a.pdf", data, None)])[0].markdown == "See [the guide](https://example.org/guide) for more than a few details of this\n"
+
+
+def test_clashing_names_and_repeated_files(spark):
+    rows = [("a.txt", "u", 3, b"rye", "m", "r", "k"), ("a.txt", "u", 3, b"rye", "m", "r", "k"), ("b.pdf", "u", 3, b"no pdf", "m", "r", "k"), ("b.pdf", "u", 3, b"no pdf", "m", "r", "k"), ("c.csv", "u", 3, None, "m", "r", "k")]
+    docs = spark.createDataFrame(rows, "name string, source_uri string, length long, content binary, markdown string, r string, doc_id string").withColumn("_refusal", F.lit("kept")).withColumn("kept", F.lit(1))
+    out = to_markdown(docs).collect()
+    assert sorted(str(x.markdown) for x in out) == ["None", "None", "None", "rye\n", "rye\n"]
+    assert all((x.r, x.doc_id, x["_refusal"], x.kept) == ("r", "k", "kept", 1) for x in out) and sum(x.error is not None for x in out) == 2
+
+
+def test_numbers_beyond_any_date():
+    from docmd.sources import xlsx
+
+    assert xlsx.date_text(1e8, "yyyy-mm-dd", False) == "100000000" and xlsx.date_text(2_958_465, "yyyy-mm-dd", False) == "9999-12-31"
+    assert xlsx.date_text(float("inf"), "yyyy", False) == xlsx.general(float("inf")) == xlsx.number_text(float("inf"), "0.00") == "inf"
+    assert xlsx.general(float("nan")) == xlsx.number_text(float("nan"), "0%") == "nan"
+    for from_1904 in (False, True):
+        assert xlsx.date_text(xlsx.MAX_SERIAL - 1 - xlsx.LATER * from_1904, "yyyy", from_1904) == "9999"

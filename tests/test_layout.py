@@ -69,5 +69,41 @@ def test_markers_hyphens_markdown(spark):
     tables = spark.createDataFrame([(1, 0, "| a |\n| --- |")], "doc_id long, table_id int, markdown string")
     out = L.to_markdown(lines(spark, {1: doc, 2: [{"text": None}]}), tables).collect()
     assert [r.doc_id for r in out] == [1]
-    assert out[0].markdown == "# Guide\n\nAn information about well-known things, a well-known fact, \\<b>.\n\n- first item\n\n\\# no heading\n\n| a |\n| --- |\n\nThe end.\n"
+    assert out[0].markdown == "# Guide\n\nAn information\nabout well-known\nthings, a well-known fact, \\<b>.\n\n- first item\n\n\\# no heading\n\n| a |\n| --- |\n\nThe end.\n"
     assert L.to_markdown(lines(spark, {1: []}) if False else spark.createDataFrame([], L.LINES)).count() == 0
+
+
+def test_hyphens(spark):
+    doc = [
+        body("It is reli-", 100), body("able and surpris-", 114), body("ing, an auto-", 128), body("encoder of the lon-", 142), body("gest kind, an encoder.", 156), body("dimensional-", 170), body("ity and di-", 184), body("mensionality", 198),
+    ]
+    (out,) = L.to_markdown(lines(spark, {1: doc})).collect()
+    assert out.markdown == "It is reliable\nand surprising,\nan auto-encoder\nof the lon-gest\nkind, an encoder.\ndimensionality\nand dimensionality\n"
+    (out,) = L.to_markdown(lines(spark, {1: doc[:5]}), dictionary=F.array(F.lit("longest"))).collect()
+    assert "the longest\n" in out.markdown
+
+
+def test_split_links(spark):
+    many = [f"[w{i}](https://x.org/a)" for i in range(100)]
+    row = spark.createDataFrame([(["see [a](https://x.org/a)", "[b](https://x.org/a) and", "[c](https://x.org/b)"], many, [])], "a array<string>, b array<string>, c array<string>")
+    got = row.select(*(L.join_split_links(F.col(c)) for c in "abc")).first()
+    assert list(got) == ["see [a b](https://x.org/a) and\n[c](https://x.org/b)", "[" + " ".join(f"w{i}" for i in range(100)) + "](https://x.org/a)", ""]
+
+
+def test_second_body_size(spark):
+    text = "A plain line of text with at least forty characters in it, {}."
+    mixed = [body(text.format(i), 100 + 14 * i, font_size=11.5 if i % 2 else 11.0) for i in range(40)]
+    apart = [body(text.format(i), 100 + 14 * i, font_size=11.5 if i >= 20 else 11.0) for i in range(40)]
+    got = {r.doc_id: (r.body, list(r.bodies)) for r in L.body_sizes(lines(spark, {1: mixed + [body("x" * 300, 700)], 2: apart + [body("x" * 300, 700)]})).collect()}
+    assert got == {1: (22, [22, 23]), 2: (22, [22])}
+
+
+def test_bullets_of_a_page(spark):
+    doc = [body("•", 100, x=60.0), body("◦", 100, x=65.0), body("near", 101, x=80.0), body("far", 100, x=200.0), body("•", 300, x=60.0), body("•", 100, x=60.0, page=2), body("x", 100, x=90.0, page=2)]
+    got = [(r.text, r.x) for r in L.attach_markers(lines(spark, {1: doc})).orderBy("seq").collect()]
+    assert got == [("• near", 60.0), ("far", 200.0), ("•", 60.0), ("• x", 60.0)]
+
+
+def test_plan_has_no_self_join(spark):
+    plan = L.to_markdown(lines(spark, {1: [body("x", 100)]}))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") + plan.count("Exchange(") <= 6 and plan.count("Join") <= 1

@@ -22,5 +22,5 @@ def test_tables(spark):
 
 def test_split_links(spark):
     text = "See [the](https://a.org/x)\n[long](https://a.org/x)\n[name](https://a.org/x) and [b](https://b.org)\n[c](https://c.org)"
-    got = spark.range(1).select(layout.join_split_links(F.lit(text)).alias("x")).first().x
+    got = spark.range(1).select(layout.join_split_links(F.split(F.lit(text), "\n")).alias("x")).first().x
     assert got == "See [the long name](https://a.org/x) and [b](https://b.org)\n[c](https://c.org)"
