@@ -12,10 +12,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each application."""
+    """Sends the package's sources to the executors, once for each application, and bounds what workers get at once."""
+    if spark.conf.get(_ROWS) == "10000":  # Spark's default: of texts that is tens of MB in each worker
+        spark.conf.set(_ROWS, "4000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
