@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docmd.llm.common import unused
 from docmd.llm.sampling import per_label, remainder
-from docmd.llm.textvec import slices
+from docmd.llm.textvec import slices, tidy
 
 BITS = 14
 DIM = 1 << BITS
@@ -184,6 +184,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     slim = rows.select(*keep, F.col(text).alias(own_text))
     schema = rows.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, rejected = classify(model, batch.column(own_text))
@@ -196,6 +197,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 def accepted(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose text the model does not reject, with all their columns as they are."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(~classify(model, batch.column(text))[2]))

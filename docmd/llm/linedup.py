@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
 from docmd.llm.common import discard, lookup, released, stored, unused
-from docmd.llm.textvec import LOWER, Spans, slices
+from docmd.llm.textvec import LOWER, Spans, slices, tidy
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS, GROUPS = 20, 5, 2
@@ -156,6 +156,7 @@ def signed(rows: DataFrame, key: str, text: str) -> DataFrame:
         n = len(some) + 1
         return pa.RecordBatch.from_arrays([pa.nulls(n, types[0]), pa.nulls(n, types[1]), pa.array([*some, -1], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], _NAMES)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, types = 0, [pa.null(), pa.list_(pa.int64())]
@@ -230,6 +231,7 @@ def payloads(rows: DataFrame) -> DataFrame:
     A doc_id may have several texts: a wanted line is taken from those where it is the wanted node.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("wanted")
@@ -304,6 +306,7 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
     joined = own.join(gone.hint("merge"), F.col(key) == F.col(doc), "left").drop(doc)
     schema = own.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone_ = batch.column(text), batch.column(mark)

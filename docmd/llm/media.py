@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm.common import unused
-from docmd.llm.textvec import slices
+from docmd.llm.textvec import slices, tidy
 
 #: Fixed values of the format.
 PACKET, SYNC, PAT_PID, NULL_PID = 188, 0x47, 0x0000, 0x1FFF
@@ -232,6 +232,7 @@ def stored(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumns({"n_bytes": F.lit(0).cast("long"), "media": F.lit(b"")}).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in slices(batch.column(own)):
@@ -250,6 +251,7 @@ def read(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id
     slim = rows.select(*keep, F.col(media).alias(stream))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
 from docmd.llm.common import connected_components, discard, lookup, stored
-from docmd.llm.textvec import LOWER, NOT_SPACE, grams, slices, word_hashes, word_spans
+from docmd.llm.textvec import LOWER, NOT_SPACE, grams, slices, tidy, word_hashes, word_spans
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
@@ -36,7 +36,7 @@ _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row) for slices of the texts."""
-    for first, _, raw, offsets in slices(texts):
+    for first, _, raw, offsets in slices(texts, 1 << 20):
         raw = LOWER[raw]
         starts, ends, words = word_spans(raw, offsets, NOT_SPACE)
         h = word_hashes(raw, starts, ends)
@@ -63,6 +63,7 @@ def signatures(rows: DataFrame, text: str, key: str) -> DataFrame:
     """(id, n, digest, bands) of every row; n is the size of the set, digest and bands are null for an empty one."""
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column("t")):
@@ -79,6 +80,7 @@ def signatures(rows: DataFrame, text: str, key: str) -> DataFrame:
 def payloads(rows: DataFrame) -> DataFrame:
     """(id, n, payload) of rows (id, t): the packed signature and the set, in one binary."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column("t")):

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from docmd.llm.common import discard, released, scratch_path, stored, unused
 from docmd.llm.files import place, put
 from docmd.llm.sampling import remainder
-from docmd.llm.textvec import LOWER, NOT_SPACE, slices, word_hashes, word_spans
+from docmd.llm.textvec import LOWER, NOT_SPACE, slices, tidy, word_hashes, word_spans
 
 END = np.uint64(0x5D588B656C078965)
 FLUSH = 1 << 22
@@ -452,6 +452,7 @@ def fit(rows: DataFrame, text: str = "text", order: int = 2) -> Model:
     wide = 2 * ranges
 
     def counter(known: Model, bits: int):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def keys() -> Iterator[np.ndarray]:
                 for b in batches:
@@ -585,6 +586,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     whole, real = F.lit(0).cast("long"), F.lit(0.0)
     schema = rows.select(*keep).withColumns(dict(zip(names, (whole, whole, real, real, real), strict=True))).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(score(model, batch.column(own_text)))

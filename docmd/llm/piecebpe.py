@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm.common import unused
-from docmd.llm.textvec import mix, same_spans, slices
+from docmd.llm.textvec import mix, same_spans, slices, tidy
 
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 20240229
@@ -347,6 +347,7 @@ def encoded(rows: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumn("pieces", F.lit(None).cast("array<int>")).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, nulls = 0, batch.column(own).is_null()
@@ -367,6 +368,7 @@ def decoded(rows: DataFrame, path: str, pieces: str = "pieces", keep: tuple[str,
     slim = rows.select(*keep, F.col(pieces).alias(own))
     schema = rows.select(*keep).withColumn("text", F.lit(None).cast("string")).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [decode(path, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(own)]
@@ -384,6 +386,7 @@ def round_trip(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
     slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumns({"pieces": F.lit(None).cast("array<int>"), "n_pieces": F.lit(0), "lossless": F.lit(True), "decoded_sha256": F.lit(None).cast("string")}).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, texts = 0, batch.column(own)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmd.llm.common import connected_components, discard, lookup, stored
+from docmd.llm.textvec import tidy
 
 BLOCK = 512
 BLOCK_MEMBERS = 1 << 20
@@ -212,6 +213,7 @@ def links(rows: DataFrame, decode: Decode, percent: int, k: int, margin: float =
             t = u
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:

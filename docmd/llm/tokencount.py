@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm.common import unused
-from docmd.llm.textvec import mix, same_spans, slices, word_hashes
+from docmd.llm.textvec import mix, same_spans, slices, tidy, word_hashes
 
 CHUNK = 256
 MAX_STATES, RUN = 200_000, 1 << 16
@@ -320,6 +320,7 @@ def token_counts(rows: DataFrame, path: str, text: str = "text", keep: tuple[str
     slim = rows.select(*keep, F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0).cast("long")).alias("n_bytes"), F.col(text).alias(own))
     schema = slim.drop(own).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "n_bytes"]), pa.array(count(path, batch.column(own)))], [*keep, "n_bytes", "n_tokens"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docmd.llm.common import unused
 from docmd.llm.sampling import per_label, remainder
-from docmd.llm.textvec import ALNUM, LOWER, digest_rows, grams, slices, word_hashes, word_spans
+from docmd.llm.textvec import ALNUM, LOWER, digest_rows, grams, slices, tidy, word_hashes, word_spans
 
 BITS = 20
 _SKIP = np.uint64(0xD6E8FEB86659FD93)
@@ -83,6 +83,7 @@ def fit(rows: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sample = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
     sample = sample.groupBy("k").agg(F.first("y").alias("y"), F.min("t").alias("t")).select("y", "t")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, found = [], []
@@ -124,6 +125,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     slim = rows.select(*keep, F.col(text).alias(own))
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores(model, batch.column(own)))], [*keep, "score"])
