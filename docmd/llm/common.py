@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -50,10 +51,14 @@ def discard(*tables: DataFrame) -> None:
     released(tables[0].sparkSession)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own."""
+def released(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own. wait: seconds that it
+    gets for large ones."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -109,6 +109,25 @@ def _members(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return out, sizes
 
 
+def _nodes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The nodes of some lines of a text, of their own characters only."""
+    size = ends - starts
+    upto = np.cumsum(size)
+    own = points[np.repeat(starts - (upto - size), size) + np.arange(int(size.sum()))]
+    return Spans(own, SHINGLE).hashes(upto - size, upto).view(np.int64)
+
+
+def _found(lists: pa.Array, points: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of (line, node), one for each row: those where the row has that line. Their rows, places and nodes."""
+    begin = np.searchsorted(row, np.arange(len(lists) + 1))
+    flat = lists.flatten()
+    owner = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at, node = begin[owner] + flat.field("line").to_numpy(zero_copy_only=False), flat.field("node").to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(at < begin[owner + 1])
+    there = there[_nodes(points, starts[at[there]], ends[at[there]]) == node[there]]
+    return owner[there], at[there], node[there]
+
+
 def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """K minima of each set: GROUPS (2) functions, the halves of the hash, each with K / GROUPS bins."""
     bins = K // GROUPS
@@ -236,17 +255,7 @@ def payloads(rows: DataFrame) -> DataFrame:
         for batch in batches:
             wanted = batch.column("wanted")
             for first, end, points, row, starts, ends in lines(batch.column("t")):
-                spans = Spans(points, SHINGLE)
-                begin = np.searchsorted(row, np.arange(end - first + 1))
-                mine = wanted.slice(first, end - first)
-                flat = mine.flatten()
-                owner = np.repeat(np.arange(end - first), pa.compute.list_value_length(mine).to_numpy(zero_copy_only=False))
-                at = begin[owner] + flat.field("line").to_numpy(zero_copy_only=False)
-                node = flat.field("node").to_numpy(zero_copy_only=False)
-                there = np.flatnonzero(at < begin[owner + 1])
-                at, node = at[there], node[there]
-                same = spans.hashes(starts[at], ends[at]).view(np.int64) == node
-                at, node = at[same], node[same]
+                _, at, node = _found(wanted.slice(first, end - first), points, row, starts, ends)
                 blobs = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(starts[at], ends[at], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.maximum(ends[at] - starts[at] - SHINGLE + 1, 1)), pa.array(blobs, pa.binary())], ["id", "n", "payload"])
 
@@ -275,14 +284,14 @@ def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.
 def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, line, node) of every line that goes because another one of its group stays."""
     passed = stored(signed(rows, key, text), "lines")
-    released(rows.sparkSession)
+    released(rows.sparkSession, wait=0.5)
     known = passed.where("doc is not null").select("doc", F.posexplode("nodes").alias("line", "node")).where("node is not null")
     each = stored(known.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
     shared = stored(passed.where("key is not null").select("key", "id").distinct(), "line-buckets")
     ids = shared.select(F.col("id").alias("node")).distinct()
     wanted = each.join(ids, "node").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted"))  # no more than a text's lines
     texts = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-    items = simjoin.distinct_items(stored(payloads(texts.join(wanted.hint("merge"), "doc").select("t", "wanted")), "line-items"), "line")
+    items = simjoin.distinct_items(stored(payloads(texts.join(wanted.hint("shuffle_hash"), "doc").select("t", "wanted")), "line-items"), "line")
     groups = simjoin.components(shared, items, _decode, PERCENT, K, "line", MARGIN, SMALL)
     groups = stored(groups.select(F.col("id").alias("node"), "component"), "line-groups")
     discard(shared, items)
@@ -301,9 +310,9 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
     names = [c for c in rows.columns if c not in ("n_lines", "n_removed")]
     doc, mark = unused(names, "_doc"), unused(names, "_gone")
     gone = stored(repeated_lines(rows, text, key).groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("line", "node")).alias(mark)), "line-gone")
-    released(rows.sparkSession)
+    released(rows.sparkSession, wait=0.5)
     own = rows.select(*names)
-    joined = own.join(gone.hint("merge"), F.col(key) == F.col(doc), "left").drop(doc)
+    joined = own.join(gone.hint("shuffle_hash"), F.col(key) == F.col(doc), "left").drop(doc)
     schema = own.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
     @tidy
@@ -314,16 +323,14 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
             n_removed = np.zeros(len(texts), np.int64)
             some = pa.compute.is_valid(gone_)
             changed, rows_ = texts.filter(some).to_pylist(), np.flatnonzero(some.to_numpy(zero_copy_only=False))
-            wanted = gone_.filter(some).to_pylist()
+            wanted = gone_.filter(some)
             for first, end, points, row, starts, ends in lines(texts.filter(some)):
-                begin = np.searchsorted(row, np.arange(end - first + 1))
-                node = Spans(points, SHINGLE).hashes(starts, ends).view(np.int64)
-                for i in range(end - first):
-                    size = begin[i + 1] - begin[i]
-                    drop = {x["line"] for x in wanted[first + i] if x["line"] < size and int(node[begin[i] + x["line"]]) == x["node"]}
-                    if drop and changed[first + i] is not None:
-                        changed[first + i] = "\n".join(x for k, x in enumerate(changed[first + i].split("\n")) if k not in drop)
-                        n_removed[rows_[first + i]] = len(drop)
+                owner, at, _ = _found(wanted.slice(first, end - first), points, row, starts, ends)
+                at = at - np.searchsorted(row, owner)
+                for i in np.unique(owner).tolist():
+                    drop = set(at[slice(*np.searchsorted(owner, [i, i + 1]))].tolist())
+                    changed[first + i] = "\n".join(x for k, x in enumerate(changed[first + i].split("\n")) if k not in drop)
+                    n_removed[rows_[first + i]] = len(drop)
             out = pa.compute.replace_with_mask(texts, some, pa.array(changed, pa.string()))
             columns = [out if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.compute.fill_null(n_lines, 0).cast(pa.int64()), pa.array(n_removed)], [*names, "n_lines", "n_removed"])
