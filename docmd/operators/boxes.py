@@ -25,12 +25,10 @@ def clipped(boxes: DataFrame, clips: DataFrame) -> DataFrame:
     return cut.where("left <= right and top <= bottom").select(*boxes.columns)
 
 
-def _components(table: pa.Table) -> pa.Table:
-    """The cluster of each box of a page, the smallest seq in it: boxes sorted by left edge, compared with those still open."""
-    table = table.sort_by([("left", "ascending"), ("seq", "ascending")])
-    left, top, right, bottom = (table[c].to_numpy() for c in ("left", "top", "right", "bottom"))
-    n = len(left) if len(left) <= MAX_BOXES else 0
-    root = np.arange(n)
+def near_groups(boxes: np.ndarray, near: float) -> np.ndarray:
+    """The group of each box (left, top, right, bottom): that of the boxes at most near from it, directly or by others,
+    as the smallest place in it. A sweep from the left compares a box with those that reach as far."""
+    root = np.arange(len(boxes))
 
     def find(v: int) -> int:
         while root[v] != v:
@@ -39,22 +37,47 @@ def _components(table: pa.Table) -> pa.Table:
         return v
 
     open_ = np.zeros(0, int)
-    for i in range(n):
-        open_ = open_[right[open_] + NEAR >= left[i]]
-        for j in open_[(top[open_] - NEAR <= bottom[i]) & (bottom[open_] + NEAR >= top[i])]:
+    left, top, right, bottom = boxes.reshape(-1, 4).T
+    for i in np.argsort(left, kind="stable"):
+        open_ = open_[right[open_] + near >= left[i]]
+        for j in open_[(top[open_] - near <= bottom[i]) & (bottom[open_] + near >= top[i])]:
             a, b = find(i), find(int(j))
             root[max(a, b)] = min(a, b)
         open_ = np.append(open_, i)
-    seq = table["seq"].to_numpy()[:n]
-    roots = np.array([find(i) for i in range(n)], int)
-    first = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(first, roots, seq)
-    out = table.slice(0, n)
-    return out.append_column("cluster", pa.array(first[roots] if n else [], pa.int64()))
+    return np.array([find(i) for i in range(len(boxes))], int)
+
+
+def cluster_groups(boxes: np.ndarray, near: float = NEAR) -> np.ndarray:
+    """The cluster of each box, as the smallest place in it: clusters are boxes themselves, and grow until none are near."""
+    n, alive = len(boxes), 0
+    extents, heads, root = np.empty((n, 4)), np.empty(n, int), np.arange(n)
+    for i, box in enumerate(boxes):
+        own, head = box.copy(), i
+        while len(hits := np.flatnonzero((extents[:alive, :2] - near <= own[2:]).all(1) & (extents[:alive, 2:] + near >= own[:2]).all(1))):
+            own = np.concatenate([np.minimum(own[:2], extents[hits, :2].min(0)), np.maximum(own[2:], extents[hits, 2:].max(0))])
+            least = min(head, int(heads[hits].min()))
+            root[heads[hits]] = root[head] = least
+            head = least
+            rest = np.delete(np.arange(alive), hits)
+            alive = len(rest)
+            extents[:alive], heads[:alive] = extents[rest], heads[rest]
+        extents[alive], heads[alive] = own, head
+        alive += 1
+    for i in range(n):  # heads come before their members
+        root[i] = root[root[i]]
+    return root
+
+
+def _components(table: pa.Table) -> pa.Table:
+    """The cluster of each box of a page, as the smallest seq in it."""
+    table = table.sort_by([("seq", "ascending")])
+    table = table.slice(0, len(table) if len(table) <= MAX_BOXES else 0)
+    boxes = np.column_stack([table[c].to_numpy().astype(float) for c in ("left", "top", "right", "bottom")])
+    return table.append_column("cluster", pa.array(table["seq"].to_numpy()[cluster_groups(boxes)], pa.int64()))
 
 
 def with_clusters(boxes: DataFrame) -> DataFrame:
-    """boxes with cluster: boxes of a page that are at most NEAR apart, directly or by others."""
+    """boxes with cluster: boxes of a page that are at most NEAR apart, directly or by others; a cluster is as wide as its parts."""
     own = boxes.select(*(c.split(" ")[0] for c in BOXES.split(", ")))
     return own.groupBy("doc_id", "page").applyInArrow(_components, f"{BOXES}, cluster long")
 

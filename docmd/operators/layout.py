@@ -356,8 +356,10 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: C
     plain = F.transform("lines", lambda s: M.escape(bullets(s["text"])))
     body = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), M.escape(F.col("text")))).otherwise(join_hyphens(F.split(join_split_links(plain), "\n"), F.col("words"), dictionary))
     if tables is not None:
-        known = known.join(tables.select("doc_id", "table_id", F.col("markdown").alias("_table")), ["doc_id", "table_id"], "left")
-        body = F.when(F.col("is_table"), F.coalesce("_table", F.lit(""))).otherwise(body)
+        # one row for each document: the paragraphs stay where they are
+        of_doc = tables.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("table_id", "markdown"))).alias("_tables"))
+        known = known.join(of_doc, "doc_id", "left")
+        body = F.when(F.col("is_table"), F.coalesce(F.col("_tables")[F.col("table_id")], F.lit(""))).otherwise(body)
     blocks = known.select("doc_id", "para", body.alias("block")).where("block <> ''")
     joined = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "block"))), lambda s: s["block"]), "\n\n").alias("m"))
     return joined.select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))

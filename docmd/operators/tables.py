@@ -14,6 +14,30 @@ def _line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def of_rows(rows: Column, blank: Column) -> Column:
+    """An array of rows of texts as a Markdown table: cells on one line, rows padded, columns without any text left out; the
+    first row is the header. blank: the header is empty, and rows without text go. Null without rows or without any text."""
+    own = F.transform(rows, lambda r: F.transform(r, lambda x: M.table_cell(M.strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")))))
+    at = lambda r, k: F.coalesce(F.get(r, k), F.lit(""))
+
+    def shown(grid: Column) -> Column:
+        body = F.when(blank, F.filter(grid, lambda r: F.exists(r, lambda x: x != ""))).otherwise(F.slice(grid, 2, F.size(grid)))
+        head = F.when(blank, F.transform(grid[0], lambda _: F.lit(""))).otherwise(grid[0])
+        return F.array_join(F.concat(F.array(_line(head), _line(F.transform(grid[0], lambda _: F.lit("---")))), F.transform(body, _line)), "\n")
+
+    def table(clean: Column) -> Column:
+        width = F.greatest(F.array_max(F.transform(clean, F.size)), F.lit(1))
+        used = F.filter(F.sequence(F.lit(0), width - 1), lambda k: F.exists(clean, lambda r: at(r, k) != ""))
+        return _let(used, lambda u: F.when(F.size(u) > 0, _let(F.transform(clean, lambda r: F.transform(u, lambda k: at(r, k))), shown)))
+
+    return F.when(F.size(rows) > 0, _let(own, table))
+
+
 def to_markdown(cells: DataFrame) -> DataFrame:
     """Each table as Markdown, rows and columns in order, cells on one line, rows padded, empty columns left out.
 

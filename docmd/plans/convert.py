@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docmd.functions import markdown as M
 from docmd.operators import layout as L
+from docmd.operators import tables as T
 from docmd.session import written
 from docmd.sources import files
 
@@ -123,6 +124,7 @@ def sheets_markdown(sheets: Column) -> Column:
 
 
 _LINE = "struct<page:int,page_height:double,x:double,y:double,width:double,font_size:double,bold:boolean,rotated:boolean,text:string,table_id:int,heading:int,seq:int>"
+_TABLE = "struct<table_id:int,rows:array<array<string>>,blank:boolean>"
 
 
 def _pdf():
@@ -130,7 +132,7 @@ def _pdf():
         ("lines", pa.list_(pa.struct([
             ("page", pa.int32()), ("page_height", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("width", pa.float64()), ("font_size", pa.float64()), ("bold", pa.bool_()), ("rotated", pa.bool_()),
             ("text", pa.string()), ("table_id", pa.int32()), ("heading", pa.int32()), ("seq", pa.int32()),
-        ]))), ("title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("error", _ERROR_ARROW),
+        ]))), ("tables", pa.list_(pa.struct([("table_id", pa.int32()), ("rows", pa.list_(pa.list_(pa.string()))), ("blank", pa.bool_())]))), ("title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("error", _ERROR_ARROW),
     ])
 
     def run(contents: pa.Array) -> pa.Array:
@@ -140,17 +142,17 @@ def _pdf():
         for data in contents:
             try:
                 found = pdftext.read(data.as_buffer().to_pybytes()) if data.is_valid else None
-                out.append(found and {"lines": found[0]} | found[1])
+                out.append(found and {"lines": found[0], "tables": found[2]} | found[1])
             except Exception as e:  # noqa: BLE001 - the border of one document
                 out.append(e)
         return _result(out, kind)
 
     run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"struct<lines:array<{_LINE}>,title:string,author:string,language:string,error:{_ERROR}>")
+    return F.arrow_udf(run, f"struct<lines:array<{_LINE}>,tables:array<{_TABLE}>,title:string,author:string,language:string,error:{_ERROR}>")
 
 
 def pdf_pages(documents: DataFrame) -> DataFrame:
-    """documents with doc_id, one for each row, and r, its lines and metadata, in place of the content.
+    """documents with doc_id, one for each row, and r, its lines, tables and metadata, in place of the content.
 
     Written once, because the layout analysis reads it more than once; nothing is shuffled. A null content has a null r.
     """
@@ -191,7 +193,8 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
     if pdf:
         pages = pdf_pages(marked.where(is_pdf).select("kept", "content"))
         lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
-        joined = pages.join(L.to_markdown(lines).withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
+        tables = pages.select("doc_id", F.explode("r.tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
+        joined = pages.join(L.to_markdown(lines, tables).withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
         found = F.when(c("r.error").isNull() & c("r").isNotNull(), F.coalesce("markdown", F.lit("")))
         out = out.unionByName(joined.select("kept", found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), c("r.error").cast(_ERROR).alias("error")))
     if mode == "failfast":

@@ -268,6 +268,7 @@ class File:
             raise Unreadable("Cannot read PDF: no catalog")
         self.root = root
         out: list[dict] = []
+        self.page_numbers: dict[int, int] = {}  # by object, from 1
         seen: set[int] = set()
         stack = [(root.get("Pages"), {})]
         while stack:
@@ -283,4 +284,6 @@ class File:
                 stack += [(k, own) for k in reversed(kids)]
             else:
                 out.append(own | node)
+                if isinstance(ref, Ref):
+                    self.page_numbers[int(ref)] = len(out)
         return out

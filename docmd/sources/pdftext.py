@@ -5,12 +5,22 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from typing import NamedTuple
+
 from docmd.functions.text import clean, link
+from docmd.sources import pdfblocks
+from docmd.sources.pdfmarks import Marks
 from docmd.sources.pdfobjects import File, Name, Parser, Stream, Unreadable, Word
 
-# When glyphs make one line, when a gap is a space, what makes a font bold.
-SAME_BASELINE, SPACE_GAP, STRETCHED, BOLD_WEIGHT = 0.1, 0.2, 1.05, 600
-_BOLD = re.compile(r"bold|black|heavy|semibold|-Medi|CMBX", re.I)
+# When glyphs make one line, when a gap is a space, what makes a font bold, how high a glyph is.
+SAME_BASELINE, SPACE_GAP, STRETCHED, BOLD_WEIGHT, HEIGHT = 0.1, 0.2, 1.05, 600, 0.5
+# When a space is drawn over a letter (share of its width, letters away), and what a raised digit is, in sizes
+# of the text beside it: size, rise, distance; how far a number may be from its factor.
+COVERED, COVER_WINDOW = 0.9, 8
+SCRIPT_SIZE, SCRIPT_RISE, SCRIPT_GAP, ON_BASELINE, SAME_SIZE, FACTOR_GAP = (0.55, 0.80), (0.20, 0.50), (-0.01, 0.15), 0.05, 0.01, 0.25
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+_BOLD = re.compile(r"(?i:bold|black|heavy|semibold)|-Medi(Ital)?$|(^|\+)CMBX")
+_POWER, _FACTOR = re.compile(r"((?:[0-9]+(?:\.[0-9]+)?)?×)?10([0-9]{1,3})"), re.compile(r"[0-9]+(?:\.[0-9]+)?×")
 #: Names of characters that are no letters; letters and `uniXXXX` are their own names.
 GLYPHS = {
     "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",",
@@ -127,24 +137,40 @@ class Font:
         return [(self.map[c] if c in self.map else self.simple.get(c, ""), float(width(c)), c == 32 and not self.wide) for c in codes]
 
 
+class Glyph(NamedTuple):
+    """A shown character or ligature: its baseline's start from the top left of the page, and its marked content (-1: none)."""
+
+    text: str
+    x: float
+    y: float
+    advance: float
+    size: float
+    bold: bool
+    rotated: bool
+    invisible: bool
+    mark: int
+
+
 class _Page:
-    """The interpreter of one page's content."""
+    """The interpreter of one page's content: its glyphs, and the boxes that it paints (of a page that is not turned)."""
 
-    def __init__(self, file: File, page: dict, number: int) -> None:
-        self.file, self.number = file, number
+    def __init__(self, file: File, page: dict, number: int, marks: Marks) -> None:
+        self.file, self.number, self.marks = file, number, marks
         box = [file.get(x) for x in (file.get(page.get("CropBox")) or file.get(page.get("MediaBox")) or [0, 0, 612, 792])]
         box = box if len(box) == 4 and all(isinstance(x, (int, float)) for x in box) else [0, 0, 612, 792]
         self.box = (min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3]))
         turn = file.get(page.get("Rotate")) or 0
         self.turn = int(turn) % 360 if isinstance(turn, (int, float)) else 0
-        self.glyphs: list[tuple] = []  # text, x, y, advance, size, bold, rotated, invisible
+        self.glyphs: list[Glyph] = []
+        self.boxes: list[tuple[float, float, float, float]] = []
+        self.open_marks: list[int] = []
         self.images = False
         self.fonts: dict[int, Font] = {}
         self.links = [] if self.turn else self._links(page)
         contents = file.get(page.get("Contents"))
         parts = [file.get(c) for c in contents] if isinstance(contents, list) else [contents]
         data = b"\n".join(file.decoded(s) for s in parts if isinstance(s, Stream))
-        self.run(data, file.get(page.get("Resources")) or {}, (1, 0, 0, 1, 0, 0), 0)
+        self.run(data, file.get(page.get("Resources")) or {}, (1, 0, 0, 1, 0, 0), 0, self.extent([(self.box[0], self.box[1]), (self.box[2], self.box[3])]))
 
     @property
     def height(self) -> float:
@@ -169,18 +195,33 @@ class _Page:
                 out.append((min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2), url))
         return out
 
-    def url(self, g: tuple) -> str | None:
+    def extent(self, points: list[tuple[float, float]], ctm: tuple = (1, 0, 0, 1, 0, 0)) -> tuple[float, float, float, float]:
+        """left, top, right and bottom of points on the page."""
+        placed = [self.place(x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5]) for x, y in points]
+        return min(p[0] for p in placed), min(p[1] for p in placed), max(p[0] for p in placed), max(p[1] for p in placed)
+
+    def paint(self, box: tuple | None, clip: tuple) -> None:
+        """Keeps the visible part of a painted box; one more than a page may have tells that it has too many."""
+        if box and not self.turn and len(self.boxes) <= pdfblocks.MAX_BOXES:
+            seen = _within(box, clip)
+            if seen[0] <= seen[2] and seen[1] <= seen[3]:
+                self.boxes.append(seen)
+
+    def url(self, g: Glyph) -> str | None:
         """The address of the link that a glyph's centre is in."""
-        if g[6] or not self.links:
+        if g.rotated or not self.links:
             return None
-        x, y = g[1] + g[3] / 2, g[2] - 0.3 * g[4]
+        x, y = g.x + g.advance / 2, g.y - 0.3 * g.size
         return next((u for left, top, right, bottom, u in self.links if left <= x <= right and top <= y <= bottom), None)
 
-    def run(self, data: bytes, resources: dict, ctm: tuple, depth: int) -> None:
+    def run(self, data: bytes, resources: dict, ctm: tuple, depth: int, clip: tuple) -> None:
         get = self.file.get
+        properties = get(resources.get("Properties")) or {}
+        path: tuple | None = None  # the extent of the path that is being made
+        cutting = False  # whether it becomes a clip
         fonts, objects = get(resources.get("Font")) or {}, get(resources.get("XObject")) or {}
         p, stack, saved = Parser(data), [], []
-        state = {"ctm": ctm, "font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "mode": 0}
+        state = {"ctm": ctm, "font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "mode": 0, "clip": clip}
         tm = line = (1, 0, 0, 1, 0, 0)
 
         def show(data_: bytes) -> None:
@@ -200,12 +241,21 @@ class _Page:
                     high = (m[2] ** 2 + m[3] ** 2) ** 0.5
                     broad = (m[0] ** 2 + m[1] ** 2) ** 0.5
                     shown = high if high and broad / high <= STRETCHED else broad
-                    self.glyphs.append((unicodedata.normalize("NFKC", text) if "ﬀ" <= text[:1] <= "ﭏ" else text, x, y, x2 - x, shown, font.bold, not flat, state["mode"] == 3))
+                    text = unicodedata.normalize("NFKC", text) if "\ufb00" <= text[:1] <= "\ufdff" or "\ufe70" <= text[:1] <= "\ufeff" else text
+                    left, top, right, bottom = state["clip"]
+                    # a glyph goes that is wholly outside the clip
+                    if max(x, x2, x + 0.1) > left and min(x, x2) < right and max(y, y2) > top and min(y, y2) - max(HEIGHT * shown, 0.1) < bottom:
+                        self.glyphs.append(Glyph(text, x, y, x2 - x if flat else ((x2 - x) ** 2 + (y2 - y) ** 2) ** 0.5, shown, font.bold, not flat, state["mode"] == 3, self.open_marks[-1] if self.open_marks else -1))
                 tm = _mul((1, 0, 0, 1, advance, 0), tm)
 
         def number(k: int) -> float:
             return float(stack[k]) if -k <= len(stack) and isinstance(stack[k], (int, float)) else 0.0
 
+        def add(*points: tuple[float, float]) -> None:
+            nonlocal path
+            box = self.extent(list(points), state["ctm"])
+            path = box if path is None else (min(path[0], box[0]), min(path[1], box[1]), max(path[2], box[2]), max(path[3], box[3]))
+
         while (x := p.next()) is not None:
             if not isinstance(x, Word):
                 stack.append(x)
@@ -216,6 +266,26 @@ class _Page:
                 state = saved.pop()
             elif x == "cm" and len(stack) >= 6:
                 state["ctm"] = _mul(tuple(number(k) for k in range(-6, 0)), state["ctm"])
+            elif x in _POINTS:
+                add(*((number(k), number(k + 1)) for k in range(-2 * _POINTS[x], 0, 2)))
+            elif x == "re":
+                left, low, wide, high = (number(k) for k in range(-4, 0))
+                add((left, low), (left + wide, low), (left, low + high), (left + wide, low + high))
+            elif x in ("W", "W*"):
+                cutting = True
+            elif x in _PAINTS:
+                if x != "n":
+                    self.paint(path, state["clip"])
+                if cutting and path:
+                    state["clip"] = _within(path, state["clip"])
+                path, cutting = None, False
+            elif x in ("BMC", "BDC"):
+                of = stack[-1] if x == "BDC" and stack else None
+                of = get(properties.get(of)) if isinstance(of, Name) else of
+                mark = get(of.get("MCID")) if isinstance(of, dict) else None
+                self.open_marks.append(mark if isinstance(mark, int) and mark >= 0 else self.open_marks[-1] if self.open_marks else -1)
+            elif x == "EMC":
+                del self.open_marks[-1:]
             elif x == "BT":
                 tm = line = (1, 0, 0, 1, 0, 0)
             elif x == "Tf" and len(stack) >= 2:
@@ -250,55 +320,223 @@ class _Page:
                         tm = _mul((1, 0, 0, 1, -part / 1000 * state["size"] * state["scale"], 0), tm)
             elif x == "Do" and stack and isinstance(stack[-1], Name):
                 form = get(objects.get(stack[-1]))
-                if isinstance(form, Stream) and get(form.head.get("Subtype")) == "Image" and depth == 0:
-                    self.images = True
+                if isinstance(form, Stream) and get(form.head.get("Subtype")) == "Image":
+                    self.images |= depth == 0
+                    self.paint(self.extent(_UNIT, state["ctm"]), state["clip"])
                 elif isinstance(form, Stream) and get(form.head.get("Subtype")) == "Form" and depth < 12:
                     matrix = [get(v) for v in get(form.head.get("Matrix")) or [1, 0, 0, 1, 0, 0]]
-                    self.run(self.file.decoded(form), get(form.head.get("Resources")) or resources, _mul(tuple(matrix), state["ctm"]), depth + 1)
+                    inner = _mul(tuple(matrix), state["ctm"])
+                    limits = [get(v) for v in get(form.head.get("BBox")) or []]
+                    seen = self.extent([(limits[i], limits[j]) for i in (0, 2) for j in (1, 3)], inner) if len(limits) == 4 and all(isinstance(v, (int, float)) for v in limits) else state["clip"]
+                    self.run(self.file.decoded(form), get(form.head.get("Resources")) or resources, inner, depth + 1, _within(seen, state["clip"]))
             elif x == "BI":  # an inline image: its data is no operator
                 end = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)").search(p.data, p.at)
                 p.at = end.end() if end else len(p.data)
+                self.paint(self.extent(_UNIT, state["ctm"]), state["clip"])
             stack = []
 
+    def shown(self) -> list[Glyph]:
+        """The visible glyphs, or all of a page without any."""
+        return [g for g in self.glyphs if not g.invisible] or self.glyphs
+
+    def cell(self, g: Glyph) -> tuple[int, int, int] | None:
+        return self.marks.cells.get((self.number, g.mark)) if g.mark >= 0 else None
+
     def lines(self) -> list[dict]:
-        """The page's lines: glyphs on one baseline, in one direction, from left to right."""
-        shown = [g for g in self.glyphs if not g[7]] or self.glyphs
-        out: list[list[tuple]] = []
-        for g in shown:
-            last = out[-1][-1] if out else None
-            size = max(g[4], 1e-3)
-            if last and g[6] == last[6] and (abs(g[2] - last[2]) <= SAME_BASELINE * size if not g[6] else abs(g[1] - last[1]) <= SAME_BASELINE * size) and (g[6] or g[1] >= last[1] + last[3] - size):
-                out[-1].append(g)
+        """The page's lines: glyphs on one baseline, in one direction, from left to right, with their words."""
+        groups: list[list[Glyph]] = []
+        low = high = 0.0
+        for g in self.shown():
+            last, size = groups[-1][-1] if groups else None, max(g.size, 1e-3)
+            if g.rotated or last is None or last.rotated:
+                joins = last is not None and g.rotated == last.rotated and abs(g.x - last.x) <= SAME_BASELINE * size
+            else:  # raised ones reach into the height of the line's others
+                joins = (abs(g.y - low) <= SAME_BASELINE * size or low - high <= g.y <= low or g.y - HEIGHT * size <= low <= g.y) and g.x >= last.x + last.advance - size
+            low, high = (max(low, g.y), max(high, HEIGHT * size)) if joins else (g.y, HEIGHT * size)
+            if joins:
+                groups[-1].append(g)
             else:
-                out.append([g])
-        found = []
-        for glyphs in out:
-            parts: list[tuple[str | None, str]] = [(None, "")]
-            before = None
-            for g in glyphs:
-                url, last = self.url(g), parts[-1][1]
-                gap = before and last and not last[-1].isspace() and not g[0][:1].isspace() and not g[6] and g[1] - (before[1] + before[3]) > SPACE_GAP * g[4]
-                if gap:
-                    parts[-1] = parts[-1][0], last + " "
-                if url == parts[-1][0]:
-                    parts[-1] = url, parts[-1][1] + g[0]
-                else:
-                    parts.append((url, g[0]))
-                before = g
-            text = "".join(link(t, u) if u else t for u, t in parts)
-            if not text.strip():
+                groups.append([g])
+        return [line for glyphs in groups if (line := self._line(glyphs))]
+
+    def _line(self, glyphs: list[Glyph]) -> dict | None:
+        glyphs = _without_covered(glyphs)
+        cells = [self.cell(g) for g in glyphs]
+        inked = [g for g in glyphs if not g.text.isspace()]
+        tables = {c[0] for c in cells if c}
+        rest = [g for g, c in zip(glyphs, cells, strict=True) if not c]
+        others = any(not g.text.isspace() for g in rest)
+        if not inked:
+            return None
+        raised = _with_raised(glyphs, cells)
+        text, words = self._text([g for g, c in zip(raised, cells, strict=True) if not c] if tables and others else raised, not tables and not self.turn)
+        sizes: dict[float, int] = {}
+        levels: dict[int, int] = {}
+        for g in inked:
+            sizes[round(g.size, 2)] = sizes.get(round(g.size, 2), 0) + len(g.text.strip())
+            level = self.marks.headings.get((self.number, g.mark), 0)
+            levels[level] = levels.get(level, 0) + 1
+        size = max(sizes, key=lambda s: (sizes[s], s))
+        first, rotated = glyphs[0], glyphs[0].rotated
+        level = max(levels, key=lambda k: (k > 0, levels[k]))
+        return {
+            "page": self.number, "page_height": float(self.height), "x": first.x, "y": first.y if rotated else next((g.y for g in inked if round(g.size, 2) == size), first.y),
+            "width": 0.0 if rotated else glyphs[-1].x + glyphs[-1].advance - first.x, "font_size": float(size), "bold": 2 * sum(g.bold for g in inked) > len(inked), "rotated": rotated,
+            "text": text.strip() if tables and others else text.rstrip(), "table_id": min(tables) if len(tables) == 1 and not others else -1,
+            "heading": level if 2 * (len(inked) - levels.get(0, 0)) > len(inked) else 0, "words": words,
+        }
+
+    def _text(self, glyphs: list[Glyph], powers: bool) -> tuple[str, list[pdfblocks.Word]]:
+        """The text of glyphs, with links, spaces in its gaps and powers of ten, and its words with their places."""
+        pieces: list[list[Glyph]] = [[]]  # of words
+        gaps: set[int] = set()  # glyphs with a gap before them
+        for k, g in enumerate(glyphs):
+            before = glyphs[k - 1] if k else None
+            if before and not before.text[-1:].isspace() and not g.text[:1].isspace() and not g.rotated and g.x - (before.x + before.advance) > SPACE_GAP * g.size:
+                gaps.add(k)
+            if (k in gaps or g.text.isspace()) and pieces[-1]:
+                pieces.append([])
+            if not g.text.isspace():
+                pieces[-1].append(g)
+        pieces = [p for p in pieces if p]
+        powered = _powers(pieces, self.boxes, glyphs) if powers else {}
+        shown = {id(g): t for p in powered.values() if p.inline for g, t in zip(p.glyphs, p.texts, strict=True)}
+        if any(self.url(g) for g in glyphs):
+            shown, powered = {}, {}
+        parts: list[tuple[str | None, str]] = [(None, "")]
+        for k, g in enumerate(glyphs):
+            url = self.url(g)
+            if k in gaps:
+                parts[-1] = parts[-1][0], parts[-1][1] + " "
+            text = shown.get(id(g), g.text)
+            if url == parts[-1][0]:
+                parts[-1] = url, parts[-1][1] + text
+            else:
+                parts.append((url, text))
+        words = []
+        for k, p in enumerate(pieces):
+            found = powered.get(k)
+            own = "".join(found.texts) if found and found.alone else "".join(g.text for g in p)
+            words.append(pdfblocks.Word(p[0].x, p[-1].x + p[-1].advance, own, "".join(found.texts) if found and found.scale else None))
+        return "".join(link(t, u) if u else t for u, t in parts), words
+
+
+_POINTS = {"m": 1, "l": 1, "c": 3, "v": 2, "y": 2}
+_PAINTS = ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n")
+_UNIT = [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)]
+
+
+def _within(box: tuple, clip: tuple) -> tuple[float, float, float, float]:
+    return max(box[0], clip[0]), max(box[1], clip[1]), min(box[2], clip[2]), min(box[3], clip[3])
+
+
+def _without_covered(glyphs: list[Glyph]) -> list[Glyph]:
+    """glyphs without the spaces that are drawn over a letter near them."""
+
+    def covered(k: int) -> bool:
+        space = glyphs[k]
+        if not space.text.isspace() or space.rotated or space.advance <= 0:
+            return False
+        near = glyphs[max(0, k - COVER_WINDOW) : k + COVER_WINDOW + 1]
+        over = (min(space.x + space.advance, g.x + g.advance) - max(space.x, g.x) for g in near if g.text[:1].isalnum() and abs(g.y - space.y) < 0.1)
+        return any(o >= COVERED * space.advance for o in over)
+
+    return [g for k, g in enumerate(glyphs) if not covered(k)]
+
+
+def _is_raised(digit: Glyph, text: Glyph, gap: float) -> bool:
+    if text.size <= 0:
+        return False
+    bounds = ((digit.size / text.size, SCRIPT_SIZE), ((text.y - digit.y) / text.size, SCRIPT_RISE), (gap / text.size, SCRIPT_GAP))
+    return all(low <= value <= high for value, (low, high) in bounds)
+
+
+def _with_raised(glyphs: list[Glyph], cells: list) -> list[Glyph]:
+    """glyphs in which raised numbers of footnotes are superscripts: up to three digits that touch a text, with nothing or
+    text on the baseline at their other side."""
+    digit = [g.text in tuple("0123456789") and not g.rotated and not c for g, c in zip(glyphs, cells, strict=True)]
+    out, k = list(glyphs), 0
+    while k < len(glyphs):
+        end = k
+        while end < len(glyphs) and digit[end]:
+            end += 1
+        run = glyphs[k:end]
+        if 0 < len(run) <= 3 and all(abs(g.size - run[0].size) <= SAME_SIZE * run[0].size and abs(g.y - run[0].y) < 0.1 for g in run):
+            before, after = glyphs[k - 1] if k else None, glyphs[end] if end < len(glyphs) else None
+            texts = [g is not None and not g.rotated and not g.text.isspace() for g in (before, after)]
+            level = lambda g, of: g is None or g.text.isspace() or abs(g.y - of.y) <= ON_BASELINE * of.size
+            follows = texts[0] and _is_raised(run[0], before, run[0].x - before.x - before.advance) and level(after, before)
+            leads = texts[1] and _is_raised(run[-1], after, after.x - run[-1].x - run[-1].advance) and level(before, after)
+            if follows or leads:
+                out[k:end] = [g._replace(text=SUPERSCRIPTS[int(g.text)]) for g in run]
+        k = max(end, k + 1)
+    return out
+
+
+class _Power(NamedTuple):
+    """A word with a raised exponent: whether it stands alone (with its factor), is a mere scale, and goes into the line."""
+
+    glyphs: list[Glyph]
+    texts: list[str]
+    alone: bool
+    scale: bool
+    inline: bool
+
+
+def _powers(words: list[list[Glyph]], boxes: list[tuple], line: list[Glyph]) -> dict[int, _Power]:
+    """The words that are powers of ten with a factor, in the word or as the nearest word before it."""
+    found: dict[int, _Power] = {}
+    for k, word in enumerate(words):
+        m = _POWER.fullmatch("".join(g.text for g in word))
+        if not m or len(word) != len(m[0]) or any(g.rotated for g in word):
+            continue
+        start = len(m[1] or "")
+        base, script = word[start], word[start + 2 :]
+        same = lambda g: abs(g.y - base.y) <= ON_BASELINE * base.size and abs(g.size - base.size) <= SAME_SIZE * base.size  # noqa: B023, E731
+        gaps = [g.x - p.x - p.advance for p, g in zip(word[start + 1 :], script, strict=False)]
+        if not all(map(same, word[: start + 2])) or not all(_is_raised(g, base, gap) and abs(g.size - script[0].size) <= SAME_SIZE for g, gap in zip(script, gaps, strict=True)):
+            continue
+        texts = [g.text for g in word[: start + 2]] + [SUPERSCRIPTS[int(g.text)] for g in script]
+        inline = m[1] != "×"
+        if m[1] is None:
+            before = max((w for j, w in enumerate(words) if j != k and w[-1].x + w[-1].advance <= base.x), key=lambda w: w[-1].x + w[-1].advance, default=None)
+            if before is None or not _FACTOR.fullmatch("".join(g.text for g in before)) or not all(map(same, before)):
                 continue
-            sizes: dict[float, int] = {}
-            for g in glyphs:
-                sizes[round(g[4], 2)] = sizes.get(round(g[4], 2), 0) + len(g[0].strip())
-            size = max(sizes, key=lambda s: (sizes[s], s))
-            first = next((g for g in glyphs if round(g[4], 2) == size), glyphs[0])
-            bold = 2 * sum(len(g[0].strip()) for g in glyphs if g[5]) > sum(len(g[0].strip()) for g in glyphs)
-            found.append({
-                "page": self.number, "page_height": float(self.height), "x": glyphs[0][1], "y": first[2], "width": 0.0 if glyphs[0][6] else glyphs[-1][1] + glyphs[-1][3] - glyphs[0][1],
-                "font_size": float(size), "bold": bold, "rotated": glyphs[0][6], "text": text.rstrip(), "table_id": -1, "heading": 0,
-            })
-        return found
+            edge = before[-1].x + before[-1].advance
+            size = max((g.size for g in line), default=base.size)
+            ruled = any(b[2] - b[0] <= 1.5 and b[3] - b[1] >= 0.5 * size and b[0] <= base.x and b[2] >= edge and b[1] <= base.y <= b[3] for b in boxes)
+            between = any(g.x + g.advance > edge and g.x < base.x for j, w in enumerate(words) if j != k and w is not before for g in w)
+            inline = base.x - edge <= FACTOR_GAP * base.size and not ruled and not between and len(boxes) <= pdfblocks.MAX_BOXES
+        found[k] = _Power(word, texts, m[1] is not None and m[1] != "×", m[1] == "×", inline)
+    return found
+
+
+def _tagged(pages: list[_Page], marks: Marks) -> list[dict]:
+    """The tables of the structure tree: their cells' glyphs in reading order, with a space for a gap or a new line."""
+    texts: dict[tuple[int, int, int], str] = {}
+    last: dict[tuple[int, int, int], Glyph] = {}
+    for page in pages:
+        for g in page.shown():
+            if cell := page.cell(g):
+                before = last.get(cell)
+                if before and (abs(g.y - before.y) > HEIGHT * before.size or g.x - before.x - before.advance > SPACE_GAP * g.size):
+                    texts[cell] += " "
+                texts[cell] = texts.get(cell, "") + g.text
+                last[cell] = g
+    shown = lambda t, r, n: [texts.get((t, r, c), "") for c in range(n)]
+    return [{"table_id": t, "rows": [shown(t, r, n) for r, n in enumerate(shape)], "blank": marks.blank[t]} for t, shape in enumerate(marks.shapes)]
+
+
+def _placed(lines: list[dict]) -> list[dict]:
+    """lines in which the first one of each tagged table stands for it, and its others are left out."""
+    out, seen = [], set()
+    for x in lines:
+        if x["table_id"] < 0:
+            out.append(x)
+        elif x["table_id"] not in seen:
+            seen.add(x["table_id"])
+            out.append(pdfblocks.place_of_table(x, x["table_id"]))
+    return out
 
 
 def _string(value) -> str | None:
@@ -313,19 +551,24 @@ class Scanned(Unreadable):
     """A file of images without text."""
 
 
-def read(data: bytes) -> tuple[list[dict], dict[str, str | None]]:
-    """The lines of all pages, and title, author and language. A file of images without text is refused."""
+def read(data: bytes) -> tuple[list[dict], dict[str, str | None], list[dict]]:
+    """The lines of all pages, without the labels of figures and with one line for each table; title, author and language;
+    and the tables: table_id, rows, and whether their header is blank. A file of images without text is refused."""
     try:
         file = File(data)
-        pages = [_Page(file, page, k + 1) for k, page in enumerate(file.pages())]
+        dictionaries = file.pages()
+        marks = Marks(file)
+        pages = [_Page(file, page, k + 1, marks) for k, page in enumerate(dictionaries)]
         info = file.get(file.trailer.get("Info"))
         info = info if isinstance(info, dict) else {}
         own = {"title": clean(_string(file.get(info.get("Title")))), "author": clean(_string(file.get(info.get("Author")))), "language": clean(_string(file.get(file.root.get("Lang"))))}
-        lines = [line for page in pages for line in page.lines()]
+        lines = _placed([line for page in pages for line in page.lines() if line["text"].strip()])
+        boxes, tables = {p.number: p.boxes for p in pages}, _tagged(pages, marks)
+        shown, ruled = pdfblocks.with_ruled_tables(pdfblocks.without_figures(lines, boxes), boxes, len(tables))
     except Unreadable:
         raise
     except (ValueError, TypeError, KeyError, IndexError, AttributeError, OverflowError, RecursionError) as e:
         raise Unreadable("Cannot read PDF") from e
     if not lines and any(p.images for p in pages):
         raise Scanned("The PDF has only images: run OCR on it")
-    return [x | {"seq": k} for k, x in enumerate(lines)], own
+    return [{n: v for n, v in x.items() if n != "words"} | {"seq": k} for k, x in enumerate(shown)], own, tables + ruled

@@ -23,20 +23,20 @@ def test_clusters_equal_all_pairs(spark):
     for k in range(150):
         x, y = r.uniform(0, 300), r.uniform(0, 300)
         rows.append((1, 1, k, x, y, x + r.uniform(0, 20), y + r.uniform(0, 20)))
-    root = list(range(150))
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    for a in rows:
-        for b in rows:
-            if a[3] - 3 <= b[5] and b[3] - 3 <= a[5] and a[4] - 3 <= b[6] and b[4] - 3 <= a[6]:
-                x, y = find(a[2]), find(b[2])
-                root[max(x, y)] = min(x, y)
+    # every two clusters that are near become one, until none are
+    sets = {k: (a[3:], [k]) for k, a in enumerate(rows)}
+    again = True
+    while again:
+        again = False
+        for i, j in [(i, j) for i in sorted(sets) for j in sorted(sets) if i < j]:
+            if i in sets and j in sets:
+                (a, x), (b, y) = sets[i], sets[j]
+                if a[0] - 3 <= b[2] and b[0] - 3 <= a[2] and a[1] - 3 <= b[3] and b[1] - 3 <= a[3]:
+                    sets[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), x + y
+                    del sets[j]
+                    again = True
     got = {x.seq: x.cluster for x in B.with_clusters(spark.createDataFrame(rows, B.BOXES)).collect()}
-    assert got == {k: find(k) for k in range(150)}
+    assert got == {k: min(parts) for _, parts in sets.values() for k in parts} and 1 < len(sets) < 150
 
 
 def test_clip_and_captions(spark):
