@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmd import officefiles as O
 from docmd.functions import markdown as M
 from docmd.operators import layout as L
 from docmd.plans.convert import csv_markdown, csv_records, to_markdown
@@ -97,6 +98,25 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_markdown(files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url")), pdf=False).select("page_id", "markdown", "title", "language")
 
 
+# Pages are navigation, a note, an article of a heading and paragraphs, and a footer: all but the article and the note goes
+# by the rules for page furniture. Blanks are one space, a `br` is a line end, and what is left is escaped.
+_TEXT = "replace(replace(replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_BLOCK = "</?(?:p|div|article|h1)(?: [^>]*)?>"
+_HTML_MARKDOWN = rf"""
+WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<body>(.*?)(?:</body>|\z)', 1) AS body FROM pages),
+r AS (SELECT page_id, regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:nav|footer)\b.*?(?:</(?:nav|footer)>|\z)', '', 'g') AS body FROM b),
+a AS (SELECT page_id, string_split(regexp_replace(body, '{_BLOCK}', chr(1) || '\0', 'g'), chr(1)) AS ts FROM r),
+s AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS n FROM a),
+l AS (SELECT page_id, n, starts_with(t, '<h1') AS head, string_split(regexp_replace(regexp_replace(regexp_replace(t, '^{_BLOCK}', ''), '</?b>', '', 'g'), '[ \t\n\r\f]+', ' ', 'g'), '<br>') AS ls FROM s),
+u AS (SELECT page_id, n, head, list_transform(ls, lambda x: trim({_TEXT.replace("{x}", "x")})) AS ls FROM l),
+e AS (SELECT page_id, n, head, list_transform(ls, lambda x: {_TAGS.replace("{x}", "x")}) AS ls FROM u WHERE array_to_string(ls, '') <> ''),
+m AS (SELECT page_id, n, CASE WHEN head THEN '# ' || array_to_string(ls, ' ') ELSE trim(array_to_string(list_transform(ls, lambda x: {_ESCAPE.replace("{x}", "x")}), chr(10)), chr(10)) END AS t FROM e),
+d AS (SELECT page_id, {_normalize_sql("string_agg(t, chr(10) || chr(10) ORDER BY n)")} AS t FROM m GROUP BY 1),
+h AS ({_HTML})
+SELECT page_id, {_finished_sql("t")} AS markdown, title, language FROM h LEFT JOIN d USING (page_id)
+"""
+
+
 def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of several extensions, a size limit, and the error of each document that is not read."""
     name = F.concat(F.lit("a.b/"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".TXT", ".csv", ".htm", ".pages", ".", "", ".Xlsx"))), (F.col("doc_id") % 7 + 1).cast("int")))
@@ -119,6 +139,68 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", files.decode(data).alias("text"))
 
 
+def _converted(rows: DataFrame, key: str, name: str, content: Column) -> DataFrame:
+    docs = rows.select(key, F.lit(name).alias("name"), F.lit(None).cast("string").alias("source_uri"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return to_markdown(docs, pdf=name.endswith("pdf")).select(key, "markdown")
+
+
+def docx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as Word documents, read back: a heading, a numbered list, a table."""
+    c, p = F.col, O.paragraph
+    item = '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>'
+    cell = lambda x: O.text("<w:tc>", p(x), "</w:tc>")
+    row = lambda *xs: O.text("<w:tr>", *map(cell, xs), "</w:tr>")
+    table = O.text("<w:tbl>", row(F.lit("Name"), F.lit("Segment | key")), row(c("c_name"), O.text(c("c_mktsegment"), " | ", c("c_custkey"))), "</w:tbl>")
+    body = O.text(p(c("c_name"), '<w:pStyle w:val="H"/>'), p(O.text("In &lt;b&gt; ", c("c_mktsegment"))), p(c("c_custkey"), item), p(F.lit("# last"), item), table)
+    return _converted(_table(spark, sf_dir, "customer"), "c_custkey", "a.docx", O.docx(body))
+
+
+_DOCX = r"""
+SELECT c_custkey, '# ' || c_name || chr(10) || chr(10) || 'In \<b> ' || c_mktsegment || chr(10) || chr(10) || '3. ' || c_custkey || chr(10) || '4. \# last' || chr(10) || chr(10)
+|| '| Name | Segment \| key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' \| ' || c_custkey || ' |' || chr(10) AS markdown FROM customer
+"""
+
+
+def xlsx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as workbooks, read back: text, numbers, dates and shares as they are shown, without unused columns."""
+    c = F.col
+    string = lambda at, x: O.text(f'<c r="{at}" t="inlineStr"><is><t>', x, "</t></is></c>")
+    number = lambda at, style, x: O.text(f'<c r="{at}" s="{style}"><v>', x, "</v></c>")
+    share = (c("c_custkey") % 10_000 / 10_000).cast("decimal(6,4)")
+    head = O.text(*(string(at, F.lit(x)) for at, x in (("A1", "Name"), ("B1", "Balance"), ("D1", "Since"), ("E1", "Share"))))
+    row = O.text(string("A2", c("c_name")), number("B2", 1, c("c_acctbal").cast("decimal(12,2)")), number("D2", 2, 40_000 + c("c_custkey") % 1000), number("E2", 3, share))
+    return _converted(_table(spark, sf_dir, "customer"), "c_custkey", "a.xlsx", O.xlsx(O.text("<row>", head, "</row><row>", row, "</row>")))
+
+
+_XLSX = """
+SELECT c_custkey, '| Name | Balance | Since | Share |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| ' || c_name || ' | ' || format('{:,.2f}', c_acctbal) || ' | '
+|| strftime(DATE '1899-12-30' + CAST(40000 + c_custkey % 1000 AS INTEGER), '%Y-%m-%d') || ' | ' || format('{:.2f}', c_custkey % 10000 / 100.0) || '% |' || chr(10) AS markdown FROM customer
+"""
+
+
+def pdf_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as PDF files, read back: a heading, a paragraph, and by turns a table of ruled lines, one of the structure
+    tree, and a figure whose labels go."""
+    c, s = F.col, O.shown
+    body = O.text(s(72, 720, c("c_name"), 20, "F2"), s(72, 690, O.text("The account of this customer is in the segment ", c("c_mktsegment"))), s(72, 678, O.text("and holds a balance of ", c("c_acctbal").cast("decimal(12,2)"), ".")))
+    cells = ((80, 630, F.lit("Key")), (180, 630, F.lit("Segment")), (80, 610, c("c_custkey")), (180, 610, c("c_mktsegment")))
+    ruled = O.text(O.rules((70, 170, 320), (645, 625, 605)), *(s(x, y, t) for x, y, t in cells), s(72, 590, O.text("Table 1: Account of ", c("c_name"))))
+    marked = O.text(*(s(x, y, t, mark=k) for k, (x, y, t) in enumerate(cells)))
+    row = lambda kind, ks: f"<< /S /TR /K [{' '.join(f'<< /S /{kind} /K {k} >>' for k in ks)}] >>"
+    tree = f"<< /S /Table /Pg 4 0 R /K [{row('TH', (0, 1))} {row('TD', (2, 3))}] >>"
+    figure = O.text("90 520 200 120 re f ", s(100, 600, O.text("label ", c("c_custkey")), 8), s(72, 500, O.text("Figure 1: Account of ", c("c_name"))))
+    turn = c("c_custkey") % 3
+    content = O.pdf(O.text(body, F.when(turn == 0, ruled).when(turn == 1, marked).otherwise(figure)), F.when(turn == 1, tree).otherwise(""))
+    return _converted(_table(spark, sf_dir, "customer"), "c_custkey", "a.pdf", content)
+
+
+_PDF = """
+WITH t AS (SELECT *, '| Key | Segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_mktsegment || ' |' || chr(10) AS cells FROM customer)
+SELECT c_custkey, '# ' || c_name || chr(10) || chr(10) || 'The account of this customer is in the segment ' || c_mktsegment || chr(10) || 'and holds a balance of ' || format('{:.2f}', c_acctbal) || '.' || chr(10) || chr(10)
+|| CASE c_custkey % 3 WHEN 0 THEN cells || chr(10) || 'Table 1: Account of ' || c_name || chr(10) WHEN 1 THEN cells ELSE 'Figure 1: Account of ' || c_name || chr(10) END AS markdown FROM t
+"""
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of lines: ten lines a page, with a running header and a page number."""
     docs = _table(spark, sf_dir, "documents").where("text is not null")
@@ -183,7 +265,7 @@ def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    html_markdown, txt_markdown, escaped_tags, table_cells, normalized, clean_metadata, links, csv_tables, html_metadata, format_dispatch, decoded, body_sizes, line_pitches, without_furniture, section_depths, layout_markdown,
+    html_markdown, txt_markdown, escaped_tags, table_cells, normalized, clean_metadata, links, csv_tables, html_metadata, format_dispatch, decoded, body_sizes, line_pitches, without_furniture, section_depths, layout_markdown, docx_markdown, xlsx_markdown, pdf_markdown,
 )
 
 
@@ -201,6 +283,10 @@ def oracle_sql() -> dict[str, str]:
         "links": "SELECT page_id, ' [page \\[' || page_id || '\\]](' || url || ') ' AS link, '<' || url || '>' AS own FROM pages",
         "csv_tables": _CSV,
         "html_metadata": _HTML,
+        "html_markdown": _HTML_MARKDOWN,
+        "docx_markdown": _DOCX,
+        "xlsx_markdown": _XLSX,
+        "pdf_markdown": _PDF,
         "format_dispatch": _DISPATCH,
         "decoded": "SELECT doc_id, text FROM documents",
         "body_sizes": _LINES + ", s AS (SELECT doc_id, size_key, sum(length(trim(text))) AS n FROM lines GROUP BY 1, 2) SELECT doc_id, CAST(arg_max(size_key, n * 1000 + size_key) AS INTEGER) AS body FROM s GROUP BY 1",
