@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import zlib
 
+from docmd.sources.pdfcrypt import Key, Locked
+
 WHITE = b"\x00\t\n\x0c\r "
 _TOKEN = re.compile(rb"[\x00\t\n\x0c\r ]*(?:%[^\r\n]*[\x00\t\n\x0c\r ]*)*")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
@@ -141,7 +143,10 @@ class File:
         if b"%PDF-" not in data[:1024]:
             raise Unreadable("Cannot read PDF: no header")
         self.data = data
-        self.places = {int(m[1]): m.end() for m in _OBJECT.finditer(data)}
+        found = list(_OBJECT.finditer(data))
+        self.places = {int(m[1]): m.end() for m in found}
+        self.generations = {int(m[1]): int(m[2]) for m in found}
+        self.key: Key | None = None
         self.cache: dict[int, object] = {}
         self.trailer: dict = {}
         for m in re.finditer(rb"\btrailer\b", data):
@@ -149,6 +154,7 @@ class File:
             if isinstance(head, dict):
                 self.trailer |= head
         self.packed: dict[int, tuple[int, int]] = {}
+        packs = []
         for number in sorted(self.places, key=self.places.get):
             if not re.compile(rb"[\x00\t\n\x0c\r ]*<<").match(data, self.places[number]):
                 continue
@@ -157,15 +163,37 @@ class File:
                 own = self.load(number)
                 if isinstance(own, Stream) and own.head.get("Type") == "XRef":
                     self.trailer |= {k: v for k, v in own.head.items() if k in ("Root", "Info", "Encrypt", "ID")}
-                elif isinstance(own, Stream) and own.head.get("Type") == "ObjStm" and "Encrypt" not in self.trailer:
-                    body = Parser(self.decoded(own))
-                    count = self.get(own.head.get("N")) or 0
-                    numbers = [body.next() for _ in range(2 * count)]
-                    for k in range(count):
-                        if isinstance(numbers[2 * k], int) and numbers[2 * k] not in self.places:
-                            self.packed[numbers[2 * k]] = number, (self.get(own.head.get("First")) or 0) + numbers[2 * k + 1]
+                elif isinstance(own, Stream) and own.head.get("Type") == "ObjStm":
+                    packs.append(number)
         if "Encrypt" in self.trailer:
-            raise Unreadable("PDF is encrypted")
+            self._unlock()
+        for number in packs:
+            own = self.load(number)
+            body = Parser(self.decoded(own))
+            count = self.get(own.head.get("N")) or 0
+            numbers = [body.next() for _ in range(2 * count)]
+            for k in range(count):
+                if isinstance(numbers[2 * k], int) and numbers[2 * k] not in self.places:
+                    self.packed[numbers[2 * k]] = number, (self.get(own.head.get("First")) or 0) + numbers[2 * k + 1]
+
+    def _unlock(self) -> None:
+        """The key of a file that opens without a password; what was read before it is read again."""
+        own = lambda v: {k: own(x) for k, x in v.items()} if isinstance(v := self.get(v), dict) else v
+        head, ident = own(self.trailer["Encrypt"]), self.get(self.trailer.get("ID"))
+        first = self.get(ident[0]) if isinstance(ident, list) and ident else b""
+        try:
+            key = Key(head if isinstance(head, dict) else {}, first if isinstance(first, bytes) else b"")
+        except (Locked, TypeError, AttributeError, ValueError, IndexError) as e:
+            raise Unreadable("PDF is encrypted") from e
+        self.cache, self.key = {}, key
+
+    def _plain(self, value, number: int):
+        """The value with its strings decrypted."""
+        if isinstance(value, bytes):
+            return self.key.plain(value, number, self.generations.get(number, 0), self.key.strings)
+        if isinstance(value, list):
+            return [self._plain(v, number) for v in value]
+        return {k: self._plain(v, number) for k, v in value.items()} if isinstance(value, dict) else value
 
     def load(self, number: int):
         """An object by number; None where there is none."""
@@ -175,6 +203,8 @@ class File:
                 p = Parser(self.data, self.places[number])
                 value = p.next()
                 p.skip()
+                if self.key:
+                    value = self._plain(value, number)
                 if isinstance(value, dict) and self.data.startswith(b"stream", p.at):
                     at = p.at + 6
                     at += 2 if self.data[at : at + 2] == b"\r\n" else 1
@@ -182,7 +212,10 @@ class File:
                     if not isinstance(size, int) or not re.compile(rb"[\x00\t\n\x0c\r ]*endstream").match(self.data, at + size):
                         end = self.data.find(b"endstream", at)
                         size = (len(self.data) if end < 0 else end) - at
-                    value = Stream(value, self.data[at : at + size])
+                    raw = self.data[at : at + size]
+                    if self.key and value.get("Type") != "XRef":
+                        raw = self.key.plain(raw, number, self.generations.get(number, 0), self.key.streams)
+                    value = Stream(value, raw)
                 self.cache[number] = value
             elif number in self.packed:
                 holder, at = self.packed[number]

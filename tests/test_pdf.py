@@ -1,10 +1,13 @@
 """Tagged and ruled tables, tagged headings, figures, clips, raised digits and powers of PDF pages."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 
 from docmd.operators.boxes import cluster_groups
-from docmd.sources import pdfblocks, pdftext
+from docmd.sources import pdfblocks, pdfcrypt, pdftext
 from tests.test_convert import convert, pdf, shown
 
 BODY = "This is the body of the document with enough words in it"
@@ -122,3 +125,52 @@ def test_clusters_of_many_boxes():
     # a box between the extents of two clusters joins them, though it is near to no box of one
     assert len(set(cluster_groups(np.array([[0.0, 0, 1, 100], [0, 0, 100, 1], [60, 60, 61, 61]])))) == 1
     assert pdfblocks.without_figures([], {}) == [] and pdfblocks.with_ruled_tables([], {}, 0) == ([], [])
+
+
+def test_ciphers():
+    key, text = bytes(range(16)), bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert pdfcrypt.encrypt_chain(key, bytes(16), text).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    assert pdfcrypt.encrypt_chain(bytes(range(32)), bytes(16), text).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    for k in (key, bytes(range(32))):
+        assert pdfcrypt.decrypt_chain(k, key, pdfcrypt.encrypt_chain(k, key, text * 3)) == text * 3
+    assert pdfcrypt.rc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3" and pdfcrypt.decrypt_chain(key, key, b"short") == b""
+
+
+def locked(kind: str, opens: bool = True) -> bytes:
+    """The page in an encrypted file; the user's password is empty where it opens."""
+    data = pdf([shown((72, 700, "rye bread", 10, "F1"))], info="<< /Title <41> >>")
+    ident, owner, user = b"0123456789abcdef", b"o" * 32, b""
+    filters = lambda m: f"/CF << /StdCF << /CFM /{m} >> >> /StmF /StdCF /StrF /StdCF"
+    if kind == "AESV3":
+        key, salts = bytes(range(32)), b"validati" + b"keysalts"
+        user = pdfcrypt._hash(salts[:8], 6) + salts
+        head = f"/V 5 /R 6 {filters(kind)} /UE <{pdfcrypt.encrypt_chain(pdfcrypt._hash(salts[8:], 6), bytes(16), key).hex()}>"
+        owner = b"o" * 48
+    else:
+        key = hashlib.md5(pdfcrypt.PADDING + owner + (-4 & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        user = hashlib.md5(pdfcrypt.PADDING + ident).digest()
+        for k in range(20):
+            user = pdfcrypt.rc4(bytes(b ^ k for b in key), user)
+        user += bytes(16)
+        head = "/V 2 /R 3 /Length 128" if kind == "V2" else f"/V 4 /R 4 /Length 128 {filters(kind)}"
+
+    def hidden(plain: bytes, number: int) -> bytes:
+        own = key if kind == "AESV3" else hashlib.md5(key + number.to_bytes(3, "little") + bytes(2) + (b"sAlT" if kind == "AESV2" else b"")).digest()
+        pad = 16 - len(plain) % 16
+        return pdfcrypt.rc4(own, plain) if kind == "V2" else b"i" * 16 + pdfcrypt.encrypt_chain(own, b"i" * 16, plain + bytes([pad]) * pad)
+
+    body = re.search(rb"11 0 obj.*?stream\n(.*?)\nendstream", data, re.S)[1]
+    data = data.replace(body, hidden(body, 11)).replace(b"<41>", b"<" + hidden(b"Rye", 5).hex().encode() + b">")
+    data = re.sub(rb"/Length \d+ ", b"", data, count=1)
+    user = user if opens else b"x" * len(user)
+    return data.replace(b"/Info 5 0 R", f"/Info 5 0 R /ID [<{ident.hex()}> <00>] /Encrypt << /Filter /Standard {head} /P -4 /O <{owner.hex()}> /U <{user.hex()}> >>".encode())
+
+
+@pytest.mark.parametrize("kind", ["V2", "AESV2", "AESV3"])
+def test_encrypted_without_a_password(kind):
+    lines, own, _ = pdftext.read(locked(kind))
+    assert [x["text"] for x in lines] == ["rye bread"] and own["title"] == "Rye"
+    with pytest.raises(pdftext.Unreadable, match="encrypted"):
+        pdftext.read(locked(kind, opens=False))
