@@ -11,6 +11,7 @@ from docmd import officefiles as O
 from docmd.functions import markdown as M
 from docmd.operators import layout as L
 from docmd.plans.convert import csv_markdown, csv_records, to_markdown
+from docmd.session import spread
 from docmd.sources import files
 
 # DuckDB forms of the column functions: RE2 has no lookahead and no back references
@@ -81,12 +82,18 @@ SELECT c_custkey, '| key | name | the "segment" |' || chr(10) || '| --- | --- |
 
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    docs = files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url"))
+    docs = files.from_table(spread(pages.select("page_id", "url", "html")), F.col("html"), F.lit("page.html"), F.col("url"))
     return to_markdown(docs, pdf=False).select("page_id", "title", "author", "language")
 
 
-_HTML = r"""
-WITH t AS (SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title,
+# Character references, which may lack their semicolon at the end of a text that was cut
+_REFERENCES = (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&"))
+_TEXT = "{x}"
+for _name, _shown in _REFERENCES:
+    _TEXT = f"regexp_replace({_TEXT}, '&{_name};?', '{_shown}', 'g')"
+
+_HTML = rf"""
+WITH t AS (SELECT page_id, nullif(trim(regexp_replace({_TEXT.replace("{x}", "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), '') AS title,
 nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages)
 SELECT page_id, title, CAST(NULL AS VARCHAR) AS author, language FROM t
 """
@@ -95,12 +102,11 @@ SELECT page_id, title, CAST(NULL AS VARCHAR) AS author, language FROM t
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as Markdown: the flagship query."""
     pages = _table(spark, sf_dir, "pages")
-    return to_markdown(files.from_table(pages.select("page_id", "url", "html"), F.col("html"), F.lit("page.html"), F.col("url")), pdf=False).select("page_id", "markdown", "title", "language")
+    return to_markdown(files.from_table(spread(pages.select("page_id", "url", "html")), F.col("html"), F.lit("page.html"), F.col("url")), pdf=False).select("page_id", "markdown", "title", "language")
 
 
 # Pages are navigation, a note, an article of a heading and paragraphs, and a footer: all but the article and the note goes
 # by the rules for page furniture. Blanks are one space, a `br` is a line end, and what is left is escaped.
-_TEXT = "replace(replace(replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 _BLOCK = "</?(?:p|div|article|h1)(?: [^>]*)?>"
 _HTML_MARKDOWN = rf"""
 WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<body>(.*?)(?:</body>|\z)', 1) AS body FROM pages),
@@ -140,7 +146,7 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _converted(rows: DataFrame, key: str, name: str, content: Column) -> DataFrame:
-    docs = rows.select(key, F.lit(name).alias("name"), F.lit(None).cast("string").alias("source_uri"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    docs = spread(rows).select(key, F.lit(name).alias("name"), F.lit(None).cast("string").alias("source_uri"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
     return to_markdown(docs, pdf=name.endswith("pdf")).select(key, "markdown")
 
 

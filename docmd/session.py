@@ -34,6 +34,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it has fewer splits than there are: for work that is heavy on each row of a small table. A
+    table of more splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of its own in the folder that `spark.checkpoint.dir` names, which all executors share; in local mode one
     of this machine where none is named."""
