@@ -15,6 +15,7 @@ def tables(spark, documents, rows, tmp_path_factory):
     spark.createDataFrame([(1, rows[2][1]), (2, "one two three four")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(i, f"http://h{i % 3}.org/{i}", "x" * (i * 200)) for i in range(12)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(i, [i % 7 + 0.5] * 64, 0) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -22,7 +23,7 @@ def test_names():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
@@ -32,6 +33,8 @@ COLUMNS = {
     "op6_media": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
     "op7_lm_score": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op8_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op9_near_duplicates": ["doc_id", "n_shingles", "component_id", "kept"], "op10_sentencepiece": ["doc_id", "pieces", "n_pieces", "lossless"],
+    "op11_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"], "op12_url_filter": ["page_id", "host", "path", "rule", "verdict"],
+    "op13_sort_means": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
@@ -41,7 +44,7 @@ def test_query(spark, tables, rows, name):
 
     out = entry.queries()[name](spark, tables)
     assert out.columns[: len(COLUMNS[name])] == COLUMNS[name] or set(COLUMNS[name]) <= set(out.columns)
-    assert out.count() == (12 if name == "op3_warc" else len(rows))
+    assert out.count() == {"op3_warc": 12, "op12_url_filter": 12, "op13_sort_means": 20}.get(name, len(rows))
 
 
 def test_pipeline(spark, tables, rows):
