@@ -8,7 +8,7 @@ import unicodedata
 from typing import NamedTuple
 
 from docmd.functions.text import clean, link
-from docmd.sources import pdfblocks
+from docmd.sources import pdfblocks, pdflate
 from docmd.sources.pdfmarks import Marks
 from docmd.sources.pdfobjects import File, Name, Parser, Stream, Unreadable, Word
 
@@ -418,7 +418,12 @@ class _Page:
             found = powered.get(k)
             own = "".join(found.texts) if found and found.alone else "".join(g.text for g in p)
             words.append(pdfblocks.Word(p[0].x, p[-1].x + p[-1].advance, own, "".join(found.texts) if found and found.scale else None))
-        return "".join(link(t, u) if u else t for u, t in parts), words
+        text = ""
+        for url, t in parts:
+            own = link(t, url) if url else t
+            # an address that is written in brackets is a link already
+            text += t if url and text.endswith("<") and own.startswith("<") else own
+        return text, words
 
 
 _POINTS = {"m": 1, "l": 1, "c": 3, "v": 2, "y": 2}
@@ -562,7 +567,7 @@ def read(data: bytes) -> tuple[list[dict], dict[str, str | None], list[dict]]:
         info = file.get(file.trailer.get("Info"))
         info = info if isinstance(info, dict) else {}
         own = {"title": clean(_string(file.get(info.get("Title")))), "author": clean(_string(file.get(info.get("Author")))), "language": clean(_string(file.get(file.root.get("Lang"))))}
-        lines = _placed([line for page in pages for line in page.lines() if line["text"].strip()])
+        lines = _placed(pdflate.in_reading_order([line for page in pages for line in page.lines() if line["text"].strip()]))
         boxes, tables = {p.number: p.boxes for p in pages}, _tagged(pages, marks)
         shown, ruled = pdfblocks.with_ruled_tables(pdfblocks.without_figures(lines, boxes), boxes, len(tables))
     except Unreadable:
