@@ -46,7 +46,7 @@ def is_part_of_address(label: Column, url: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without white space at its ends."""
-    return F.regexp_replace(text, rf"\A{_STRIP}+|{_STRIP}+\z", "")
+    return F.btrim(text, F.lit(P.BLANKS))
 
 
 def autolink(label: Column, otherwise: Column) -> Column:

@@ -4,7 +4,9 @@ Fixed values: what CommonMark and the output format take for syntax.
 """
 
 # what a line's strip at its end removes, but for the line feed
-WS = r"[\t\x0B\f\x1C-\x1F " + "".join(map(chr, (0x1680, 0x2000, 0x2D, 0x2006, 0x2008, 0x2D, 0x200A, 0x2028, 0x2029, 0x205F, 0x3000))) + "]"
+WS = r"[\t\x0B\f\x1C-\x1F \u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
+# what a strip removes: the same characters, and line ends
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200A\u2028\u2029\u205F\u3000"
 RULE_LINE = r"^(\s*)(?:([-=])(?:\s*\2)*|([*_])(?:\s*\3){2,}|\*)\s*$"
 BLOCK_MARKER = r"^(\s*)(#|>|```|~~~)"
 TAG_START = r"(\\*)<(?=[A-Za-z/!?])"

@@ -2,8 +2,9 @@
 
 lines: doc_id, seq, page, page_height, x, y, width, font_size, bold, rotated, text, table_id (-1: none), heading
 (0: none). Every operator is window functions and aggregates over doc_id and what else, without a self-join, so that the
-one shuffle on doc_id in `to_markdown` serves the whole chain; the words that hyphens are joined by are a second one. A
-task holds a page, or the paragraphs of a document, at a time.
+one shuffle on doc_id in `to_markdown` serves the whole chain. What depends on all headings before is a running count or
+minimum, and the words that hyphens are joined by are looked up once in a document, so that work grows with a document's
+lines. A task holds a page, or the paragraphs of a document, at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmd.functions import markdown as M
+from docmd.session import written
 
 LINES = "doc_id long, seq int, page int, page_height double, x double, y double, width double, font_size double, bold boolean, rotated boolean, text string, table_id int, heading int"
 
@@ -34,6 +36,8 @@ DATE = r"(?i)^(?:(?:\d{1,2}(?:st|nd|rd|th)?\s+)?(?:jan|feb|mar|apr|may|jun|jul|a
 EMAIL = r"[\w.}-]@[\w-]+\.[\w.]+"
 CONTENTS_ENTRY = r"^(.*\S)\s+\d{1,4}$"
 CAPTION = r"^(Figure|Fig\.|Table)\s*\d+"
+FLOATED = r"^\s*(Figure|Fig\.|Table)\s*\d+[.:]"
+BROKEN = r"(\p{L}+)-\s*$"
 SECOND_BODY_LINES, SECOND_BODY_LENGTH, SECOND_BODY_SHARE, SECOND_BODY_ABOVE = 10, 40, 0.5, 2
 #: Word endings that are never words of their own: a hyphen before one is a line break's.
 ENDINGS = r"^(?:ing|ings|tions?|sions?|ity|ities|ments?|ness|able|ible|ics)(?!\p{L})"
@@ -49,7 +53,6 @@ def _order() -> Window:
     return _doc().orderBy("seq")
 
 
-
 def _half_up(c: Column) -> Column:
     return F.floor(c + 0.5).cast("int")
 
@@ -111,9 +114,11 @@ def attach_markers(lines: DataFrame) -> DataFrame:
 
 def _gaps(lines: DataFrame) -> DataFrame:
     """lines with keys and gap: the distance from the line before, of the same size and page; null elsewhere."""
-    before = {f"_{c}": F.lag(c).over(_order()) for c in ("page", "y", "size_key", "is_table")}
-    same = ~F.col("is_table") & ~F.col("_is_table") & (F.col("page") == F.col("_page")) & (F.col("y") > F.col("_y")) & (F.col("size_key") == F.col("_size_key"))
-    return with_keys(lines).withColumns(before).withColumn("gap", F.when(same, F.col("y") - F.col("_y"))).drop(*before)
+    before = F.lag(F.struct("page", "y", "size_key", "is_table")).over(_order())
+    keyed = (lines if "size_key" in lines.columns else with_keys(lines)).withColumn("_b", before)
+    b = F.col("_b")
+    same = ~F.col("is_table") & ~b["is_table"] & (F.col("page") == b["page"]) & (F.col("y") > b["y"]) & (F.col("size_key") == b["size_key"])
+    return keyed.withColumn("gap", F.when(same, F.col("y") - b["y"])).drop("_b")
 
 
 def with_pitch(lines: DataFrame) -> DataFrame:
@@ -129,49 +134,100 @@ def pitches(lines: DataFrame) -> DataFrame:
     return with_pitch(lines).where("pitch is not null").groupBy("doc_id", "size_key").agg(F.max("pitch").alias("pitch"))
 
 
+def _unfinished(last: Column) -> Column:
+    """Whether a line fills its width and ends no sentence."""
+    return (F.length(last) >= FULL_LINE) & ~last.rlike(SENTENCE_END) & ~last.rlike(TOC_ENTRY)
+
+
+def with_facts(lines: DataFrame) -> DataFrame:
+    """lines with keys and `facts`: what other lines ask of a line, without its text, so that windows carry little."""
+    text = M.strip(F.col("text"))
+    keyed = with_keys(lines).withColumn("_t", text)
+    t = F.col("_t")
+    own = {
+        "open": _unfinished(t), "ended": t.rlike(SENTENCE_END), "hyphen": F.endswith(t, F.lit("-")), "lower": t.rlike(r"^\p{Ll}"), "item": F.col("text").rlike(LIST_ITEM), "blank": t == "",
+        "numbered": F.col("bold") & t.rlike(SECTION_NUMBER), "few": (F.col("heading") > 0) & (F.size(F.split(t, r"\s+")) <= MAX_TAGGED_WORDS),
+    }
+    facts = F.struct("seq", "page", "x", "y", "size_key", "bold", "rotated", "is_table", "heading", *(v.alias(k) for k, v in own.items()))
+    return keyed.withColumn("facts", facts).drop("_t")
+
+
+def _goes_on(last: Column, line: Column) -> Column:
+    """Whether a line carries on the sentence of the last one: in lower case, or after a hyphen. Both are facts."""
+    return ~line["blank"] & (line["lower"] | last["hyphen"])
+
+
+def with_notes(lines: DataFrame) -> DataFrame:
+    """lines with keys, facts and note: whether the line is one of the smaller lines at the end of a page (footnotes) that a
+    sentence passes, from the last line above them to the first line of the next page."""
+    page = Window.partitionBy("doc_id", "page")
+    own = lines if "facts" in lines.columns else with_facts(lines)
+    # the line after the page is the one after its last line
+    ends = own.withColumn("_after", F.lead("facts").over(_order())).withColumn("_then", F.max(F.struct("seq", F.col("_after").alias("f"))).over(page)["f"])
+    above = F.max(F.when(F.col("is_table") | (F.col("size_key") >= F.col("_then.size_key")), F.col("facts"))).over(page)
+    then, last = F.col("_then"), F.col("_above")
+    carried = (
+        (then["page"] == F.col("page") + 1) & ~then["is_table"] & ~last["is_table"] & (last["size_key"] == then["size_key"]) & (last["bold"] == then["bold"]) & last["open"] & ~then["item"] & _goes_on(last, then)
+    )
+    flagged = ends.withColumn("_above", above).withColumn("note", F.coalesce(carried & (F.col("seq") > last["seq"]), F.lit(False)))
+    return flagged.drop("_after", "_then", "_above")
+
+
 def with_paragraphs(lines: DataFrame) -> DataFrame:
     """lines with para: the paragraph's number in its document, from 1.
 
     A line begins a paragraph at a table, a page or column that doesn't go on with a sentence, another font size, the
-    end of a bold numbered line or of a tagged heading, a gap wider than usual, or a first-line indent.
+    end of a bold numbered line or of a tagged heading, a gap wider than usual, or a first-line indent. A sentence goes on
+    past the footnotes of its page: these are paragraphs of their own after it.
     """
-    keyed = with_pitch(lines)
-    cols = ("page", "x", "y", "size_key", "bold", "rotated", "is_table", "heading", "text")
-    seen = keyed.withColumns({f"p_{c}": F.lag(c).over(_order()) for c in cols} | {f"n_{c}": F.lead(c).over(_order()) for c in ("page", "x", "y", "size_key")})
-    c, text, last, size = F.col, M.strip(F.col("text")), M.strip(F.col("p_text")), F.col("font_size")
-    lower, item, was_item = text.rlike(r"^\p{Ll}"), c("text").rlike(LIST_ITEM), c("p_text").rlike(LIST_ITEM)
-    unfinished = (F.length(last) >= FULL_LINE) & ~last.rlike(SENTENCE_END) & ~c("p_text").rlike(TOC_ENTRY) & ~item
-    same_style = (c("size_key") == c("p_size_key")) & (c("bold") == c("p_bold"))
-    goes_on = (text != "") & (lower | F.endswith(last, F.lit("-")))
-    hanging = was_item & (c("x") > c("p_x")) & (c("x") - c("p_x") <= HANGING * size) & lower
-    next_page = (c("page") == c("p_page") + 1) & same_style & unfinished & ((F.abs(c("x") - c("p_x")) < INDENT * size) | hanging | goes_on)
-    next_column = ~c("rotated") & ~c("p_rotated") & (c("x") > c("p_x")) & same_style & unfinished & goes_on
-    pitch = F.greatest(MIN_PITCH * size, F.least(MAX_PITCH * size, F.coalesce("pitch", DEFAULT_PITCH * size)))
+    keyed = with_notes(with_pitch(with_facts(lines)))
+    flow = Window.partitionBy("doc_id", "note").orderBy("seq")
+    seen = keyed.withColumns({"_p": F.lag("facts").over(flow), "_n": F.lead(F.struct("page", "x", "y", "size_key")).over(flow)})
+    size, now, p, n = F.col("font_size"), F.col("facts"), F.col("_p"), F.col("_n")
+    shift, gap = now["x"] - p["x"], now["y"] - p["y"]
+    follows = (now["size_key"] == p["size_key"]) & (now["bold"] == p["bold"]) & p["open"] & ~now["item"]
+    hanging = p["item"] & (shift > 0) & (shift <= HANGING * size) & now["lower"]
+    next_page = (now["page"] == p["page"] + 1) & follows & ((F.abs(shift) < INDENT * size) | hanging | _goes_on(p, now))
+    next_column = ~now["rotated"] & ~p["rotated"] & (shift > 0) & follows & _goes_on(p, now)
     indented = (
-        (c("n_page") == c("page")) & (c("n_size_key") == c("size_key")) & (c("n_y") > c("y")) & (c("x") > c("p_x") + INDENT * size)
-        & (F.abs(c("n_x") - c("p_x")) < INDENT * size) & ~was_item & last.rlike(SENTENCE_END)
-    )
+        (n["page"] == now["page"]) & (n["size_key"] == now["size_key"]) & (n["y"] > now["y"]) & (shift > INDENT * size) & (F.abs(n["x"] - p["x"]) < INDENT * size) & ~p["item"] & p["ended"]
+    )
+    # null where the distance decides
     starts = (
-        F.when(c("p_page").isNull() | c("is_table") | c("p_is_table"), True)
-        .when((c("p_heading") > 0) & (c("heading") == 0) & (F.size(F.split(last, r"\s+")) <= MAX_TAGGED_WORDS), True)
-        .when(c("page") != c("p_page"), ~next_page)
-        .when(c("y") <= c("p_y"), ~next_column)
-        .when(c("size_key") != c("p_size_key"), True)
-        .when(c("p_bold") & ~c("bold") & last.rlike(SECTION_NUMBER), True)
-        .otherwise((c("y") - c("p_y") > PARAGRAPH_GAP * pitch) | F.coalesce(indented, F.lit(False)))
+        F.when(p.isNull() | now["is_table"] | p["is_table"], True)
+        .when(p["few"] & (now["heading"] == 0), True)
+        .when(now["page"] != p["page"], ~next_page)
+        .when(gap <= 0, ~next_column)
+        .when(now["size_key"] != p["size_key"], True)
+        .when(p["numbered"] & ~now["bold"], True)
+        .when(indented, True)
     )
-    flagged = seen.withColumn("_starts", starts.cast("int"))
-    return flagged.withColumn("para", F.sum("_starts").over(_order()).cast("int")).select(*(c for c in lines.columns if c not in KEYS), *KEYS, "para")
+    decided = seen.select(*lines.columns, *KEYS, "pitch", "note", starts.alias("_starts"), F.when((now["page"] == p["page"]) & (now["size_key"] == p["size_key"]), gap).alias("_gap"))
+    c = F.col
+    usual = lambda pitch: PARAGRAPH_GAP * F.greatest(MIN_PITCH * size, F.least(MAX_PITCH * size, F.coalesce(pitch, DEFAULT_PITCH * size)))
+    numbered = decided.withColumn("_begins", F.coalesce("_starts", c("_gap") > usual(c("pitch"))))
+    anchored = numbered.withColumn("_para", F.count_if(c("_begins") & ~c("note")).over(_order()))
+    # footnotes of a paragraph have a pitch of their own
+    of_notes = Window.partitionBy("doc_id", "note", "_para", "size_key")
+    notes = Window.partitionBy("doc_id", "note", "_para").orderBy("seq")
+    gaps = F.sort_array(F.collect_list(F.when(c("note") & (c("_gap") > 0), c("_gap"))).over(of_notes))
+    own_pitch = F.get(gaps, F.floor(F.size(gaps) / 2).cast("int"))
+    settled = anchored.withColumns({"_own_pitch": own_pitch, "_first": F.row_number().over(notes) == 1})
+    begins = F.when(~c("note"), c("_begins")).when(c("_first"), True).otherwise(F.coalesce("_starts", c("_gap") > usual(c("_own_pitch"))))
+    order = _doc().orderBy("_para", "note", "seq")
+    return settled.withColumn("_begins", begins).withColumn("para", F.count_if("_begins").over(order).cast("int")).select(*(x for x in lines.columns if x not in KEYS), *KEYS, "para")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
-    """One row for each paragraph of lines with para: its lines in order, text, page, keys, and what headings ask for."""
-    line = F.struct("seq", M.strip(F.col("text")).alias("text"), "x", "width", "bold", "heading")
+    """One row for each paragraph of lines with para: its lines in order, text, page, keys, and what headings ask for. A
+    sentence that captions or tables cut is one paragraph, and they follow it."""
+    line = F.struct("seq", M.strip(F.col("text")).alias("text"), "x", "width", "bold", "heading", "page", "rotated", "size_key")
     own = F.sort_array(F.collect_list(line))
     first = lambda name: F.min_by(name, "seq").alias(name)
     grouped = lines.groupBy("doc_id", "para").agg(
-        own.alias("lines"), *([F.first("bodies").alias("bodies")] if "bodies" in lines.columns else []), first("page"), first("size_key"), first("style_key"), first("font_size"), first("is_table"), first("table_id"), F.bool_and("bold").alias("all_bold"), F.min("heading").alias("least_heading"), F.max("heading").alias("most_heading")
+        own.alias("lines"), *([F.first("bodies").alias("bodies")] if "bodies" in lines.columns else []), first("page"), first("size_key"), first("style_key"), first("font_size"), first("is_table"), first("table_id")
     )
+    grouped = past_captions(grouped)
     tolerance = CENTRED * F.col("font_size")
     middle = lambda s: s["x"] + s["width"] / 2
     centred = (
@@ -179,7 +235,36 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         & F.forall("lines", lambda s: (s["width"] > 0) & (F.length(s["text"]) <= SHORT_LINE) & (F.abs(middle(s) - middle(F.col("lines")[0])) <= tolerance))
         & F.exists("lines", lambda s: F.abs(s["x"] - F.col("lines")[0]["x"]) > tolerance)
     )
-    return grouped.withColumns({"text": F.array_join(F.transform("lines", lambda s: s["text"]), " "), "centred": centred})
+    return grouped.withColumns({
+        "text": F.array_join(F.transform("lines", lambda s: s["text"]), " "), "centred": centred, "all_bold": F.forall("lines", lambda s: s["bold"]),
+        "least_heading": F.array_min(F.transform("lines", lambda s: s["heading"])), "most_heading": F.array_max(F.transform("lines", lambda s: s["heading"])),
+    })
+
+
+def past_captions(paras: DataFrame) -> DataFrame:
+    """paragraphs in which one that captions or tables follow takes the lines of the next one after them, if that goes on
+    with its sentence. One that was taken takes none itself."""
+    c, start, end = F.col, F.col("lines")[0], F.element_at("lines", -1)
+    said = lambda x: x["text"]
+    edge = {
+        "page": end["page"], "size_key": end["size_key"], "bold": end["bold"], "open": ~end["rotated"] & _unfinished(said(end)), "hyphen": F.endswith(said(end), F.lit("-")), "para": c("para"),
+    }
+    begin = {
+        "page": start["page"], "size_key": start["size_key"], "bold": start["bold"], "letter": ~start["rotated"] & said(start).rlike(r"^\p{L}") & ~said(start).rlike(LIST_ITEM), "lower": said(start).rlike(r"^\p{Ll}"),
+    }
+    structs = {f"_{n}": F.struct(*(v.alias(k) for k, v in x.items())) for n, x in (("end", edge), ("start", begin))}
+    marked = paras.withColumns(structs | {"_float": c("is_table") | said(start).rlike(FLOATED)})
+    text = Window.partitionBy("doc_id", "_float").orderBy("para")
+    before = marked.withColumns({"_before": F.lag("_end").over(text), "_at": F.row_number().over(text)})
+    s, e = c("_start"), c("_before")
+    goes = ~c("_float") & (c("para") - e["para"] > 1) & s["letter"] & e["open"] & (s["page"] - e["page"] <= 1) & (s["size_key"] == e["size_key"]) & (s["bold"] == e["bold"]) & (s["lower"] | e["hyphen"])
+    # of a run of paragraphs that go on, every second one is taken
+    known = before.withColumn("_goes", F.coalesce(goes, F.lit(False)))
+    run = c("_at") - F.max(F.when(~c("_goes"), c("_at"))).over(text)
+    taken = known.withColumn("_taken", c("_goes") & (run % 2 == 1))
+    rest = F.lead(F.when(c("_taken"), c("lines"))).over(text)
+    joined = taken.withColumn("_rest", rest).where(~c("_taken"))
+    return joined.withColumn("lines", F.when(c("_rest").isNull() | c("_float"), c("lines")).otherwise(F.concat("lines", "_rest"))).select(*paras.columns)
 
 
 def with_bodies(lines: DataFrame) -> DataFrame:
@@ -252,15 +337,13 @@ def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFram
     met = decided.withColumn("_k", F.explode(both)).withColumn("_last", F.max(F.when(~c("_k.asks"), c("para"))).over(Window.partitionBy("doc_id", "_k.key")))
     met = met.withColumn("_entry", F.max(c("_k.asks") & (F.coalesce("_last", F.lit(0)) > c("para"))).over(Window.partitionBy("doc_id", "para")))
     decided = met.where(~c("_k.asks")).withColumn("heading", c("heading") & ~c("_entry"))
-    # numbers out of sequence: a fold over the document's headings
+    # a number below one before it is out of sequence; headings without any number start anew. Runs are told apart by
+    # their count, which outweighs any number
     number = F.regexp_extract(text, TOP_NUMBER, 1)
-    item = F.struct("para", F.when(number != "", number.cast("int")).alias("top"), c("numbered"))
-    fold = F.aggregate(
-        F.sort_array(F.collect_list(F.when(c("heading"), item)).over(_doc())), F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("gone")),
-        lambda s, x: F.when(x["top"].isNull(), F.struct(F.when(x["numbered"], s["last"]).otherwise(0).alias("last"), s["gone"].alias("gone")))
-        .when(x["top"] < s["last"], F.struct(s["last"].alias("last"), F.array_append(s["gone"], x["para"]).alias("gone"))).otherwise(F.struct(x["top"].alias("last"), s["gone"].alias("gone"))),
-    )
-    decided = decided.withColumn("_gone", fold["gone"]).withColumn("heading", c("heading") & ~F.array_contains("_gone", c("para")) & ~text.rlike(DATE))
+    decided = decided.withColumn("_top", F.when(c("heading") & (number != ""), number.cast("int")))
+    decided = decided.withColumn("_run", 1000 * F.count_if(c("heading") & c("_top").isNull() & ~c("numbered")).over(order))
+    gone = c("_run") + c("_top") < F.max(c("_run") + c("_top")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    decided = decided.withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn("heading", c("heading") & ~c("_gone") & ~text.rlike(DATE))
     first = F.min(F.when(c("heading"), c("para"))).over(_doc())
     decided = decided.withColumns({"_first": first, "_next": F.lead("heading").over(order), "_page1": F.max(F.when(c("para") == first, c("page"))).over(_doc())})
     authors = (c("para") == c("_first") + 1) & (c("_page1") == 1) & ~F.coalesce("_next", F.lit(True)) & c("n_text").rlike(EMAIL)
@@ -275,32 +358,48 @@ def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFram
     ranks = F.dense_rank().over(_doc().orderBy(F.when(c("_plain"), c("style_key")).desc_nulls_last()))
     level = F.when(c("tagged"), c("least_heading")).when(c("heading"), F.coalesce("own", "by_style", F.least(F.lit(MAX_LEVEL), ranks))).otherwise(0)
     leveled = ranked.withColumn("level", level)
-    # a title on top, then no skipped levels: again a fold in order
     leveled = leveled.withColumns({"_one": F.max((c("level") == 1).cast("int")).over(_doc()), "_top": F.min(F.when(c("level") > 0, c("para"))).over(_doc())})
     leveled = leveled.withColumn("level", F.when((c("_one") == 0) & (c("para") == c("_top")) & (c("page") == 1) & ~c("numbered"), 1).otherwise(c("level")))
-    steps = F.aggregate(
-        F.sort_array(F.collect_list(F.when(c("level") > 0, F.struct("para", "level"))).over(_doc())),
-        F.struct(F.lit(0).alias("was"), F.lit(0).alias("out"), F.create_map().cast("map<int,int>").alias("levels")),
-        lambda s, x: F.transform(
-            F.array(F.when(s["was"] == 0, x["level"]).when(x["level"] > s["was"], F.least(x["level"], s["out"] + 1)).when(x["level"] == s["was"], s["out"]).otherwise(F.least(x["level"], s["out"]))),
-            lambda own: F.struct(x["level"].alias("was"), own.alias("out"), F.map_concat(s["levels"], F.create_map(x["para"], own)).alias("levels")),
-        )[0],
-    )
-    return leveled.withColumn("_levels", steps["levels"]).withColumn("level", F.coalesce(F.col("_levels")[c("para")], F.lit(0))).select(*paras.columns, "level")
+    # no skipped levels: a level is at most the one shown before it, and one more where it is deeper than the one before it.
+    # That is the number of such steps so far, and the least that any level so far had less of them
+    before = F.last(F.when(c("level") > 0, c("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    stepped = leveled.withColumn("_was", before).withColumn("_steps", F.count_if((c("level") > 0) & (c("level") > c("_was"))).over(order))
+    least = F.min(F.when(c("level") > 0, c("level") - c("_steps"))).over(order)
+    return stepped.withColumn("level", F.when(c("level") > 0, c("_steps") + least).otherwise(0).cast("int")).select(*paras.columns, "level")
 
 
 def words(lines: DataFrame) -> DataFrame:
-    """(doc_id, words): the document's words in lower case, its compounds, their longer parts, and words that are broken
-    before an ending."""
+    """(doc_id, words) of documents with a word that a line's end breaks: their words in lower case, their compounds, these'
+    longer parts, and words that are broken before an ending."""
+    asks = F.max(F.col("text").rlike(BROKEN)).over(_doc())
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+(?:-\p{L}+)*)"), F.lit(1))
     parts = F.flatten(F.transform(F.filter("f", lambda w: F.contains(w, F.lit("-"))), lambda w: F.filter(F.split(w, "-"), lambda x: F.length(x) >= MIN_PART)))
     following = F.lead(F.ltrim(M.strip(F.col("text")))).over(_order())
-    head, tail = F.regexp_extract("text", r"(\p{L}+)-\s*$", 1), F.regexp_extract("_next", r"^(\p{Ll}\p{L}*)", 1)
+    head, tail = F.regexp_extract("text", BROKEN, 1), F.regexp_extract("_next", r"^(\p{Ll}\p{L}*)", 1)
     broken = F.when((head != "") & F.col("_next").rlike(ENDINGS), F.array(F.lower(F.concat(head, tail)))).otherwise(F.array().cast("array<string>"))
-    every = lines.withColumn("_next", following).withColumn("f", found).select("doc_id", F.explode(F.concat("f", parts, broken)).alias("w"))
+    every = lines.withColumns({"_next": following, "_asks": asks}).where("_asks").withColumn("f", found).select("doc_id", F.explode(F.concat("f", parts, broken)).alias("w"))
     return every.groupBy("doc_id").agg(F.collect_set("w").alias("words"))
 
 
+def asked(parts: Column) -> Column:
+    """The words that `join_hyphens` looks up for the lines of a paragraph: for a head at a line's end and the tail below it
+    their compound, the whole and the tail. A line of one broken word can end in either form of what it makes."""
+
+    def step(s: Column, line: Column) -> Column:
+        here = F.ltrim(line)
+        tail, token = F.regexp_extract(here, r"^(\p{Ll}\p{L}*)", 1), F.regexp_extract(here, r"^(\S*)", 1)
+        meets = (F.size(s["heads"]) > 0) & (tail != "")
+        more = F.flatten(F.transform(s["heads"], lambda h: F.array(F.lower(F.concat(h, F.lit("-"), tail)), F.lower(F.concat(h, tail)), F.lower(tail))))
+        end = F.regexp_extract(line, BROKEN, 1)
+        ends = F.when(end != "", F.array(end)).otherwise(F.array().cast("array<string>"))
+        longer = F.when(meets & (M.strip(here) == token) & token.rlike(r"^\p{L}+-$"), F.transform(s["heads"], lambda h: F.concat(h, end))).otherwise(F.array().cast("array<string>"))
+        kept = F.struct(F.when(line == "", s["heads"]).otherwise(F.array_distinct(F.concat(ends, longer))).alias("heads"), F.when(meets, F.concat(s["asks"], more)).otherwise(s["asks"]).alias("asks"))
+        return kept
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(parts, F.struct(none.alias("heads"), none.alias("asks")), step)["asks"]
+
+
 def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None) -> Column:
     """The lines of a paragraph as one text: a word broken at a line end moves up to its head, with its hyphen where the
     compound is known (to the document) or nothing is, without where the whole is known or the tail is a mere ending."""
@@ -342,24 +441,48 @@ def bullets(text: Column) -> Column:
     return F.regexp_replace(text, rf"^(\s*)[{BULLETS}]\s*", "$1- ")
 
 
-def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: Column | None = None) -> DataFrame:
-    """(doc_id, markdown) of lines; tables: (doc_id, table_id, markdown) for lines that stand for a table; dictionary: an
-    array of lower-case words of the language, for hyphens at line ends.
+def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: DataFrame | Column | None = None) -> DataFrame:
+    """(doc_id, markdown) of lines; tables: (doc_id, table_id, markdown) for lines that stand for a table; dictionary: words
+    of the language, for hyphens at line ends, as an array of them in lower case or as a table of one column in any case.
 
     A document without lines has no row. Null texts count as empty lines and are dropped; equal documents give
     equal results whatever their doc_id.
     """
-    given = lines.where("text is not null and doc_id is not null")
-    own = without_furniture(attach_markers(given.repartition("doc_id")))
+    given = lines.where("text is not null and doc_id is not null").repartition("doc_id")
+    own = without_furniture(attach_markers(given))
     paras = with_headings(paragraphs(with_paragraphs(with_bodies(own))))
-    known = paras.join(words(given), "doc_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    plain = F.transform("lines", lambda s: M.escape(bullets(s["text"])))
-    body = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), M.escape(F.col("text")))).otherwise(join_hyphens(F.split(join_split_links(plain), "\n"), F.col("words"), dictionary))
+    c = F.col
+    block = F.struct("para", "level", "is_table", "table_id", "text", F.transform("lines", lambda s: s["text"]).alias("lines"))
+    docs = paras.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("paras"))
+    # a heading is its text; other lines with a dash for a bullet and whole links
+    plain = lambda p: F.when(p["is_table"] | (p["level"] > 0), F.array(M.escape(p["text"]))).otherwise(F.split(join_split_links(F.transform(p["lines"], lambda x: M.escape(bullets(x)))), "\n"))
+    docs = docs.withColumn("paras", F.transform("paras", lambda p: p.withField("lines", plain(p))))
+    docs = docs.withColumn("asks", F.array_distinct(F.flatten(F.transform("paras", lambda p: asked(p["lines"])))))
+    none = F.array().cast("array<string>")
+    docs = docs.join(words(given), "doc_id", "left").withColumn("known", F.array_intersect("asks", F.coalesce("words", none))).drop("words")
+    of_language: Column | None = None
+    if isinstance(dictionary, DataFrame):
+        docs, of_language = _looked_up(docs, dictionary), c("found")
+    elif dictionary is not None:
+        of_language = F.array_intersect("asks", dictionary)
     if tables is not None:
         # one row for each document: the paragraphs stay where they are
-        of_doc = tables.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("table_id", "markdown"))).alias("_tables"))
-        known = known.join(of_doc, "doc_id", "left")
-        body = F.when(F.col("is_table"), F.coalesce(F.col("_tables")[F.col("table_id")], F.lit(""))).otherwise(body)
-    blocks = known.select("doc_id", "para", body.alias("block")).where("block <> ''")
-    joined = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "block"))), lambda s: s["block"]), "\n\n").alias("m"))
-    return joined.select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))
+        of_doc = tables.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("table_id", "markdown"))).alias("tables"))
+        docs = docs.join(of_doc, "doc_id", "left")
+    docs = docs.withColumn("of_language", none if of_language is None else of_language)
+
+    def shown(p: Column) -> Column:
+        body = F.when(p["level"] > 0, F.concat(F.repeat(F.lit("#"), p["level"]), F.lit(" "), p["lines"][0])).otherwise(join_hyphens(p["lines"], c("known"), c("of_language")))
+        return body if tables is None else F.when(p["is_table"], F.coalesce(c("tables")[p["table_id"]], F.lit(""))).otherwise(body)
+
+    joined = F.array_join(F.filter(F.transform("paras", shown), lambda x: x != ""), "\n\n")
+    return docs.select("doc_id", joined.alias("m")).where("m <> ''").select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))
+
+
+def _looked_up(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """docs with `found`: those of their asks that the dictionary has. The asks are a few words of each document; Spark
+    broadcasts the dictionary while it is below its limit for that, and shuffles both beyond it."""
+    table = dictionary.select(F.lower(F.col(dictionary.columns[0])).alias("word")).where("word is not null").distinct()
+    kept = written(docs, "layout")
+    found = kept.select("doc_id", F.explode("asks").alias("word")).join(table, "word", "left_semi").groupBy("doc_id").agg(F.collect_set("word").alias("found"))
+    return kept.join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))

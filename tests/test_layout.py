@@ -1,5 +1,7 @@
 """Layout analysis on small documents of lines."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from docmd.operators import layout as L
@@ -107,3 +109,81 @@ def test_bullets_of_a_page(spark):
 def test_plan_has_no_self_join(spark):
     plan = L.to_markdown(lines(spark, {1: [body("x", 100)]}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") + plan.count("Exchange(") <= 6 and plan.count("Join") <= 1
+
+
+def markdown(spark, items):
+    return L.to_markdown(lines(spark, {1: items})).first().markdown
+
+
+LONG = "the oven was so hot on that day that all of the loaves of"
+
+
+def test_a_sentence_goes_on_past_the_footnotes_of_its_page(spark):
+    notes = [body("1 A note below the text, which", 700, font_size=8.0), body("goes on for a line.", 709, font_size=8.0)]
+    more = [body("2 One more note.", 700, font_size=8.0, page=2)]
+    first, second, third = body(LONG, 100), body("rye were black, and " + LONG, 80, page=2), body("oats too.", 80, page=3)
+    assert markdown(spark, [first, *notes, second, *more, third]) == f"{LONG}\nrye were black, and {LONG}\noats too.\n\n1 A note below the text, which\ngoes on for a line.\n\n2 One more note.\n"
+    # the next page begins a sentence, is of another size or not the next one; the sentence has ended
+    for cut in ([first, *notes, body("Rye was black.", 80, page=2)], [first, *notes, body("rye was black.", 80, page=2, font_size=9.5)], [first, *notes, body("rye was black.", 80, page=3)], [body(LONG + " rye.", 100), *notes, body("rye", 80, page=2)]):
+        assert markdown(spark, cut).split("\n\n")[1].startswith("1 A note")
+    # after a hyphen, in another column; a table is no footnote
+    assert markdown(spark, [body(LONG + " wheat-", 100), *notes, body("Less bread.", 80, page=2, x=300.0)]).startswith(f"{LONG} wheat-\nLess bread.\n\n1 A")
+    assert "\n\nrye" in markdown(spark, [first, notes[0], body("", 730, table_id=0), body("rye was black.", 80, page=2)])
+
+
+def test_a_sentence_goes_on_past_captions(spark):
+    caption, table = body("Figure 2: Loaves.", 300, font_size=9.0), body("", 340, table_id=0)
+    rest, last = body("rye were black.", 500), body("oats too.", 700)
+    assert markdown(spark, [body(LONG, 100), caption, table, rest]) == f"{LONG}\nrye were black.\n\nFigure 2: Loaves.\n"
+    assert markdown(spark, [body(LONG, 100), caption, body("Rye was black.", 500)]) == f"{LONG}\n\nFigure 2: Loaves.\n\nRye was black.\n"
+    assert markdown(spark, [body(LONG, 100), caption, body("2 rye loaves", 500)]).count("\n\n") == 2
+    assert markdown(spark, [body(LONG, 100), body("Plain text in between.", 300, font_size=9.0), rest]).count("\n\n") == 2
+    # the rest takes no rest of its own
+    whole = markdown(spark, [body(LONG, 100), caption, body(LONG, 400), body("Table 3. Flour.", 600, font_size=9.0), last])
+    assert whole == f"{LONG}\n{LONG}\n\nFigure 2: Loaves.\n\nTable 3. Flour.\n\noats too.\n"
+    four = [body(LONG, 100), caption, body(LONG, 150), caption | {"y": 200.0}, body(LONG, 250), caption, body(LONG, 350)]
+    assert markdown(spark, four).split("\n\n") == [f"{LONG}\n{LONG}", "Figure 2: Loaves.", "Figure 2: Loaves.", f"{LONG}\n{LONG}", "Figure 2: Loaves.\n"]
+
+
+def test_numbers_and_levels_of_many_headings(spark):
+    """The running forms, against a loop over the headings."""
+    r = random.Random(4)
+    text = "This is body text that has quite a few characters in it, so that it is the body."
+    items, heads = [body(text, 50)], []
+    for k in range(60):
+        kind = r.choice(["number", "number", "letter", "plain"])
+        name = {"number": f"{r.randint(1, 9)}{'.1' * r.randint(0, 3)} Flour", "letter": f"{r.choice('ABC')}.{r.randint(1, 3)} Flour", "plain": "Flour and bread"}[kind] + f" of kind {k} here"
+        size = r.choice([12.0, 14.0, 16.0])
+        heads.append((name, kind, size))
+        items += [body(name, 60 + 100 * k, font_size=size, page=2), body(text, 100 + 100 * k, page=2)]
+    last, own = 0, []
+    for name, kind, size in heads:
+        top = int(name.split(" ")[0].split(".")[0]) if kind == "number" else None
+        if kind == "plain":
+            last = 0
+        if top is not None and top < last:
+            continue
+        last = top or last
+        own.append((name, 1 + name.split(" ")[0].count(".") if kind != "plain" else 0, size))
+    by_size = {s: min((d + 1 for _, d, z in own if d and z == s), default=None) for *_, s in own}
+    plain = sorted({s for _, d, s in own if not d and by_size[s] is None}, reverse=True)
+    levels = [min(6, d + 1) if d else by_size[s] if by_size[s] is not None else plain.index(s) + 1 for _, d, s in own]
+    was = out = 0
+    expected = []
+    for (name, _, _), level in zip(own, levels, strict=True):
+        out = level if not was else min(level, out + 1) if level > was else out if level == was else min(level, out)
+        was = level
+        expected.append((name, out))
+    df = lines(spark, {1: items})
+    found = L.with_headings(L.paragraphs(L.with_paragraphs(df)), L.body_sizes(df)).where("level > 0").orderBy("para").collect()
+    assert [(x.text, x.level) for x in found] == expected
+
+
+def test_words_of_a_dictionary(spark):
+    doc = [body("A long life for autom-", 100), body("atic ovens, and for sun-", 114), body("set-", 128), body("tings.", 142)]
+    words = spark.createDataFrame([("Automatic",), ("sunsettings",), (None,), ("of",)], "w string")
+    (out,) = L.to_markdown(lines(spark, {1: doc}), dictionary=words).collect()
+    assert out.markdown == "A long life for automatic\novens, and for sun-set-tings.\n"
+    assert "autom-atic" in L.to_markdown(lines(spark, {1: doc})).first().markdown
+    # a known tail keeps the hyphen
+    assert "autom-atic" in L.to_markdown(lines(spark, {1: doc}), dictionary=words.union(spark.createDataFrame([("atic",)], "w string"))).first().markdown
