@@ -58,8 +58,8 @@ def _prune(body: Element) -> None:
         stack += [(c, False) for c in e.children if isinstance(c, Element)]
 
 
-#: Characters that make a relative address a syntax error.
-_SYNTAX = re.compile(r'[\s<>"{}|\\^`]')
+#: What makes an address a syntax error: characters, half escapes, brackets in the path.
+_SYNTAX = re.compile(r'[\s<>"{}|\\^`]|%(?![0-9A-Fa-f]{2})|^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?[^?#]*[\[\]]')
 
 
 def _is_language_list(e: Element) -> bool:
@@ -272,12 +272,18 @@ class Page:
         href = href.strip()
         if not href or href.startswith("#"):
             return None
+        if _SYNTAX.search(href):
+            return None
         try:
             if urlsplit(href).scheme:
                 return href
         except ValueError:
             return None
-        return _join(self.base, href) if self.base and not _SYNTAX.search(href) else None
+        if href.startswith("?") and self.base:
+            # a query alone replaces the last part of the path as well
+            parts = urlsplit(self.base)
+            return parts._replace(path=parts.path.rpartition("/")[0] + "/", query=href[1:].partition("#")[0], fragment=href.partition("#")[2]).geturl()
+        return _join(self.base, href) if self.base else None
 
 
 def _is_layout(cell: Element) -> bool:
