@@ -67,13 +67,15 @@ def xlsx(rows: Column) -> Column:
     return _package("xl/sheet.xml", fixed)(text(f"<worksheet {_M}><sheetData>", rows, "</sheetData></worksheet>"))
 
 
-def pdf(content: Column, tree: Column | str = "") -> Column:
-    """A one-page file of a page's content and the elements of its structure tree; the page is object 4, the fonts F1 and F2
-    are plain and bold."""
+def pdf(content: Column, tree: Column | str = "", *more: Column) -> Column:
+    """A file of a page's content and the elements of its structure tree, and of more pages; the pages are objects 4, 6, ...,
+    the fonts F1 and F2 are plain and bold."""
     head = "%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R /Lang (en) /StructTreeRoot << /K ["
     fonts = "".join(f"/F{k} << /Type /Font /Subtype /Type1 /BaseFont /Helvetica{style} >> " for k, style in ((1, ""), (2, "-Bold")))
-    pages = f"] >> >>\nendobj\n2 0 obj\n<< /Type /Pages /Count 1 /Kids [4 0 R] /MediaBox [0 0 612 792] /Resources << /Font << {fonts}>> >> >>\nendobj\n4 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>\nendobj\n5 0 obj\n<< /Length "
-    whole = text(head, tree if isinstance(tree, Column) else F.lit(tree), pages, F.octet_length(content), " >>\nstream\n", content, "\nendstream\nendobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF")
+    kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(1 + len(more)))
+    pages = f"] >> >>\nendobj\n2 0 obj\n<< /Type /Pages /Count {1 + len(more)} /Kids [{kids}] /MediaBox [0 0 612 792] /Resources << /Font << {fonts}>> >> >>\nendobj\n"
+    page = lambda k, own: text(f"{4 + 2 * k} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {5 + 2 * k} 0 R >>\nendobj\n{5 + 2 * k} 0 obj\n<< /Length ", F.octet_length(own), " >>\nstream\n", own, "\nendstream\nendobj\n")
+    whole = text(head, tree if isinstance(tree, Column) else F.lit(tree), pages, *(page(k, own) for k, own in enumerate((content, *more))), "trailer\n<< /Root 1 0 R >>\n%%EOF")
     return F.encode(whole, "ISO-8859-1")
 
 

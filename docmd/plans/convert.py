@@ -160,11 +160,13 @@ def pdf_pages(documents: DataFrame) -> DataFrame:
     return written(parsed, "pdf-pages")
 
 
-def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive", pdf: bool = True) -> DataFrame:
+def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive", pdf: bool = True, words: DataFrame | None = None) -> DataFrame:
     """documents (name, source_uri, length, content, ...) with markdown, title, author, language and error in place
     of the content. permissive: a document that can't be read has an error; failfast: it ends the query.
 
     PDF files are parsed and written when this is called; pdf=False leaves them out of the plan: they are unsupported then.
+    words: a table of one column, words of the documents' language, for words that a line's end breaks in PDF files. It is
+    broadcast while Spark's limit for that holds it, and shuffled beyond.
     A null content has a null result; a null name is unsupported. Columns of the results' names are replaced, and any
     other name is kept as it is.
     """
@@ -194,7 +196,7 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
         pages = pdf_pages(marked.where(is_pdf).select("kept", "content"))
         lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
         tables = pages.select("doc_id", F.explode("r.tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
-        joined = pages.join(L.to_markdown(lines, tables).withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
+        joined = pages.join(L.to_markdown(lines, tables, words).withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
         found = F.when(c("r.error").isNull() & c("r").isNotNull(), F.coalesce("markdown", F.lit("")))
         out = out.unionByName(joined.select("kept", found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), c("r.error").cast(_ERROR).alias("error")))
     if mode == "failfast":

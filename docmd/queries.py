@@ -207,6 +207,27 @@ SELECT c_custkey, '# ' || c_name || chr(10) || chr(10) || 'The account of this c
 """
 
 
+def pdf_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as PDF files of two pages whose content is out of order, read back: a heading and a word that come last, a
+    list number after its item, a sentence that a footnote cuts at the page's end, and one that a caption cuts."""
+    c, s = F.col, O.shown
+    first = O.text(
+        s(72, 690, "The account of this customer is"), s(72, 678, "in a segment that has its own clerk."), s(86, 640, O.text("Key ", c("c_custkey"), " of the list")), s(72, 400, O.text("The sentence about account ", c("c_custkey"), " goes on to the")),
+        s(72, 100, "Notes are in a smaller font", 8), s(72, 91, O.text("and this one is on ", c("c_nationkey"), "."), 8), s(231, 690, c("c_mktsegment")), s(72, 640, "1."), s(72, 720, c("c_name"), 20, "F2"),
+    )
+    second = O.text(
+        s(72, 720, "next page and ends at its top."), s(72, 660, O.text("The other sentence of account ", c("c_custkey"), " waits for its")), s(72, 600, O.text("Figure 1: Nothing of ", c("c_name"), "."), 9), s(72, 540, "end, which comes after a caption."),
+    )
+    return _converted(_table(spark, sf_dir, "customer"), "c_custkey", "a.pdf", O.pdf(first, "", second))
+
+
+_READING = """
+SELECT c_custkey, array_to_string(['# ' || c_name, 'The account of this customer is ' || c_mktsegment || chr(10) || 'in a segment that has its own clerk.', '1. Key ' || c_custkey || ' of the list',
+'The sentence about account ' || c_custkey || ' goes on to the' || chr(10) || 'next page and ends at its top.', 'Notes are in a smaller font' || chr(10) || 'and this one is on ' || c_nationkey || '.',
+'The other sentence of account ' || c_custkey || ' waits for its' || chr(10) || 'end, which comes after a caption.', 'Figure 1: Nothing of ' || c_name || '.'], chr(10) || chr(10)) || chr(10) AS markdown FROM customer
+"""
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of lines: ten lines a page, with a running header and a page number."""
     docs = _table(spark, sf_dir, "documents").where("text is not null")
@@ -271,7 +292,7 @@ def layout_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    html_markdown, txt_markdown, escaped_tags, table_cells, normalized, clean_metadata, links, csv_tables, html_metadata, format_dispatch, decoded, body_sizes, line_pitches, without_furniture, section_depths, layout_markdown, docx_markdown, xlsx_markdown, pdf_markdown,
+    html_markdown, txt_markdown, escaped_tags, table_cells, normalized, clean_metadata, links, csv_tables, html_metadata, format_dispatch, decoded, body_sizes, line_pitches, without_furniture, section_depths, layout_markdown, docx_markdown, xlsx_markdown, pdf_markdown, pdf_reading_order,
 )
 
 
@@ -293,6 +314,7 @@ def oracle_sql() -> dict[str, str]:
         "docx_markdown": _DOCX,
         "xlsx_markdown": _XLSX,
         "pdf_markdown": _PDF,
+        "pdf_reading_order": _READING,
         "format_dispatch": _DISPATCH,
         "decoded": "SELECT doc_id, text FROM documents",
         "body_sizes": _LINES + ", s AS (SELECT doc_id, size_key, sum(length(trim(text))) AS n FROM lines GROUP BY 1, 2) SELECT doc_id, CAST(arg_max(size_key, n * 1000 + size_key) AS INTEGER) AS body FROM s GROUP BY 1",

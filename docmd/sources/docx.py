@@ -18,6 +18,9 @@ def _value(e, *path: str) -> str | None:
     return e.get(W + "val") if e is not None else None
 
 
+_HEADING = re.compile(r"heading\s*([0-9])", re.I)
+
+
 class Numbering:
     """The numbering part and the counters of a walk through the document."""
 
@@ -38,7 +41,7 @@ class Numbering:
                 if start := _value(o, "startOverride"):
                     self.overrides[own, int(o.get(W + "ilvl", 0))] = int(start)
         self.counters: dict[str, list[int | None]] = {}
-        self.used: set[tuple[str, int]] = set()
+        self.used: set[str] = set()
 
     def format(self, number: str, level: int) -> str | None:
         """bullet, none, or a number format; None where the paragraph is in no list."""
@@ -46,17 +49,17 @@ class Numbering:
         return None if list_ is None or number == "0" else self.formats.get((list_, level), "decimal")
 
     def next(self, number: str, level: int) -> int:
-        """The number of the next item: an override counts at its first item only, deeper levels begin anew."""
+        """The number of the next item: an override counts at the first item of its instance only, deeper levels begin anew."""
         list_ = self.abstract[number]
         counters = self.counters.setdefault(list_, [None] * LEVELS)
-        override = self.overrides.get((number, level))
-        if override is not None and (number, level) not in self.used:
+        override = self.overrides.get((number, level)) if number not in self.used else None
+        if override is not None:
             counters[level] = override
         elif counters[level] is None:
             counters[level] = self.starts.get((list_, level), 1)
         else:
             counters[level] += 1
-        self.used.add((number, level))
+        self.used.add(number)
         counters[level + 1 :] = [None] * (LEVELS - level - 1)
         return counters[level]
 
@@ -98,30 +101,22 @@ class Document:
         out = []
         for k, (kind, text) in enumerate(blocks):
             out.append(("" if not k else "\n" if kind == blocks[k - 1][0] == "item" else "\n\n") + text)
-        k = 0
-        notes = []
-        while k < len(self.footnotes):  # a note can hold references itself
-            if (note := self.notes.get(self.footnotes[k])) is not None:
-                text = " ".join(x for p in note.iter(W + "p") if (x := self.text(p).replace("\n", " ").strip()))
-                if text:
-                    notes.append(f"[^{self.footnotes[k]}]: {text}")
-            k += 1
+        # of the notes that the text refers to; what a note refers to itself is none of these
+        notes = [f"[^{k}]: " + " ".join(x for p in note.iter(W + "p") if (x := self.text(p, False).strip())) for k in self.footnotes if (note := self.notes.get(k)) is not None]
         return T.normalize(T.escape_tags_outside_links("\n\n".join(["".join(out), *notes])))
 
     def level(self, p) -> int:
-        """1 to 6 for a heading, else 0: by the name of the style, else by its id."""
+        """1 to 6 for a heading, else 0: by the name of the style, or the id of a numbered heading or a style without a name."""
         style = _value(p, "pPr", "pStyle")
         if style is None:
             return 0
         known = self.styles.get(style)
-        name = (_value(known, "name") if known is not None else None) or ""
-        for label in (name, style):
-            low = label.strip().lower()
-            if low == "title":
-                return 1
-            if m := re.fullmatch(r"heading ?(\d+)", low):
-                return min(max(int(m[1]), 1), 6)
-        return 0
+        name = _value(known, "name") if known is not None else None
+        name = style if name is None else name
+        if name.lower() == "title":
+            return 1
+        m = _HEADING.fullmatch(name) or _HEADING.fullmatch(style)
+        return min(max(int(m[1]), 1), 6) if m else 0
 
     def _list(self, p) -> tuple[str, int] | None:
         """The numbering instance and level of a paragraph, its own or its style's."""
@@ -162,19 +157,19 @@ class Document:
         lines = [f"| {' | '.join(r + [''] * (width - len(r)))} |" for r in rows]
         return "\n".join([lines[0], f"| {' | '.join(['---'] * width)} |", *lines[1:]])
 
-    def text(self, p) -> str:
-        """A paragraph's runs: links as Markdown, footnote references, line breaks."""
+    def text(self, p, marks: bool = True) -> str:
+        """A paragraph's runs: links as Markdown and footnote references (both with marks only), line breaks."""
         out: list[str] = []
         for e in p:
             if e.tag == W + "hyperlink":
                 kind, target, outside = self.relations.get(e.get(REL + "id", ""), ("", "", False))
-                inner = self.text(e)
-                out.append(T.link(inner, target) if outside and kind == "hyperlink" else inner)
+                inner = self.text(e, marks)
+                out.append(T.link(inner, target) if marks and outside and kind == "hyperlink" else inner)
             elif e.tag == W + "sdt":
                 content = e.find(W + "sdtContent")
-                out.append(self.text(content) if content is not None else "")
+                out.append(self.text(content, marks) if content is not None else "")
             elif e.tag in (W + "ins", W + "smartTag", W + "fldSimple", W + "customXml"):
-                out.append(self.text(e))
+                out.append(self.text(e, marks))
             elif e.tag == W + "r":
                 for x in e:
                     if x.tag == W + "t":
@@ -185,7 +180,7 @@ class Document:
                         out.append("\t")
                     elif x.tag == W + "noBreakHyphen":
                         out.append("-")
-                    elif x.tag == W + "footnoteReference":
+                    elif x.tag == W + "footnoteReference" and marks:
                         own = x.get(W + "id", "")
                         if own not in self.footnotes:
                             self.footnotes.append(own)

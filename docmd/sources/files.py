@@ -10,10 +10,14 @@ FORMATS = {"csv": "csv", "docx": "docx", "htm": "html", "html": "html", "pdf": "
 SCHEMA = "path string, name string, source_uri string, length long, content binary"
 
 
-def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """The files below a path: (path, name, source_uri, length, content). Unused contents are not read."""
+def scan(spark: SparkSession, path: str, glob: str | None = None, limit: int | None = MAX_DOCUMENT_SIZE) -> DataFrame:
+    """The files below a path: (path, name, source_uri, length, content). Unused contents are not read, nor those of files of
+    more than limit bytes (null contents): the scan filters by length before it opens a file."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    if limit is not None:
+        large = found.where(F.col("length") > limit).select("path", "modificationTime", "length").withColumn("content", F.lit(None).cast("binary"))
+        found = found.where(F.col("length") <= limit).unionByName(large)
     return found.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.lit(None).cast("string").alias("source_uri"), "length", "content")
 
 

@@ -237,5 +237,5 @@ def _labelled(lines: list[dict]) -> list[dict]:
 def in_reading_order(lines: list[dict]) -> list[dict]:
     """The lines of all pages, in the order of their contents, with late text in its place."""
     pages = [list(own) for _, own in groupby(lines, key=lambda x: x["page"])]
-    after = [own[0] for own in pages[1:]] + [None]
-    return [x for own, first in zip(pages, after, strict=True) for x in _labelled(_in_place(_on_baselines(own, first)))]
+    after = [*(own[0] for own in pages[1:]), None]
+    return [x for own, first in zip(pages, after, strict=False) for x in _labelled(_in_place(_on_baselines(own, first)))]

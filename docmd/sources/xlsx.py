@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime
 import math
+import operator
 import re
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
+from fractions import Fraction
+from typing import NamedTuple
 
 from docmd.sources.opc import REL, Package, Unreadable
 
@@ -15,7 +18,7 @@ MAX_SPARSE, SPARSE_TIMES = 1_000_000, 10
 MAX_SERIAL, LATER = 2_958_466, 1462
 #: The built-in number formats.
 BUILT_IN = {
-    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM",
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM",
     19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0;(#,##0)", 38: "#,##0;(#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;(#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0", 48: "0.0E+0", 49: "@",
 }
 _DATE_TOKEN = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]|AM/PM|A/P|yyyy|yy|mmmmm|mmmm|mmm|mm|m|dddd|ddd|dd|d|hh|h|ss|s|\.0+|.', re.I | re.S)
@@ -74,40 +77,129 @@ def date_text(v: float, code: str, from_1904: bool) -> str:
     return "".join(out)
 
 
+_CODE = re.compile(r'"([^"]*)"|\\(.)|_.|\*.|(\[[^\]]*\])|(General)|(;)|(E[+-]0+)|(/ ?[0-9]+|[0#?.,/%]|.)', re.I | re.S)
+_CONDITION = re.compile(r"\[\s*(<=|>=|<>|<|>|=)\s*(-?[0-9.]+)\s*\]")
+_TESTS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "<>": operator.ne}
+
+
+class Section(NamedTuple):
+    """A part of a number format: its condition, and its tokens. A token is what it means - text, general, power, place - and
+    its characters."""
+
+    condition: tuple[str, float] | None
+    tokens: list[tuple[str, str]]
+
+    def holds(self, v: float) -> bool:
+        return self.condition is None or _TESTS[self.condition[0]](v, self.condition[1])
+
+
+def sections(code: str) -> list[Section]:
+    """The sections of a number format."""
+    out = [Section(None, [])]
+    for m in _CODE.finditer(code):
+        quoted, escaped, bracket, general_, end, power, other = m.groups()
+        if end:
+            out.append(Section(None, []))
+        elif bracket:
+            if c := _CONDITION.fullmatch(bracket):
+                out[-1] = out[-1]._replace(condition=(c[1], float(c[2])))
+            elif money := re.match(r"\[\$([^\]-]+)", bracket):
+                out[-1].tokens.append(("text", money[1]))
+        elif quoted is not None or escaped is not None:
+            out[-1].tokens.append(("text", quoted if quoted is not None else escaped))
+        elif general_:
+            out[-1].tokens.append(("general", general_))
+        elif power:
+            out[-1].tokens.append(("power", power))
+        elif other:
+            out[-1].tokens.append(("place" if other[0] in "0#?.,/" else "text", other))
+    return out
+
+
+def _section(parts: list[Section], v: float) -> tuple[Section, bool]:
+    """The section that shows a number, and whether it shows a minus sign itself."""
+    if any(p.condition for p in parts):
+        own = next((p for p in parts if p.holds(v)), parts[-1])
+        return own, v < 0
+    if v < 0 and len(parts) > 1:
+        return parts[1], False
+    return parts[2] if v == 0 and len(parts) > 2 else parts[0], v < 0
+
+
+def _fraction(value: Decimal, shape: str) -> str:
+    """A number in the shape of a fraction, such as `# ?/?`: a whole part where there is one, and the nearest fraction."""
+    above, _, below = shape.partition("/")
+    whole = len(above.split()) > 1
+    below = below.strip()
+    exact = Fraction(value)
+    count = int(exact) if whole else 0
+    rest = exact - count
+    if below[:1] in "123456789":
+        over = int(below)
+        up = int(rest * over + Fraction(1, 2))
+    else:
+        near = rest.limit_denominator(10 ** len(below) - 1)
+        up, over = near.numerator, near.denominator
+    if whole and up == over:
+        count, up = count + 1, 0
+    shown = f"{up}/{over}" if up or not whole else ""
+    return " ".join(x for x in (str(count) if count or (whole and not up) else "", shown) if x)
+
+
 def number_text(v: float, code: str) -> str:
-    """A number as the format shows it."""
+    """A number as the format shows it: by the section whose condition holds, or that of its sign."""
     if not math.isfinite(v) or code.lower() in ("general", "@", ""):
         return general(v)
-    parts = code.split(";")
-    part = parts[1] if v < 0 and len(parts) > 1 else parts[2] if v == 0 and len(parts) > 2 else parts[0]
-    sign = "-" if v < 0 and len(parts) == 1 else ""
-    part = re.sub(r"\[[^\]]*\]|_.|\*.", "", part)
-    literal = re.compile(r'"([^"]*)"|\\(.)')
-    m = re.search(r"[0#?][0#?,]*(?:\.[0#?]*)?(?:E[+-]0+)?|\.[0#?]+", re.sub(r'"[^"]*"|\\.', lambda x: "\x00" * len(x[0]), part))
-    if not m:
-        return sign + (general(abs(v)) if "general" in part.lower() else literal.sub(lambda x: x[1] or x[2] or "", part))
-    shape = m[0]
-    show = lambda s: literal.sub(lambda x: x[1] if x[1] is not None else x[2], s)
+    section, negative = _section(sections(code), v)
+    tokens, sign = section.tokens, "-" if negative else ""
+    places = [k for k, (kind, x) in enumerate(tokens) if kind == "place" and x[0] in "0#?"]
+    if not places:
+        shown = "".join(general(abs(v)) if kind == "general" else x for kind, x in tokens if kind != "place")
+        return (sign if any(kind == "general" for kind, _ in tokens) or len(sections(code)) == 1 else "") + shown
+    # a dot before the first digit and all places after it belong to the number; text among them stays behind it
+    first, last = places[0], places[-1]
+    while first and tokens[first - 1] == ("place", "."):
+        first -= 1
+    while last + 1 < len(tokens) and (tokens[last + 1][0] in ("place", "power")):
+        last += 1
+    own = tokens[first : last + 1]
+    shape = "".join(x for kind, x in own if kind != "text" or x == " ")
+    inside = "".join(x for kind, x in own if kind == "text" and x != " ")
     try:
-        value = Decimal(repr(abs(v))) * (100 if "%" in part else 1)
+        value = Decimal(repr(abs(v))) * 100 ** sum(x == "%" for kind, x in tokens if kind == "text")
     except InvalidOperation:
         return general(v)
-    if "E" in shape:
-        places = len(shape.partition("E")[0].partition(".")[2])
-        mantissa, _, power = f"{value:.{places}E}".partition("E")
-        digits = len(shape) - shape.index("E") - 2
-        text = f"{mantissa}E{power[0] if power[0] == '-' or '+' in shape else ''}{power.lstrip('+-').zfill(digits)}"
+    if "/" in shape:
+        text = _fraction(value, shape)
+    elif power := next((x for kind, x in own if kind == "power"), ""):
+        figures = len(shape.partition("E")[0].partition("e")[0].partition(".")[2])
+        mantissa, _, exponent = f"{value:.{figures}E}".partition("E")
+        text = f"{mantissa}E{exponent[0] if exponent[0] == '-' or '+' in power else ''}{exponent.lstrip('+-').zfill(len(power) - 2)}"
+    elif inside and not {".", ","} & set(shape):
+        # text between digits, as in 000-0000: these are dealt out from the right
+        digits, text, inside = f"{value:.0f}".zfill(shape.count("0")), "", ""
+        for kind, x in reversed(own):
+            text, digits = (x + text, digits) if kind == "text" else (digits[-1:] + text, digits[:-1])
+        text = digits + text
     else:
-        whole, _, fraction = shape.partition(".")
-        value = value.quantize(Decimal(1).scaleb(-len(fraction)), ROUND_HALF_UP)
-        digits, _, after = f"{value:f}".partition(".")
-        digits = digits.lstrip("0").zfill(whole.replace(",", "").count("0"))
-        if "," in whole.rstrip(","):
-            digits = f"{int(digits or 0):,}" if digits else digits
-        while after and fraction[len(after) - 1] == "#" and after[-1] == "0":
-            after = after[:-1]
-        text = digits + ("." + after if after or (fraction == "" and "." in shape) else "")
-    return sign + show(part[: m.start()]) + text + show(part[m.end() :])
+        text = _decimal(value, shape.replace(" ", ""))
+    before, after = ("".join(x for kind, x in part if kind == "text") for part in (tokens[:first], tokens[last + 1 :]))
+    return sign + before + text + inside + after
+
+
+def _decimal(value: Decimal, shape: str) -> str:
+    """A number in the shape of digits: each comma after the last digit divides by a thousand, one between digits groups."""
+    whole, _, fraction = shape.partition(".")
+    scale = len(whole) - len(whole.rstrip(",")) + fraction.count(",")
+    whole, fraction = whole.rstrip(","), fraction.replace(",", "")
+    value = (value / 1000**scale).quantize(Decimal(1).scaleb(-len(fraction)), ROUND_HALF_UP)
+    digits, _, after = f"{value:f}".partition(".")
+    digits = digits.lstrip("0").zfill(whole.replace(",", "").count("0"))
+    if "," in whole:
+        digits = f"{int(digits or 0):,}" if digits else digits
+    while after and fraction[len(after) - 1] == "#" and after[-1] == "0":
+        after = after[:-1]
+    return digits + ("." + after if after or (fraction == "" and "." in shape) else "")
 
 
 def _column(reference: str) -> int:

@@ -52,9 +52,9 @@ def docx(body: str, footnotes: str = "") -> bytes:
     })
 
 
-LINK = '<w:hyperlink r:id="l"><w:r><w:t>the </w:t></w:r><w:r><w:t xml:space="preserve">full text </w:t></w:r></w:hyperlink>'
+LINK = '<w:hyperlink r:id="l"><w:r><w:t>our </w:t></w:r><w:r><w:t xml:space="preserve">oven log </w:t></w:r></w:hyperlink>'
 DOCX = {
-    "styles": (p("Guidance", "Title") + p("Intro text.") + p("") + p("  ") + p("Who can apply", "Heading2") + p("# Body text."), "# Guidance\n\nIntro text.\n\n## Who can apply\n\n\\# Body text.\n"),
+    "styles": (p("Oven manual", "Title") + p("Read this first.") + p("") + p("  ") + p("Heating up", "Heading2") + p("# It is hot."), "# Oven manual\n\nRead this first.\n\n## Heating up\n\n\\# It is hot.\n"),
     "bullets": (p("Should:") + p("a", "", (4, 0)) + p("# b", "", (4, 1)) + p("c", "", (4, 0)), "Should:\n\n- a\n    - \\# b\n- c\n"),
     "numbers": (
         p("Five", "", (1, 0)) + p("nested", "", (1, 1)) + p("Six", "", (1, 0)) + p("Between.") + p("Seven", "", (2, 0)) + p("Restart:") + p("Three", "", (3, 0)) + p("Four", "", (3, 0)),
@@ -65,7 +65,7 @@ DOCX = {
         "Before\n\nFirst\n\\# Second\n\nInline\n",
     ),
     "table": (f"<w:tbl><w:tr><w:tc>{p('Level')}</w:tc><w:tc>{p('Impact')}</w:tc></w:tr><w:tr><w:tc>{p('Low | Mod')}{p('two')}</w:tc></w:tr></w:tbl>", "| Level | Impact |\n| --- | --- |\n| Low \\| Mod two |  |\n"),
-    "link": (f'<w:p><w:r><w:t xml:space="preserve">Read </w:t></w:r>{LINK}<w:r><w:t>now List&lt;</w:t></w:r><w:r><w:t>E&gt;.</w:t></w:r></w:p>', "Read [the full text](https://example.org/guide) now List\\<E>.\n"),
+    "link": (f'<w:p><w:r><w:t xml:space="preserve">See </w:t></w:r>{LINK}<w:r><w:t>of Dough&lt;</w:t></w:r><w:r><w:t>Rye&gt;!</w:t></w:r></w:p>', "See [our oven log](https://example.org/guide) of Dough\\<Rye>!\n"),
     "footnote": ('<w:p><w:r><w:t>Order</w:t></w:r><w:r><w:footnoteReference w:id="2"/></w:r></w:p>' + p("Next."), "Order[^2]\n\nNext.\n\n[^2]: Often made.\n"),
 }
 
@@ -248,3 +248,44 @@ def test_numbers_beyond_any_date():
     assert xlsx.general(float("nan")) == xlsx.number_text(float("nan"), "0%") == "nan"
     for from_1904 in (False, True):
         assert xlsx.date_text(xlsx.MAX_SERIAL - 1 - xlsx.LATER * from_1904, "yyyy", from_1904) == "9999"
+
+
+@pytest.mark.parametrize(("v", "code", "shown"), [
+    (1234.5, "#,##0.00", "1,234.50"), (0.125, "0.00%", "12.50%"), (-5, "0;(0)", "(5)"), (1.5, "# ?/?", "1 1/2"), (0.3333, "# ?/?", "1/3"), (2, "# ?/?", "2"), (0, "# ?/?", "0"), (0.25, "?/4", "1/4"),
+    (1.99, "# ?/4", "2"), (1234567, "#,##0,", "1,235"), (1234567, "0.0,,", "1.2"), (150, '[>100]"much" 0;[<0]"low" 0;0.0', "much 150"), (-3, '[>100]"much" 0;[<0]"low" 0;0.0', "-low 3"),
+    (50, '[>100]"much" 0;[<0]"low" 0;0.0', "50.0"), (0, '0;-0;"none"', "none"), (5, "[Red]0.0", "5.0"), (5, "[$kr-414] 0.00", "kr 5.00"), (12345, "0.00E+00", "1.23E+04"), (0.5, ".00", ".50"),
+    (-7, '0" kg"', "-7 kg"), (3, 'General" loaves"', "3 loaves"), (1234567.891, "#,##0.###", "1,234,567.891"), (5551234, "000-0000", "555-1234"), (4, r"\#0", "#4"), (0, "#", ""), (1.5, '"a;b" 0;0', "a;b 2"),
+])
+def test_number_formats(v, code, shown):
+    from docmd.sources import xlsx
+
+    assert xlsx.number_text(v, code) == shown
+
+
+def test_styles_numbers_and_notes_of_word_files(spark):
+    note = lambda k, body: f'<w:footnote w:id="{k}">{body}</w:footnote>'
+    ref = lambda k: f'<w:p><w:r><w:t>Flour</w:t></w:r><w:r><w:footnoteReference w:id="{k}"/></w:r></w:p>'
+    notes = note(2, "<w:p/>") + note(3, p("Sifted.") + ref(4) + f"<w:p>{LINK}</w:p>") + note(4, p("Never shown."))
+    # a style's name decides on titles; an unknown style is its own name
+    body = p("Loaves", "Title") + p("Rolls", "title") + p("Crusts", "heading 3") + ref(2) + ref(3) + ref(9)
+    out = convert(spark, [("a.docx", docx(body, notes), None)])[0].markdown
+    assert out == "# Loaves\n\n# Rolls\n\n### Crusts\n\nFlour[^2]\n\nFlour[^3]\n\nFlour[^9]\n\n[^2]:\n\n[^3]: Sifted. Flour our oven log\n"
+    # an instance's override counts at its first item, whatever its level
+    items = p("a", "", (3, 1)) + p("b", "", (3, 0)) + p("c", "", (3, 0))
+    assert convert(spark, [("a.docx", docx(items), None)])[0].markdown.split("\n")[1].startswith("5. b")
+
+
+def test_scan_reads_no_content_beyond_the_limit(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"rye")
+    (tmp_path / "b.txt").write_bytes(b"x" * 50)
+    rows = {r.name: (r.length, r.content) for r in files.scan(spark, str(tmp_path), limit=10).collect()}
+    assert rows == {"a.txt": (3, bytearray(b"rye")), "b.txt": (50, None)}
+    out = {r.name: (r.markdown, r.error and r.error.kind) for r in to_markdown(files.scan(spark, str(tmp_path), limit=10), limit=10, pdf=False).collect()}
+    assert out == {"a.txt": ("rye\n", None), "b.txt": (None, "too_large")}
+
+
+def test_words_of_a_language_for_pdf_files(spark):
+    page = shown((72, 700, "We like autom-", 10, "F1"), (72, 688, "atic ovens.", 10, "F1"))
+    docs = spark.createDataFrame([("a.pdf", None, 1, pdf([page]))], "name string, source_uri string, length long, content binary")
+    words = spark.createDataFrame([("automatic",)], "word string")
+    assert [to_markdown(docs, words=w).first().markdown for w in (None, words)] == ["We like autom-atic\novens.\n", "We like automatic\novens.\n"]

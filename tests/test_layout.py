@@ -77,10 +77,10 @@ def test_markers_hyphens_markdown(spark):
 
 def test_hyphens(spark):
     doc = [
-        body("It is reli-", 100), body("able and surpris-", 114), body("ing, an auto-", 128), body("encoder of the lon-", 142), body("gest kind, an encoder.", 156), body("dimensional-", 170), body("ity and di-", 184), body("mensionality", 198),
+        body("It is reli-", 100), body("able and surpris-", 114), body("ing, an over-", 128), body("flow of the lon-", 142), body("gest kind, a flow.", 156), body("seasonal-", 170), body("ity and sea-", 184), body("sonality", 198),
     ]
     (out,) = L.to_markdown(lines(spark, {1: doc})).collect()
-    assert out.markdown == "It is reliable\nand surprising,\nan auto-encoder\nof the lon-gest\nkind, an encoder.\ndimensionality\nand dimensionality\n"
+    assert out.markdown == "It is reliable\nand surprising,\nan over-flow\nof the lon-gest\nkind, a flow.\nseasonality\nand seasonality\n"
     (out,) = L.to_markdown(lines(spark, {1: doc[:5]}), dictionary=F.array(F.lit("longest"))).collect()
     assert "the longest\n" in out.markdown
 

@@ -88,6 +88,7 @@ def test_lines_above_the_page_go_to_its_top():
     header, body = line(20, ("Header", 50, 80)), [line(100, ("one", 50, 70)), line(112, ("two", 50, 70))]
     items = [line(60, ("9.", 60, 70)), line(72, ("10.", 58, 70))]
     assert texts(header, *body, *items) == ["Header", "9.", "10.", "one", "two"]
+    assert pdflate.in_reading_order([]) == []
     assert texts(header, *body, line(60, ("right", 80, 95))) == ["Header", "one", "two", "right"]
     assert texts(line(55, ("near", 50, 80)), *body, line(60, ("9.", 60, 70))) == ["near", "one", "two", "9."]
 
