@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmd.llm import centroids, decontaminate, merkle, urlfilter, warc
+from docmd.llm import centroids, decontaminate, merkle, neardup, urlfilter, warc
 from docmd.llm.centroids import op13_sort_means
 from docmd.llm.decontaminate import op8_decontaminate
 from docmd.llm.langid import op1_langid
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_url_filter": urlfilter.ORACLE_SQL, "op13_sort_means": centroids.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op9_near_duplicates": neardup.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_url_filter": urlfilter.ORACLE_SQL, "op13_sort_means": centroids.ORACLE_SQL}
