@@ -373,14 +373,14 @@ class _Page:
         sizes: dict[float, int] = {}
         levels: dict[int, int] = {}
         for g in inked:
-            sizes[round(g.size, 2)] = sizes.get(round(g.size, 2), 0) + len(g.text.strip())
+            sizes[_points(g)] = sizes.get(_points(g), 0) + len(g.text.strip())
             level = self.marks.headings.get((self.number, g.mark), 0)
             levels[level] = levels.get(level, 0) + 1
         size = max(sizes, key=lambda s: (sizes[s], s))
         first, rotated = glyphs[0], glyphs[0].rotated
         level = max(levels, key=lambda k: (k > 0, levels[k]))
         return {
-            "page": self.number, "page_height": float(self.height), "x": first.x, "y": first.y if rotated else next((g.y for g in inked if round(g.size, 2) == size), first.y),
+            "page": self.number, "page_height": float(self.height), "x": first.x, "y": first.y if rotated else next((g.y for g in inked if _points(g) == size), first.y),
             "width": 0.0 if rotated else glyphs[-1].x + glyphs[-1].advance - first.x, "font_size": float(size), "bold": 2 * sum(g.bold for g in inked) > len(inked), "rotated": rotated,
             "text": text.strip() if tables and others else text.rstrip(), "table_id": min(tables) if len(tables) == 1 and not others else -1,
             "heading": level if 2 * (len(inked) - levels.get(0, 0)) > len(inked) else 0, "words": words,
@@ -392,7 +392,7 @@ class _Page:
         gaps: set[int] = set()  # glyphs with a gap before them
         for k, g in enumerate(glyphs):
             before = glyphs[k - 1] if k else None
-            if before and not before.text[-1:].isspace() and not g.text[:1].isspace() and not g.rotated and g.x - (before.x + before.advance) > SPACE_GAP * g.size:
+            if before and not g.rotated and g.x - (before.x + before.advance) > SPACE_GAP * g.size:
                 gaps.add(k)
             if (k in gaps or g.text.isspace()) and pieces[-1]:
                 pieces.append([])
@@ -404,11 +404,17 @@ class _Page:
         if any(self.url(g) for g in glyphs):
             shown, powered = {}, {}
         parts: list[tuple[str | None, str]] = [(None, "")]
+        parted = False  # by a gap, which is one blank together with the blanks beside it
         for k, g in enumerate(glyphs):
-            url = self.url(g)
+            text, url, so_far = shown.get(id(g), g.text), self.url(g), parts[-1][1]
             if k in gaps:
-                parts[-1] = parts[-1][0], parts[-1][1] + " "
-            text = shown.get(id(g), g.text)
+                parts[-1] = parts[-1][0], so_far if so_far[-1:].isspace() else so_far + " "
+                parted = True
+            elif k and so_far[-1:].isalnum() and text[:1].isalnum():
+                url = parts[-1][0]  # a link's box ends at words, not in them
+            if parted and text.isspace():
+                continue
+            parted = False
             if url == parts[-1][0]:
                 parts[-1] = url, parts[-1][1] + text
             else:
@@ -449,6 +455,11 @@ def _without_covered(glyphs: list[Glyph]) -> list[Glyph]:
     return [g for k, g in enumerate(glyphs) if not covered(k)]
 
 
+def _points(g: Glyph) -> float:
+    """A glyph's size in whole points; smaller than one as it is."""
+    return float(int(g.size + 1e-3)) if g.size >= 1 else round(g.size, 2)
+
+
 def _is_raised(digit: Glyph, text: Glyph, gap: float) -> bool:
     if text.size <= 0:
         return False

@@ -174,3 +174,25 @@ def test_encrypted_without_a_password(kind):
     assert [x["text"] for x in lines] == ["rye bread"] and own["title"] == "Rye"
     with pytest.raises(pdftext.Unreadable, match="encrypted"):
         pdftext.read(locked(kind, opens=False))
+
+
+def test_gaps_and_sizes():
+    # a gap and the blanks at both its sides are one blank; blanks without a gap stay
+    page = shown((72, 700, "rye ", 10, "F1"), (110, 700, "  oat", 10, "F1"), (72, 680, "a  b", 10, "F1"))
+    assert read(pdf([page]))[0] == ["rye oat", "a  b"]
+    lines, _, _ = pdftext.read(pdf([b"BT /F1 9.96 Tf 72 700 Td (rye) Tj ET BT /F1 11.5 Tf 72 600 Td (oat) Tj ET BT /F1 0.4 Tf 72 500 Td (dot) Tj ET"]))
+    assert [x["font_size"] for x in lines] == [9.0, 11.0, 0.4]
+
+
+def linked(page: bytes, *boxes: tuple[float, float]) -> list[str]:
+    """The texts of a page with links to https://oven.test/ over (left, right) of its line at 700."""
+    notes = " ".join(f"<< /Subtype /Link /Rect [{a} 690 {b} 715] /A << /S /URI /URI (https://oven.test/) >> >>" for a, b in boxes)
+    data = pdf([page], packed=False)
+    return read(data.replace(b"/Type /Page ", b"/Type /Page /Annots [" + notes.encode() + b"] "))[0]
+
+
+def test_links_end_at_words():
+    page = shown((72, 700, "see rye, and oat", 10, "F1"))
+    assert linked(page, (90, 107)) == ["see [rye](https://oven.test/), and oat"]
+    assert linked(page, (90, 101)) == ["see [rye](https://oven.test/), and oat"] and linked(page, (97, 107)) == ["see rye, and oat"]
+    assert linked(shown((72, 700, "at <https://oven.test/>.", 10, "F1")), (91, 182)) == ["at <https://oven.test/>."]
