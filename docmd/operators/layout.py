@@ -461,8 +461,10 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: D
     none = F.array().cast("array<string>")
     docs = docs.join(words(given), "doc_id", "left").withColumn("known", F.array_intersect("asks", F.coalesce("words", none))).drop("words")
     of_language: Column | None = None
+    scratch: tuple[str, ...] = ()
     if isinstance(dictionary, DataFrame):
-        docs, of_language = _looked_up(docs, dictionary), c("found")
+        kept = written(docs, "layout")
+        docs, of_language, scratch = _looked_up(kept, dictionary), c("found"), kept.scratch
     elif dictionary is not None:
         of_language = F.array_intersect("asks", dictionary)
     if tables is not None:
@@ -476,13 +478,14 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: D
         return body if tables is None else F.when(p["is_table"], F.coalesce(c("tables")[p["table_id"]], F.lit(""))).otherwise(body)
 
     joined = F.array_join(F.filter(F.transform("paras", shown), lambda x: x != ""), "\n\n")
-    return docs.select("doc_id", joined.alias("m")).where("m <> ''").select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))
+    out = docs.select("doc_id", joined.alias("m")).where("m <> ''").select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))
+    out.scratch = scratch
+    return out
 
 
 def _looked_up(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """docs with `found`: those of their asks that the dictionary has. The asks are a few words of each document; Spark
+    """docs, a table, with `found`: those of their asks that the dictionary has. The asks are a few words of each document; Spark
     broadcasts the dictionary while it is below its limit for that, and shuffles both beyond it."""
     table = dictionary.select(F.lower(F.col(dictionary.columns[0])).alias("word")).where("word is not null").distinct()
-    kept = written(docs, "layout")
-    found = kept.select("doc_id", F.explode("asks").alias("word")).join(table, "word", "left_semi").groupBy("doc_id").agg(F.collect_set("word").alias("found"))
-    return kept.join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    found = docs.select("doc_id", F.explode("asks").alias("word")).join(table, "word", "left_semi").groupBy("doc_id").agg(F.collect_set("word").alias("found"))
+    return docs.join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))

@@ -1,8 +1,8 @@
 """Documents to Markdown, one row in and one row out.
 
 Plain text stays in the JVM; the other formats are parsed by Arrow functions in one pass over the rows and, where
-they are tables, written as Markdown by column expressions again, without a shuffle. PDF files become lines, which are
-written once to the shared folder, and the layout analysis of `operators.layout` makes Markdown of these. Whatever a
+they are tables, written as Markdown by column expressions again, without a shuffle. PDF files become lines in the same pass,
+the results of which are written to the shared folder, and the layout analysis of `operators.layout` makes Markdown of these. Whatever a
 parser trips over is that document's error.
 """
 
@@ -151,20 +151,13 @@ def _pdf():
     return F.arrow_udf(run, f"struct<lines:array<{_LINE}>,tables:array<{_TABLE}>,title:string,author:string,language:string,error:{_ERROR}>")
 
 
-def pdf_pages(documents: DataFrame) -> DataFrame:
-    """documents with doc_id, one for each row, and r, its lines, tables and metadata, in place of the content.
-
-    Written once, because the layout analysis reads it more than once; nothing is shuffled. A null content has a null r.
-    """
-    parsed = documents.withColumn("r", _pdf()("content")).drop("content").withColumn("doc_id", F.expr("uuid()"))
-    return written(parsed, "pdf-pages")
-
-
 def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZE, mode: str = "permissive", pdf: bool = True, words: DataFrame | None = None) -> DataFrame:
     """documents (name, source_uri, length, content, ...) with markdown, title, author, language and error in place
     of the content. permissive: a document that can't be read has an error; failfast: it ends the query.
 
-    PDF files are parsed and written when this is called; pdf=False leaves them out of the plan: they are unsupported then.
+    With pdf, documents are parsed and the results written when this is called, to the folder of `spark.checkpoint.dir`;
+    `session.discard` of the result deletes them when it has been used. pdf=False leaves PDF files out of the plan, which is
+    lazy then: they are unsupported.
     words: a table of one column, words of the documents' language, for words that a line's end breaks in PDF files. It is
     broadcast while Spark's limit for that holds it, and shuffled beyond.
     A null content has a null result; a null name is unsupported. Columns of the results' names are replaced, and any
@@ -184,21 +177,32 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
         refused = F.struct(F.lit("unsupported").alias("kind"), F.lit("PDF files are left out").alias("message"))
         marked = marked.withColumn("refusal", F.coalesce("refusal", F.when(c("format") == "pdf", refused)))
     is_pdf = c("refusal").isNull() & (F.coalesce("format", F.lit("")) == "pdf")
-    # one pass over all other formats: each parser gets the contents of its own and nulls
+    # one pass over all formats: each parser gets the contents of its own and nulls
     own = lambda kind: F.when(c("refusal").isNull() & (c("format") == kind), c("content"))
-    read = marked.where(~is_pdf).withColumns({
+    read = marked.withColumns({
         "csv": csv_records(files.decode(own("csv")), c("tabs")), "xlsx": _sheets()(own("xlsx")), "html": _parsed("html")(own("html"), c("address")), "docx": _parsed("docx")(own("docx"), c("address")),
-    })
-    field = lambda n: F.coalesce(*(F.col(f"{k}.{n}") for k in ("xlsx", "html", "docx")))
+    } | ({"pdf": _pdf()(own("pdf"))} if pdf else {}))
+    parsers = ("xlsx", "html", "docx", *(("pdf",) if pdf else ()))
+    field = lambda n: F.coalesce(*(F.col(f"{k}.{n}") for k in parsers))
     markdown = F.coalesce("html.markdown", "docx.markdown", csv_markdown(c("csv")), sheets_markdown(c("xlsx.sheets")), M.render_txt(files.decode(own("txt"))))
-    out = read.select("kept", markdown.alias("markdown"), *(field(n).alias(n) for n in results[1:4]), F.coalesce("refusal", field("error")).cast(_ERROR).alias("error"))
+    facts = (*(field(n).alias(n) for n in results[1:4]), F.coalesce("refusal", field("error")).cast(_ERROR).alias("error"))
+    scratch: tuple[str, ...] = ()
     if pdf:
-        pages = pdf_pages(marked.where(is_pdf).select("kept", "content"))
-        lines = pages.select("doc_id", F.explode("r.lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
-        tables = pages.select("doc_id", F.explode("r.tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
-        joined = pages.join(L.to_markdown(lines, tables, words).withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
-        found = F.when(c("r.error").isNull() & c("r").isNotNull(), F.coalesce("markdown", F.lit("")))
-        out = out.unionByName(joined.select("kept", found.alias("markdown"), *(F.col(f"r.{n}").alias(n) for n in results[1:4]), c("r.error").cast(_ERROR).alias("error")))
+        # contents are read once: what the parsers make of them is written, and the lines of PDF files read from there
+        whole = written(read.select("kept", markdown.alias("markdown"), *facts, is_pdf.alias("is_pdf"), "pdf.lines", "pdf.tables", F.when(is_pdf, F.expr("uuid()")).alias("doc_id")), "documents")
+        pages = whole.where("is_pdf")
+        lines = pages.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
+        tables = pages.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
+        shown = L.to_markdown(lines, tables, words)
+        joined = pages.drop("markdown").join(shown.withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
+        # a file without lines is empty, one that can't be read or has no content is null
+        found = F.when(c("error").isNull() & c("lines").isNotNull(), F.coalesce("markdown", F.lit("")))
+        out = whole.where("not is_pdf").select("kept", *results).unionByName(joined.select("kept", found.alias("markdown"), *results[1:]))
+        scratch = (*whole.scratch, *shown.scratch)
+    else:
+        out = read.select("kept", markdown.alias("markdown"), *facts)
     if mode == "failfast":
         out = out.withColumn("markdown", F.when(c("error").isNotNull(), F.raise_error(c("error.message")).cast("string")).otherwise(c("markdown")))
-    return out.select(*(c("kept")[x].alias(x) for x in keep), *results)
+    out = out.select(*(c("kept")[x].alias(x) for x in keep), *results)
+    out.scratch = scratch
+    return out

@@ -54,4 +54,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/docmd/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = (path,)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the tables that were written for df, which can't be read again then."""
+    for where in getattr(df, "scratch", ()):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docmd.plans.convert import to_markdown
+from docmd.session import discard
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,7 +25,11 @@ def convert(spark: SparkSession, source: str, target: str, checkpoint: str, avai
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        to_markdown(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        out = to_markdown(batch)
+        try:
+            out.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        finally:
+            discard(out)
 
     writer = read(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 
 from docmd.plans.convert import to_markdown
+from docmd.session import discard
 from docmd.sources import files
 from docmd.sources.csvtext import parse
 
@@ -289,3 +290,18 @@ def test_words_of_a_language_for_pdf_files(spark):
     docs = spark.createDataFrame([("a.pdf", None, 1, pdf([page]))], "name string, source_uri string, length long, content binary")
     words = spark.createDataFrame([("automatic",)], "word string")
     assert [to_markdown(docs, words=w).first().markdown for w in (None, words)] == ["We like autom-atic\novens.\n", "We like automatic\novens.\n"]
+
+
+def test_contents_are_read_once_and_results_deleted(spark, tmp_path):
+    import os
+
+    (tmp_path / "a.pdf").write_bytes(pdf([shown((72, 700, "rye", 10, "F1"))]))
+    (tmp_path / "b.txt").write_bytes(b"oat")
+    out = to_markdown(files.scan(spark, str(tmp_path)))
+    assert str(tmp_path) not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.name: r.markdown for r in out.collect()} == {"a.pdf": "rye\n", "b.txt": "oat\n"}
+    (folder,) = (x.removeprefix("file://") for x in out.scratch)
+    assert os.path.isdir(folder)
+    discard(out)
+    assert not os.path.exists(folder)
+    discard(to_markdown(files.scan(spark, str(tmp_path)), pdf=False))
