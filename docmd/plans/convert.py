@@ -171,7 +171,7 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
     # the kept columns travel in one, so that none can clash
     marked = documents.select(
         F.struct(*(F.col(f"`{x}`") for x in keep)).alias("kept"), "content", c("source_uri").alias("address"), files.refusal(name, c("length"), limit).alias("refusal"),
-        files.format_of(name).alias("format"), (files.extension(name) == "tsv").alias("tabs"),
+        files.format_of(name).alias("format"), (files.extension(name) == "tsv").alias("tabs"), name.alias("name"),
     )
     if not pdf:
         refused = F.struct(F.lit("unsupported").alias("kind"), F.lit("PDF files are left out").alias("message"))
@@ -185,7 +185,9 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
     parsers = ("xlsx", "html", "docx", *(("pdf",) if pdf else ()))
     field = lambda n: F.coalesce(*(F.col(f"{k}.{n}") for k in parsers))
     markdown = F.coalesce("html.markdown", "docx.markdown", csv_markdown(c("csv")), sheets_markdown(c("xlsx.sheets")), M.render_txt(files.decode(own("txt"))))
-    facts = (*(field(n).alias(n) for n in results[1:4]), F.coalesce("refusal", field("error")).cast(_ERROR).alias("error"))
+    failed = field("error")
+    failure = F.when(failed.isNotNull(), F.struct(failed["kind"].alias("kind"), F.concat(failed["message"], F.lit(": "), "name").alias("message")))
+    facts = (*(field(n).alias(n) for n in results[1:4]), F.coalesce("refusal", failure).cast(_ERROR).alias("error"))
     scratch: tuple[str, ...] = ()
     if pdf:
         # contents are read once: what the parsers make of them is written, and the lines of PDF files read from there

@@ -27,6 +27,15 @@ def from_table(rows: DataFrame, content: Column, name: Column, source_uri: Colum
     return rows.withColumns({"name": name, "source_uri": source_uri if source_uri is not None else F.lit(None).cast("string"), "length": F.octet_length(data).cast("long"), "content": data})
 
 
+def register(extension_: str, format_: str) -> None:
+    """From now on files of an extension are read as a format. An extension has one format; another one is an error."""
+    own = extension_.lower().removeprefix(".")
+    if format_ not in set(FORMATS.values()):
+        raise ValueError(f"no reader of the format {format_}")
+    if FORMATS.setdefault(own, format_) != format_:
+        raise ValueError(f"two formats for .{own}: {FORMATS[own]} and {format_}")
+
+
 def extension(name: Column) -> Column:
     """What follows the last dot, in lower case; empty without one."""
     return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))

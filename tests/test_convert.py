@@ -305,3 +305,16 @@ def test_contents_are_read_once_and_results_deleted(spark, tmp_path):
     discard(out)
     assert not os.path.exists(folder)
     discard(to_markdown(files.scan(spark, str(tmp_path)), pdf=False))
+
+
+def test_more_extensions(spark, monkeypatch):
+    monkeypatch.setattr(files, "FORMATS", dict(files.FORMATS))
+    files.register(".LOG", "txt")
+    files.register("log", "txt")
+    with pytest.raises(ValueError, match="two formats"):
+        files.register("log", "csv")
+    with pytest.raises(ValueError, match="no reader"):
+        files.register("md", "markdown")
+    docs = spark.createDataFrame([("a.log", None, 3, b"# a"), ("b.docx", None, 3, b"x y"), ("c.xlsx", None, 3, b"x y")], "name string, source_uri string, length long, content binary")
+    out = {r.name: (r.markdown, r.error and r.error.message) for r in to_markdown(docs, pdf=False).collect()}
+    assert out == {"a.log": ("\\# a\n", None), "b.docx": (None, "Cannot read the DOCX file: b.docx"), "c.xlsx": (None, "Cannot read the XLSX file: c.xlsx")}
