@@ -111,8 +111,10 @@ def test_plan_has_no_self_join(spark):
     assert plan.count("Exchange ") + plan.count("Exchange(") <= 6 and plan.count("Join") <= 1
 
 
-def markdown(spark, items):
-    return L.to_markdown(lines(spark, {1: items})).first().markdown
+def markdowns(spark, *docs):
+    """Of each document, in one run."""
+    found = {r.doc_id: r.markdown for r in L.to_markdown(lines(spark, dict(enumerate(docs)))).collect()}
+    return [found[k] for k in range(len(docs))]
 
 
 LONG = "the oven was so hot on that day that all of the loaves of"
@@ -122,27 +124,30 @@ def test_a_sentence_goes_on_past_the_footnotes_of_its_page(spark):
     notes = [body("1 A note below the text, which", 700, font_size=8.0), body("goes on for a line.", 709, font_size=8.0)]
     more = [body("2 One more note.", 700, font_size=8.0, page=2)]
     first, second, third = body(LONG, 100), body("rye were black, and " + LONG, 80, page=2), body("oats too.", 80, page=3)
-    assert markdown(spark, [first, *notes, second, *more, third]) == f"{LONG}\nrye were black, and {LONG}\noats too.\n\n1 A note below the text, which\ngoes on for a line.\n\n2 One more note.\n"
-    # the next page begins a sentence, is of another size or not the next one; the sentence has ended
-    for cut in ([first, *notes, body("Rye was black.", 80, page=2)], [first, *notes, body("rye was black.", 80, page=2, font_size=9.5)], [first, *notes, body("rye was black.", 80, page=3)], [body(LONG + " rye.", 100), *notes, body("rye", 80, page=2)]):
-        assert markdown(spark, cut).split("\n\n")[1].startswith("1 A note")
+    whole, hyphen, table, *cut = markdowns(
+        spark, [first, *notes, second, *more, third], [body(LONG + " wheat-", 100), *notes, body("Less bread.", 80, page=2, x=300.0)], [first, notes[0], body("", 730, table_id=0), body("rye was black.", 80, page=2)],
+        # the next page begins a sentence, is of another size or not the next one; the sentence has ended
+        [first, *notes, body("Rye was black.", 80, page=2)], [first, *notes, body("rye was black.", 80, page=2, font_size=9.5)], [first, *notes, body("rye was black.", 80, page=3)], [body(LONG + " rye.", 100), *notes, body("rye", 80, page=2)],
+    )
+    assert whole == f"{LONG}\nrye were black, and {LONG}\noats too.\n\n1 A note below the text, which\ngoes on for a line.\n\n2 One more note.\n"
+    assert [x.split("\n\n")[1][:8] for x in cut] == ["1 A note"] * 4
     # after a hyphen, in another column; a table is no footnote
-    assert markdown(spark, [body(LONG + " wheat-", 100), *notes, body("Less bread.", 80, page=2, x=300.0)]).startswith(f"{LONG} wheat-\nLess bread.\n\n1 A")
-    assert "\n\nrye" in markdown(spark, [first, notes[0], body("", 730, table_id=0), body("rye was black.", 80, page=2)])
+    assert hyphen.startswith(f"{LONG} wheat-\nLess bread.\n\n1 A") and "\n\nrye" in table
 
 
 def test_a_sentence_goes_on_past_captions(spark):
     caption, table = body("Figure 2: Loaves.", 300, font_size=9.0), body("", 340, table_id=0)
     rest, last = body("rye were black.", 500), body("oats too.", 700)
-    assert markdown(spark, [body(LONG, 100), caption, table, rest]) == f"{LONG}\nrye were black.\n\nFigure 2: Loaves.\n"
-    assert markdown(spark, [body(LONG, 100), caption, body("Rye was black.", 500)]) == f"{LONG}\n\nFigure 2: Loaves.\n\nRye was black.\n"
-    assert markdown(spark, [body(LONG, 100), caption, body("2 rye loaves", 500)]).count("\n\n") == 2
-    assert markdown(spark, [body(LONG, 100), body("Plain text in between.", 300, font_size=9.0), rest]).count("\n\n") == 2
+    joined, capital, digit, plain, twice, four = markdowns(
+        spark, [body(LONG, 100), caption, table, rest], [body(LONG, 100), caption, body("Rye was black.", 500)], [body(LONG, 100), caption, body("2 rye loaves", 500)],
+        [body(LONG, 100), body("Plain text in between.", 300, font_size=9.0), rest], [body(LONG, 100), caption, body(LONG, 400), body("Table 3. Flour.", 600, font_size=9.0), last],
+        [body(LONG, 100), caption, body(LONG, 150), caption | {"y": 200.0}, body(LONG, 250), caption, body(LONG, 350)],
+    )
+    assert joined == f"{LONG}\nrye were black.\n\nFigure 2: Loaves.\n" and capital == f"{LONG}\n\nFigure 2: Loaves.\n\nRye was black.\n"
+    assert digit.count("\n\n") == plain.count("\n\n") == 2
     # the rest takes no rest of its own
-    whole = markdown(spark, [body(LONG, 100), caption, body(LONG, 400), body("Table 3. Flour.", 600, font_size=9.0), last])
-    assert whole == f"{LONG}\n{LONG}\n\nFigure 2: Loaves.\n\nTable 3. Flour.\n\noats too.\n"
-    four = [body(LONG, 100), caption, body(LONG, 150), caption | {"y": 200.0}, body(LONG, 250), caption, body(LONG, 350)]
-    assert markdown(spark, four).split("\n\n") == [f"{LONG}\n{LONG}", "Figure 2: Loaves.", "Figure 2: Loaves.", f"{LONG}\n{LONG}", "Figure 2: Loaves.\n"]
+    assert twice == f"{LONG}\n{LONG}\n\nFigure 2: Loaves.\n\nTable 3. Flour.\n\noats too.\n"
+    assert four.split("\n\n") == [f"{LONG}\n{LONG}", "Figure 2: Loaves.", "Figure 2: Loaves.", f"{LONG}\n{LONG}", "Figure 2: Loaves.\n"]
 
 
 def test_numbers_and_levels_of_many_headings(spark):
