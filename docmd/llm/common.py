@@ -5,13 +5,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,10 +32,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/docmd/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors. clean: Spark drops
+    the shuffle files of the write when it ends, as nothing reads them any more."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if clean:
+        conf = df.sparkSession.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.select("*").write.parquet(path)  # planned anew, with the setting
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+    else:
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -51,14 +63,10 @@ def discard(*tables: DataFrame) -> None:
     released(tables[0].sparkSession)
 
 
-def released(spark: SparkSession, wait: float = 0.0) -> None:
-    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own. wait: seconds that it
-    gets for large ones."""
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are done, before the next step writes its own."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    if wait:
-        time.sleep(wait)
-        spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -77,7 +85,7 @@ def unused(columns: list[str], name: str) -> str:
 HOT = 1000
 
 
-def lookup(rows: DataFrame, values: DataFrame, key: str, total: int, count: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, values: DataFrame, key: str | list[str], total: int, count: str, how: str = "inner") -> DataFrame:
     """rows joined with values on key. values has one row per key and, in `count`, the rows of that key.
 
     Keys with more than total / HOT rows are fewer than HOT whatever the data, so they are broadcast;
@@ -93,6 +101,29 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, total: int, count: str,
     return cold_rows.join(values.where(F.col(count) <= large), key, how).unionByName(hot_rows)
 
 
+def told_apart(rows: DataFrame, node: str, tag: str, more: tuple[Column, ...], name: str) -> tuple[DataFrame, DataFrame | None]:
+    """The things that rows name by two hashes, node (an even long) and tag: (node, tag, id, n, ...), with n their rows and
+    the aggregates `more`. id is the node where that has one tag only; things that share a node get odd numbers as ids.
+    Also the table of those that share one, None where there are none, as nearly always."""
+    n = F.count(F.lit(1)).alias("n")
+    each = stored(rows.groupBy(node).agg(F.min(tag).alias(tag), F.max(tag).alias("other"), n, *more), name, clean=True)
+    clashing = each.where(F.col(tag) != F.col("other"))
+    alone = each.drop("other").withColumn("id", F.col(node))
+    if clashing.isEmpty():
+        return alone, None
+    total = each.agg(F.sum("n")).first()[0]
+    theirs = lookup(rows, clashing.select(node, F.col("n").alias("_n")), node, total, "_n").groupBy(node, tag).agg(n, *more)
+    theirs = stored(theirs.withColumn("id", 2 * F.monotonically_increasing_id() + 1), name, clean=True)
+    return alone.join(clashing.select(node), node, "left_anti").unionByName(theirs), theirs
+
+
+def with_ids(rows: DataFrame, shared: DataFrame | None, node: str, tag: str, total: int) -> DataFrame:
+    """rows with the id that `told_apart` gives their node and tag; shared: its second table."""
+    if shared is None:
+        return rows.withColumn("id", F.col(node))
+    return lookup(rows, shared.select(node, tag, "id", "n"), [node, tag], total, "n", "left").withColumn("id", F.coalesce("id", node)).drop("n")
+
+
 #: Links that a task contracts at once.
 CONTRACT = 1 << 18
 

@@ -9,10 +9,11 @@ band with probability 1 - (1 - 0.8^5)^20 = 0.9996 if its minima were independent
 aren't quite, so the tests measure it. Components of confirmed links are the groups. Of a group the
 line with the smallest (doc_id, line number) stays, in documents as they are.
 
-Equal lines are one node, a 64-bit hash of the line, so copies are never compared; among n different lines two share
-a hash with probability n * n / 2^65. One pass over the texts hashes and signs the lines. Every task groups the
-lines of its own by band key and sends each key once, so a key that a third of all lines have reaches
-its range at most once a task. Of the lines that share a key with another one the bytes go on, not the sets.
+A line is known by 127 bits of a hash of its characters: a node of 63, and a tag of 64. Equal lines are one, so copies
+are never compared. Lines that share a node but not the tag get ids of their own, and none of them goes for another;
+only a link between two such lines, when they are similar too, can be missed. One pass over the texts hashes and signs the
+lines. Every task groups the lines of its own by band key and sends each key once, so a key that a third of all lines have
+reaches its range at most once a task. Of the lines that share a key with another one the bytes go on, not the sets.
 
 Blank lines always stay. Null and empty texts stay as they are, and so do rows without a doc_id. Rows that share
 a doc_id are the same document: the line that stays does so in all of them, and a line number with another line in it
@@ -21,16 +22,19 @@ is that line. Texts of any length are handled whole. No rows: no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm import simjoin
-from docmd.llm.common import discard, lookup, released, stored, unused
+from docmd.llm.common import discard, lookup, told_apart, unused, with_ids
+from docmd.llm.common import stored as _stored
 from docmd.llm.textvec import LOWER, Spans, slices, tidy
 
 SHINGLE, PERCENT = 8, 80
@@ -41,6 +45,10 @@ MARGIN = 0.3
 SMALL = 64
 #: Keys that a task holds before it sends them.
 FLUSH = 1 << 20
+#: Bits of a node. Fewer only make more lines share one.
+NODE_BITS = 63
+_LINE = pa.struct([("node", pa.int64()), ("tag", pa.int64())])
+stored = functools.partial(_stored, clean=True)
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BLANK = np.zeros(0x3001, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -109,23 +117,24 @@ def _members(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return out, sizes
 
 
-def _nodes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The nodes of some lines of a text, of their own characters only."""
-    size = ends - starts
-    upto = np.cumsum(size)
-    own = points[np.repeat(starts - (upto - size), size) + np.arange(int(size.sum()))]
-    return Spans(own, SHINGLE).hashes(upto - size, upto).view(np.int64)
+def _nodes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes, even numbers, and tags of some lines."""
+    view, digest = memoryview(points), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return both[:, 0] & np.int64(((1 << bits) - 1) << 1 if bits < NODE_BITS else -2), both[:, 1]
 
 
-def _found(lists: pa.Array, points: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lists of (line, node), one for each row: those where the row has that line. Their rows, places and nodes."""
+def _found(lists: pa.Array, points: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of lists of (line, node, tag, ...), one for each row: those where the row has that line. Their rows, places and items."""
     begin = np.searchsorted(row, np.arange(len(lists) + 1))
     flat = lists.flatten()
     owner = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    at, node = begin[owner] + flat.field("line").to_numpy(zero_copy_only=False), flat.field("node").to_numpy(zero_copy_only=False)
+    line, wanted, mark = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("line", "node", "tag"))
+    at = begin[owner] + line
     there = np.flatnonzero(at < begin[owner + 1])
-    there = there[_nodes(points, starts[at[there]], ends[at[there]]) == node[there]]
-    return owner[there], at[there], node[there]
+    node, tag = _nodes(points, starts[at[there]], ends[at[there]], bits)
+    there = there[(node == wanted[there]) & (tag == mark[there])]
+    return owner[there], at[there], flat.take(pa.array(there))
 
 
 def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -154,16 +163,16 @@ def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, nodes, key, id) from one pass: rows (doc, nodes) with the node of every line of a text, null for blank ones; and
-    rows (key, id) with the nodes of every band key that several have, some more than once.
+def signed(rows: DataFrame, key: str, text: str, bits: int = NODE_BITS) -> DataFrame:
+    """(doc, nodes, key, node) from one pass: rows (doc, nodes) with the node and tag of every line of a text, null for blank
+    ones; and rows (key, node) with the nodes of every band key that several have, some more than once.
 
     Tasks send the band keys of their lines as sorted arrays by range, part -1 being those that several of their lines share.
     """
     slim = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
     parts = 4 * max(4, slim.rdd.getNumPartitions())
     kind = slim.schema["doc"].dataType
-    schema = f"doc {kind.simpleString()}, nodes array<long>, part int, keys binary, owners binary"
+    schema = f"doc {kind.simpleString()}, nodes array<struct<node:long,tag:long>>, part int, keys binary, owners binary"
 
     def send(keys: np.ndarray, owners: np.ndarray, types: list[pa.DataType]) -> pa.RecordBatch:
         k, o, first, alone = _buckets(keys, owners)
@@ -178,22 +187,22 @@ def signed(rows: DataFrame, key: str, text: str) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, types = 0, [pa.null(), pa.list_(pa.int64())]
+        size, types = 0, [pa.null(), pa.list_(_LINE)]
         for batch in batches:
             types[0] = batch.schema.field("doc").type
             for first, end, points, row, starts, ends in lines(batch.column("t")):
                 some = ends > starts
                 spans = Spans(points, SHINGLE)
-                node = spans.hashes(starts, ends).view(np.int64)
+                node, tag = _nodes(points, starts, ends, bits)
+                nodes = pa.StructArray.from_arrays([pa.array(node), pa.array(tag)], fields=list(_LINE), mask=pa.array(~some))
                 cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))]), pa.int32())
                 n = end - first
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(first, n), pa.ListArray.from_arrays(cut, pa.array(node, mask=~some)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    [batch.column("doc").slice(first, n), pa.ListArray.from_arrays(cut, nodes), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
                     _NAMES,
                 )
-                own, one = np.unique(node[some], return_index=True)
-                order = np.argsort(one)  # lines in the order of the text
-                own, one = own[order], one[order]
+                one = np.sort(np.unique(tag[some], return_index=True)[1])  # lines in the order of the text
+                own = node[some][one]
                 members, sizes = _members(spans, starts[some][one], ends[some][one])
                 held.append((simjoin.band_keys(minima(members, sizes), ROWS).ravel(), np.repeat(own, BANDS)))
                 size += len(held[-1][0])
@@ -203,7 +212,7 @@ def signed(rows: DataFrame, key: str, text: str) -> DataFrame:
         if size:
             yield send(*map(np.concatenate, zip(*held, strict=True)), types)
 
-    out = f"doc {kind.simpleString()}, nodes array<long>, key long, id long"
+    out = f"doc {kind.simpleString()}, nodes array<struct<node:long,tag:long>>, key long, node long"
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -215,7 +224,7 @@ def signed(rows: DataFrame, key: str, text: str) -> DataFrame:
                 keys, owners, _, alone = _buckets(keys, owners)
                 keys, owners = keys[~alone], owners[~alone]
         n, m = len(texts), len(keys)
-        first = texts.select(["doc", "nodes"]).append_column("key", pa.nulls(n, pa.int64())).append_column("id", pa.nulls(n, pa.int64()))
+        first = texts.select(["doc", "nodes"]).append_column("key", pa.nulls(n, pa.int64())).append_column("node", pa.nulls(n, pa.int64()))
         second = pa.table([pa.nulls(m, first.schema.field("doc").type), pa.nulls(m, first.schema.field("nodes").type), pa.array(keys), pa.array(owners)], schema=first.schema)
         return pa.concat_tables([first, second])
 
@@ -244,8 +253,8 @@ def _buckets(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, owners, first, first & np.append(first[1:], True)
 
 
-def payloads(rows: DataFrame) -> DataFrame:
-    """rows (t, wanted: (line, node)) as (id, n, payload): the bytes of each wanted line that the text has, n its shingles.
+def payloads(rows: DataFrame, bits: int = NODE_BITS) -> DataFrame:
+    """rows (t, wanted: (line, node, tag, id)) as (id, n, payload): the bytes of each wanted line that the text has, n its shingles.
 
     A doc_id may have several texts: a wanted line is taken from those where it is the wanted node.
     """
@@ -255,9 +264,9 @@ def payloads(rows: DataFrame) -> DataFrame:
         for batch in batches:
             wanted = batch.column("wanted")
             for first, end, points, row, starts, ends in lines(batch.column("t")):
-                _, at, node = _found(wanted.slice(first, end - first), points, row, starts, ends)
+                _, at, items = _found(wanted.slice(first, end - first), points, row, starts, ends, bits)
                 blobs = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(starts[at], ends[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.maximum(ends[at] - starts[at] - SHINGLE + 1, 1)), pa.array(blobs, pa.binary())], ["id", "n", "payload"])
+                yield pa.RecordBatch.from_arrays([items.field("id"), pa.array(np.maximum(ends[at] - starts[at] - SHINGLE + 1, 1)), pa.array(blobs, pa.binary())], ["id", "n", "payload"])
 
     return rows.mapInArrow(run, "id long, n long, payload binary")
 
@@ -281,36 +290,39 @@ def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.
     return sets, lambda a, b: simjoin.pack(minima(np.concatenate(sets[a:b]), np.array([len(x) for x in sets[a:b]])))
 
 
-def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, line, node) of every line that goes because another one of its group stays."""
-    passed = stored(signed(rows, key, text), "lines")
-    released(rows.sparkSession, wait=0.5)
-    known = passed.where("doc is not null").select("doc", F.posexplode("nodes").alias("line", "node")).where("node is not null")
-    each = stored(known.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    shared = stored(passed.where("key is not null").select("key", "id").distinct(), "line-buckets")
-    ids = shared.select(F.col("id").alias("node")).distinct()
-    wanted = each.join(ids, "node").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("wanted"))  # no more than a text's lines
+def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id", bits: int = NODE_BITS) -> DataFrame:
+    """(doc, line, node, tag) of every line that goes because another one of its group stays."""
+    passed = stored(signed(rows, key, text, bits), "lines")
+    known = passed.where("doc is not null").select("doc", F.posexplode("nodes").alias("line", "n")).where("n is not null").select("doc", "line", "n.*")
+    each, clashing = told_apart(known, "node", "tag", (F.min(F.struct("doc", "line")).alias("first"),), "line-nodes")
+    shared = passed.where("key is not null").select("key", "node").distinct()
+    if clashing is not None:  # all lines of a node are in its buckets
+        shared = shared.join(clashing.select("node", "id"), "node", "left").select("key", F.coalesce("id", "node").alias("id"))
+    shared = stored(shared.select("key", F.col(shared.columns[1]).alias("id")), "line-buckets")
+    ids = shared.select("id").distinct()
+    item = F.struct(F.col("first.line").alias("line"), "node", "tag", "id")
+    wanted = each.join(ids, "id").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(item).alias("wanted"))  # no more than a text's lines
     texts = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
-    items = simjoin.distinct_items(stored(payloads(texts.join(wanted.hint("shuffle_hash"), "doc").select("t", "wanted")), "line-items"), "line")
+    items = simjoin.distinct_items(stored(payloads(texts.join(wanted.hint("shuffle_hash"), "doc").select("t", "wanted"), bits), "line-items"), "line")
     groups = simjoin.components(shared, items, _decode, PERCENT, K, "line", MARGIN, SMALL)
-    groups = stored(groups.select(F.col("id").alias("node"), "component"), "line-groups")
+    groups = stored(groups, "line-groups")
     discard(shared, items)
     # a line that is neither repeated nor in a group stays
-    labelled = each.join(groups, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    labelled = each.join(groups, "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled, "line-labels")
     keepers = stored(labelled.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("lines"), F.count(F.lit(1)).alias("members")).where("lines > 1"), "line-groups")
-    total = each.agg(F.sum("n")).first()
-    marked = stored(lookup(labelled.select("node", "n", "component"), keepers, "component", labelled.count(), "members").select("node", "keeper", "n"), "line-keepers")
-    discard(labelled, keepers, each, groups)
-    return lookup(known, marked, "node", total[0] or 0, "n").where(F.struct("doc", "line") != F.col("keeper")).select("doc", "line", "node")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    marked = stored(lookup(labelled.select("id", "n", "component"), keepers, "component", labelled.count(), "members").select("id", "keeper", "n"), "line-keepers")
+    discard(labelled, keepers, groups)
+    named = with_ids(known, clashing, "node", "tag", total)
+    return lookup(named, marked, "id", total, "n").where(F.struct("doc", "line") != F.col("keeper")).select("doc", "line", "node", "tag")
 
 
-def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", bits: int = NODE_BITS) -> DataFrame:
     """rows with the repeated lines taken out of their texts, n_lines and n_removed; these replace columns of their names."""
     names = [c for c in rows.columns if c not in ("n_lines", "n_removed")]
     doc, mark = unused(names, "_doc"), unused(names, "_gone")
-    gone = stored(repeated_lines(rows, text, key).groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("line", "node")).alias(mark)), "line-gone")
-    released(rows.sparkSession, wait=0.5)
+    gone = stored(repeated_lines(rows, text, key, bits).groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("line", "node", "tag")).alias(mark)), "line-gone")
     own = rows.select(*names)
     joined = own.join(gone.hint("shuffle_hash"), F.col(key) == F.col(doc), "left").drop(doc)
     schema = own.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
@@ -325,7 +337,7 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id") ->
             changed, rows_ = texts.filter(some).to_pylist(), np.flatnonzero(some.to_numpy(zero_copy_only=False))
             wanted = gone_.filter(some)
             for first, end, points, row, starts, ends in lines(texts.filter(some)):
-                owner, at, _ = _found(wanted.slice(first, end - first), points, row, starts, ends)
+                owner, at, _ = _found(wanted.slice(first, end - first), points, row, starts, ends, bits)
                 at = at - np.searchsorted(row, owner)
                 for i in np.unique(owner).tolist():
                     drop = set(at[slice(*np.searchsorted(owner, [i, i + 1]))].tolist())

@@ -11,6 +11,7 @@ import pytest
 
 from docmd.llm import langid, linedup, ngramlm, piecebpe, simjoin
 from tests.llm import brute
+from tests.llm.conftest import TABLE
 
 
 def test_langid_rejects_long_texts_of_no_language(spark):
@@ -327,3 +328,25 @@ def test_rounds_and_blocks_lose_no_link(spark, monkeypatch):
     rows = list(enumerate(texts, 1))
     got = {x.id: x.component for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.components({i: brute.shingles(t) for i, t in rows}, 75)
+
+
+def test_lines_that_share_a_node_stay_apart(spark, rows, documents):
+    """With nodes of 2 bits nearly all lines share one: what goes is the same, and no line goes for another one."""
+    texts = documents.select("doc_id", "text")
+    wide, narrow = (sorted((x.doc_id or -1, x.text or "", x.n_removed) for x in linedup.without_repeats(texts, bits=b).collect()) for b in (linedup.NODE_BITS, 2))
+    assert wide == narrow and sum(x[2] for x in wide) > 20
+    apart = spark.createDataFrame([(i, f"{i} {'abcdefgh'[i % 8] * (9 + i)}") for i in range(40)], "doc_id long, text string")
+    assert {x.n_removed for x in linedup.without_repeats(apart, bits=1).collect()} == {0}
+
+
+def test_documents_that_share_a_row_number_stay_apart(spark, rows, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([x for x in rows if x[0] is not None and (x[1] or "").strip()], TABLE).withColumn("id", F.lit("clash"))
+    spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    found = []
+    for bits in (63, 2):
+        monkeypatch.setattr(corpus_pipeline, "ROW_BITS", bits)
+        found.append([sorted(stages[s](spark, docs, str(tmp_path)).select("doc_id", "text").collect()) for s in ("near_duplicates", "decontamination")])
+    assert found[0] == found[1] and 0 < len(found[0][0]) < docs.count() and 0 < len(found[0][1]) < docs.count()
