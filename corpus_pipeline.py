@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmd.llm import decontaminate, langid, linedup, neardup, piecebpe
-from docmd.llm.common import lookup, stored
+from docmd.llm.common import lookup, stored, told_apart
 from docmd.session import ship
 
 
@@ -31,13 +31,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+#: Bits of the number of a row. Fewer only make more rows share one at first.
+ROW_BITS = 63
+
+
 def _with_row(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, which rows share that have equal doc_id and text: an id alone may have several texts."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    """docs with `_row`, which exactly those rows share that have equal doc_id and text (by 128 bits of the text): an id
+    alone may have several texts."""
+    tag = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))
+    own = docs.withColumns({"_node": F.xxhash64("doc_id", "text").bitwiseAND(F.lit(((1 << ROW_BITS) - 1) * 2 if ROW_BITS < 63 else -2)), "_tag": tag})
+    _, clashing = told_apart(own.select("_node", "_tag"), "_node", "_tag", (), "pipeline-rows")
+    if clashing is None:
+        return own.drop("_tag").withColumnRenamed("_node", "_row")
+    ids = clashing.select("_node", "_tag", F.col("id").alias("_row"), F.col("n").alias("_rows"))
+    return lookup(own, ids, ["_node", "_tag"], own.count(), "_rows", "left").withColumn("_row", F.coalesce("_row", "_node")).select(*docs.columns, "_row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (of several texts, the smallest hash), once. Of rows
+    """One document of each group: the one with the smallest doc_id (of several texts, the smallest `_row`), once. Of rows
     with equal doc_id and text the one with the smallest other columns stays."""
     ship(spark)
     own = _with_row(docs.where("doc_id is not null"))
