@@ -17,6 +17,11 @@ def text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+def cents(number: Column) -> Column:
+    """A double with two decimals, rounded from its exact binary value, ties to even; what rounds to zero keeps its sign."""
+    return F.translate(F.format_number(number, 2), ",", "")
+
+
 def _relations(*targets: tuple[str, str]) -> str:
     return f'<Relationships xmlns="{_RELATIONS}">' + "".join(f'<Relationship Id="r{k}" Type="{_OFFICE}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate(targets)) + "</Relationships>"
 

@@ -174,7 +174,7 @@ def xlsx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda at, style, x: O.text(f'<c r="{at}" s="{style}"><v>', x, "</v></c>")
     share = (c("c_custkey") % 10_000 / 10_000).cast("decimal(6,4)")
     head = O.text(*(string(at, F.lit(x)) for at, x in (("A1", "Name"), ("B1", "Balance"), ("D1", "Since"), ("E1", "Share"))))
-    row = O.text(string("A2", c("c_name")), number("B2", 1, c("c_acctbal").cast("decimal(12,2)")), number("D2", 2, 40_000 + c("c_custkey") % 1000), number("E2", 3, share))
+    row = O.text(string("A2", c("c_name")), number("B2", 1, O.cents(c("c_acctbal"))), number("D2", 2, 40_000 + c("c_custkey") % 1000), number("E2", 3, share))
     return _converted(_table(spark, sf_dir, "customer"), "c_custkey", "a.xlsx", O.xlsx(O.text("<row>", head, "</row><row>", row, "</row>")))
 
 
