@@ -72,7 +72,7 @@ def _views(raw: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 @lru_cache(4096)
 def _mapped(path: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    return _views(np.memmap(path, np.uint8, "r"), kinds)
+    return _views(np.memmap(path, np.uint8, "r").view(np.ndarray), kinds)
 
 
 @lru_cache(16)
@@ -93,6 +93,8 @@ LARGE = 255
 #: Low bits of a key that are stored for each one.
 LOW = 32
 PLAIN = -1
+#: Keys for each value of the high bits from which the runs of low bits are searched one by one.
+SEARCHED = 64
 
 
 def packed_counts(counts: np.ndarray) -> list[np.ndarray]:
@@ -159,12 +161,17 @@ class Ranges:
                 high = ((wanted >> np.uint64(LOW)) - (first[i] >> np.uint64(LOW))).astype(np.int64)
                 low, values = wanted.astype(np.uint32), found[1]
                 at, end = found[0][high].astype(np.int64), found[0][high + 1].astype(np.int64)
-                last = end.copy()
-                while (open_ := np.flatnonzero(at < end)).size:
-                    mid = (at[open_] + end[open_]) >> 1
-                    less = values[mid] < low[open_]
-                    at[open_[less]], end[open_[~less]] = mid[less] + 1, mid[~less]
-                same = (at < last) & (values[np.minimum(at, n - 1)] == low)
+                if SEARCHED * len(found[0]) < len(wanted):  # a few long runs of low bits: each is searched at once
+                    cuts = np.append(np.flatnonzero(np.diff(high, prepend=-1)), len(wanted))
+                    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        at[x:y] += np.searchsorted(values[at[x] : end[x]], low[x:y])
+                else:
+                    for step in (1 << k for k in reversed(range(int((end - at).max()).bit_length()))):
+                        probe = at + (step - 1)
+                        less = probe < end
+                        less &= values[np.minimum(probe, n - 1, out=probe)] < low
+                        at += less * np.int64(step)
+                same = (at < end) & (values[np.minimum(at, n - 1)] == low)
             out[a:b] = np.where(same, starts[i] + at, UNKNOWN)
         return out
 
@@ -272,6 +279,30 @@ def tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, at
 
 
+@dataclass
+class Places:
+    """Places of tokens: the distinct ones, sorted from UNKNOWN on, and which of them each token has."""
+
+    distinct: np.ndarray
+    which: np.ndarray
+
+    @staticmethod
+    def of(found: np.ndarray, where: np.ndarray) -> "Places":
+        """found: the places of sorted keys, so that the known ones ascend; where: which key each token has."""
+        known = found >= 0
+        return Places(np.append(UNKNOWN, found[known]), np.where(known, np.cumsum(known), 0)[where])
+
+    @property
+    def each(self) -> np.ndarray:
+        return self.distinct[self.which]
+
+    def preceding(self, offsets: np.ndarray, first: int) -> "Places":
+        """The place before each one in its text; before a text's first one `first`, UNKNOWN or above all places."""
+        if first == UNKNOWN:
+            return Places(self.distinct, preceding(self.which, offsets, 0))
+        return Places(np.append(self.distinct, first), preceding(self.which, offsets, len(self.distinct)))
+
+
 @dataclass
 class Model:
     words: Ranges  # hash, count
@@ -287,11 +318,10 @@ class Model:
     def size(self) -> int:
         return int(sum(self.words.sizes))
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id and count of each hash; -1 and 0 for unknown ones."""
+    def look_up(self, hashes: np.ndarray) -> "Places":
+        """The id of each hash."""
         one, where = np.unique(hashes, return_inverse=True)
-        found = self.words.find(one)
-        return found[where], self.words.take(1, found)[where] if len(one) else np.zeros(0, np.int64)
+        return Places.of(self.words.find(one), where)
 
 
 def _width(model: Model, k: int) -> int:
@@ -334,22 +364,23 @@ def preceding(places: np.ndarray, offsets: np.ndarray, first: int) -> np.ndarray
     return before
 
 
-def climb(model: Model, ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def climb(model: Model, ids: Places, offsets: np.ndarray) -> Iterator[tuple[Places, Places, np.ndarray]]:
     """For grams of 2 words and more up to one longer than the model's: the place of the context and of the suffix at each
     token (-1: not in the model), and which tokens have that many words since the begin mark."""
-    places, inside = ids, np.ones(len(ids), bool)
+    places, inside = ids, np.ones(len(ids.which), bool)
     for k in range(len(model.grams) + 1):
-        before = preceding(places, offsets, UNKNOWN if k else model.size)
+        before = places.preceding(offsets, UNKNOWN if k else model.size)
         if k:
             at = offsets[:-1] + k - 1
             inside = inside.copy()
             inside[at[at < offsets[1:]]] = False
         yield before, places, inside
         if k < len(model.grams):
-            known = np.flatnonzero((before >= 0) & (places >= 0) & inside)
-            one, back = np.unique(gram_keys(places[known], before[known], _width(model, k + 1)), return_inverse=True)
-            places = np.full(len(ids), UNKNOWN)
-            places[known] = model.grams[k].find(one)[back]
+            known = np.flatnonzero((before.which > 0) & (places.which > 0) & inside)
+            one, back = np.unique(gram_keys(places.each[known], before.each[known], _width(model, k + 1)), return_inverse=True)
+            found = Places.of(model.grams[k].find(one), back)
+            places = Places(found.distinct, np.zeros(len(inside), np.int64))
+            places.which[known] = found.which
 
 
 def discounts(n: list[int], positive: bool = False) -> np.ndarray:
@@ -457,8 +488,8 @@ def fit(rows: DataFrame, text: str = "text", order: int = 2) -> Model:
             def keys() -> Iterator[np.ndarray]:
                 for b in batches:
                     for h, at in tokens(b.column("t")):
-                        *_, (before, places, inside) = climb(known, known.look_up(h)[0], at)
-                        yield gram_keys(places[inside], before[inside], bits // 2)
+                        *_, (before, places, inside) = climb(known, known.look_up(h), at)
+                        yield gram_keys(places.each[inside], before.each[inside], bits // 2)
 
             yield from _counted(keys(), wide, bits)
 
@@ -549,28 +580,29 @@ def score(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarra
     """For each slice, per text: tokens, known tokens, base score and the model's log10 probability."""
     size, even = model.size, 1 / (model.size + 1)
     for hashes, at in tokens(texts):
-        ids, counts = model.look_up(hashes)
+        ids = model.look_up(hashes)
+        counts = model.words.take(1, ids.distinct)[ids.which]
         base = np.log10((counts + 1) / (model.total + size + 1))
-        one, where = np.unique(ids, return_inverse=True)
-        seen = model.stats[0].take(3, one)
-        p = (np.maximum(seen - model.discounts[0][np.minimum(seen, 3)], 0) / max(model.contexts, 1) + model.left * even)[where]
+        seen = model.stats[0].take(3, ids.distinct)
+        p = (np.maximum(seen - model.discounts[0][np.minimum(seen, 3)], 0) / max(model.contexts, 1) + model.left * even)[ids.which]
         steps = climb(model, ids, at)
         before, _, inside = next(steps)
         for k in range(len(model.grams)):
             following = next(steps)
             # the grams' own counts: as they were counted for the longest ones
-            places, back = np.unique(following[1], return_inverse=True)
+            places, back = following[1].distinct, following[1].which
             c = (model.stats[k + 1].take(3, places) if k + 1 < len(model.stats) else model.grams[k].take(0, places))[back]
             d = model.discounts[k + 1]
-            contexts, which = np.unique(before, return_inverse=True)
+            contexts, which = before.distinct, before.which
             there = contexts if k else np.where(contexts == size, int(model.stats[0].starts[-2]), contexts)
-            n = [model.stats[k].take(j, there)[which] for j in range(3)]
+            n = [model.stats[k].take(j, there) for j in range(3)]
             if k + 1 < len(model.grams):
                 sums = model.stats[k].take(4, there)[which]
             else:
                 sums = (model.grams[k - 1].take(0, contexts) if k else np.where(contexts == size, model.texts, model.words.take(1, np.where(contexts == size, UNKNOWN, contexts))))[which]
+            given = (d[1] * n[0] + d[2] * n[1] + d[3] * n[2])[which]
             with np.errstate(divide="ignore", invalid="ignore"):
-                longer = (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) * p) / sums
+                longer = (np.maximum(c - d[np.minimum(c, 3)], 0) + given * p) / sums
             p = np.where(inside & (sums > 0), longer, p)
             before, _, inside = following
         starts = at[:-1]
