@@ -8,8 +8,6 @@ parser trips over is that document's error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,24 +39,23 @@ def _parsed(reader: str):
     """An Arrow function from content (and address) to the result struct of a format."""
     kind = pa.struct([("markdown", pa.string()), ("title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("error", _ERROR_ARROW)])
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(contents: pa.Array, addresses: pa.Array) -> pa.Array:
         from docmd.sources import docx, html
 
-        for contents, addresses in batches:
-            out: list = []
-            for data, address in zip(contents, addresses, strict=True):
-                if not data.is_valid:
-                    out.append(None)
-                    continue
-                try:
-                    raw = data.as_buffer().to_pybytes()
-                    found = html.to_markdown(raw, address.as_py()) if reader == "html" else docx.to_markdown(raw)
-                    out.append(dict(zip(("markdown", "title", "author", "language"), found, strict=True)))
-                except Exception as e:  # noqa: BLE001 - the border of one document
-                    out.append(e)
-            yield _result(out, kind)
-
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+        out: list = []
+        for data, address in zip(contents, addresses, strict=True):
+            if not data.is_valid:
+                out.append(None)
+                continue
+            try:
+                raw = data.as_buffer().to_pybytes()
+                found = html.to_markdown(raw, address.as_py()) if reader == "html" else docx.to_markdown(raw)
+                out.append(dict(zip(("markdown", "title", "author", "language"), found, strict=True)))
+            except Exception as e:  # noqa: BLE001 - the border of one document
+                out.append(e)
+        return _result(out, kind)
+
+    run.__annotations__ = {"contents": pa.Array, "addresses": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, _RESULT)
 
 
@@ -177,7 +174,8 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
         refused = F.struct(F.lit("unsupported").alias("kind"), F.lit("PDF files are left out").alias("message"))
         marked = marked.withColumn("refusal", F.coalesce("refusal", F.when(c("format") == "pdf", refused)))
     is_pdf = c("refusal").isNull() & (F.coalesce("format", F.lit("")) == "pdf")
-    # one pass over all formats: each parser gets the contents of its own and nulls
+    # one pass over all formats: each parser gets the contents of its own and nulls. All of them are functions of whole batches,
+    # which Spark runs in one worker; functions of iterators would be given a worker each
     own = lambda kind: F.when(c("refusal").isNull() & (c("format") == kind), c("content"))
     read = marked.withColumns({
         "csv": csv_records(files.decode(own("csv")), c("tabs")), "xlsx": _sheets()(own("xlsx")), "html": _parsed("html")(own("html"), c("address")), "docx": _parsed("docx")(own("docx"), c("address")),
