@@ -18,6 +18,8 @@ from docmd.operators import tables as T
 from docmd.session import written
 from docmd.sources import files
 
+#: Lines of PDF files that a task of the layout analysis gets about.
+LINES_PER_TASK = 40_000
 _ERROR = "struct<kind:string,message:string>"
 _RESULT = f"struct<markdown:string,title:string,author:string,language:string,error:{_ERROR}>"
 _ERROR_ARROW = pa.struct([("kind", pa.string()), ("message", pa.string())])
@@ -193,10 +195,12 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
         pages = whole.where("is_pdf")
         lines = pages.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
         tables = pages.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
-        shown = L.to_markdown(lines, tables, words)
-        joined = pages.drop("markdown").join(shown.withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
+        # tasks of bounded lines, whatever the input
+        count = pages.agg(F.sum(F.size("lines").cast("long"))).first()[0] or 0
+        shown = L.to_markdown(lines, tables, words, -(-count // LINES_PER_TASK))
+        joined = pages.withColumn("read", c("lines").isNotNull()).drop("markdown", "lines", "tables").join(shown.withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
         # a file without lines is empty, one that can't be read or has no content is null
-        found = F.when(c("error").isNull() & c("lines").isNotNull(), F.coalesce("markdown", F.lit("")))
+        found = F.when(c("error").isNull() & c("read"), F.coalesce("markdown", F.lit("")))
         out = whole.where("not is_pdf").select("kept", *results).unionByName(joined.select("kept", found.alias("markdown"), *results[1:]))
         scratch = (*whole.scratch, *shown.scratch)
     else:
