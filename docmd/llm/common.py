@@ -95,10 +95,9 @@ def lookup(rows: DataFrame, values: DataFrame, key: str | list[str], total: int,
     large = F.lit(max(1, total // HOT))
     if values.where(F.col(count) > large).isEmpty():
         return rows.join(values, key, how)
-    marked = rows.join(F.broadcast(values.where(F.col(count) > large)), key, "left")
-    hot_rows = marked.where(F.col(count).isNotNull())
-    cold_rows = marked.where(F.col(count).isNull()).select(*rows.columns)
-    return cold_rows.join(values.where(F.col(count) <= large), key, how).unionByName(hot_rows)
+    hot = values.where(F.col(count) > large)
+    cold_rows = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    return cold_rows.join(values.where(F.col(count) <= large), key, how).unionByName(rows.join(F.broadcast(hot), key))
 
 
 def told_apart(rows: DataFrame, node: str, tag: str, more: tuple[Column, ...], name: str) -> tuple[DataFrame, DataFrame | None]:

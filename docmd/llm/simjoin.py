@@ -6,7 +6,7 @@ The items' sets are hashed (64 bits a member). The steps, shared by documents an
    id goes on.
 2. Banded minima give keys; the items of a key are a bucket. The sets of items in a bucket with others are written
    once.
-3. A few rounds: every bucket names a leader, and every item is verified against a few leaders of its buckets that
+3. A few rounds, until one confirms nothing: every bucket names a leader, and every item is verified against a few leaders of its buckets that
    it is not connected with yet. The confirmed links are contracted; buckets of one component are done. A group of
    m near copies costs about m comparisons, not m * m.
 4. In the buckets that still hold several components, all pairs of different components are verified, in tiles: a
@@ -297,6 +297,9 @@ def components(buckets: DataFrame, items: DataFrame, decode: Decode, percent: in
         asked = asked.select("id", F.explode(F.array_distinct(F.transform(F.filter("all", lambda x, i: x["pair"] | (i < most)), lambda x: x["leader"]))).alias("leader"))
         tiles, read = _against_leaders(asked, items, name)
         found.append(stored(links(tiles, decode, percent, k, margin, small), f"{name}-links"))
+        if r and found[-1].isEmpty():  # the buckets stay as they are
+            discard(*read)
+            break
         parts = stored(connected_components(reduce(DataFrame.unionByName, found), f"{name}-parts"), f"{name}-known")
         labelled = stored(active.where("members > 2").select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")), f"{name}-labelled")
         discard(active, *read)
