@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docmd.functions import patterns as P
 
 _STRIP = P.WS[:-1] + r"\n\r]"
+# the same as P.WS; one look at a character's range rules most out
+_WS = rf"[\x00-\x20\u1680-\u3000&&{P.WS}]"
 
 
 def escape(line: Column) -> Column:
@@ -24,7 +26,7 @@ def escape_tags_outside_links(markdown: Column) -> Column:
     """The same, but for link targets and addresses in angle brackets: the parts between them are escaped."""
     between = F.transform(F.split(markdown, P.LINK_SYNTAX), escape_tags)
     kept = F.concat(F.regexp_extract_all(markdown, F.lit(f"({P.LINK_SYNTAX})"), F.lit(1)), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, kept, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.contains(markdown, F.lit("<")), F.array_join(F.zip_with(between, kept, lambda a, b: F.concat(a, b)), "")).otherwise(markdown)
 
 
 def table_cell(text: Column) -> Column:
@@ -73,9 +75,9 @@ def link(text: Column, url: Column, whole: bool = False) -> Column:
 
 def normalize(text: Column) -> Column:
     """One kind of line end, no blanks at line ends, at most one blank line, one line end at the end."""
-    own = F.regexp_replace(text, r"\r\n?", "\n")
-    own = F.regexp_replace(own, P.WS + r"+(\n|\z)", "$1")
-    own = F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
+    own = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    own = F.regexp_replace(own, _WS + r"+(\n|\z)", "$1")
+    own = F.btrim(F.when(F.contains(own, F.lit("\n\n\n")), F.regexp_replace(own, r"\n{3,}", "\n\n")).otherwise(own), F.lit("\n"))
     return F.when(own == "", own).otherwise(F.concat(own, F.lit("\n")))
 
 

@@ -9,6 +9,8 @@ lines. A task holds a page, or the paragraphs of a document, at a time.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ CONTENTS_ENTRY = r"^(.*\S)\s+\d{1,4}$"
 CAPTION = r"^(Figure|Fig\.|Table)\s*\d+"
 FLOATED = r"^\s*(Figure|Fig\.|Table)\s*\d+[.:]"
 BROKEN = r"(\p{L}+)-\s*$"
+#: What can follow the hyphen there: blanks, and a line end before the text's end.
+LAST_BLANKS = "\t\n\x0b\f\r \x85\u2028\u2029"
 SECOND_BODY_LINES, SECOND_BODY_LENGTH, SECOND_BODY_SHARE, SECOND_BODY_ABOVE = 10, 40, 0.5, 2
 #: Word endings that are never words of their own: a hyphen before one is a line break's.
 ENDINGS = r"^(?:ing|ings|tions?|sions?|ity|ities|ments?|ness|able|ible|ics)(?!\p{L})"
@@ -75,10 +79,12 @@ def without_furniture(lines: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.lower(M.strip(F.col("text"))), r"\d+", "0")
     marked = lines.withColumns({
-        "_key": F.when(text.rlike(ROMAN), "0").otherwise(text), "_at": _half_up(F.col("x") / X_BUCKET), "_table": F.col("table_id") >= 0, "_top": F.col("y") < F.col("page_height") / 2,
+        "_at": _half_up(F.col("x") / X_BUCKET), "_table": F.col("table_id") >= 0, "_top": F.col("y") < F.col("page_height") / 2,
         "_edge": F.when(F.col("rotated"), F.col("text").rlike(WORD)).otherwise((F.col("y") < EDGE * F.col("page_height")) | (F.col("y") > (1 - EDGE) * F.col("page_height"))),
     })
     edge = F.col("_edge") & ~F.col("_table")
+    # other lines are never counted, so that only those at an edge need a key
+    marked = marked.withColumn("_text", F.when(F.coalesce(edge, F.lit(True)), text)).withColumn("_key", F.when(F.col("_text").rlike(ROMAN), "0").otherwise(F.col("_text"))).drop("_text")
     distinct_pages = lambda w, of=None: F.size(F.collect_set(F.when(of, F.col("page")) if of is not None else F.col("page")).over(w))
     least = F.greatest(F.lit(MIN_PAGES), F.ceil(PAGE_SHARE * F.col("_pages")))
     counted = marked.withColumns({"_pages": distinct_pages(_doc()), "_here": distinct_pages(Window.partitionBy("doc_id", "_key", "_at"), edge)})
@@ -218,6 +224,11 @@ def with_paragraphs(lines: DataFrame) -> DataFrame:
     return settled.withColumn("_begins", begins).withColumn("para", F.count_if("_begins").over(order).cast("int")).select(*(x for x in lines.columns if x not in KEYS), *KEYS, "para")
 
 
+def _joined(lines: str) -> Column:
+    """The text of a paragraph of such lines."""
+    return F.array_join(F.transform(lines, lambda s: s["text"]), " ")
+
+
 def paragraphs(lines: DataFrame) -> DataFrame:
     """One row for each paragraph of lines with para: its lines in order, text, page, keys, and what headings ask for. A
     sentence that captions or tables cut is one paragraph, and they follow it."""
@@ -236,7 +247,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         & F.exists("lines", lambda s: F.abs(s["x"] - F.col("lines")[0]["x"]) > tolerance)
     )
     return grouped.withColumns({
-        "text": F.array_join(F.transform("lines", lambda s: s["text"]), " "), "centred": centred, "all_bold": F.forall("lines", lambda s: s["bold"]),
+        "text": _joined("lines"), "centred": centred, "all_bold": F.forall("lines", lambda s: s["bold"]),
         "least_heading": F.array_min(F.transform("lines", lambda s: s["heading"])), "most_heading": F.array_max(F.transform("lines", lambda s: s["heading"])),
     })
 
@@ -315,22 +326,29 @@ def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFram
     paragraphs don't have them.
     """
     order = _doc().orderBy("para")
-    c, text = F.col, F.col("text")
-    numbered = text.rlike(SECTION_NUMBER)
+    # a heading has at most MAX_LENGTH characters, and what is asked of other texts is asked once: of a paragraph's text the rows
+    # that are sorted hold its lines only
+    c, whole, text = F.col, F.col("text"), F.col("_short")
     known = paras if bodies is None else paras.join(bodies.select("doc_id", "bodies"), "doc_id", "left")
-    base = known.withColumn("body", F.array_max("bodies")).withColumns({"numbered": numbered, "n_size": F.lead("size_key").over(order), "n_text": F.lead("text").over(order), "index": F.row_number().over(order)})
+    of_text = {
+        "_short": F.when(F.length(whole) <= MAX_LENGTH, whole), "numbered": whole.rlike(SECTION_NUMBER), "_email": F.contains(whole, F.lit("@")) & whole.rlike(EMAIL),
+        "_abstract": (F.size("lines") == 1) & ~c("is_table") & (F.length(whole) <= MAX_LENGTH) & whole.rlike(ABSTRACT),
+        "_tagged": (c("least_heading") > 0) & (F.size("lines") <= MAX_LINES) & (F.size(F.split(whole, r"\s+")) <= MAX_TAGGED_WORDS) & ~F.endswith(whole, F.lit(".")) & ~whole.rlike(CAPTION),
+    }
+    asked_once = known.withColumns(of_text | {"body": F.array_max("bodies")}).drop("text")
+    base = asked_once.withColumns({"n_size": F.lead("size_key").over(order), "_n_email": F.lead("_email").over(order), "index": F.row_number().over(order)}).drop("_email")
     titled = (c("page") == 1) & ((c("size_key") >= TITLE_RATIO * c("body")) | ((c("index") == 1) & (c("size_key") >= FIRST_TITLE_RATIO * c("body"))))
     candidate = (
         ~c("is_table") & ((c("size_key") > c("body")) | (c("numbered") & c("all_bold") & (c("size_key") >= c("body") - BELOW_BODY)))
         & (F.size("lines") <= F.when((c("size_key") >= TITLE_RATIO * c("body")) | c("centred"), MAX_TITLE_LINES).otherwise(MAX_LINES))
-        & (F.length(text) <= MAX_LENGTH) & (c("numbered") | text.rlike(WORD)) & ~text.rlike(DOT_LEADER)
+        & text.isNotNull() & (c("numbered") | text.rlike(WORD)) & ~text.rlike(DOT_LEADER)
     )
     followed = c("n_size").isNull() | titled | F.array_contains("bodies", c("n_size"))
     # a candidate is a heading when the run of candidates from it on ends in a followed one
     decided = base.withColumns({"candidate": candidate, "followed": followed}).withColumn(
         "heading", F.col("candidate") & F.coalesce(F.first(F.when(c("followed") | ~c("candidate"), c("candidate")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(False))
     )
-    entry = F.regexp_extract(text, CONTENTS_ENTRY, 1)
+    entry = F.when(c("heading"), F.regexp_extract(text, CONTENTS_ENTRY, 1)).otherwise("")
     # a later paragraph with the text of an entry: paragraphs and entries meet by text
     is_entry = c("heading") & (entry != "")
     both = F.when(is_entry, F.array(F.struct(F.lit(False).alias("asks"), text.alias("key")), F.struct(F.lit(True).alias("asks"), entry.alias("key")))).otherwise(F.array(F.struct(F.lit(False).alias("asks"), text.alias("key"))))
@@ -339,17 +357,17 @@ def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFram
     decided = met.where(~c("_k.asks")).withColumn("heading", c("heading") & ~c("_entry"))
     # a number below one before it is out of sequence; headings without any number start anew. Runs are told apart by
     # their count, which outweighs any number
-    number = F.regexp_extract(text, TOP_NUMBER, 1)
+    number = F.when(c("heading"), F.regexp_extract(text, TOP_NUMBER, 1)).otherwise("")
     decided = decided.withColumn("_top", F.when(c("heading") & (number != ""), number.cast("int")))
     decided = decided.withColumn("_run", 1000 * F.count_if(c("heading") & c("_top").isNull() & ~c("numbered")).over(order))
     gone = c("_run") + c("_top") < F.max(c("_run") + c("_top")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     decided = decided.withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn("heading", c("heading") & ~c("_gone") & ~text.rlike(DATE))
     first = F.min(F.when(c("heading"), c("para"))).over(_doc())
     decided = decided.withColumns({"_first": first, "_next": F.lead("heading").over(order), "_page1": F.max(F.when(c("para") == first, c("page"))).over(_doc())})
-    authors = (c("para") == c("_first") + 1) & (c("_page1") == 1) & ~F.coalesce("_next", F.lit(True)) & c("n_text").rlike(EMAIL)
-    abstract = (F.size("lines") == 1) & ~c("is_table") & ((c("page") <= ABSTRACT_PAGES) | c("all_bold")) & text.rlike(ABSTRACT)
+    authors = (c("para") == c("_first") + 1) & (c("_page1") == 1) & ~F.coalesce("_next", F.lit(True)) & c("_n_email")
+    abstract = c("_abstract") & ((c("page") <= ABSTRACT_PAGES) | c("all_bold"))
     decided = decided.withColumn("heading", (c("heading") & ~F.coalesce(authors, F.lit(False))) | abstract)
-    tagged = ~c("heading") & (c("least_heading") > 0) & (F.size("lines") <= MAX_LINES) & (F.size(F.split(text, r"\s+")) <= MAX_TAGGED_WORDS) & ~F.endswith(text, F.lit(".")) & ~text.rlike(CAPTION)
+    tagged = ~c("heading") & c("_tagged")
     # levels: by number, else that of numbered headings in the same style, else by the rank of the style
     depth = F.when(c("heading"), section_depth(text)).otherwise(0)
     own = F.when(depth > 0, F.least(F.lit(MAX_LEVEL), depth + 1))
@@ -365,19 +383,30 @@ def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFram
     before = F.last(F.when(c("level") > 0, c("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     stepped = leveled.withColumn("_was", before).withColumn("_steps", F.count_if((c("level") > 0) & (c("level") > c("_was"))).over(order))
     least = F.min(F.when(c("level") > 0, c("level") - c("_steps"))).over(order)
-    return stepped.withColumn("level", F.when(c("level") > 0, c("_steps") + least).otherwise(0).cast("int")).select(*paras.columns, "level")
+    leveled = stepped.withColumn("level", F.when(c("level") > 0, c("_steps") + least).otherwise(0).cast("int"))
+    return leveled.withColumn("text", _joined("lines")).select(*paras.columns, "level")
+
+
+def _may_break(line: Column) -> Column:
+    """Whether a line's last character is a hyphen, a blank or a line end: of all others `BROKEN` fits none, and looking is cheap."""
+    return functools.reduce(Column.__or__, (F.endswith(line, F.lit(x)) for x in "-" + LAST_BLANKS))
+
+
+def _broken(line: Column) -> Column:
+    """The part of a word that a line's end breaks, or nothing."""
+    return F.when(_may_break(line), F.regexp_extract(line, BROKEN, 1)).otherwise("")
 
 
 def words(lines: DataFrame) -> DataFrame:
     """(doc_id, words) of documents with a word that a line's end breaks: their words in lower case, their compounds, these'
     longer parts, and words that are broken before an ending."""
-    asks = F.max(F.col("text").rlike(BROKEN)).over(_doc())
+    asks = F.max(_broken(F.col("text")) != "").over(_doc())
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+(?:-\p{L}+)*)"), F.lit(1))
     parts = F.flatten(F.transform(F.filter("f", lambda w: F.contains(w, F.lit("-"))), lambda w: F.filter(F.split(w, "-"), lambda x: F.length(x) >= MIN_PART)))
     following = F.lead(F.ltrim(M.strip(F.col("text")))).over(_order())
-    head, tail = F.regexp_extract("text", BROKEN, 1), F.regexp_extract("_next", r"^(\p{Ll}\p{L}*)", 1)
+    head, tail = _broken(F.col("text")), F.regexp_extract("_next", r"^(\p{Ll}\p{L}*)", 1)
     broken = F.when((head != "") & F.col("_next").rlike(ENDINGS), F.array(F.lower(F.concat(head, tail)))).otherwise(F.array().cast("array<string>"))
-    every = lines.withColumns({"_next": following, "_asks": asks}).where("_asks").withColumn("f", found).select("doc_id", F.explode(F.concat("f", parts, broken)).alias("w"))
+    every = lines.withColumn("_asks", asks).where("_asks").withColumn("_next", following).withColumn("f", found).select("doc_id", F.explode(F.concat("f", parts, broken)).alias("w"))
     return every.groupBy("doc_id").agg(F.collect_set("w").alias("words"))
 
 
@@ -390,14 +419,14 @@ def asked(parts: Column) -> Column:
         tail, token = F.regexp_extract(here, r"^(\p{Ll}\p{L}*)", 1), F.regexp_extract(here, r"^(\S*)", 1)
         meets = (F.size(s["heads"]) > 0) & (tail != "")
         more = F.flatten(F.transform(s["heads"], lambda h: F.array(F.lower(F.concat(h, F.lit("-"), tail)), F.lower(F.concat(h, tail)), F.lower(tail))))
-        end = F.regexp_extract(line, BROKEN, 1)
+        end = _broken(line)
         ends = F.when(end != "", F.array(end)).otherwise(F.array().cast("array<string>"))
         longer = F.when(meets & (M.strip(here) == token) & token.rlike(r"^\p{L}+-$"), F.transform(s["heads"], lambda h: F.concat(h, end))).otherwise(F.array().cast("array<string>"))
         kept = F.struct(F.when(line == "", s["heads"]).otherwise(F.array_distinct(F.concat(ends, longer))).alias("heads"), F.when(meets, F.concat(s["asks"], more)).otherwise(s["asks"]).alias("asks"))
         return kept
 
     none = F.array().cast("array<string>")
-    return F.aggregate(parts, F.struct(none.alias("heads"), none.alias("asks")), step)["asks"]
+    return F.when(F.exists(parts, _may_break), F.aggregate(parts, F.struct(none.alias("heads"), none.alias("asks")), step)["asks"]).otherwise(none)
 
 
 def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None) -> Column:
@@ -406,7 +435,7 @@ def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None)
 
     def step(done: Column, line: Column) -> Column:
         here = F.ltrim(line)
-        head = F.regexp_extract(done, r"(\p{L}+)-\s*$", 1)
+        head = _broken(done)
         tail = F.regexp_extract(here, r"^(\p{Ll}\p{L}*)", 1)
         compound, whole = F.lower(F.concat(head, F.lit("-"), tail)), F.lower(F.concat(head, tail))
         joined = F.array_contains(known, whole) | here.rlike(ENDINGS)
@@ -421,7 +450,8 @@ def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None)
             .otherwise(F.concat(done, F.lit("\n"), line))
         )
 
-    return F.aggregate(parts, F.lit(""), step)
+    # without such an end the lines stay as they are
+    return F.when(F.exists(parts, _may_break), F.aggregate(parts, F.lit(""), step)).otherwise(F.array_join(F.filter(parts, lambda x: x != ""), "\n"))
 
 
 def join_split_links(lines: Column) -> Column:
@@ -458,7 +488,10 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: D
     block = F.struct("para", "level", "is_table", "table_id", "text", F.transform("lines", lambda s: s["text"]).alias("lines"))
     docs = paras.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("paras"))
     # a heading is its text; other lines with a dash for a bullet and whole links
-    plain = lambda p: F.when(p["is_table"] | (p["level"] > 0), F.array(M.escape(p["text"]))).otherwise(F.split(join_split_links(F.transform(p["lines"], lambda x: M.escape(bullets(x)))), "\n"))
+    shown_line = lambda x: M.escape(bullets(x))
+    linked = lambda x: F.contains(x, F.lit("](")) | F.contains(x, F.lit("\n"))
+    body = lambda ls: F.when(F.exists(ls, linked), F.split(join_split_links(F.transform(ls, shown_line)), "\n")).otherwise(F.transform(ls, shown_line))
+    plain = lambda p: F.when(p["is_table"] | (p["level"] > 0), F.array(M.escape(p["text"]))).otherwise(body(p["lines"]))
     docs = docs.withColumn("paras", F.transform("paras", lambda p: p.withField("lines", plain(p))))
     docs = docs.withColumn("asks", F.array_distinct(F.flatten(F.transform("paras", lambda p: asked(p["lines"])))))
     none = F.array().cast("array<string>")
@@ -481,7 +514,8 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: D
         return body if tables is None else F.when(p["is_table"], F.coalesce(c("tables")[p["table_id"]], F.lit(""))).otherwise(body)
 
     joined = F.array_join(F.filter(F.transform("paras", shown), lambda x: x != ""), "\n\n")
-    out = docs.select("doc_id", joined.alias("m")).where("m <> ''").select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))
+    # explode_outer: a filter on the text itself would compute it once more
+    out = docs.select("doc_id", F.explode_outer(F.filter(F.array(joined), lambda x: x != "")).alias("m")).where("m is not null").select("doc_id", M.normalize(M.escape_tags_outside_links(F.col("m"))).alias("markdown"))
     out.scratch = scratch
     return out
 
