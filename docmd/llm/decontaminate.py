@@ -42,31 +42,39 @@ def _hashes(words_: Column, n: int) -> Column:
 
 
 def winnowed(rows: DataFrame) -> DataFrame:
-    """rows (..., w: words, h: word hashes) with (place, fp) of each kept minimum; rows of fewer words than a window go."""
-    spread = WINDOW - GRAM + 1
-    eighth = F.lit(-8).cast("long")
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - GRAM), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(GRAM))).bitwiseAND(eighth))
-    low = F.transform(F.sequence(F.lit(0), F.size("g") - spread), lambda p: F.least(*(F.get("g", p + j) + j for j in range(spread))))
-    place = lambda p: p + F.get("m", p).bitwiseAND(F.lit(7).cast("long"))
-    firsts = F.filter(F.sequence(F.lit(0), F.size("m") - 1), lambda p: (p == 0) | (place(p) != place(p - 1)))
-    kept = F.transform(firsts, lambda p: F.struct(place(p).cast("int").alias("place"), F.shiftright(F.get("m", p), 3).alias("fp")))
-    long = rows.where(F.size("w") >= WINDOW).withColumn("g", grams).withColumn("m", low).withColumn("kept", kept).drop("g", "m", "h")
-    # explode_outer: explode would compute the arrays once more in a filter
-    return long.withColumn("k", F.explode_outer("kept")).withColumns({"place": F.col("k.place"), "fp": F.col("k.fp")}).drop("k", "kept")
+    """rows (..., w: words, h: word hashes) with (place, fp) of each kept minimum, both null for rows of fewer words than a window.
+
+    GRAM words and WINDOW - GRAM + 1 grams are put together by twos, so that a place costs a few small steps.
+    """
+    by_two = lambda x, y, by, of: F.transform(x, lambda a, i: of(a, F.get(y, i + by)))
+    mixed, least = lambda a, b: F.xxhash64(a, b), lambda a, b: F.least(a, b)
+    # a gram's number is 32 bits of its hash, then its place: the smallest of a span is the leftmost of equal hashes, and is the
+    # same number in all spans that keep it. What the arrays' ends lack is cut off twice: before minima, and at last
+    numbered = lambda a, i: F.xxhash64(a, F.get("h", i + GRAM - 1)).bitwiseAND(F.lit(-1 << 32).cast("long")) + i
+    steps = {
+        "g": by_two("h", "h", 1, mixed), "g4": by_two("g", "g", 2, mixed), "grams": F.slice(F.transform("g4", numbered), 1, F.size("h") - GRAM + 1),
+        "m": by_two("grams", "grams", 1, least), "m4": by_two("m", "m", 2, least), "kept": F.array_distinct(F.slice(by_two("m4", "m", 4, least), 1, F.size("h") - WINDOW + 1)),
+    }
+    # rows of few words are not filtered out: a filter would split their texts once more, as explode would
+    long = rows.withColumn("h", F.when(F.size("w") >= WINDOW, F.col("h")))
+    for name, made in steps.items():
+        long = long.withColumn(name, made)
+    marked = long.drop("h", *(x for x in steps if x != "kept")).withColumn("k", F.explode_outer("kept"))
+    return marked.withColumns({"place": F.col("k").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), "fp": F.shiftright("k", 32)}).drop("k", "kept")
 
 
 def _with_words(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    split = rows.select(F.col(key).alias(name), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    split = rows.select(F.col(key).alias(name), words(F.col(text)).alias("w"))
     return split.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
 
 def hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(id, start, length, class) of every occurrence of a window, and (class, items) with the items of each class."""
-    split = _with_words(items, item_key, item_text, "item").withColumn("class", F.sha2(F.concat_ws(" ", "w"), 256))
+    split = _with_words(items, item_key, item_text, "item").where(F.size("w") > 0).withColumn("class", F.sha2(F.concat_ws(" ", "w"), 256))
     kinds = stored(split.groupBy("class").agg(F.first("w").alias("iw"), F.first("h").alias("h"), F.collect_set(F.col("item").cast("string")).alias("items")), "decontaminate-items")
     spread = WINDOW - GRAM
     before = F.greatest(F.col("place") - spread, F.lit(0))
-    marks = winnowed(kinds.select("class", F.col("iw").alias("w"), "h")).select(
+    marks = winnowed(kinds.select("class", F.col("iw").alias("w"), "h")).where("fp is not null").select(
         "class", F.slice("w", before + 1, F.col("place") - before + WINDOW).alias("iw"), (F.col("place") - before).alias("iplace"), "fp"
     )
     marks = stored(marks, "decontaminate-marks")
