@@ -8,7 +8,7 @@ cosines is rejected.
 
 The model is fitted on at most `per_language` texts of each language, and fewer where there are many languages, so that
 they are SAMPLE at most (documented bounds; whole texts, of an id with several the smallest label's); the LANGUAGES most
-frequent labels are learnt. Everything else reads all rows. Null and empty texts and texts without a letter are `und`, score 0, rejected.
+frequent labels are learnt. The driver holds the sampled texts, and the vectors of one language at a time. Everything else reads all rows. Null and empty texts and texts without a letter are `und`, score 0, rejected.
 Without any labelled row there is no language: every text is `und`. Repeated rows get equal results.
 """
 
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmd.llm.common import unused
+from docmd.llm.common import released, unused
 from docmd.llm.sampling import per_label, remainder
-from docmd.llm.textvec import slices, tidy
+from docmd.llm.textvec import give_back, slices, tidy
 
 BITS = 14
 DIM = 1 << BITS
@@ -64,13 +64,39 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def _counted(texts: list[bytes]) -> np.ndarray:
+    return counts(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+
+def unit(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(length > 0, length, 1)
+    return np.divide(x, np.where(length > 0, length, 1), out=out)
 
 
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return unit(np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0).astype(np.float32) * idf)
+    """The vectors of texts with n-gram counts c. One matrix beside c is made, as they are large."""
+    out = np.maximum(c, np.float32(1))
+    np.log(out, out=out)
+    out += np.float32(1)
+    out *= c > 0
+    out *= idf
+    return unit(out, out)
+
+
+def _vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """A dense row for each of one language's texts."""
+    x = np.empty((len(texts), DIM), np.float32)
+    for a in range(0, len(texts), BLOCK):
+        x[a : a + BLOCK] = weighted(_counted(texts[a : a + BLOCK]), idf)
+    return x
+
+
+def _total(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The sum of the chosen rows, one after another: a copy of them would be as large as x."""
+    out = np.zeros(x.shape[1], x.dtype)
+    for i in np.flatnonzero(chosen):
+        out += x[i]
+    return out
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -87,14 +113,16 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         own = (x @ unit(sums).T).argmax(1)
         sizes = np.bincount(own, minlength=len(sums))
         large = np.flatnonzero(sizes >= max(2, len(x) / 50))
-        sums = np.stack([x[own == j].sum(0) for j in (large if len(large) else [int(sizes.argmax())])])
+        sums = np.stack([_total(x, own == j) for j in (large if len(large) else [int(sizes.argmax())])])
     return sums
 
 
 def _floors(texts: list[bytes], x: np.ndarray, sums: np.ndarray, idf: np.ndarray, factor: float) -> np.ndarray:
     """The floor at each of LENGTHS; where fewer than a quarter of the texts are as long, that of the length before."""
     centres, own = unit(sums), (x @ unit(sums).T).argmax(1)
-    rest = np.sqrt(np.maximum((sums[own] ** 2).sum(1) - 2 * (sums[own] * x).sum(1) + 1, 0))
+    squares = (sums**2).sum(1)
+    both = np.concatenate([(sums[own[a : a + BLOCK]] * x[a : a + BLOCK]).sum(1) for a in range(0, len(x), BLOCK)])
+    rest = np.sqrt(np.maximum(squares[own] - 2 * both + 1, 0))
     out = np.zeros(len(LENGTHS))
     for n, length in enumerate(LENGTHS):
         found, long = [], [i for i, t in enumerate(texts) if len(t) >= length or not n]
@@ -103,8 +131,7 @@ def _floors(texts: list[bytes], x: np.ndarray, sums: np.ndarray, idf: np.ndarray
             continue
         for a in range(0, len(long), BLOCK):
             rows = np.array(long[a : a + BLOCK])
-            cut = [texts[i][:length] for i in rows]
-            p = weighted(counts(np.frombuffer(b"".join(cut), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in cut])])), idf)
+            p = weighted(_counted([texts[i][:length] for i in rows]), idf)
             sims, at = p @ centres.T, np.arange(len(rows))
             others = (p * (sums[own[rows]] - x[rows])).sum(1)
             sims[at, own[rows]] = np.where(rest[rows] > 1e-3, others / np.maximum(rest[rows], 1e-3), 0)
@@ -120,25 +147,27 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     labelled = labelled.where(F.col("l").isin(known)) if len(known) == LANGUAGES else labelled
     ids = per_label(labelled.select("k", "l"), "l", "k", max(1, min(per_language, SAMPLE // max(len(known), 1))))
     # the chosen ids are at most that many for each language
-    sample = labelled.join(F.broadcast(ids.select("k").distinct()), "k", "left_semi").groupBy("k").agg(F.min(F.struct("l", "t")).alias("x")).select("x.l", "x.t").toArrow()
+    sample = labelled.join(F.broadcast(ids.select("k")), "k", "left_semi").groupBy("k").agg(F.min(F.struct("l", "t")).alias("x")).select("x.l", "x.t").toArrow()
     kinds = np.array(sample["l"].to_pylist(), dtype=object)
     texts = [t.encode() for t in sample["t"].to_pylist()]
-    x = np.zeros((len(texts), DIM), np.float32)
-    for a in range(0, len(texts), BLOCK):
-        some = texts[a : a + BLOCK]
-        x[a : a + BLOCK] = counts(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
-    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(1)
+    del sample
+    released(rows.sparkSession)  # what Spark used on the driver goes before the matrices come
+    # the driver holds the vectors of one language at a time: those of all are hundreds of MB
+    having = np.zeros(DIM, int)
     for a in range(0, len(texts), BLOCK):
-        x[a : a + BLOCK] = weighted(x[a : a + BLOCK], idf)
+        having += np.count_nonzero(_counted(texts[a : a + BLOCK]), axis=0)
+    idf = np.log((1 + len(texts)) / (1 + having)).astype(np.float32) + np.float32(1)
     languages = sorted(set(kinds))
     rows_, owner, floors = [], [], []
     for j, language in enumerate(languages):
-        own = np.flatnonzero(kinds == language)
-        mine = x[own]
+        own = [texts[i] for i in np.flatnonzero(kinds == language)]
+        mine = _vectors(own, idf)
         sums = clusters(mine, centroids)
         rows_ += list(unit(sums))
         owner += [j] * len(sums)
-        floors.append(_floors([texts[i] for i in own], mine, sums, idf, reject_factor))
+        floors.append(_floors(own, mine, sums, idf, reject_factor))
+        del mine
+    give_back()
     return Model(languages, idf, np.array(rows_, np.float32).reshape(-1, DIM), np.array(owner, int), np.array(floors).reshape(-1, len(LENGTHS)))
 
 

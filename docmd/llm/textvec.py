@@ -22,6 +22,15 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _pow: dict[str, np.ndarray] = {}
 
+
+def give_back() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which gives the memory that it has freed back to the system when a task ends: workers wait for other tasks."""
 
@@ -30,10 +39,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return whole
 
