@@ -100,12 +100,16 @@ def lookup(rows: DataFrame, values: DataFrame, key: str | list[str], total: int,
     return cold_rows.join(values.where(F.col(count) <= large), key, how).unionByName(rows.join(F.broadcast(hot), key))
 
 
-def told_apart(rows: DataFrame, node: str, tag: str, more: tuple[Column, ...], name: str) -> tuple[DataFrame, DataFrame | None]:
+def told_apart(rows: DataFrame, node: str, tag: str, more: tuple[Column, ...], name: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The things that rows name by two hashes, node (an even long) and tag: (node, tag, id, n, ...), with n their rows and
     the aggregates `more`. id is the node where that has one tag only; things that share a node get odd numbers as ids.
-    Also the table of those that share one, None where there are none, as nearly always."""
+    Also the table of those that share one, None where there are none, as nearly always. asked, with distinct nodes: of the
+    things that have one row, only those of its nodes."""
     n = F.count(F.lit(1)).alias("n")
-    each = stored(rows.groupBy(node).agg(F.min(tag).alias(tag), F.max(tag).alias("other"), n, *more), name, clean=True)
+    each = rows.groupBy(node).agg(F.min(tag).alias(tag), F.max(tag).alias("other"), n, *more)
+    if asked is not None:
+        each = each.join(asked.select(node, F.lit(True).alias("_asked")), node, "left").where("n > 1 or _asked").drop("_asked")
+    each = stored(each, name, clean=True)
     clashing = each.where(F.col(tag) != F.col("other"))
     alone = each.drop("other").withColumn("id", F.col(node))
     if clashing.isEmpty():

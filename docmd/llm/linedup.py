@@ -23,7 +23,7 @@ is that line. Texts of any length are handled whole. No rows: no rows.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +105,7 @@ def _members(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     long = ends - starts >= SHINGLE
     inside[starts[long]] += 1
     inside[ends[long] - SHINGLE + 1] -= 1
-    keep = np.cumsum(inside[: len(every)], dtype=np.int8).astype(bool)
+    keep = np.cumsum(inside[: len(every)], dtype=np.int8).view(bool)
     if not (short := np.flatnonzero(~long & (ends > starts))).size:
         return every[keep], sizes
     cut = np.cumsum(sizes)
@@ -117,24 +117,36 @@ def _members(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return out, sizes
 
 
-def _nodes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes, even numbers, and tags of some lines."""
-    view, digest = memoryview(points), xxhash.xxh3_128_digest
-    both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+def _nodes(lines_: Iterable, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes, even numbers, and tags of some lines, given as their code points' bytes."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines_)), np.int64).reshape(-1, 2)
     return both[:, 0] & np.int64(((1 << bits) - 1) << 1 if bits < NODE_BITS else -2), both[:, 1]
 
 
-def _found(lists: pa.Array, points: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of lists of (line, node, tag, ...), one for each row: those where the row has that line. Their rows, places and items."""
-    begin = np.searchsorted(row, np.arange(len(lists) + 1))
+def _found(lists: pa.Array, texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array, list[str]]:
+    """Of lists of (line, node, tag, ...), one for each text: those where the text has that line. Their rows, line numbers, items
+    and the lines as they are compared. Only the lines asked for are looked at."""
     flat = lists.flatten()
-    owner = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    cut = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
     line, wanted, mark = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("line", "node", "tag"))
-    at = begin[owner] + line
-    there = np.flatnonzero(at < begin[owner + 1])
-    node, tag = _nodes(points, starts[at[there]], ends[at[there]], bits)
-    there = there[(node == wanted[there]) & (tag == mark[there])]
-    return owner[there], at[there], flat.take(pa.array(there))
+    numbers = line.tolist()
+    there, own = [], []
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        parts = _parts(texts[i])
+        for k in range(cut[i], cut[i + 1]):
+            if numbers[k] < len(parts):
+                there.append(k)
+                own.append(parts[numbers[k]].lower().decode("utf-8", "surrogateescape").strip())  # what _BLANK and LOWER do
+    at = np.array(there, np.int64)
+    node, tag = _nodes((x.encode("utf-32-le", "surrogatepass") for x in own), bits)
+    same = (node == wanted[at]) & (tag == mark[at])
+    at = at[same]
+    return np.searchsorted(cut, at, "right") - 1, line[at], flat.take(pa.array(at)), [own[k] for k in np.flatnonzero(same).tolist()]
+
+
+def _parts(text: pa.Scalar) -> list[bytes]:
+    """The lines of a text, as they are."""
+    return text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else []
 
 
 def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -143,23 +155,27 @@ def minima(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.full((len(sizes), K), _EMPTY, np.uint32)
     flat = out.ravel()
     base = np.repeat(np.arange(len(sizes), dtype=np.int64) * K, sizes)
+    halves = np.ascontiguousarray(members).astype("<u8", copy=False).view("<u4")
     for g in range(GROUPS):
-        half = members >> np.uint64(32) if g else members & np.uint64(0xFFFFFFFF)
-        half *= np.uint64(bins)
-        place = (half >> np.uint64(32)).view(np.int64)
-        place += base
-        place += g * bins
-        np.minimum.at(flat, place, half.astype(np.uint32) >> np.uint32(1))
+        # of the product with the number of bins, the upper half is the bin and the lower one the value
+        product = np.multiply(halves[g::2], np.uint64(bins), dtype=np.uint64).view("<u4")
+        np.minimum.at(flat[g * bins :], product[1::2] + base, product[::2] >> np.uint32(1))
     grid = out.reshape(-1, bins)
     known = grid != _EMPTY
-    rows = np.flatnonzero(known.any(1) & ~known.all(1))
+    n = np.count_nonzero(known, axis=1)
+    rows = np.flatnonzero((n > 0) & (n < bins))
     if len(rows):
-        # the next bin that is filled, around the end; how far it is makes the value another one
-        at = np.where(np.tile(known[rows], 2), np.arange(2 * bins, dtype=np.int16), np.int16(2 * bins))
-        at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        far = (at - np.arange(bins, dtype=np.int16)).astype(np.uint32)
-        found = np.take_along_axis(grid[rows], at.astype(np.int64) % bins, 1)
-        grid[rows] = np.where(far > 0, (found ^ (far * np.uint32(0x9E3779B1))) & np.uint32(0x7FFFFFFF), found)
+        # a filled bin is taken for the empty ones before it, and a row's first one for those after its last
+        filled = np.flatnonzero(known[rows])
+        after = np.cumsum(n[rows])
+        first = filled[after - n[rows]]
+        value = grid[rows].ravel()
+        times = np.diff(np.insert(filled + 1, after, (np.arange(len(rows)) + 1) * bins), prepend=0)
+        found = np.repeat(np.insert(value[filled], after, value[first]), times)
+        # how far it is makes the value another one
+        far = (np.repeat(np.insert(filled, after, first + bins), times) - np.arange(len(value))).astype(np.uint32)
+        far *= np.uint32(0x9E3779B1)
+        grid[rows] = ((found ^ far) & np.uint32(0x7FFFFFFF)).reshape(-1, bins)
     return out
 
 
@@ -193,7 +209,8 @@ def signed(rows: DataFrame, key: str, text: str, bits: int = NODE_BITS) -> DataF
             for first, end, points, row, starts, ends in lines(batch.column("t")):
                 some = ends > starts
                 spans = Spans(points, SHINGLE)
-                node, tag = _nodes(points, starts, ends, bits)
+                view = memoryview(points)
+                node, tag = _nodes((view[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), bits)
                 nodes = pa.StructArray.from_arrays([pa.array(node), pa.array(tag)], fields=list(_LINE), mask=pa.array(~some))
                 cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))]), pa.int32())
                 n = end - first
@@ -262,16 +279,15 @@ def payloads(rows: DataFrame, bits: int = NODE_BITS) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("wanted")
-            for first, end, points, row, starts, ends in lines(batch.column("t")):
-                _, at, items = _found(wanted.slice(first, end - first), points, row, starts, ends, bits)
-                blobs = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(starts[at], ends[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([items.field("id"), pa.array(np.maximum(ends[at] - starts[at] - SHINGLE + 1, 1)), pa.array(blobs, pa.binary())], ["id", "n", "payload"])
+            _, _, items, own = _found(batch.column("wanted"), batch.column("t"), bits)
+            sizes = pa.array([max(len(x) - SHINGLE + 1, 1) for x in own], pa.int64())
+            blobs = pa.array([x.encode("utf-8", "surrogatepass") for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([items.field("id"), sizes, blobs], ["id", "n", "payload"])
 
     return rows.mapInArrow(run, "id long, n long, payload binary")
 
 
-def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
+def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
     """The shingle sets of some lines, and what packs their minima."""
     cut = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
     raw = np.frombuffer(blobs.buffers()[2], np.uint8)[cut[0] : cut[-1]] if cut[-1] > cut[0] else np.zeros(0, np.uint8)
@@ -287,24 +303,30 @@ def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.
         new = np.ones(n, bool)
         np.not_equal(own[1:], own[:-1], out=new[1:])
         sets.append(own[new])
-    return sets, lambda a, b: simjoin.pack(minima(np.concatenate(sets[a:b]), np.array([len(x) for x in sets[a:b]])))
+    return sets, lambda at: simjoin.pack(minima(np.concatenate([sets[x] for x in at]), np.array([len(sets[x]) for x in at])))
 
 
 def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id", bits: int = NODE_BITS) -> DataFrame:
     """(doc, line, node, tag) of every line that goes because another one of its group stays."""
     passed = stored(signed(rows, key, text, bits), "lines")
     known = passed.where("doc is not null").select("doc", F.posexplode("nodes").alias("line", "n")).where("n is not null").select("doc", "line", "n.*")
-    each, clashing = told_apart(known, "node", "tag", (F.min(F.struct("doc", "line")).alias("first"),), "line-nodes")
-    shared = passed.where("key is not null").select("key", "node").distinct()
+    shared = stored(passed.where("key is not null").select("key", "node").distinct(), "line-buckets")
+    scratch = shared.scratch
+    # other lines stay, whatever comes
+    each, clashing = told_apart(known, "node", "tag", (F.min(F.struct("doc", "line")).alias("first"),), "line-nodes", shared.select("node").distinct())
     if clashing is not None:  # all lines of a node are in its buckets
-        shared = shared.join(clashing.select("node", "id"), "node", "left").select("key", F.coalesce("id", "node").alias("id"))
-    shared = stored(shared.select("key", F.col(shared.columns[1]).alias("id")), "line-buckets")
+        apart = stored(shared.join(clashing.select("node", "id"), "node", "left").select("key", F.coalesce("id", "node").alias("id")), "line-buckets")
+        discard(shared)
+        shared = apart
+    else:
+        shared = shared.withColumnRenamed("node", "id")
+        shared.scratch = scratch
     ids = shared.select("id").distinct()
     item = F.struct(F.col("first.line").alias("line"), "node", "tag", "id")
     wanted = each.join(ids, "id").groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(item).alias("wanted"))  # no more than a text's lines
     texts = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
     items = simjoin.distinct_items(stored(payloads(texts.join(wanted.hint("shuffle_hash"), "doc").select("t", "wanted"), bits), "line-items"), "line")
-    groups = simjoin.components(shared, items, _decode, PERCENT, K, "line", MARGIN, SMALL)
+    groups = simjoin.components(shared, items, _decode, PERCENT, K, "line", MARGIN, SMALL, simjoin.LEADERS)
     groups = stored(groups, "line-groups")
     discard(shared, items)
     # a line that is neither repeated nor in a group stays
@@ -315,7 +337,7 @@ def repeated_lines(rows: DataFrame, text: str = "text", key: str = "doc_id", bit
     marked = stored(lookup(labelled.select("id", "n", "component"), keepers, "component", labelled.count(), "members").select("id", "keeper", "n"), "line-keepers")
     discard(labelled, keepers, groups)
     named = with_ids(known, clashing, "node", "tag", total)
-    return lookup(named, marked, "id", total, "n").where(F.struct("doc", "line") != F.col("keeper")).select("doc", "line", "node", "tag")
+    return lookup(named, marked.hint("shuffle_hash"), "id", total, "n").where(F.struct("doc", "line") != F.col("keeper")).select("doc", "line", "node", "tag")
 
 
 def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", bits: int = NODE_BITS) -> DataFrame:
@@ -334,16 +356,16 @@ def without_repeats(rows: DataFrame, text: str = "text", key: str = "doc_id", bi
             n_lines = pa.compute.if_else(pa.compute.equal(pa.compute.binary_length(texts), 0), 0, pa.compute.add(pa.compute.count_substring(texts, "\n"), 1))
             n_removed = np.zeros(len(texts), np.int64)
             some = pa.compute.is_valid(gone_)
-            changed, rows_ = texts.filter(some).to_pylist(), np.flatnonzero(some.to_numpy(zero_copy_only=False))
-            wanted = gone_.filter(some)
-            for first, end, points, row, starts, ends in lines(texts.filter(some)):
-                owner, at, _ = _found(wanted.slice(first, end - first), points, row, starts, ends, bits)
-                at = at - np.searchsorted(row, owner)
-                for i in np.unique(owner).tolist():
-                    drop = set(at[slice(*np.searchsorted(owner, [i, i + 1]))].tolist())
-                    changed[first + i] = "\n".join(x for k, x in enumerate(changed[first + i].split("\n")) if k not in drop)
-                    n_removed[rows_[first + i]] = len(drop)
-            out = pa.compute.replace_with_mask(texts, some, pa.array(changed, pa.string()))
+            before, wanted = texts.filter(some), gone_.filter(some)
+            owner, at, _, _ = _found(wanted, before, bits)
+            cut = np.searchsorted(owner, np.arange(len(before) + 1)).tolist()
+            changed, count = [], []
+            for i in range(len(before)):
+                parts, drop = _parts(before[i]), set(at[cut[i] : cut[i + 1]].tolist())
+                changed.append(b"\n".join(x for k, x in enumerate(parts) if k not in drop) if parts else None)
+                count.append(len(drop))
+            n_removed[some.to_numpy(zero_copy_only=False)] = count
+            out = pa.compute.replace_with_mask(texts, some, pa.array(changed, pa.binary()).view(pa.string()))
             columns = [out if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.compute.fill_null(n_lines, 0).cast(pa.int64()), pa.array(n_removed)], [*names, "n_lines", "n_removed"])
 

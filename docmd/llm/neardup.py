@@ -91,10 +91,10 @@ def payloads(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, payload binary")
 
 
-def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]:
+def _decode(blobs: pa.Array) -> tuple[list[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
     words = -(-BANDS * ROWS // 32)
     both = [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs]
-    return [x[words:] for x in both], lambda a, b: np.stack([x[:words] for x in both[a:b]])
+    return [x[words:] for x in both], lambda at: np.stack([both[x][:words] for x in at])
 
 
 def near_duplicates(rows: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:

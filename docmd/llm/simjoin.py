@@ -44,9 +44,11 @@ BITS = 2
 MARGIN = 0.18
 _EVEN = np.uint64(0x5555555555555555)
 #: Bytes of payloads that are decoded at once, unless one tile has more; tiles of so few items are compared without an estimate.
-DECODED, FEW = 1 << 19, 8
-#: The sorted sets of a column of payloads, and what gives the packed signatures of those in a range.
-Decode = Callable[[pa.Array], tuple[list[np.ndarray], Callable[[int, int], np.ndarray]]]
+DECODED, FEW = 1 << 19, 16
+#: Buckets of so many items at most go to the task of their leader; it leads one for each band at most.
+HOME = 16
+#: The sorted sets of a column of payloads, and what gives the packed signatures of those at some places.
+Decode = Callable[[pa.Array], tuple[list[np.ndarray], Callable[[np.ndarray], np.ndarray]]]
 
 
 def set_digest(members: np.ndarray) -> bytes:
@@ -101,16 +103,18 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: Callable[[], np.ndarray], percent: int, k: int, margin: float, small: int = 0, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndarray], packed: Callable[[], np.ndarray], percent: int, k: int, margin: float, small: int = 0, parts: np.ndarray | None = None, known: tuple[dict, set, list[int]] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links of one tile; its rows are sorted by block. whole: the tile is one block.
 
-    packed gives the packed signatures. parts: the component that each item is known to be in; only pairs of different
-    ones are compared.
+    packed gives the packed signatures. parts: the component that each item is known to be in, by the id of an item; only
+    pairs of different ones are compared. known: what tiles before this one found (links, and pairs of sets that are not
+    similar), which this one adds to, and the numbers of the sets.
     """
     n = len(ids)
     size = np.array([len(s) for s in sets])
     split = 0 if whole else int(np.searchsorted(blocks, blocks[-1]))  # the rows before split are the first block
-    root: dict = {}
+    root, refuted, number = known or ({}, set(), list(range(n)))
+    names = ids.tolist()
     out = []
 
     def find(v: int) -> int:
@@ -118,32 +122,32 @@ def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndar
             v = up
         return v
 
-    def join(u: int, v: int) -> None:
+    def join(u: int, v: int) -> bool:
         if (p := find(u)) != (q := find(v)):
             root[max(p, q)] = min(p, q)
-            out.append((int(ids[u]), int(ids[v])))
+        return p != q
 
-    if parts is not None:  # items of one component are connected
-        heads: dict = {}
-        for v, part in enumerate(parts.tolist()):
-            if (u := heads.setdefault(part, v)) != v:
-                root[v] = u
+    if parts is not None:
+        for v, part in zip(names, parts.tolist(), strict=True):
+            join(v, part)
     if n <= FEW or split == 1:
         sizes = size.tolist()
         for u in range(n if whole else split):
             for v in range(u + 1 if whole else split, n):
-                if 100 * min(sizes[u], sizes[v]) >= percent * max(sizes[u], sizes[v]) and find(u) != find(v):
+                if 100 * min(sizes[u], sizes[v]) >= percent * max(sizes[u], sizes[v]) and (number[u], number[v]) not in refuted and find(names[u]) != find(names[v]):
                     both = _shared(sets[u], sets[v])
-                    if 100 * both >= percent * (sizes[u] + sizes[v] - both):
-                        join(u, v)
+                    if 100 * both < percent * (sizes[u] + sizes[v] - both):
+                        refuted.add((number[u], number[v]))
+                    elif join(names[u], names[v]):
+                        out.append((names[u], names[v]))
         return out
     a, b = (np.arange(n), np.arange(n)) if whole else (np.arange(split), np.arange(split, n))
     # sets of similar items have similar sizes
     close = 100 * np.minimum(size[a][:, None], size[b][None, :]) >= percent * np.maximum(size[a][:, None], size[b][None, :])
     if whole:
         close &= np.arange(n)[:, None] < np.arange(n)[None, :]
-    if parts is not None:
-        close &= parts[a][:, None] != parts[b][None, :]
+    roots = np.array([find(v) for v in names])
+    close &= roots[a][:, None] != roots[b][None, :]
     if not close.any():
         return []
     bits = packed()
@@ -157,7 +161,8 @@ def similar(ids: np.ndarray, blocks: np.ndarray, whole: bool, sets: list[np.ndar
     both = _common(sets, used)[np.searchsorted(used, x), np.searchsorted(used, y)]
     linked = 100 * both >= percent * (size[x] + size[y] - both)
     for u, v in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-        join(u, v)
+        if join(names[u], names[v]):
+            out.append((names[u], names[v]))
     return out
 
 
@@ -184,17 +189,21 @@ def _common(sets: list[np.ndarray], used: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+_TILE = "home", "i", "j", "group"
+
+
 def links(rows: DataFrame, decode: Decode, percent: int, k: int, margin: float = MARGIN, small: int = 0) -> DataFrame:
-    """(src, dst): spanning forests of the confirmed links of all tiles; rows: (group, i, j, side, id, part, payload).
+    """(src, dst): spanning forests of the confirmed links of all tiles; rows: (home, group, i, j, side, id, part, payload).
 
-    A tile is (group, i, j). With i = j its items are compared with each other, else those of side 0 with those of
+    Tiles of one home meet in a task, one after another, so that a set is decoded once for many of them, and a pair that is
+    connected or refuted isn't compared again. A tile is (group, i, j). With i = j its items are compared with each other, else those of side 0 with those of
     side 1; items of one part are not. A task reads its tiles one after another, sorted, and holds one of them at a time.
     """
-    ordered = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "id")
+    ordered = rows.repartition("home", "i", "j").sortWithinPartitions(*_TILE, "side", "id")
 
     def found(table: pa.RecordBatch) -> list[tuple[int, int]]:
         """The links of some whole tiles."""
-        key = np.stack([table.column(c).to_numpy() for c in ("group", "i", "j")], 1)
+        key = np.stack([table.column(c).to_numpy() for c in _TILE], 1)
         ids, side, parts = (table.column(c).to_numpy() for c in ("id", "side", "part"))
         payloads = table.column("payload")
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
@@ -204,12 +213,16 @@ def links(rows: DataFrame, decode: Decode, percent: int, k: int, margin: float =
         while t < len(cuts) - 1:
             u = max(t + 1, int(np.searchsorted(weight[cuts], weight[cuts[t]] + DECODED, "right")) - 1)
             first = cuts[t]
-            sets, packed = decode(payloads.slice(first, cuts[u] - first))
+            coded = payloads.slice(first, cuts[u] - first).dictionary_encode()
+            sets, packed = decode(coded.dictionary)
+            which = coded.indices.to_numpy()
+            root, refuted = {}, set()
             for a, b in zip(cuts[t:u], cuts[t + 1 : u + 1], strict=True):
                 whole = key[a, 1] == key[a, 2]
                 if b - a > 1 and (whole or side[a] != side[b - 1]):
-                    lo, hi = a - first, b - first
-                    out += similar(ids[a:b], side[a:b], whole, sets[lo:hi], lambda lo=lo, hi=hi: packed(lo, hi), percent, k, margin, small, parts[a:b])
+                    own = which[a - first : b - first]
+                    numbers = own.tolist()
+                    out += similar(ids[a:b], side[a:b], whole, [sets[x] for x in numbers], lambda own=own, packed=packed: packed(own), percent, k, margin, small, parts[a:b], (root, refuted, numbers))
             t = u
         return out
 
@@ -219,10 +232,10 @@ def links(rows: DataFrame, decode: Decode, percent: int, k: int, margin: float =
         for batch in batches:
             if not len(batch):
                 continue
-            last = [batch.column(c)[-1].as_py() for c in ("group", "i", "j")]
-            of_last = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(("group", "i", "j"), last, strict=True)])
+            last = [batch.column(c)[-1].as_py() for c in _TILE]
+            of_last = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(_TILE, last, strict=True)])
             at = int(np.argmax(of_last))
-            if at or (held and [held[-1].column(c)[-1].as_py() for c in ("group", "i", "j")] != last):
+            if at or (held and [held[-1].column(c)[-1].as_py() for c in _TILE] != last):
                 done = pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks()
                 held = []
                 yield _edges([p for part in done.to_batches() for p in found(part)])
@@ -249,10 +262,11 @@ def _against_leaders(pairs: DataFrame, items: DataFrame, name: str) -> tuple[Dat
     weighed = stored(pairs.join(items.select("id", "n"), "id").withColumn("w", _weight()).drop("n"), f"{name}-pairs")
     chunks = stored(weighed.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("w")).alias("chunks")), f"{name}-chunks")
     members = lookup(weighed, chunks, "leader", weighed.count(), "members")
+    # each item is a part of its own: items of one part count as connected, and the leader's items aren't yet
     one = F.lit(1).cast("long")
-    asked = members.select(F.col("leader").alias("group"), (F.pmod(F.xxhash64("id"), F.col("chunks")) + 1).alias("j"), one.cast("int").alias("side"), "id", F.lit(1).cast("long").alias("part"))
-    heads = chunks.select(F.col("leader").alias("group"), F.explode(F.sequence(one, F.col("chunks"))).alias("j"), F.lit(0).alias("side"), F.col("leader").alias("id"), F.lit(0).cast("long").alias("part"))
-    both = asked.unionByName(heads).withColumn("i", F.lit(0).cast("long"))
+    asked = members.select(F.col("leader").alias("group"), (F.pmod(F.xxhash64("id"), F.col("chunks")) + 1).alias("j"), one.cast("int").alias("side"), "id", F.col("id").alias("part"))
+    heads = chunks.select(F.col("leader").alias("group"), F.explode(F.sequence(one, F.col("chunks"))).alias("j"), F.lit(0).alias("side"), F.col("leader").alias("id"), F.col("leader").alias("part"))
+    both = asked.unionByName(heads).withColumn("i", F.lit(0).cast("long")).withColumn("home", F.col("group"))
     return both.join(items.select("id", "payload"), "id"), [weighed, chunks]
 
 
@@ -270,20 +284,23 @@ def _open(rows: DataFrame, r: int, name: str) -> DataFrame:
     """rows (key, id, part) of the buckets that are of several components, with the bucket's number of items in `members`, a
     leader, and the leader's component in `of`. Of buckets with the same items one is enough. Round 0 takes the smallest
     item as the leader, a later one an item by hash."""
-    order = F.struct(*([F.xxhash64("id", F.lit(r)).alias("h")] if r else []), F.col("id").alias("leader"), F.col("part").alias("of"))
-    each = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(order).alias("o"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-    kept = each.where("low <> high").groupBy("sum", "members", "o").agg(F.min("key").alias("key"))
-    kept = stored(kept.select("key", "members", "o.leader", "o.of"), f"{name}-open")
+    # aggregates of fixed width only, so that nothing is sorted for them; different ids have different hashes, as xxhash64 of a long is one to one
+    order = F.xxhash64("id", F.lit(r)) if r else F.col("id")
+    h = F.xxhash64("id")
+    sums = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low_sum"), F.sum(F.shiftright(h, 32)).alias("high_sum")
+    each = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("id", order).alias("leader"), F.min_by("part", order).alias("of"), F.count(F.lit(1)).alias("members"), *sums)
+    kept = each.where("low <> high").groupBy("low_sum", "high_sum", "members", "leader", "of").agg(F.min("key").alias("key"))
+    kept = stored(kept.select("key", "members", "leader", "of"), f"{name}-open")
     out = stored(lookup(rows, kept, "key", rows.count(), "members").select("key", "id", "part", "members", "leader", "of"), f"{name}-buckets")
     discard(kept)
     return out
 
 
-def components(buckets: DataFrame, items: DataFrame, decode: Decode, percent: int, k: int, name: str, margin: float = MARGIN, small: int = 0) -> DataFrame:
+def components(buckets: DataFrame, items: DataFrame, decode: Decode, percent: int, k: int, name: str, margin: float = MARGIN, small: int = 0, leaders: int = 1) -> DataFrame:
     """(id, component) of the items that are linked with another one.
 
     buckets: (key, id), a table, of keys that several items have; items: (id, n, payload), a table, with n the size of the
-    item's set.
+    item's set. leaders: those that an item is verified against in round 0, besides those of its buckets of two.
     """
     active = _open(buckets.select("key", "id", F.col("id").alias("part")), 0, name)
     found: list[DataFrame] = []
@@ -293,7 +310,7 @@ def components(buckets: DataFrame, items: DataFrame, decode: Decode, percent: in
         pair = F.col("members") == 2
         mine = active.where("part <> of") if not r else active.where((F.col("part") != F.col("of")) & (F.col("members") > BLOCK))
         asked = mine.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("leader").alias("h"), "leader", pair.alias("pair")))).alias("all"))  # one for each band at most
-        most = LEADERS if r else 1
+        most = LEADERS if r else leaders
         asked = asked.select("id", F.explode(F.array_distinct(F.transform(F.filter("all", lambda x, i: x["pair"] | (i < most)), lambda x: x["leader"]))).alias("leader"))
         tiles, read = _against_leaders(asked, items, name)
         found.append(stored(links(tiles, decode, percent, k, margin, small), f"{name}-links"))
@@ -314,8 +331,9 @@ def components(buckets: DataFrame, items: DataFrame, decode: Decode, percent: in
 
 
 def _tiles(active: DataFrame, items: DataFrame, name: str) -> DataFrame:
-    """The tiles of all pairs of different components in the buckets active (key, id, part, members)."""
-    rows = stored(active.select("key", "id", "part").join(items.select("id", "n"), "id").withColumn("w", _weight()).drop("n"), f"{name}-rest")
+    """The tiles of all pairs of different components in the buckets active (key, id, part, members, leader)."""
+    home = F.when(F.col("members") <= HOME, F.col("leader")).otherwise(F.col("key")).alias("home")
+    rows = stored(active.select("key", "id", "part", home).join(items.select("id", "n"), "id").withColumn("w", _weight()).drop("n"), f"{name}-rest")
     total = rows.count()
     per = rows.groupBy("key", "part").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     # a component that fills a block has its own ones, numbered after those of the others together
@@ -334,9 +352,9 @@ def _tiles(active: DataFrame, items: DataFrame, name: str) -> DataFrame:
     spread = F.pmod(F.xxhash64("id"), F.when(F.col("mine") > 0, F.col("mine")).otherwise(F.greatest("mixed", F.lit(1))))
     at = at.withColumn("block", F.col("low") + spread)
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (F.col("mine") == 0) | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
-    tiled = at.select("key", "id", "part", "block", F.explode(others).alias("other"))
+    tiled = at.select("key", "id", "part", "home", "block", F.explode(others).alias("other"))
     tiled = tiled.select(
         F.col("key").alias("group"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "id", "part",
+        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "id", "part", "home",
     )
     return tiled.join(items.select("id", "payload"), "id")

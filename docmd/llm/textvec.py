@@ -90,9 +90,15 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tupl
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(31), out=z)
+    y ^= z
+    return y
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +204,15 @@ class Spans:
         self.n, values = n, _point_hashes(points)
         powers, inverse = _powers(len(points) + 1)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(values * powers[: len(points)], out=self.sums[1:])
+        values *= powers[: len(points)]
+        np.cumsum(values, out=self.sums[1:])
         self.inverse = inverse
         size = max(0, len(points) - n + 1)
+        runs = self.sums[n:] - self.sums[:size] if size else np.zeros(0, np.uint64)
+        runs *= inverse[:size]
+        runs += np.uint64(n)
         #: The hash of the n code points from every place on.
-        self.runs = mix((self.sums[n:] - self.sums[:size]) * inverse[:size] + np.uint64(n)) if size else np.zeros(0, np.uint64)
+        self.runs = mix(runs)
 
     def _polynomial(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Only for spans of a few code points: long ones can be made to collide."""
