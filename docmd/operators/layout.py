@@ -474,14 +474,13 @@ def bullets(text: Column) -> Column:
 def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: DataFrame | Column | None = None, tasks: int = 0) -> DataFrame:
     """(doc_id, markdown) of lines; tables: (doc_id, table_id, markdown) for lines that stand for a table; dictionary: words
     of the language, for hyphens at line ends, as an array of them in lower case or as a table of one column in any case;
-    tasks: the number of tasks at least, so that the memory of one doesn't grow with the input.
+    tasks: the number of tasks where it is more than one, so that the memory of one doesn't grow with the input.
 
     A document without lines has no row. Null texts count as empty lines and are dropped; equal documents give
     equal results whatever their doc_id.
     """
     given = lines.where("text is not null and doc_id is not null")
-    more = tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = given.repartition(tasks, "doc_id") if more else given.repartition("doc_id")
+    given = given.repartition(tasks, "doc_id") if tasks > 1 else given.repartition("doc_id")
     own = without_furniture(attach_markers(given))
     paras = with_headings(paragraphs(with_paragraphs(with_bodies(own))))
     c = F.col
