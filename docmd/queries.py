@@ -145,8 +145,12 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", files.decode(data).alias("text"))
 
 
+#: Small files that a task makes and reads at most.
+FILES_PER_TASK = 5_000
+
+
 def _converted(rows: DataFrame, key: str, name: str, content: Column) -> DataFrame:
-    docs = spread(rows).select(key, F.lit(name).alias("name"), F.lit(None).cast("string").alias("source_uri"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    docs = spread(rows, FILES_PER_TASK).select(key, F.lit(name).alias("name"), F.lit(None).cast("string").alias("source_uri"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
     return to_markdown(docs, pdf=name.endswith("pdf")).select(key, "markdown")
 
 

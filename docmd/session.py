@@ -34,10 +34,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df over all cores, where it has fewer splits than there are: for work that is heavy on each row of a small table. A
-    table of more splits stays as it is."""
+    table of more splits stays as it is. With rows, a table of more than so many a core is dealt to tasks of them at most, in
+    whole rounds of the cores: its splits may be of any size, or empty."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None and (rounds := -(-df.count() // (rows * cores))) > 1:
+        return df.repartition(rounds * cores)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
