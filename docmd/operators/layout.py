@@ -387,14 +387,14 @@ def with_headings(paras: DataFrame, bodies: DataFrame | None = None) -> DataFram
     return leveled.withColumn("text", _joined("lines")).select(*paras.columns, "level")
 
 
-def _may_break(line: Column) -> Column:
+def may_break(line: Column) -> Column:
     """Whether a line's last character is a hyphen, a blank or a line end: of all others `BROKEN` fits none, and looking is cheap."""
     return functools.reduce(Column.__or__, (F.endswith(line, F.lit(x)) for x in "-" + LAST_BLANKS))
 
 
 def _broken(line: Column) -> Column:
     """The part of a word that a line's end breaks, or nothing."""
-    return F.when(_may_break(line), F.regexp_extract(line, BROKEN, 1)).otherwise("")
+    return F.when(may_break(line), F.regexp_extract(line, BROKEN, 1)).otherwise("")
 
 
 def words(lines: DataFrame) -> DataFrame:
@@ -426,7 +426,7 @@ def asked(parts: Column) -> Column:
         return kept
 
     none = F.array().cast("array<string>")
-    return F.when(F.exists(parts, _may_break), F.aggregate(parts, F.struct(none.alias("heads"), none.alias("asks")), step)["asks"]).otherwise(none)
+    return F.when(F.exists(parts, may_break), F.aggregate(parts, F.struct(none.alias("heads"), none.alias("asks")), step)["asks"]).otherwise(none)
 
 
 def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None) -> Column:
@@ -451,7 +451,7 @@ def join_hyphens(parts: Column, known: Column, dictionary: Column | None = None)
         )
 
     # without such an end the lines stay as they are
-    return F.when(F.exists(parts, _may_break), F.aggregate(parts, F.lit(""), step)).otherwise(F.array_join(F.filter(parts, lambda x: x != ""), "\n"))
+    return F.when(F.exists(parts, may_break), F.aggregate(parts, F.lit(""), step)).otherwise(F.array_join(F.filter(parts, lambda x: x != ""), "\n"))
 
 
 def join_split_links(lines: Column) -> Column:
@@ -471,16 +471,17 @@ def bullets(text: Column) -> Column:
     return F.regexp_replace(text, rf"^(\s*)[{BULLETS}]\s*", "$1- ")
 
 
-def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: DataFrame | Column | None = None, tasks: int = 0) -> DataFrame:
+def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: DataFrame | Column | None = None, tasks: int = 0, broken: DataFrame | None = None) -> DataFrame:
     """(doc_id, markdown) of lines; tables: (doc_id, table_id, markdown) for lines that stand for a table; dictionary: words
     of the language, for hyphens at line ends, as an array of them in lower case or as a table of one column in any case;
-    tasks: the number of tasks where it is more than one, so that the memory of one doesn't grow with the input.
+    tasks: the number of tasks where it is more than one, so that the memory of one doesn't grow with the input; broken: the
+    lines of all documents with a line that may break a word, where they are known, so that no others are searched for words.
 
     A document without lines has no row. Null texts count as empty lines and are dropped; equal documents give
     equal results whatever their doc_id.
     """
-    given = lines.where("text is not null and doc_id is not null")
-    given = given.repartition(tasks, "doc_id") if tasks > 1 else given.repartition("doc_id")
+    dealt = lambda df: df.where("text is not null and doc_id is not null").repartition(*([tasks] if tasks > 1 else []), "doc_id")
+    given = dealt(lines)
     own = without_furniture(attach_markers(given))
     paras = with_headings(paragraphs(with_paragraphs(with_bodies(own))))
     c = F.col
@@ -494,7 +495,7 @@ def to_markdown(lines: DataFrame, tables: DataFrame | None = None, dictionary: D
     docs = docs.withColumn("paras", F.transform("paras", lambda p: p.withField("lines", plain(p))))
     docs = docs.withColumn("asks", F.array_distinct(F.flatten(F.transform("paras", lambda p: asked(p["lines"])))))
     none = F.array().cast("array<string>")
-    docs = docs.join(words(given), "doc_id", "left").withColumn("known", F.array_intersect("asks", F.coalesce("words", none))).drop("words")
+    docs = docs.join(words(given if broken is None else dealt(broken)), "doc_id", "left").withColumn("known", F.array_intersect("asks", F.coalesce("words", none))).drop("words")
     of_language: Column | None = None
     scratch: tuple[str, ...] = ()
     if isinstance(dictionary, DataFrame):

@@ -193,14 +193,15 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
         # contents are read once: what the parsers make of them is written, and the lines of PDF files read from there
         whole = written(read.select("kept", markdown.alias("markdown"), *facts, is_pdf.alias("is_pdf"), "pdf.lines", "pdf.tables", F.when(is_pdf, F.monotonically_increasing_id()).alias("doc_id")), "documents")
         pages = whole.where("is_pdf")
-        lines = pages.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
+        lines_of = lambda df: df.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
+        lines, broken = lines_of(pages), lines_of(pages.where(F.exists("lines", lambda s: L.may_break(s["text"]))))
         tables = pages.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
         # tasks of bounded lines, whatever the input. The plan has more generated classes than Spark keeps, so that each task has a
         # cost of its own: they are as few as that allows, in whole rounds of the cores
         count = pages.agg(F.sum(F.size("lines").cast("long"))).first()[0] or 0
         cores = whole.sparkSession.sparkContext.defaultParallelism
         rounds = -(-count // (LINES_PER_TASK * cores))
-        shown = L.to_markdown(lines, tables, words, rounds * cores if count > LINES_PER_TASK else 1)
+        shown = L.to_markdown(lines, tables, words, rounds * cores if count > LINES_PER_TASK else 1, broken)
         joined = pages.withColumn("read", c("lines").isNotNull()).drop("markdown", "lines", "tables").join(shown.withColumnRenamed("doc_id", "of"), c("doc_id") == c("of"), "left")
         # a file without lines is empty, one that can't be read or has no content is null
         found = F.when(c("error").isNull() & c("read"), F.coalesce("markdown", F.lit("")))
