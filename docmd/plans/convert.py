@@ -196,8 +196,8 @@ def to_markdown(documents: DataFrame, limit: int | None = files.MAX_DOCUMENT_SIZ
         lines_of = lambda df: df.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").select(*(x.split(" ")[0] for x in L.LINES.split(", ")))
         lines, broken = lines_of(pages), lines_of(pages.where(F.exists("lines", lambda s: L.may_break(s["text"]))))
         tables = pages.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.table_id", T.of_rows(F.col("t.rows"), F.col("t.blank")).alias("markdown"))
-        # tasks of bounded lines, whatever the input. The plan has more generated classes than Spark keeps, so that each task has a
-        # cost of its own: they are as few as that allows, in whole rounds of the cores
+        # tasks of bounded lines, whatever the input. The plan seems to have more generated classes than Spark keeps: each task has a
+        # cost of its own, so that they are as few as that allows, in whole rounds of the cores
         count = pages.agg(F.sum(F.size("lines").cast("long"))).first()[0] or 0
         cores = whole.sparkSession.sparkContext.defaultParallelism
         rounds = -(-count // (LINES_PER_TASK * cores))
